@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import licenses, secrets_scan, sharding
+from millrace.llm import decontaminate, licenses, quality_rules, secrets_scan, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,40 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contamination_report(docs, _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        "contaminated",
+        "longest_words",
+        "longest_item",
+        "longest_at",
+    )
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the adaptive verdict for every document."""
+    found = quality_rules.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep=["doc_id"])
+    base = quality_rules.base_failed()
+    return found.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        base.alias("base_failed"),
+        (~base & F.col("passes")).alias("kept"),
+        F.array_join("failed", ",").alias("failed"),
+    )
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence sentences and licences of every document."""
     found = licenses.license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -53,6 +87,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": op2_sharding,
         "op7_secret_scan": op7_secret_scan,
+        "op8_decontamination": op8_decontamination,
+        "op9_quality_rules": op9_quality_rules,
         "op10_license_scan": op10_license_scan,
     }
 
