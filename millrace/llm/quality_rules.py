@@ -83,7 +83,7 @@ def measures() -> dict[str, Column]:
 
 #: Least distance of a fence from the median, so that a group without spread
 #: does not reject the first text that differs a little.
-LEAST_SLACK = {"symbol_rate": 0.3, "word_length": 3.0, "dup_line_rate": 0.3, "repeat_rate": 0.2}
+LEAST_SLACK = {"symbol_rate": 0.3, "word_length": 3.0, "dup_line_rate": 0.5, "repeat_rate": 0.2}
 
 
 def bin_of(value: Column) -> Column:
