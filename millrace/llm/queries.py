@@ -6,13 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import decontaminate, licenses, quality_rules, secrets_scan, sharding
+from millrace.llm import decontaminate, language_id, licenses, mixing, quality_classifier, quality_rules, secrets_scan, sharding
+from millrace.llm.storage import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every draw of the mix of all documents, in the order of mix_at."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    counted = stored(mixing.count_tokens(docs, keep=["doc_id", "source"], name="n_tokens"))
+    mix = mixing.plan_mix(counted.select(mixing.source_key("source"), F.col("n_tokens").alias("mix_tokens")))
+    drawn = mixing.mix_order(counted, mix, tokens="n_tokens")
+    return drawn.select(
+        "doc_id",
+        "source",
+        "n_tokens",
+        F.col("mix_epoch").alias("epoch"),
+        F.col("mix_start").alias("start_token"),
+        F.round("mix_at", 9).alias("mix_at"),
+        F.round("mix_weight", 9).alias("weight"),
+    )
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into shards 0 to 15 under the law of equal row counts."""
     text = F.coalesce("text", F.lit(""))
@@ -23,6 +41,20 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    found = quality_classifier.classify(docs, _table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return found.select("doc_id", "p_quality", "p_toxic", "doc_p_quality", "doc_p_toxic", F.col("keep").alias("kept"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    found = language_id.identify(docs, keep=["doc_id"])
+    return found.select("doc_id", "language", "language_p", "text_language", "declared_language", F.col("accepted").alias("kept"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and linked spans of every document."""
     found = secrets_scan.secret_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -85,7 +117,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_source_mixing": op1_source_mixing,
         "op2_sharding": op2_sharding,
+        "op4_quality_classifier": op4_quality_classifier,
+        "op6_language_id": op6_language_id,
         "op7_secret_scan": op7_secret_scan,
         "op8_decontamination": op8_decontamination,
         "op9_quality_rules": op9_quality_rules,

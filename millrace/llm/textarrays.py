@@ -119,6 +119,13 @@ def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
+def per_text_spans(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many flags are set in each span."""
+    sums = np.zeros(len(flags) + 1, dtype=np.int64)
+    np.cumsum(flags, out=sums[1:])
+    return sums[end] - sums[start]
+
+
 def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(in a group of equal keys of two or more, equal to an earlier key)."""
     if not len(keys):
