@@ -24,7 +24,7 @@ from millrace.llm.storage import stored
 
 _WORD = ~ta.byte_set([0x20, *range(0x09, 0x0E)])
 #: Rows of one slice of a permutation, about; a slice is ordered by one task.
-SLICE_ROWS = 50_000
+SLICE_ROWS = 4_096
 
 
 def _count_words(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import decontaminate, language_id, licenses, mixing, quality_classifier, quality_rules, secrets_scan, sharding
+from millrace.llm import decontaminate, jaccard_join, language_id, licenses, mixing, quality_classifier, quality_rules, secrets_scan, sharding
 from millrace.llm.storage import stored
 
 
@@ -41,6 +41,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return jaccard_join.jaccard_join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality and toxicity of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -119,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mixing": op1_source_mixing,
         "op2_sharding": op2_sharding,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_quality_classifier": op4_quality_classifier,
         "op6_language_id": op6_language_id,
         "op7_secret_scan": op7_secret_scan,
