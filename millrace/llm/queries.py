@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import decontaminate, jaccard_join, language_id, licenses, mixing, quality_classifier, quality_rules, secrets_scan, sharding
+from millrace.llm import decontaminate, jaccard_join, language_id, licenses, mixing, quality_classifier, quality_rules, secrets_scan, sharding, suffix_dedup
 from millrace.llm.storage import stored
 
 
@@ -53,6 +53,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "p_quality", "p_toxic", "doc_p_quality", "doc_p_toxic", F.col("keep").alias("kept"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated strings of 200 bytes leave of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, keep=["doc_id"], bodies=False)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -126,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op3_jaccard_join": op3_jaccard_join,
         "op4_quality_classifier": op4_quality_classifier,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_language_id": op6_language_id,
         "op7_secret_scan": op7_secret_scan,
         "op8_decontamination": op8_decontamination,

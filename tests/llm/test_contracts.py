@@ -62,6 +62,24 @@ def test_op2(spark, folders):
         assert multiset(map(tuple, Q.op2_sharding(spark, folder).collect())) == multiset(map(tuple, got))
 
 
+# op5 -----------------------------------------------------------------------
+def test_op5(spark, folders):
+    for folder in folders:
+        docs = [(d[0], (d[1] or "").encode()) for d in rows_of(spark, folder, "documents")]
+        seen = Counter(b[i : i + 200] for _, b in docs for i in range(len(b) - 199))
+        expected = []
+        for i, b in docs:
+            gone = bytearray(len(b))
+            for k in range(len(b) - 199):
+                if seen[b[k : k + 200]] > 1:
+                    gone[k : k + 200] = b"\1" * 200
+            spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
+            left = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+            expected.append((i, len(b), sum(gone), spans, hashlib.sha256(left).hexdigest()))
+        got = Q.op5_suffix_dedup(spark, folder)
+        assert multiset(r[:5] for r in got.collect()) == multiset(expected)
+
+
 # op7 -----------------------------------------------------------------------
 def base_spans(text):
     found = []
