@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, ids: str, text: str, names: list[str
         table[_columns(*_presences(data, offsets), words)] = 1.0
         return [pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(table.ravel(), pa.float64()))]
 
-    rows = stored(ta.with_text_columns(labelled, "__body", [("__x", "array<double>")], features, keep=[f"__{x}" for x in names]))
+    rows = stored(ta.with_text_columns(labelled, "__body", [("__x", "array<double>")], features, keep=[f"__{x}" for x in names])).coalesce(8)  # a bounded sample, read in every iteration
     weights, offset, prior = {}, {}, {}
     for k, name in enumerate(names):
         prior[name] = float(np.log((classes[k, 1] + 1) / (classes[k, 0] + 1)))
