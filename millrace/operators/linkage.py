@@ -3,22 +3,13 @@
 from __future__ import annotations
 
 import math
-import os
-import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder (set here only where the session has none)."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "millrace-checkpoints"))
-    return df.checkpoint()
+from millrace.functions.storage import written
 
 
 def connected(edges: DataFrame, vertices: DataFrame) -> DataFrame:

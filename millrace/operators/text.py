@@ -96,11 +96,12 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id:
     Term counts of documents are made once; only terms that queries hold are
     shuffled, and a query's repeated terms count again.
     """
-    lengths = docs.select(F.col(doc_id).alias("doc_id"), F.size(tokens(F.col(text))).alias("length"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length")).first()
+    cut = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t"))
+    totals = cut.select(F.size("t").alias("length")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length")).first()
     n, mean = totals["n_docs"], totals["mean_length"] or 1.0
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.size(tokens(F.col(text))).alias("length"), F.explode(tokens(F.col(text))).alias("term"))
+    # The size must be a column before the explode, or it is computed anew for every term.
+    words = cut.select("doc_id", "t", F.size("t").alias("length")).select("doc_id", "length", F.explode("t").alias("term"))
     counts = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.columns import all_same, row_digest
+from millrace.functions.storage import written
 from millrace.operators.relational import deduplicate
 
 
@@ -87,10 +88,11 @@ def scd3(target: DataFrame, source: DataFrame, keys: Sequence[str], tracked: Seq
 def surrogate_keys(new: DataFrame, known: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
     """Number new rows from the largest known key on, in the given order.
 
-    Ranges of the order are counted first, then numbered inside, so many tasks share the numbering.
+    Ranges of the order are counted first, then numbered inside, so many tasks share
+    the numbering. The sorted rows are written once, as both steps must see the same ranges.
     """
     top = known.agg(F.coalesce(F.max(name), F.lit(0)).cast("long").alias("top"))
-    sorted_ = new.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
+    sorted_ = written(new.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()))
     sizes = sorted_.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("__part").orderBy("__row"))
