@@ -146,12 +146,14 @@ def group_by_shared_tokens(df: DataFrame, ids: str, text: str, threshold: float
     frequency = sets.select(F.explode("set").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     ranked = sets.select("id", F.explode("set").alias("t")).join(frequency, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("o")).select("id", F.col("o.t").alias("o"))
     size = F.size("o")
-    keys = ranked.select("id", "o", F.explode(F.slice("o", F.lit(1), (size - F.ceil(size * threshold) + 1).cast("int"))).alias("t"))
+    keys = ranked.select("id", size.alias("n"), F.explode(F.slice("o", F.lit(1), (size - F.ceil(size * threshold) + 1).cast("int"))).alias("t"))
     x, y = keys.alias("x"), keys.alias("y")
-    met = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.id") < F.col("y.id")) & (F.size("x.o") >= threshold * F.size("y.o")) & (F.size("y.o") >= threshold * F.size("x.o")))
-    common = F.size(F.array_intersect("x.o", "y.o"))
-    similarity = common / (F.size("x.o") + F.size("y.o") - common)
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), similarity.alias("similarity")).where(F.col("similarity") >= threshold).distinct()
+    fits = (F.col("x.n") >= threshold * F.col("y.n")) & (F.col("y.n") >= threshold * F.col("x.n"))
+    met = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.id") < F.col("y.id")) & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    both = met.join(ranked.select(F.col("id").alias("a"), F.col("o").alias("p")), "a").join(ranked.select(F.col("id").alias("b"), F.col("o").alias("q")), "b")
+    common = F.size(F.array_intersect("p", "q"))
+    similarity = common / (F.size("p") + F.size("q") - common)
+    return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 class _Visible(HTMLParser):
