@@ -1,19 +1,19 @@
-"""Removal of long repeated byte strings across a corpus.
+"""Removal of long repeated byte strings across a corpus, by sharded suffix arrays.
 
 Every byte covered by a ``LENGTH``-byte string that starts anywhere else goes.
-Whole-corpus suffix sorting by induction is sequential in the rank order of all
-suffixes; here the suffixes are dealt to shards by their content instead, and
-each shard sorts its own.
+Suffixes are dealt to shards by content, so that equal strings meet, and each
+shard sorts its suffixes by induction with their common prefixes.
 
 * A window (the string of LENGTH bytes at a place) is dealt by its anchor: the
-  GRAM-byte string inside it with the least hash.  Equal windows have equal
-  anchors at equal places, so equal windows always meet.  Neighbouring
-  windows with one anchor form a segment, about a hundredth of the windows.
-* Segments are counted by anchor and content.  A segment that occurs twice is
-  repeated as a whole.  Only where one anchor has segments of different content can a
+  GRAM-byte string inside it with the least hash. Equal windows have equal
+  anchors at equal places. Neighbouring windows with one anchor form a
+  segment, about one for every seventy windows.
+* Segments are counted by anchor and content. A segment that occurs twice is
+  repeated as a whole. Only where one anchor has segments of different content can a
   part of them be repeated; their bytes alone are sent to the shard of their anchor.
-* In a shard the windows of these segments are put in order of their
-  content, and neighbours that are equal mark each other.
+* A shard arrives through Spark's external sort, in the order of anchors, and is worked off in parts of
+  bounded size: shards may be far larger than memory. Each part's suffix array and common-prefix
+  values are induced (``induced_sort``); neighbours that share LENGTH bytes mark each other.
 * What is repeated goes back to the texts by segment, and each text is cut once.
 
 Filters of a fixed size keep segments and texts without a repetition from being
@@ -31,13 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm import fixed_filter, textarrays as ta
+from millrace.llm.induced_sort import suffix_array
 from millrace.llm.joins import join_groups
 from millrace.llm.storage import stored
 
 LENGTH = 200
 GRAM = 64
-#: Bytes of segments that a shard's task sorts at once.
-SHARD_BYTES = 8 << 20
+#: Bytes of segments that a shard's task sorts at once, about.
+PART_BYTES = 1 << 20
+#: Contents of one anchor that one task sorts; about 300 bytes each.
+MOST_CONTENTS = 4096
 
 _U = np.uint64
 
@@ -159,29 +162,38 @@ def _places(sent):
     return run
 
 
+def _repeated_windows(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(body, window) of the windows that stand in several of the bodies.
+
+    Suffixes are sorted by induction with their common prefixes; neighbours that share LENGTH bytes
+    form groups. Suffixes that begin too late in a body for a window do not count.
+    """
+    size = np.array([len(b) for b in bodies])
+    offsets = np.r_[0, np.cumsum(size)]
+    order, common = suffix_array(np.frombuffer(b"".join(bodies), np.uint8), LENGTH)
+    owner = np.repeat(np.arange(len(bodies), dtype=np.int32), size)
+    inside = order + LENGTH <= offsets[owner[order] + 1]
+    group = np.cumsum(common < LENGTH)
+    many = np.bincount(group[inside], minlength=group[-1] + 1) > 1
+    at = np.sort(order[inside & many[group]])
+    return owner[at], at - offsets[owner[at]]
+
+
 def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(anchor, content, body), sorted by anchor, to the repeated windows of each segment as runs (first, number).
 
-    Windows of different anchors differ, so a shard is sorted in parts that hold whole anchors, or one large anchor.
+    Windows of different anchors differ, so a shard is sorted in parts of whole anchors.
     """
 
     def part(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
-        bodies = table["body"].to_pylist()
-        size = np.array([len(b) for b in bodies])
-        offsets = np.r_[0, np.cumsum(size)]
-        data = np.frombuffer(b"".join(bodies), np.uint8)
-        windows = size - LENGTH + 1
-        owner = np.repeat(np.arange(len(bodies)), windows)
-        number = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        begin = offsets[owner] + number
-        again, _ = ta.repeated(ta.span_hash(ta.prefix_hash(data), begin, begin + LENGTH))
-        edge = again & ~np.r_[False, again[:-1] & (owner[1:] == owner[:-1])]
-        stop = again & ~np.r_[again[1:] & (owner[1:] == owner[:-1]), False]
-        first, last = np.flatnonzero(edge), np.flatnonzero(stop)
-        of = owner[first]
+        owner, number = _repeated_windows(table["body"].to_pylist())
+        opens = np.r_[True, (owner[1:] != owner[:-1]) | (number[1:] != number[:-1] + 1)][: len(owner)]
+        first = np.flatnonzero(opens)
+        of = pa.array(owner[first])
+        runs = np.diff(np.r_[first, len(owner)])
         return pa.RecordBatch.from_arrays(
-            [table["anchor"].combine_chunks().take(pa.array(of)), table["content"].combine_chunks().take(pa.array(of)), pa.array(number[first].astype(np.int32)), pa.array((last - first + 1).astype(np.int32))],
+            [table["anchor"].combine_chunks().take(of), table["content"].combine_chunks().take(of), pa.array(number[first].astype(np.int32)), pa.array(runs.astype(np.int32))],
             names=["anchor", "content", "first", "number"],
         )
 
@@ -193,25 +205,43 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor = np.asarray(batch.column(0))
         cuts = np.r_[0, np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor)]
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            if size >= SHARD_BYTES and anchor[i] != last:
+            if size >= PART_BYTES and anchor[i] != last:
                 yield part(held)
                 held, size = [], 0
             held.append(batch.slice(i, j - i))
-            size += held[-1].column(2).nbytes if j - i == batch.num_rows else sum(len(x.as_py()) for x in held[-1].column(2))
+            size += sum(map(len, held[-1].column(2).to_pylist()))
             last = anchor[i]
     if held:
         yield part(held)
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, content, body) to a row a window: (anchor, content, first, window)."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            body = np.frombuffer(batch.column(2)[row].as_py(), np.uint8)
+            first = np.arange(len(body) - LENGTH + 1)
+            values = ta.span_hash(ta.prefix_hash(body), first, first + LENGTH)
+            same = [pa.array(np.full(len(first), batch.column(k)[row].as_py())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(first.astype(np.int32)), _longs(values)], names=["anchor", "content", "first", "window"])
+
+
 def repeated_segments(docs: DataFrame, text: str) -> DataFrame:
     """(anchor, content, runs): repeated windows of segments as runs (first, number); null for all of them."""
     counts = stored(_read(docs, text, "anchor long, content long", _census).groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n")))
-    several = stored(counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("anchor"))
+    several = stored(counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1"))
     sent = docs.sparkSession.sparkContext.broadcast(fixed_filter.build(several, "anchor"))
     bodies = _read(docs, text, "anchor long, content long, body binary", _bodies(sent)).groupBy("anchor", "content").agg(F.first("body").alias("body"))
-    unclear = bodies.join(several.hint("merge"), "anchor")
-    partly = unclear.select("anchor", "content", "body").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard, "anchor long, content long, first int, number int")
-    runs = partly.groupBy("anchor", "content").agg(F.collect_list(F.struct("first", "number")).alias("runs"))
+    unclear = bodies.join(several.hint("merge"), "anchor").select("anchor", "content", "body", "contents")
+    schema = "anchor long, content long, first int, number int"
+    one_task = unclear.where(F.col("contents") <= MOST_CONTENTS).drop("contents")
+    found = one_task.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard, schema)
+    if not several.where(F.col("contents") > MOST_CONTENTS).isEmpty():
+        # An anchor with very many contents would fill a task: its windows are counted one by one, by many tasks.
+        windows = unclear.where(F.col("contents") > MOST_CONTENTS).select("anchor", "content", "body").mapInArrow(_windows, "anchor long, content long, first int, window long")
+        twice = windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "window")
+        found = found.union(windows.join(twice.hint("merge"), ["anchor", "window"]).select("anchor", "content", "first", F.lit(1).alias("number")))
+    runs = found.groupBy("anchor", "content").agg(F.collect_list(F.struct("first", "number")).alias("runs"))
     whole = counts.where("n > 1").select("anchor", "content")
     return stored(_merged(whole, runs))
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -80,6 +80,13 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def prefix_hash_codes(codes: np.ndarray) -> np.ndarray:
+    """The same for small numbers of any range."""
+    out = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum(mix((codes.astype(np.uint64) + _U(1)) * _STEP) * _power("up", _STEP, len(codes)), out=out[1:])
+    return out
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of the bytes start:end, wherever they stand."""
     value = (prefix[end] - prefix[start]) * _power("down", _BACK, len(prefix))[start]

@@ -80,6 +80,14 @@ def test_op5(spark, folders):
         assert multiset(r[:5] for r in got.collect()) == multiset(expected)
 
 
+def test_op5_anchors_with_many_contents(spark, folders, monkeypatch):
+    from millrace.llm import suffix_dedup
+
+    usual = multiset(map(tuple, Q.op5_suffix_dedup(spark, folders[1]).collect()))
+    monkeypatch.setattr(suffix_dedup, "MOST_CONTENTS", 2)
+    assert multiset(map(tuple, Q.op5_suffix_dedup(spark, folders[1]).collect())) == usual
+
+
 # op7 -----------------------------------------------------------------------
 def base_spans(text):
     found = []
