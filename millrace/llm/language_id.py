@@ -96,7 +96,7 @@ class Model:
     weights: np.ndarray
 
 
-def fit(marked: DataFrame, least_texts: int) -> Model:
+def fit(marked: DataFrame, body: str, least_texts: int) -> Model:
     """Trigram counts of all texts per declared two-letter language.
 
     The driver gets languages x BINS sums, at most 26 * 26 * 16,384 numbers; each task
@@ -125,7 +125,8 @@ def fit(marked: DataFrame, least_texts: int) -> Model:
                 names=["language", "bin", "n"],
             )
 
-    summed = marked.where("__declared IS NOT NULL").select("__body", "__declared").mapInArrow(count, "language string, bin int, n long").groupBy("language", "bin").agg(F.sum("n").alias("n"))
+    ta.limit_batches(marked)
+    summed = marked.where("__declared IS NOT NULL").select(F.col(f"`{body}`"), "__declared").mapInArrow(count, "language string, bin int, n long").groupBy("language", "bin").agg(F.sum("n").alias("n"))
     rows = stored(summed)
     languages = sorted(r.language for r in rows.where((F.col("bin") == -1) & (F.col("n") >= least_texts)).select("language").collect())
     table = np.zeros((len(languages) + 1, BINS))
@@ -233,19 +234,20 @@ def identify(
     made = {*RESULTS, "__ll", "__letters", "__declared", "__host", "__suffix", "__body"}
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in made]
     host_column = host_of(host)
+    body = text if text in keep and df.schema[text].dataType.typeName() == "string" else "__body"  # carried once
     marked = df.select(
         *[F.col(f"`{c}`") for c in keep],
-        F.col(f"`{text}`").cast("string").alias("__body"),
+        *([F.col(f"`{text}`").cast("string").alias("__body")] if body == "__body" else []),
         declared_language(declared, markup).alias("__declared"),
         host_column.alias("__host"),
         F.coalesce(suffix_of(host_column), F.lit("")).alias("__suffix"),
     )
-    model = fit(marked, least_texts)
+    model = fit(marked, body, least_texts)
     own = [F.col(f"`{c}`") for c in keep]
     if not model.languages:
         return marked.select(*own, F.lit(NONE).alias("language"), F.lit(0.0).alias("language_p"), F.lit(NONE).alias("text_language"), F.col("__declared").alias("declared_language"), F.lit(False).alias("accepted"))
     sent = df.sparkSession.sparkContext.broadcast(model)
-    score = lambda columns: ta.with_text_columns(marked, "__body", [("__ll", "array<double>"), ("__letters", "long")], _score(sent), keep=columns)
+    score = lambda columns: ta.with_text_columns(marked, body, [("__ll", "array<double>"), ("__letters", "long")], _score(sent), keep=columns)
     evidence = ["__declared", "__host", "__suffix"]
     hosts, likely = _priors(score(evidence), model)
     k = len(model.languages)

@@ -112,6 +112,7 @@ def _chosen_words(labelled: DataFrame, names: list[str], most_words: int) -> tup
         if len(k):
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(c, pa.int32()), pa.array(at, pa.int32()), pa.array(sums[k, c, at], pa.int64())], names=["label", "class", "bin", "n"])
 
+    ta.limit_batches(labelled)
     rows = labelled.mapInArrow(count, "label int, class int, bin int, n long").groupBy("label", "class", "bin").agg(F.sum("n").alias("n"))
     table = np.zeros((len(names), 2, BINS + 1))
     for r in rows.toLocalIterator():  # labels x 2 x bins at most

@@ -113,6 +113,7 @@ def _read(df: DataFrame, text: str, schema: str, run) -> DataFrame:
                 own = offsets[i : j + 1]
                 yield run(data[own[0] : own[-1]], own - own[0])
 
+    ta.limit_batches(df)
     return df.select(F.col(f"`{text}`").cast("string").alias("body")).mapInArrow(rows, schema)
 
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 RUN_BYTES = 1 << 20
+#: Bytes of an Arrow batch; a worker holds a few of them at a time.
+BATCH_BYTES = 8 << 20
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -167,10 +169,12 @@ def with_text_columns(df: DataFrame, text: str, fields: list[tuple[str, str]], c
     returned = [x for x in fields if x[0] != mask]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in returned])
     n_keep = len(keep)
+    carried = text in keep and isinstance(df.schema[text].dataType, T.StringType)
+    at = keep.index(text) if carried else n_keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(n_keep))
+            data, offsets = text_bytes(batch.column(at))
             for i, j in runs(offsets):
                 own = offsets[i : j + 1]
                 results = compute(data[own[0] : own[-1]], own - own[0])
@@ -179,5 +183,14 @@ def with_text_columns(df: DataFrame, text: str, fields: list[tuple[str, str]], c
                 out = pa.RecordBatch.from_arrays(columns, names=schema.names)
                 yield out.filter(named[mask]) if mask else out
 
-    body = F.col("`" + text.replace("`", "``") + "`").cast("string").alias("__text")
-    return df.select(*["`" + c.replace("`", "``") + "`" for c in keep], body).mapInArrow(run, schema)
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    body = [] if carried else [F.col(quoted(text)).cast("string").alias("__text")]
+    limit_batches(df)
+    return df.select(*[quoted(c) for c in keep], *body).mapInArrow(run, schema)
+
+
+def limit_batches(df: DataFrame) -> None:
+    """Send texts to Python in batches of at most ``BATCH_BYTES``, unless the session asks for less."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(conf.get(name)).rstrip("b")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
