@@ -114,3 +114,72 @@ def backtest_windows(df: DataFrame, ts: str, cutoffs: Sequence[str], horizon_day
     test = (t >= cut) & (t < cut + F.expr(f"interval {horizon_days} days"))
     role: Column = F.when(train, "train").when(test, "test")
     return df.withColumn("__fold", folds).withColumn("role", role).where("role IS NOT NULL").withColumn("fold", F.col("__fold.fold")).drop("__fold")
+
+
+def folds(df: DataFrame, keys: Sequence[str], k: int, seed: int = 0, name: str = "fold") -> DataFrame:
+    """Fold 0 to k - 1 by a hash of the keys; give a group's columns and the group stays together."""
+    return df.withColumn(name, F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(k)).cast("int"))
+
+
+def stratified_folds(df: DataFrame, label: str, keys: Sequence[str], k: int, seed: int = 0, name: str = "fold") -> DataFrame:
+    """Folds in which every label is spread evenly (their numbers differ by one at most)."""
+    number = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), *keys), *keys)) - 1
+    return df.withColumn(name, F.pmod(number, F.lit(k)).cast("int"))
+
+
+def lag_features(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], lags: Sequence[int]) -> DataFrame:
+    over = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumns({f"{c}_lag_{n}": F.lag(c, n).over(over) for c in columns for n in lags})
+
+
+def ranking_report(df: DataFrame, query: str, rank: str, relevant: str, k: int = 10) -> DataFrame:
+    """Mean over queries of NDCG@k, reciprocal rank, average precision@k and precision@k; ranks from 1, relevance 0/1."""
+    r, hit = F.col(rank), F.col(relevant).cast("double")
+    seen = F.sum(hit).over(Window.partitionBy(query).orderBy(rank))
+    top = df.withColumn("__seen", seen).where(r <= k)
+    per = top.groupBy(query).agg(
+        F.sum(hit / F.log2(r + 1)).alias("dcg"),
+        F.min(F.when(hit > 0, r)).alias("first"),
+        F.sum(hit * F.col("__seen") / r).alias("ap"),
+        F.sum(hit).alias("hits"),
+    )
+    totals = df.groupBy(query).agg(F.least(F.sum(hit), F.lit(float(k))).alias("best"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("best").cast("int"), F.lit(1))), F.lit(0.0), lambda acc, i: acc + 1 / F.log2(i + 1))
+    over = lambda a, b: F.when(F.col("best") > 0, a / b).otherwise(0.0)
+    return per.join(totals, query).agg(
+        F.avg(over(F.col("dcg"), ideal)).alias("ndcg"),
+        F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"),
+        F.avg(over(F.col("ap"), F.col("best"))).alias("map"),
+        F.avg(F.col("hits") / k).alias("precision"),
+    )
+
+
+def rates_by_group(df: DataFrame, group: str, label: str, predicted: str) -> DataFrame:
+    """Share predicted positive, true and false positive rate of each group (fairness audit)."""
+    p, y = F.col(predicted) == 1, F.col(label) == 1
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(p.cast("double")).alias("positive_rate"), F.avg(F.when(y, p.cast("double"))).alias("true_positive_rate"), F.avg(F.when(~y, p.cast("double"))).alias("false_positive_rate"))
+
+
+def calibration(df: DataFrame, label: str, probability: str, bins: int = 10) -> DataFrame:
+    """Mean probability and observed rate of equal-width bins of the probability."""
+    b = F.least(F.floor(F.col(probability) * bins), F.lit(bins - 1)).cast("int")
+    return df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(probability).alias("mean_probability"), F.avg(F.col(label).cast("double")).alias("observed"))
+
+
+def forecast_report(df: DataFrame, by: Sequence[str], order: str, actual: str, predicted: str) -> DataFrame:
+    """MAPE, sMAPE and MASE (against the value before) per series."""
+    a, p = F.col(actual), F.col(predicted)
+    naive = F.abs(a - F.lag(actual).over(Window.partitionBy(*by).orderBy(order)))
+    return df.withColumn("__naive", naive).groupBy(*by).agg(
+        F.avg(F.abs(a - p) / F.nullif(F.abs(a), F.lit(0.0))).alias("mape"),
+        F.avg(2 * F.abs(a - p) / F.nullif(F.abs(a) + F.abs(p), F.lit(0.0))).alias("smape"),
+        (F.avg(F.abs(a - p)) / F.nullif(F.avg("__naive"), F.lit(0.0))).alias("mase"),
+    )
+
+
+def tf_idf(docs: DataFrame, ids: str, tokens: str) -> DataFrame:
+    """(id, term, weight): term count times ln((1 + n) / (1 + df)) + 1, for arrays of tokens."""
+    n = docs.count()
+    counts = docs.select(ids, F.explode(tokens).alias("term")).groupBy(ids, "term").agg(F.count(F.lit(1)).alias("tf"))
+    idf = counts.groupBy("term").agg((F.log((1 + n) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
+    return counts.join(idf, "term").select(ids, "term", (F.col("tf") * F.col("idf")).alias("weight"))
