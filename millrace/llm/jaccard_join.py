@@ -392,8 +392,8 @@ def verified(docs: DataFrame, text: str, sets: DataFrame, groups: DataFrame) ->
     fields = [("key", "binary"), ("shingles", "binary"), ("asked", "boolean")]
     whole = ta.with_text_columns(docs, text, fields, shingles, keep=[], mask="asked")
     wanted = groups.select(F.col("node").alias("key"), "component").join(sets.select("key", "copies", "size").hint("merge"), "key")
-    sizes = stored(wanted.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / LEAF), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks")))
-    wanted = join_groups(wanted, sizes, ["component"], 48, "inner").select("key", "component", "copies", "blocks")
+    sizes = wanted.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / LEAF), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
+    wanted = wanted.join(sizes.hint("merge"), "component").select("key", "component", "copies", "blocks")
     one_each = whole.groupBy("key").agg(F.first("shingles").alias("shingles"))
     rows = _blocked(one_each.join(wanted.hint("merge"), "key"), "component", "blocks")
     return _grouped(rows.select("block", "side", "key", "copies", "shingles"), "block", _verify, "key binary, links long, other binary")
@@ -414,9 +414,9 @@ def similarity_classes(docs: DataFrame, text: str, ids: str, recall: float) -> t
         .join(links, "key", "left")
         .select("key", F.coalesce("component", "key").alias("component"), "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    linked = stored(joined.where("n_links > 0"))
-    heads = stored(linked.groupBy("component").agg(F.min("least").alias("class_id")))
-    return light.select("id", "key"), stored(join_groups(linked, heads, ["component"], 96).select("key", "class_id", "n_links"))
+    linked = joined.where("n_links > 0")
+    heads = linked.groupBy("component").agg(F.min("least").alias("class_id"))
+    return light.select("id", "key"), stored(linked.join(heads.hint("merge"), "component").select("key", "class_id", "n_links"))
 
 
 def jaccard_join(docs: DataFrame, text: str = "text", ids: str = "doc_id", recall: float = 0.9999) -> DataFrame:
@@ -447,10 +447,10 @@ def one_of_each(docs: DataFrame, text: str = "text", ids: str = "doc_id", recall
     light, results = similarity_classes(docs, text, ids, recall)
     several = join_groups(light.where("key IS NOT NULL"), results, ["key"], 96, "inner")
     first = several.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("key").alias("key"))).alias("first"))
-    winners = stored(first.select("first.id", "first.key", F.lit(True).alias("wins")))
+    winners = first.select("first.id", "first.key", F.lit(True).alias("wins"))
     same = [several["id"].eqNullSafe(winners["id"]), several["key"] == winners["key"]]
     flags = several.select("id", "key").distinct().join(winners, same, "left")
-    flags = stored(flags.select(several["id"].alias("__flag_id"), several["key"].alias("__flag_key"), F.coalesce("wins", F.lit(False)).alias("__wins")))
+    flags = flags.select(several["id"].alias("__flag_id"), several["key"].alias("__flag_key"), F.coalesce("wins", F.lit(False)).alias("__wins"))
     names = [F.col(f"`{c}`") for c in docs.columns]
     keyed = ta.with_text_columns(docs.withColumn("__id", F.col(ids)), text, [("__key", "binary")], _keys_only)
     # Texts without a link stay; of the linked ones each winner stays once.
