@@ -35,7 +35,7 @@ def adverse_counts(spark, d):
 
 def emergent(spark, d):
     e = table(spark, d, "events")
-    out = C.treatment_emergent(e.where("event_type = 'error'").select("event_id", "user_id", "ts"), e.where("event_type = 'signup' AND event_id % 5 = 0"), "user_id", "ts", "ts")
+    out = C.treatment_emergent(e.where("event_type = 'error'").select("event_id", "user_id", "ts"), e.where("event_type = 'signup' AND value > 40"), "user_id", "ts", "ts")
     return out.select("event_id", "is_emergent")
 
 
@@ -69,8 +69,8 @@ def gaps(spark, d):
 
 
 def corrosion(spark, d):
-    a = sql(spark, d, "SELECT o_custkey AS f, avg(o_totalprice) AS depth FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey", "orders")
-    b = sql(spark, d, "SELECT o_custkey AS f, avg(o_totalprice) AS depth FROM orders WHERE o_orderkey % 2 = 1 GROUP BY o_custkey", "orders")
+    a = sql(spark, d, "SELECT o_custkey AS f, avg(o_totalprice) AS depth FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey", "orders")
+    b = sql(spark, d, "SELECT o_custkey AS f, avg(o_totalprice) AS depth FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey", "orders")
     rates = P.corrosion_rates(a, b, "f", "depth", 2.5)
     return rates.select("f", F.round("rate", 4).alias("rate"), F.round(P.inspection_risk(F.col("rate"), F.lit(3.0), 50_000.0), 6).alias("risk"))
 
@@ -92,8 +92,8 @@ def coverage(spark, d):
 
 
 def path(spark, d):
-    survey = sql(spark, d, "SELECT user_id AS well, event_id AS md, CAST(event_id % 90 AS DOUBLE) AS inc, CAST(event_id % 360 AS DOUBLE) AS azi FROM events WHERE user_id < 40", "events")
-    return P.well_path(survey, ["well"], "md", "inc", "azi").select("md", *[F.round(c, 3).alias(c) for c in ("north", "east", "tvd")])
+    survey = sql(spark, d, "SELECT user_id AS well, event_id AS md, CAST(event_id % 90 AS DOUBLE) AS inc, CAST(event_id % 360 AS DOUBLE) AS azi FROM events", "events")
+    return P.well_path(survey, ["well"], "md", "inc", "azi").select("md", *[(F.round(c, 2) + 0.0).alias(c) for c in ("north", "east", "tvd")])
 
 
 def ranking(spark, d):
@@ -138,23 +138,23 @@ QUERIES = {
     "pseudonyms": (pseudonyms, "SELECT c_custkey, sha256('salt|' || c_name)[1:16] AS alias FROM customer"),
     "unit_conversion": (units, "SELECT event_id, 'std' AS event_type, round(value * CASE event_type WHEN 'view' THEN 2.0 WHEN 'click' THEN 0.5 ELSE 1.0 END, 6) AS value FROM events"),
     "adverse_event_counts": (adverse_counts, "SELECT user_id, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'signup') AS signup FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1"),
-    "treatment_emergent": (emergent, "SELECT event_id, coalesce(ts >= (SELECT min(ts) FROM events x WHERE x.user_id = e.user_id AND event_type = 'signup' AND event_id % 5 = 0), false) AS is_emergent FROM events e WHERE event_type = 'error'"),
+    "treatment_emergent": (emergent, "SELECT event_id, coalesce(ts >= (SELECT min(ts) FROM events x WHERE x.user_id = e.user_id AND event_type = 'signup' AND value > 40), false) AS is_emergent FROM events e WHERE event_type = 'error'"),
     "trial_risk": (arms, "SELECT o_custkey % 2 AS arm, count(*) AS n, round(avg((o_orderstatus = 'F')::INT), 8) AS risk FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1"),
     "heart_rate_variability": (variability, f"WITH r AS (SELECT user_id, value * 20 + 500 AS rr, value * 20 + 500 - lag(value * 20 + 500) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM events) SELECT user_id, {_ROUND5({'sdnn': 'stddev_samp(rr)', 'rmssd': 'sqrt(avg(d * d))', 'pnn50': 'avg((abs(d) > 50)::INT)', 'rate': '60000 / avg(rr)'})} FROM r GROUP BY 1"),
     "time_in_range": (glucose, f"SELECT user_id, {_ROUND5({'mean': 'avg(value)', 'std': 'stddev_samp(value)', 'in_range': '100 * avg((value BETWEEN 5 AND 30)::INT)', 'below': '100 * avg((value < 5)::INT)', 'above': '100 * avg((value > 30)::INT)'})} FROM events GROUP BY 1"),
     "code_rollup": (categories, r"SELECT p_partkey, upper(p_name[1]) || lpad(CAST(p_size AS VARCHAR), 2, '0') AS category, regexp_matches(upper(p_name[1]) || lpad(CAST(p_size AS VARCHAR), 2, '0') || '.1', '^[A-TV-Z][0-9][0-9AB]\.?[0-9A-TV-Z]{0,4}$') AS valid FROM part"),
     "decline_forecast": (forecasts, "WITH w AS (SELECT s_suppkey AS well, s_acctbal + 10000 AS q, 0.1::DOUBLE + s_suppkey % 7 * 0.1::DOUBLE AS d, s_suppkey % 3 * 0.5::DOUBLE AS b FROM supplier) SELECT well, CAST(m AS INTEGER) AS month, round(CASE WHEN b = 0 THEN q * exp(-d * m / 12) ELSE q / pow(1 + b * d * m / 12, 1 / b) END, 4) AS rate FROM w, range(1, 25) r(m)"),
     "downtime_gaps": (gaps, "WITH g AS (SELECT user_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS s, ts FROM events) SELECT user_id, epoch_us(s) AS start, round((epoch_us(ts) - epoch_us(s)) / 3.6e9, 6) AS hours FROM g WHERE (epoch_us(ts) - epoch_us(s)) / 3.6e9 > 36"),
-    "corrosion_risk": (corrosion, "WITH a AS (SELECT o_custkey AS f, avg(o_totalprice) AS x FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey AS f, avg(o_totalprice) AS x FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1) SELECT f, round((b.x - a.x) / 2.5, 4) AS rate, round(least((b.x - a.x) / 2.5 / 50000, 1) * 3, 6) AS risk FROM a JOIN b USING (f)"),
+    "corrosion_risk": (corrosion, "WITH a AS (SELECT o_custkey AS f, avg(o_totalprice) AS x FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS f, avg(o_totalprice) AS x FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1) SELECT f, round((b.x - a.x) / 2.5, 4) AS rate, round(least((b.x - a.x) / 2.5 / 50000, 1) * 3, 6) AS risk FROM a JOIN b USING (f)"),
     "emissions": (emitted, "SELECT event_type, round(sum(value * CASE event_type WHEN 'view' THEN 2.0 WHEN 'error' THEN 25.0 ELSE 1.0 END * 0.0192), 4) AS co2e, count(*) AS events FROM events GROUP BY 1"),
     "well_logs": (logs, f"SELECT event_id, round({_I}, 6) AS linear, round(0.33 * (pow(2.0, 2 * {_I}) - 1), 6) AS larionov_older, round(0.083 * (pow(2.0, 3.7 * {_I}) - 1), 6) AS larionov_tertiary, round(1.7 - sqrt(3.38 - pow({_I} + 0.7, 2)), 6) AS clavier, round({_I} / (3 - 2 * {_I}), 6) AS steiber, round((2.65 - (2.0 + value / 200)) / 1.65, 6) AS porosity, round(least(1.0, sqrt(0.1 / (pow(greatest((2.65 - (2.0 + value / 200)) / 1.65, 0.05), 2) * (value + 1)))), 6) AS saturation FROM events"),
     "protection_coverage": (coverage, "SELECT user_id, round(avg((value < 10)::INT), 8) AS coverage FROM events GROUP BY 1"),
     "well_path": (
         path,
-        """WITH s AS (SELECT user_id AS well, event_id AS md, radians((event_id % 90)::DOUBLE) AS i, radians((event_id % 360)::DOUBLE) AS a FROM events WHERE user_id < 40),
+        """WITH s AS (SELECT user_id AS well, event_id AS md, radians((event_id % 90)::DOUBLE) AS i, radians((event_id % 360)::DOUBLE) AS a FROM events),
 p AS (SELECT *, lag(i) OVER w AS i0, lag(a) OVER w AS a0, md - lag(md) OVER w AS l FROM s WINDOW w AS (PARTITION BY well ORDER BY md)), b AS (SELECT *, acos(greatest(-1.0, least(1.0, cos(i - i0) - sin(i0) * sin(i) * (1 - cos(a - a0))))) AS b FROM p),
 f AS (SELECT *, CASE WHEN b < 1e-9 THEN 1.0 ELSE 2 / b * tan(b / 2) END * l / 2 AS f FROM b)
-SELECT md, round(coalesce(sum(f * (sin(i0) * cos(a0) + sin(i) * cos(a))) OVER w, 0), 3) AS north, round(coalesce(sum(f * (sin(i0) * sin(a0) + sin(i) * sin(a))) OVER w, 0), 3) AS east, round(coalesce(sum(f * (cos(i0) + cos(i))) OVER w, 0), 3) AS tvd FROM f WINDOW w AS (PARTITION BY well ORDER BY md)""",
+SELECT md, round(coalesce(sum(f * (sin(i0) * cos(a0) + sin(i) * cos(a))) OVER w, 0), 2) + 0.0 AS north, round(coalesce(sum(f * (sin(i0) * sin(a0) + sin(i) * sin(a))) OVER w, 0), 2) + 0.0 AS east, round(coalesce(sum(f * (cos(i0) + cos(i))) OVER w, 0), 2) + 0.0 AS tvd FROM f WINDOW w AS (PARTITION BY well ORDER BY md)""",
     ),
     "ranking_report": (
         ranking,

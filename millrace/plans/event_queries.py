@@ -14,7 +14,7 @@ def sessions(spark, d):
 
 
 def funnel(spark, d):
-    return S.funnel(table(spark, d, "events").where("event_id % 7 < 2"), "user_id", "event_type", ["view", "click", "signup"]).withColumn("conversion", F.round("conversion", 8))
+    return S.funnel(table(spark, d, "events").where("value > 15"), "user_id", "event_type", ["view", "click", "signup"]).withColumn("conversion", F.round("conversion", 8))
 
 
 def cohorts(spark, d):
@@ -55,7 +55,7 @@ SELECT event_id, user_id, CAST(user_id AS VARCHAR) || '_' || CAST(k AS VARCHAR)
     ),
     "funnel": (
         funnel,
-        """WITH u AS (SELECT user_id, max(event_type = 'view') AS a, max(event_type = 'click') AS b, max(event_type = 'signup') AS c FROM events WHERE event_id % 7 < 2 GROUP BY 1),
+        """WITH u AS (SELECT user_id, max(event_type = 'view') AS a, max(event_type = 'click') AS b, max(event_type = 'signup') AS c FROM events WHERE value > 15 GROUP BY 1),
 n AS (SELECT count(*) FILTER (a) AS x, count(*) FILTER (a AND b) AS y, count(*) FILTER (a AND b AND c) AS z FROM u)
 SELECT 1::BIGINT AS step, 'view' AS event, x AS users, NULL::DOUBLE AS conversion FROM n UNION ALL
 SELECT 2, 'click', y, round(y / nullif(x, 0), 8) FROM n UNION ALL SELECT 3, 'signup', z, round(z / nullif(y, 0), 8) FROM n""",

@@ -45,15 +45,15 @@ FROM e GROUP BY event_type"""
 
 def _joined(how):
     def run(spark, d):
-        left = sql(spark, d, "SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_custkey % 3 = 0", "customer")
-        right = sql(spark, d, "SELECT o_custkey AS k, CAST(count(*) AS STRING) AS name FROM orders WHERE o_custkey % 2 = 0 GROUP BY o_custkey", "orders")
+        left = sql(spark, d, "SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_mktsegment <> 'BUILDING'", "customer")
+        right = sql(spark, d, "SELECT o_custkey AS k, CAST(count(*) AS STRING) AS name FROM orders WHERE o_totalprice > 450000 GROUP BY o_custkey", "orders")
         return R.join(left, right, ["k"], how)
 
     return run
 
 
-_L = "(SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_custkey % 3 = 0) l"
-_R = "(SELECT o_custkey AS k, CAST(count(*) AS STRING) AS name FROM orders WHERE o_custkey % 2 = 0 GROUP BY o_custkey) r"
+_L = "(SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_mktsegment <> 'BUILDING') l"
+_R = "(SELECT o_custkey AS k, CAST(count(*) AS STRING) AS name FROM orders WHERE o_totalprice > 450000 GROUP BY o_custkey) r"
 _BOTH = "coalesce(l.k, r.k) AS k, l.name AS name, r.name AS name_right"
 
 
@@ -63,7 +63,7 @@ def theta_join(spark, d):
 
 
 def null_equal_join(spark, d):
-    left = sql(spark, d, "SELECT c_custkey AS id, nullif(c_nationkey, 3) AS k FROM customer WHERE c_custkey < 200", "customer")
+    left = sql(spark, d, "SELECT c_custkey AS id, nullif(c_nationkey, 3) AS k FROM customer", "customer")
     right = sql(spark, d, "SELECT nullif(n_nationkey, 3) AS k, n_name FROM nation", "nation")
     return R.join(left, right, ["k"], "left", null_equal=True).withColumn("k", F.col("k").cast("string"))
 
@@ -99,7 +99,7 @@ def pivot_status(spark, d):
 
 
 def unpivot_prices(spark, d):
-    return R.unpivot(table(spark, d, "lineitem").where("l_orderkey < 500"), ["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"], "measure", "rate")
+    return R.unpivot(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"], "measure", "rate")
 
 
 def order_rank(spark, d):
@@ -126,7 +126,7 @@ def rollup_orders(spark, d):
 
 def set_operations(spark, d):
     a = sql(spark, d, "SELECT DISTINCT o_custkey AS k FROM orders", "orders")
-    b = sql(spark, d, "SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0", "customer")
+    b = sql(spark, d, "SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING'", "customer")
     one = lambda df, n: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("op"), "n")
     return one(a.union(b), "union_all").union(one(a.union(b).distinct(), "union")).union(one(a.intersect(b), "intersect")).union(one(a.subtract(b), "except"))
 
@@ -166,14 +166,14 @@ WHERE l_shipdate >= DATE '1995-01-01' GROUP BY r_name""",
     "join_right_semi": (_joined("right_semi"), f"SELECT r.k, r.name FROM {_R} SEMI JOIN {_L} ON l.k = r.k"),
     "join_right_anti": (_joined("right_anti"), f"SELECT r.k, r.name FROM {_R} ANTI JOIN {_L} ON l.k = r.k"),
     "join_theta": (theta_join, "SELECT s_suppkey, p_partkey FROM supplier JOIN part ON s_acctbal > p_retailprice * 5 AND s_nationkey = p_size"),
-    "join_null_equal": (null_equal_join, "SELECT CAST(l.k AS VARCHAR) AS k, l.id, r.n_name FROM (SELECT c_custkey AS id, nullif(c_nationkey, 3) AS k FROM customer WHERE c_custkey < 200) l LEFT JOIN (SELECT nullif(n_nationkey, 3) AS k, n_name FROM nation) r ON l.k IS NOT DISTINCT FROM r.k"),
+    "join_null_equal": (null_equal_join, "SELECT CAST(l.k AS VARCHAR) AS k, l.id, r.n_name FROM (SELECT c_custkey AS id, nullif(c_nationkey, 3) AS k FROM customer) l LEFT JOIN (SELECT nullif(n_nationkey, 3) AS k, n_name FROM nation) r ON l.k IS NOT DISTINCT FROM r.k"),
     "lookup_first_match": (lookup_first, "SELECT c_custkey, (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_orderdate, o_orderkey LIMIT 1) AS o_orderkey FROM customer"),
     "range_lookup": (price_bands, "SELECT band, count(*) AS n FROM orders LEFT JOIN (VALUES (0.0, 100000.0, 'low'), (100000.0, 300000.0, 'middle'), (300000.0, 2e6, 'high')) b(lo, hi, band) ON o_totalprice BETWEEN lo AND hi GROUP BY band"),
     "prefix_lookup": (name_prefixes, "SELECT p_partkey, code FROM part LEFT JOIN (VALUES ('small', 'S'), ('red', 'R'), ('re', 'E')) b(p, code) ON starts_with(p_name, p)"),
     "deduplicate_first": (dedup_first, "SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1"),
     "normalize_text": (normalized_parts, "SELECT p_partkey, lower(p_name) || ' x-' || lower(p_brand) AS a, CASE WHEN p_size % 5 = 0 THEN NULL ELSE upper(p_type[1]) || lower(p_type[2:]) END AS b FROM part"),
     "pivot_status": (pivot_status, "SELECT o_orderpriority, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS \"F\", nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS \"O\", nullif(count(*) FILTER (o_orderstatus = 'P'), 0) AS \"P\" FROM orders GROUP BY 1"),
-    "unpivot_rates": (unpivot_prices, "SELECT l_orderkey, l_linenumber, 'l_discount' AS measure, l_discount AS rate FROM lineitem WHERE l_orderkey < 500 UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem WHERE l_orderkey < 500"),
+    "unpivot_rates": (unpivot_prices, "SELECT l_orderkey, l_linenumber, 'l_discount' AS measure, l_discount AS rate FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem"),
     "window_rank": (order_rank, "SELECT o_orderkey, o_custkey, o_totalprice, CAST(rank() OVER w AS INTEGER) AS rank, lag(o_totalprice) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)"),
     "top_k_by_group": (top_orders, "SELECT o_orderkey, o_custkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2"),
     "top_k": (top_overall, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20"),
@@ -181,7 +181,7 @@ WHERE l_shipdate >= DATE '1995-01-01' GROUP BY r_name""",
     "rollup": (rollup_orders, "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)"),
     "set_operations": (
         set_operations,
-        """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0)
+        """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING')
 SELECT 'union_all' AS op, (SELECT count(*) FROM (SELECT k FROM a UNION ALL SELECT k FROM b)) AS n UNION ALL
 SELECT 'union', (SELECT count(*) FROM (SELECT k FROM a UNION SELECT k FROM b)) UNION ALL
 SELECT 'intersect', (SELECT count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b)) UNION ALL

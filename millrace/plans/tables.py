@@ -9,10 +9,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-OLD = "SELECT c_custkey AS id, c_mktsegment AS segment, c_nationkey AS nation FROM customer WHERE c_custkey % 7 <> 0"
-NEW = "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'MOVED' ELSE c_mktsegment END AS segment, c_nationkey AS nation FROM customer WHERE c_custkey % 11 <> 0"
+OLD = "SELECT c_custkey AS id, c_mktsegment AS segment, c_nationkey AS nation FROM customer WHERE c_nationkey <> 7"
+NEW = "SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'MOVED' ELSE c_mktsegment END AS segment, c_nationkey AS nation FROM customer WHERE c_nationkey <> 11"
 HISTORY = f"""SELECT id, segment, nation, DATE '2020-01-01' AS valid_from, CAST(NULL AS DATE) AS valid_to, true AS is_current FROM ({OLD}) o
-UNION ALL SELECT id, 'OLD', nation, DATE '2019-01-01', DATE '2020-01-01', false FROM ({OLD}) o WHERE id % 13 = 0"""
+UNION ALL SELECT id, 'OLD', nation, DATE '2019-01-01', DATE '2020-01-01', false FROM ({OLD}) o WHERE nation = 13"""
 LOADED = "2024-01-01"
 
 

@@ -60,9 +60,9 @@ def screened(spark, d):
 
 
 def chunk_changes(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    now = X.fixed_chunks(docs.where("doc_id % 5 <> 0"), "text", 1000)
-    old = X.fixed_chunks(docs.where("doc_id % 3 <> 0"), "text", 1000).select("doc_id", F.sha2("chunk", 256).alias("digest"))
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    now = X.fixed_chunks(docs.where("lang <> 'de'"), "text", 1000)
+    old = X.fixed_chunks(docs.where("lang <> 'es'"), "text", 1000).select("doc_id", F.sha2("chunk", 256).alias("digest"))
     return X.new_chunks(now, old, "doc_id", "chunk")
 
 
@@ -77,20 +77,20 @@ def fuzzy_jaro(spark, d):
 
 
 def linked(spark, d):
-    a = sql(spark, d, "SELECT c_custkey AS id, c_nationkey AS nation, c_mktsegment AS segment FROM customer WHERE c_custkey < 60", "customer")
-    b = sql(spark, d, "SELECT c_custkey AS id, c_nationkey AS nation, nullif(c_mktsegment, 'BUILDING') AS segment FROM customer WHERE c_custkey BETWEEN 100 AND 160", "customer")
-    out = K.link(a, b, [K.Field("nation", 0.9, 0.1), K.Field("segment", 0.8, 0.2)], ("id", "id"), 4.0, 0.0)
+    a = sql(spark, d, "SELECT s_suppkey AS id, s_nationkey AS nation, floor(s_acctbal / 1000) AS band FROM supplier", "supplier")
+    b = sql(spark, d, "SELECT c_custkey AS id, c_nationkey AS nation, nullif(floor(c_acctbal / 1000), 3) AS band FROM customer", "customer")
+    out = K.link(a, b, [K.Field("nation", 0.9, 0.1), K.Field("band", 0.8, 0.2)], ("id", "id"), 4.0, 0.0)
     return out.withColumn("score", F.round("score", 6))
 
 
 def walk(spark, d):
-    edges = table(spark, d, "lineitem").where("l_orderkey < 3000").select(F.col("l_orderkey").alias("a"), (F.col("l_suppkey") + 1_000_000).alias("b"))
+    edges = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_suppkey") + 1_000_000).alias("b"))
     start = spark.createDataFrame([(1_000_003,)], "id long")
     return K.breadth_first(edges, start, 3, undirected=True).groupBy("distance").agg(F.count(F.lit(1)).alias("n"))
 
 
 def components(spark, d):
-    e = table(spark, d, "lineitem").where("l_orderkey % 40 = 1").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 1_000_000).alias("b"))
+    e = table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), (F.col("o_custkey") + 1_000_000_000).alias("b"))
     v = e.select(F.col("a").alias("id")).union(e.select("b")).distinct()
     return K.connected(e, v).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
@@ -114,8 +114,8 @@ def allocated(spark, d):
 
 
 def matched(spark, d):
-    left = sql(spark, d, "SELECT event_id, user_id % 5 AS g, value FROM events WHERE event_id % 10 = 0", "events")
-    right = sql(spark, d, "SELECT user_id % 5 AS g, value AS place, event_id AS other FROM events WHERE event_id % 10 = 5", "events")
+    left = sql(spark, d, "SELECT event_id, user_id % 5 AS g, value FROM events WHERE event_type = 'view'", "events")
+    right = sql(spark, d, "SELECT user_id % 5 AS g, value AS place, event_id AS other FROM events WHERE event_type = 'click'", "events")
     out = D.nearest_match(left, right, ["g"], "value", "place", 0.05, "event_id", ["other"])
     return out.where("distance IS NOT NULL").select("event_id", F.round("distance", 6).alias("distance"), "matched_at")
 
@@ -145,7 +145,7 @@ def signal_spectra(spark, d):
     return v.select("vec_id", F.size(D.spectrum("x")).alias("bins"), F.round(F.array_max(D.median_filter("x", 3)), 5).alias("peak"), F.size(D.power_density("x", 64.0, 32)).alias("density_bins"), F.size(D.fir_filter("x", D.low_pass_taps(8.0, 64.0, 9))).alias("filtered"), F.size(D.resample_linear("x", 64.0, 16.0)).alias("resampled"))
 
 
-_CHUNK = "SELECT doc_id, sha256(text[s + 1:s + 1000]) AS digest FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(greatest(length(text) - 1000, 0) / 1000) AS BIGINT) + 1)) * 1000 AS s FROM documents WHERE length(text) > 0 AND doc_id % {0} <> 0)"
+_CHUNK = "SELECT doc_id, sha256(text[s + 1:s + 1000]) AS digest FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(greatest(length(text) - 1000, 0) / 1000) AS BIGINT) + 1)) * 1000 AS s FROM documents WHERE length(text) > 0 AND {0})"
 _TOK = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 _NAMES = "SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1"
 
@@ -168,7 +168,7 @@ SELECT query_id, count(*) AS n, round(max(score), 4) AS best, round(sum(score),
     "html_to_text": (page_texts, None),
     "prune_conversation": (pruned, "WITH c AS (SELECT *, role = 'system' AS f FROM conversations), s AS (SELECT *, coalesce(sum(length(text)) FILTER (f) OVER (PARTITION BY conv_id), 0) AS used, sum(CASE WHEN f THEN 0 ELSE length(text) END) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM c) SELECT conv_id, turn FROM s WHERE f OR used + back <= 1500"),
     "injection_screen": (screened, "SELECT conv_id, turn, CASE WHEN turn = 1 THEN 0.6 ELSE 0.0 END::DOUBLE AS score FROM conversations"),
-    "chunk_changes": (chunk_changes, f"WITH n AS (SELECT DISTINCT * FROM ({_CHUNK.format(5)})), o AS (SELECT DISTINCT * FROM ({_CHUNK.format(3)})) SELECT *, 'add' AS change FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT *, 'remove' FROM (SELECT * FROM o EXCEPT SELECT * FROM n)"),
+    "chunk_changes": (chunk_changes, f"WITH n AS (SELECT DISTINCT * FROM ({_CHUNK.format("lang <> 'de'")})), o AS (SELECT DISTINCT * FROM ({_CHUNK.format("lang <> 'es'")})) SELECT *, 'add' AS change FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT *, 'remove' FROM (SELECT * FROM o EXCEPT SELECT * FROM n)"),
     "fuzzy_deduplicate": (
         fuzzy,
         f"""WITH RECURSIVE n AS ({_NAMES}), e AS (SELECT x.id AS a, y.id AS b FROM n x JOIN n y ON x.p_name[1:2] = y.p_name[1:2] AND x.id <> y.id AND 1 - levenshtein(x.p_name, y.p_name) / greatest(length(x.p_name), length(y.p_name)) >= 0.6),
@@ -177,19 +177,19 @@ r AS (SELECT id, id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON r.id = e.
     "fuzzy_pairs_jaro_winkler": (fuzzy_jaro, None),
     "probabilistic_link": (
         linked,
-        """WITH p AS (SELECT l.c_custkey AS left_id, r.c_custkey AS right_id, l.c_nationkey = r.c_nationkey AS n, coalesce(l.c_mktsegment = nullif(r.c_mktsegment, 'BUILDING'), false) AS s FROM customer l, customer r WHERE l.c_custkey < 60 AND r.c_custkey BETWEEN 100 AND 160),
+        """WITH p AS (SELECT s_suppkey AS left_id, c_custkey AS right_id, s_nationkey = c_nationkey AS n, coalesce(floor(s_acctbal / 1000) = nullif(floor(c_acctbal / 1000), 3), false) AS s FROM supplier, customer),
 w AS (SELECT *, CASE WHEN n THEN log2(9.0) ELSE log2(0.1 / 0.9) END + CASE WHEN s THEN log2(4.0) ELSE log2(0.25) END AS x FROM p WHERE n OR s) SELECT left_id, right_id, round(x, 6) AS score, CASE WHEN x >= 4 THEN 'match' WHEN x >= 0 THEN 'review' ELSE 'non_match' END AS status FROM w""",
     ),
     "graph_breadth_first": (
         walk,
-        """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_suppkey + 1000000 AS b FROM lineitem WHERE l_orderkey < 3000), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_suppkey + 1000000 AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT 1000003::BIGINT AS id, 0 AS d UNION SELECT u.b, r.d + 1 FROM r JOIN u ON r.id = u.a WHERE r.d < 3) SELECT CAST(d AS INTEGER) AS distance, count(*) AS n FROM (SELECT id, min(d) AS d FROM r GROUP BY id) GROUP BY d""",
     ),
-    "graph_components": (components, None),
+    "graph_components": (components, "SELECT min(o_orderkey) AS component, count(*) + 1 AS n FROM orders GROUP BY o_custkey"),
     "survival_curve": (survival, f"WITH l AS ({_LIFE}), r AS (SELECT *, count(*) OVER (PARTITION BY arm) - row_number() OVER (PARTITION BY arm ORDER BY days, user_id) + 1 AS at_risk FROM l) SELECT user_id, at_risk, round(product(1 - died::INT / at_risk) OVER (PARTITION BY arm ORDER BY days, user_id), 8) AS survival FROM r"),
     "decline_rate": (declines, "WITH r AS (SELECT user_id, ln(value + 0.5) AS y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events WHERE event_type <> 'error') SELECT user_id, round(-regr_slope(y, i), 6) AS decline, count(*) AS n FROM r GROUP BY 1"),
     "allocate": (allocated, "SELECT l_orderkey, l_linenumber, CAST(floor(o_totalprice * l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey) * 100 + 0.3) AS BIGINT) AS cents FROM lineitem JOIN orders ON l_orderkey = o_orderkey"),
-    "nearest_match": (matched, "WITH l AS (SELECT event_id, user_id % 5 AS g, value FROM events WHERE event_id % 10 = 0), r AS (SELECT user_id % 5 AS g, value AS place FROM events WHERE event_id % 10 = 5) SELECT event_id, round(min(abs(value - place)), 6) AS distance, arg_min(place, (abs(value - place), place)) AS matched_at FROM l JOIN r USING (g) WHERE abs(value - place) <= 0.05 GROUP BY event_id"),
+    "nearest_match": (matched, "WITH l AS (SELECT event_id, user_id % 5 AS g, value FROM events WHERE event_type = 'view'), r AS (SELECT user_id % 5 AS g, value AS place FROM events WHERE event_type = 'click') SELECT event_id, round(min(abs(value - place)), 6) AS distance, arg_min(place, (abs(value - place), place)) AS matched_at FROM l JOIN r USING (g) WHERE abs(value - place) <= 0.05 GROUP BY event_id"),
     "despike": (despiked, "WITH m AS (SELECT event_id, value, list(value) OVER w AS a, median(value) OVER w AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)), o AS (SELECT *, list_median(list_transform(a, lambda x: abs(x - m))) AS o FROM m) SELECT event_id, round(m, 6) AS median, o > 0 AND abs(value - m) > 3 * 1.4826 * o AS is_spike FROM o"),
     "cumulative": (running_total, "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id), 4) AS cumulative FROM events"),
     "map_codes": (mapped, "SELECT event_id, event_type, CASE event_type WHEN 'view' THEN 'V' WHEN 'click' THEN 'C' ELSE '' END AS short FROM events"),

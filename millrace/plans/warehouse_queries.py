@@ -19,7 +19,7 @@ def upsert_counts(spark, d):
 
 
 def sync(spark, d):
-    target = old_customers(spark, d).selectExpr("*", "id % 3 = 0 AS is_deleted", "CASE WHEN id % 3 = 0 THEN DATE '2022-01-01' END AS deleted_at")
+    target = old_customers(spark, d).selectExpr("*", "nation < 8 AS is_deleted", "CASE WHEN nation < 8 THEN DATE '2022-01-01' END AS deleted_at")
     return as_text(W.delete_safe_sync(target, new_customers(spark, d), ["id"], _ALL, day()), "deleted_at")
 
 
@@ -58,13 +58,13 @@ def digest_snapshot(spark, d):
 
 
 def hub(spark, d):
-    known = sql(spark, d, "SELECT md5(CAST(c_custkey AS STRING)) AS hk, c_custkey, DATE '2020-01-01' AS load_date, 'old' AS record_source FROM customer WHERE c_custkey % 2 = 0", "customer")
+    known = sql(spark, d, "SELECT md5(CAST(c_custkey AS STRING)) AS hk, c_custkey, DATE '2020-01-01' AS load_date, 'old' AS record_source FROM customer WHERE c_mktsegment = 'BUILDING'", "customer")
     source = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
     return as_text(W.load_hub(known, source, ["c_custkey"], day(), "orders"), "load_date")
 
 
 def link_rows(spark, d):
-    known = sql(spark, d, "SELECT md5(concat_ws('|', md5(CAST(o_custkey AS STRING)), md5(CAST(o_orderkey AS STRING)))) AS link_hk, md5(CAST(o_custkey AS STRING)) AS customer_hk, md5(CAST(o_orderkey AS STRING)) AS order_hk, DATE '2020-01-01' AS load_date, 'old' AS record_source FROM orders WHERE o_orderkey % 3 = 0", "orders")
+    known = sql(spark, d, "SELECT md5(concat_ws('|', md5(CAST(o_custkey AS STRING)), md5(CAST(o_orderkey AS STRING)))) AS link_hk, md5(CAST(o_custkey AS STRING)) AS customer_hk, md5(CAST(o_orderkey AS STRING)) AS order_hk, DATE '2020-01-01' AS load_date, 'old' AS record_source FROM orders WHERE o_orderstatus = 'F'", "orders")
     return as_text(W.load_link(known, table(spark, d, "orders"), {"customer_hk": ["o_custkey"], "order_hk": ["o_orderkey"]}, day(), "orders"), "load_date")
 
 
@@ -85,7 +85,7 @@ def point_in_time(spark, d):
 
 def vault_bridge(spark, d):
     link = table(spark, d, "orders").select(F.md5(F.col("o_orderkey").cast("string")).alias("link_hk"), F.md5(F.col("o_custkey").cast("string")).alias("customer_hk"))
-    hub = table(spark, d, "customer").select(F.md5(F.col("c_custkey").cast("string")).alias("hk"), "c_name").where("c_custkey % 2 = 0")
+    hub = table(spark, d, "customer").select(F.md5(F.col("c_custkey").cast("string")).alias("hk"), "c_name", "c_mktsegment").where("c_mktsegment = 'BUILDING'")
     return W.vault_bridge(link, {"customer_hk": (hub, ["c_name"])})
 
 
@@ -109,7 +109,7 @@ def facts(spark, d):
 
 def increment(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    return W.newer_than(o, o.where("o_orderkey % 50 = 0 AND o_orderdate < '1999-06-01'"), "o_orderdate").select("o_orderkey")
+    return W.newer_than(o, o.where("o_orderdate < '1999-06-01'"), "o_orderdate").select("o_orderkey")
 
 
 def silver_layer(spark, d):
@@ -118,11 +118,11 @@ def silver_layer(spark, d):
     return W.silver(bronze, {"id": "bigint", "balance": "double"}, "balance IS NOT NULL AND balance > 0", ["part"], ["id"])
 
 
-_CHANGES = """SELECT o_orderkey AS offset, o_custkey % 500 AS id, CASE WHEN o_orderkey % 10 = 0 THEN 'd' WHEN o_orderkey % 3 = 0 THEN 'u' ELSE 'c' END AS op, CAST(o_totalprice AS BIGINT) AS amount FROM orders"""
+_CHANGES = """SELECT o_orderkey AS offset, o_custkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN 'd' WHEN o_orderkey % 3 = 0 THEN 'u' ELSE 'c' END AS op, CAST(o_totalprice AS BIGINT) AS amount FROM orders"""
 
 
 def changes(spark, d):
-    target = sql(spark, d, "SELECT c_custkey AS id, CAST(1 AS BIGINT) AS amount FROM customer WHERE c_custkey < 800", "customer")
+    target = sql(spark, d, "SELECT c_custkey AS id, CAST(1 AS BIGINT) AS amount FROM customer", "customer")
     return W.apply_changes(target, sql(spark, d, _CHANGES, "orders"), ["id"], ["amount"])
 
 
@@ -147,7 +147,7 @@ _DCHANGES = _CHANGES.replace("CAST(o_totalprice AS BIGINT)", "CAST(trunc(o_total
 QUERIES = {
     "merge_upsert": (upsert, f"SELECT {_PICKED} {_FULL}"),
     "upsert_counts": (upsert_counts, f"SELECT CASE WHEN t.id IS NULL THEN 'inserted' WHEN s.id IS NULL THEN 'kept' WHEN t.segment = s.segment AND t.nation = s.nation THEN 'unchanged' ELSE 'updated' END AS change, count(*) AS rows {_FULL} GROUP BY 1"),
-    "delete_safe_sync": (sync, f"SELECT {_PICKED}, s.id IS NULL AS is_deleted, CASE WHEN s.id IS NULL THEN CASE WHEN t.id % 3 = 0 THEN '2022-01-01' ELSE '2024-01-01' END END AS deleted_at {_FULL}"),
+    "delete_safe_sync": (sync, f"SELECT {_PICKED}, s.id IS NULL AS is_deleted, CASE WHEN s.id IS NULL THEN CASE WHEN t.nation < 8 THEN '2022-01-01' ELSE '2024-01-01' END END AS deleted_at {_FULL}"),
     "scd_type_2": (history, f"WITH {_SCD2} SELECT id, segment, nation, {_DATES2} FROM two"),
     "scd_type_3": (
         previous_value,
@@ -185,8 +185,8 @@ SELECT id, segment, md5(segment) AS row_hash, CAST(valid_from AS VARCHAR) AS val
  UNION ALL SELECT id, segment, valid_from, CASE WHEN sid IS NOT NULL AND segment <> sseg THEN DATE '2024-01-01' ELSE valid_to END, NOT (sid IS NOT NULL AND segment <> sseg) FROM j
  UNION ALL SELECT s.id, s.segment, DATE '2024-01-01', NULL, true FROM s LEFT JOIN j ON s.id = j.id WHERE j.id IS NULL OR j.segment <> s.segment)""",
     ),
-    "vault_hub": (hub, "SELECT md5(CAST(k AS VARCHAR)) AS hk, k AS c_custkey, CASE WHEN k % 2 = 0 THEN '2020-01-01' ELSE '2024-01-01' END AS load_date, CASE WHEN k % 2 = 0 THEN 'old' ELSE 'orders' END AS record_source FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0 UNION SELECT o_custkey FROM orders)"),
-    "vault_link": (link_rows, "SELECT md5(md5(CAST(o_custkey AS VARCHAR)) || '|' || md5(CAST(o_orderkey AS VARCHAR))) AS link_hk, md5(CAST(o_custkey AS VARCHAR)) AS customer_hk, md5(CAST(o_orderkey AS VARCHAR)) AS order_hk, CASE WHEN o_orderkey % 3 = 0 THEN '2020-01-01' ELSE '2024-01-01' END AS load_date, CASE WHEN o_orderkey % 3 = 0 THEN 'old' ELSE 'orders' END AS record_source FROM orders"),
+    "vault_hub": (hub, "SELECT md5(CAST(k AS VARCHAR)) AS hk, k AS c_custkey, CASE WHEN o THEN '2020-01-01' ELSE '2024-01-01' END AS load_date, CASE WHEN o THEN 'old' ELSE 'orders' END AS record_source FROM (SELECT k, bool_or(o) AS o FROM (SELECT c_custkey AS k, true AS o FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT o_custkey, false FROM orders) GROUP BY k)"),
+    "vault_link": (link_rows, "SELECT md5(md5(CAST(o_custkey AS VARCHAR)) || '|' || md5(CAST(o_orderkey AS VARCHAR))) AS link_hk, md5(CAST(o_custkey AS VARCHAR)) AS customer_hk, md5(CAST(o_orderkey AS VARCHAR)) AS order_hk, CASE WHEN o_orderstatus = 'F' THEN '2020-01-01' ELSE '2024-01-01' END AS load_date, CASE WHEN o_orderstatus = 'F' THEN 'old' ELSE 'orders' END AS record_source FROM orders"),
     "vault_satellite": (
         satellite,
         f"""WITH t AS ({_DSAT}), s AS (SELECT md5(CAST(id AS VARCHAR)) AS hk, segment, md5(segment) AS hash_diff FROM ({NEW}) n), j AS (SELECT t.*, s.hash_diff AS sh FROM t LEFT JOIN s USING (hk) WHERE t.load_end_date IS NULL)
@@ -201,7 +201,7 @@ p AS (SELECT md5(CAST(id AS VARCHAR)) AS hk, s FROM ({OLD}) o, (VALUES (DATE '20
 SELECT p.hk, CAST(p.s AS VARCHAR) AS snapshot_date, CAST((SELECT max(load_date) FROM a WHERE a.hk = p.hk AND load_date <= p.s AND (load_end_date > p.s OR load_end_date IS NULL)) AS VARCHAR) AS a_load_date,
  CAST((SELECT max(load_date) FROM b WHERE b.hk = p.hk AND load_date <= p.s AND (load_end_date > p.s OR load_end_date IS NULL)) AS VARCHAR) AS b_load_date FROM p""",
     ),
-    "vault_bridge": (vault_bridge, "SELECT md5(CAST(o_orderkey AS VARCHAR)) AS link_hk, md5(CAST(o_custkey AS VARCHAR)) AS customer_hk, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey"),
+    "vault_bridge": (vault_bridge, "SELECT md5(CAST(o_orderkey AS VARCHAR)) AS link_hk, md5(CAST(o_custkey AS VARCHAR)) AS customer_hk, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey"),
     "bridge_weights": (weights, "SELECT l_orderkey, l_linenumber, l_partkey, round(1.0::DOUBLE / count(*) OVER (PARTITION BY l_orderkey), 8) AS weight FROM lineitem"),
     "date_dimension": (
         dates,
@@ -214,10 +214,10 @@ SELECT p.hk, CAST(p.s AS VARCHAR) AS snapshot_date, CAST((SELECT max(load_date)
 SELECT t.sk, t.id, CASE WHEN s.id IS NULL THEN t.segment ELSE s.segment END AS segment, t.nation FROM t LEFT JOIN s ON t.id = s.id
 UNION ALL SELECT (SELECT max(sk) FROM t) + row_number() OVER (ORDER BY s.id), s.id, s.segment, s.nation FROM s ANTI JOIN t ON s.id = t.id""",
     ),
-    "fact_load": (facts, "SELECT o_orderkey, o_totalprice, CASE WHEN o_custkey % 7 <> 0 THEN o_custkey + 1000 ELSE -1 END AS customer_sk, o_custkey % 7 = 0 AS is_late FROM orders"),
-    "incremental_extract": (increment, "SELECT o_orderkey FROM orders WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders WHERE o_orderkey % 50 = 0 AND o_orderdate < TIMESTAMP '1999-06-01')"),
+    "fact_load": (facts, "SELECT o_orderkey, o_totalprice, CASE WHEN c_nationkey <> 7 THEN o_custkey + 1000 ELSE -1 END AS customer_sk, c_nationkey = 7 AS is_late FROM orders JOIN customer ON o_custkey = c_custkey"),
+    "incremental_extract": (increment, "SELECT o_orderkey FROM orders WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders WHERE o_orderdate < TIMESTAMP '1999-06-01')"),
     "silver_layer": (silver_layer, "SELECT c_custkey AS id, c_acctbal AS balance, c_custkey % 400 AS part, '2024-01-01' AS ingested_at, 'customer.parquet' AS source_uri FROM customer WHERE c_custkey % 9 <> 0 AND c_acctbal > 0 QUALIFY row_number() OVER (PARTITION BY c_custkey % 400 ORDER BY c_custkey) = 1"),
     "change_capture": (changes, f"""WITH l AS (SELECT * FROM ({_DCHANGES}) c QUALIFY row_number() OVER (PARTITION BY id ORDER BY "offset" DESC) = 1)
-SELECT coalesce(l.id, t.id) AS id, coalesce(l.amount, t.amount) AS amount FROM (SELECT c_custkey AS id, 1::BIGINT AS amount FROM customer WHERE c_custkey < 800) t FULL JOIN l ON t.id = l.id WHERE l.op IS NULL OR l.op <> 'd'""".replace("AS offset", 'AS "offset"')),
+SELECT coalesce(l.id, t.id) AS id, coalesce(l.amount, t.amount) AS amount FROM (SELECT c_custkey AS id, 1::BIGINT AS amount FROM customer) t FULL JOIN l ON t.id = l.id WHERE l.op IS NULL OR l.op <> 'd'""".replace("AS offset", 'AS "offset"')),
     "change_envelopes": (envelopes, f"""WITH c AS ({_DCHANGES}) SELECT CASE WHEN "offset" % 97 = 0 THEN 'malformed' ELSE op END AS op, count(*) AS n, CAST(sum(CASE WHEN "offset" % 97 = 0 THEN 0 ELSE amount END) AS BIGINT) AS amount FROM c GROUP BY 1""".replace("AS offset", 'AS "offset"')),
 }
