@@ -17,11 +17,23 @@ def ensure_shared(spark: SparkSession) -> None:
     context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "millrace-checkpoints"))
 
 
-def stored(df: DataFrame, label: str = "") -> DataFrame:
+#: Spark's setting to remove an execution's shuffle files when it has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut.
 
     Spark writes the rows to reliable storage; a lost executor costs nothing
-    but the tasks it was running.
+    but the tasks it was running.  The shuffles that made the rows are removed as
+    soon as they are written, so a long chain of steps holds the disk of one.
     """
     ensure_shared(df.sparkSession)
-    return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN_UP, "false")
+    conf.set(CLEAN_UP, "true")
+    try:
+        own = df.select("*")  # an execution of its own takes the setting up; that of ``df`` keeps its shuffles
+    finally:
+        conf.set(CLEAN_UP, before)
+    return own.checkpoint(eager=True)
