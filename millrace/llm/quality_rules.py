@@ -161,7 +161,7 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source:
     made = {n for n, _ in COUNTS} | {"failed", "passes", "g_lang", "g_source"}
     keep = [c for c in (keep if keep is not None else df.columns) if c.lower() not in made]
     marked = df.select(*[F.col(c) for c in dict.fromkeys([*keep, text])], F.coalesce(F.col(lang).cast("string"), F.lit("\0")).alias("g_lang"), F.coalesce(F.col(source).cast("string"), F.lit("\0")).alias("g_source"))
-    counted = stored(ta.with_text_columns(marked, text, COUNTS, count_texts, keep=[*keep, "g_lang", "g_source"]), "quality_counts")
+    counted = stored(ta.with_text_columns(marked, text, COUNTS, count_texts, keep=[*keep, "g_lang", "g_source"]))
     return judged(counted, keep, spread, least_rows)
 
 
