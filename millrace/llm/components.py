@@ -7,27 +7,28 @@ from pyspark.sql import DataFrame, functions as F
 from millrace.llm.storage import stored
 
 
-def _least_neighbour(pairs: DataFrame) -> DataFrame:
-    """(u, v, m): pairs with the least of u and its neighbours; partial minima keep hubs cheap."""
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return pairs.join(least.hint("merge"), "u")
+def _least(pairs: DataFrame) -> DataFrame:
+    """(u, m): the least of each u and its neighbours, stored; partial minima keep hubs cheap."""
+    return stored(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes that have an edge in (a, b); component is the least node.
 
     Each round links every node's larger neighbours, and then its smaller ones, to the
-    least of its neighbourhood (Kiveris et al. 2014). A node's minimum is one row,
-    joined to its edges by a merge join, so a hub's edges are dealt to many tasks. A round is
-    written to shared storage once, and only the change of a checksum comes to the driver.
+    least of its neighbourhood (Kiveris et al. 2014). Minima and edges are stored before they
+    meet, so both sides of the merge join are plain shuffles of which adaptive execution
+    deals a hub's edges to many tasks. Only the change of a checksum comes to the driver.
     """
     state = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least_neighbour(both).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _least_neighbour(large)
-        state = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        larger = both.join(_least(both).hint("merge"), "u").where("v > u AND v <> m")
+        large = stored(larger.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = _least(large)
+        smaller = large.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        state = stored(smaller.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         now = tuple(state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
         if now == before:
             break
