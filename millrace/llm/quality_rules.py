@@ -5,7 +5,7 @@ them go into mergeable quantile sketches (relative-error histograms with
 logarithmic bins, as in DDSketch) per language and source.  Sketches of small
 groups are merged upwards, to the language and then to all rows.  Robust upper
 and lower fences from the sketches take the place of fixed cutoffs, and one join
-brings them back to the rows.
+brings them back to the rows.  Texts that are plainly junk do not teach the fences.
 
 The sketches are plain grouped counts: exact to merge, the same on every run,
 and bounded in size per group (bins follow the logarithm of the value's range).
@@ -81,9 +81,11 @@ def measures() -> dict[str, Column]:
     }
 
 
-#: Least distance of a fence from the median, so that a group without spread
-#: does not reject the first text that differs a little.
-LEAST_SLACK = {"symbol_rate": 0.3, "word_length": 3.0, "dup_line_rate": 0.5, "repeat_rate": 0.2}
+#: A fence is this many bins from the median at least, so that a group without
+#: spread does not reject the first text that differs a little.
+LEAST_BINS = 2
+#: Where most values are zero the upper fence starts at this quantile.
+TAIL = 0.99
 
 
 def bin_of(value: Column) -> Column:
@@ -106,43 +108,51 @@ def sketches(rows: DataFrame, group: list[str], values: dict[str, Column]) -> Da
     )
 
 
-def quantiles(sketch: DataFrame, group: list[str], ranks: dict[str, float]) -> DataFrame:
-    """(group, measure, n, one column a rank) of sketches.
+def quantiles(sketch: DataFrame, group: list[str]) -> DataFrame:
+    """(group, measure, total, q1, q2, q3, tail, p1, p3) of sketches; p1 and p3 are quartiles of the values above zero.
 
     A group and measure hold as many rows as bins, some hundreds at most.
     """
     by = Window.partitionBy(*group, "measure")
-    summed = sketch.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("total", F.sum("n").over(by))
-    return summed.groupBy(*group, "measure").agg(
-        F.max("total").alias("total"),
-        *[bin_value(F.min(F.when(F.col("upto") >= F.ceil(F.lit(r) * F.col("total")), F.col("bin")))).alias(q) for q, r in ranks.items()],
-    )
-
-
-def fences(sketch: DataFrame, spread: float, least_rows: int) -> DataFrame:
-    """(g_lang, g_source, measure, low, high).
-
-    The fence lies ``spread`` inter-quartile ranges beyond the quartiles.  A
-    group of fewer than ``least_rows`` rows takes its language's fence, and a
+    zeros = F.coalesce(F.sum(F.when(F.col("bin") < 0, F.col("n"))).over(by), F.lit(0))
+    summed = sketch.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("total", F.sum("n").over(by)).withColumn("zeros", zeros)
+    at = lambda r: bin_value(F.min(F.when(F.col("upto") >= F.ceil(F.lit(r) * F.col("total")), F.col("bin"))))
+    positive = lambda r: bin_value(F.min(F.when((F.col("bin") >= 0) & (F.col("upto") - F.col("zeros") >= F.ceil(F.lit(r) * (F.col("total") - F.col("zeros")))), F.col("bin"))))
+    found = {"q1": at(0.25), "q2": at(0.5), "q3": at(0.75), "tail": at(TAIL), "p1": positive(0.25), "p3": positive(0.75)}
+    return summed.groupBy(*group, "measure").agg(F.max("total").alias("total"), *[v.alias(k) for k, v in found.items()])
+
+
+def fences(sketch: DataFrame, groups: DataFrame, spread: float, least_rows: int) -> DataFrame:
+    """(g_lang, g_source, measure, low, high, floored) for each group and measure of ``groups``.
+
+    The fence lies ``spread`` inter-quartile ranges beyond the quartiles.  Where
+    the lower quartile is zero (most texts have no symbols or repeats) the upper one
+    lies at least an inter-quartile range of the values above zero beyond the
+    ``TAIL`` quantile, that of the language or of all rows if this is zero too.  floored: the upper fence is only that of ``LEAST_BINS``.
+    A group of fewer than ``least_rows`` rows takes its language's fence, and a
     language of fewer that of all rows.
     """
-    ranks = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+    names, tails = ["q1", "q2", "q3"], ["tail", "p1", "p3"]
     by_lang = sketch.groupBy("g_lang", "measure", "bin").agg(F.sum("n").alias("n"))
     overall = by_lang.groupBy("measure", "bin").agg(F.sum("n").alias("n"))
-    own = quantiles(sketch, ["g_lang", "g_source"], ranks)
-    named = lambda df, p: df.select(*[c for c in df.columns if c in ("g_lang", "measure")], *[F.col(c).alias(f"{p}_{c}") for c in ("total", *ranks)])
-    langs = named(quantiles(by_lang, ["g_lang"], ranks), "l")
-    every = named(quantiles(overall, [], ranks), "a")
-    joined = own.join(langs, ["g_lang", "measure"]).join(every, "measure")
-    pick = lambda q: F.when(F.col("total") >= least_rows, F.col(q)).when(F.col("l_total") >= least_rows, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}"))
-    slack = F.create_map(*[F.lit(x) for pair in LEAST_SLACK.items() for x in pair])[F.col("measure")]
+    named = lambda df, p: df.select(*[c for c in df.columns if c.startswith("g_") or c == "measure"], *[F.col(c).alias(f"{p}_{c}") for c in ("total", *names, *tails)])
+    own = named(quantiles(sketch, ["g_lang", "g_source"]), "o")
+    langs = named(quantiles(by_lang, ["g_lang"]), "l")
+    every = named(quantiles(overall, []), "a")
+    joined = groups.join(own, ["g_lang", "g_source", "measure"], "left").join(langs, ["g_lang", "measure"], "left").join(every, "measure", "left")
+    pick = lambda q: F.when(F.col("o_total") >= least_rows, F.col(f"o_{q}")).when(F.col("l_total") >= least_rows, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}"))
     width = F.col("q3") - F.col("q1")
-    return joined.select("g_lang", "g_source", "measure", *[pick(q).alias(q) for q in ranks]).select(
+    least = F.greatest("q2", F.lit(SMALLEST)) * (GROWTH**LEAST_BINS - 1)
+    above = lambda p: F.when((F.col(f"{p}_total") >= least_rows) & (F.col(f"{p}_tail") > 0), F.col(f"{p}_tail") + F.col(f"{p}_p3") - F.col(f"{p}_p1"))
+    tail = F.coalesce(above("o"), above("l"), F.greatest("a_tail", "a_p3") + F.col("a_p3") - F.col("a_p1"))
+    high = F.greatest(F.col("q3") + spread * width, F.when(F.col("q1") == 0, F.col("tail")))
+    return joined.select("g_lang", "g_source", "measure", *[pick(q).alias(q) for q in names], tail.alias("tail")).select(
         "g_lang",
         "g_source",
         "measure",
-        F.least(F.col("q1") - spread * width, F.col("q2") - slack).alias("low"),
-        F.greatest(F.col("q3") + spread * width, F.col("q2") + slack).alias("high"),
+        F.least(F.col("q1") - spread * width, F.col("q2") - least).alias("low"),
+        F.greatest(high, F.col("q2") + least).alias("high"),
+        (high < F.col("q2") + least).alias("floored"),
     )
 
 
@@ -165,20 +175,32 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source:
     return judged(counted, keep, spread, least_rows)
 
 
-def judged(counted: DataFrame, keep: list[str], spread: float, least_rows: int) -> DataFrame:
-    """Fences of the counted rows, joined back to them."""
+def learnt(counted: DataFrame, spread: float, least_rows: int) -> DataFrame:
+    """Fences of all groups, in two passes so that junk does not stretch the fences that should reject it.
+
+    Texts that fail the base rule teach nothing.  Of the others, those outside the
+    fences of measures with values above zero in most texts (word length) stay
+    out of the second sketches, from which all fences are taken.
+    """
     values = measures()
-    wide = (
-        fences(sketches(counted, ["g_lang", "g_source"], values), spread, least_rows)
-        .groupBy("g_lang", "g_source")
-        .agg(*[F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in values for side in ("low", "high")])
-    )
+    group = ["g_lang", "g_source"]
+    sound = counted.where(~base_failed())
+    groups = counted.select(*group).distinct().select(*group, F.explode(F.array(*[F.lit(m) for m in values])).alias("measure"))
+    common = fences(sketches(sound, group, values), groups, spread, least_rows).where("low > 0")
+    return fences(sketches(_within(sound, common, values).where(F.size("failed") == 0), group, values), groups, spread, least_rows)
+
+
+def _within(rows: DataFrame, limits: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """``rows`` with their group's fences joined and failed, the measures outside them."""
+    wide = limits.groupBy("g_lang", "g_source").agg(*[F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in values for side in ("low", "high")])
     bad = [F.when((v < F.col(f"{m}_low")) | (v > F.col(f"{m}_high")), F.lit(m)) for m, v in values.items()]
-    return (
-        counted.join(wide, ["g_lang", "g_source"], "left")
-        .select(*keep, *[n for n, _ in COUNTS], F.array_compact(F.array(*bad)).alias("failed"))
-        .withColumn("passes", F.size("failed") == 0)
-    )
+    return rows.join(wide, ["g_lang", "g_source"], "left").withColumn("failed", F.array_compact(F.array(*bad)))
+
+
+def judged(counted: DataFrame, keep: list[str], spread: float, least_rows: int) -> DataFrame:
+    """Fences of the counted rows, joined back to them."""
+    found = _within(counted, stored(learnt(counted, spread, least_rows)), measures())
+    return found.select(*keep, *[n for n, _ in COUNTS], "failed").withColumn("passes", F.size("failed") == 0)
 
 
 def base_failed() -> Column:
