@@ -6,7 +6,10 @@ import re
 from collections.abc import Sequence
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
@@ -116,17 +119,67 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
+#: Vectors and queries of a block; two blocks meet in one matrix product.
+VECTOR_BLOCK, QUERY_BLOCK = 1024, 256
+
+
+def _blocks(df: DataFrame, ids: str, vector: str, size: int, names: tuple[str, str]) -> DataFrame:
+    """Rows of (list of ids in order, their vectors as bytes of doubles), up to ``size`` a row; null vectors are left out."""
+    kind = df.schema[ids].dataType.simpleString()
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                part = part.take(pc.sort_indices(part.column(0)))
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                listed = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                yield pa.RecordBatch.from_arrays([listed, pa.array([flat.tobytes()], pa.binary())], names=list(names))
+
+    rows = df.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(ids, F.col(vector).cast("array<double>"))
+    return rows.mapInArrow(pack, f"{names[0]} array<{kind}>, {names[1]} binary")
+
+
+def _cosines(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Cosines of paired rows, summed in order of places, so that equal vectors score alike wherever they stand."""
+    dot, a, b = np.zeros((3, len(left)))
+    for x, y in zip(left.T, right.T):
+        dot, a, b = dot + x * y, a + x * x, b + y * y
+    norm = np.sqrt(a) * np.sqrt(b)
+    return np.divide(dot, norm, out=np.zeros(len(dot)), where=norm != 0)
+
+
 def vector_top_k(vectors: DataFrame, queries: DataFrame, ids: str, vector: str, query_id: str, query: str, k: int) -> DataFrame:
-    """The k nearest vectors by cosine for each of a stated, small set of queries.
+    """The k nearest vectors by cosine for each query; both sides may be whole tables.
 
-    Queries are sent to the vectors in one array; each task keeps its own k best per query
-    (max_by style structs sorted and cut), so the shuffle holds k rows a task and query.
+    Blocks of vectors meet blocks of queries in matrix products; of each such pair the k
+    best a query go on (a margin keeps those that rounding could swap, then scores are summed
+    anew in a fixed order), and a grouped merge ranks them. No vector goes through the driver's plan.
+    Equal scores go by id; a zero vector scores 0; vectors that are or hold null are left out.
     """
-    asked = queries.select(F.struct(F.col(query_id).alias("query_id"), F.col(query).alias("q")).alias("x")).agg(F.collect_list("x").alias("asked")).first()["asked"]
-    if not asked:
-        return vectors.limit(0).select(F.lit(None).cast("long").alias("query_id"), F.col(ids), F.lit(0.0).alias("score"))
-    sent = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.array(*[F.lit(float(v)) for v in r["q"]]).alias("q")) for r in asked])
-    scored = vectors.select(F.col(ids), F.col(vector), F.explode(sent).alias("x")).select(F.col("x.query_id").alias("query_id"), ids, cosine(F.col(vector), F.col("x.q")).alias("score"))
+    id_type, query_type = vectors.schema[ids].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return np.divide(x, norm, out=np.zeros_like(x), where=norm != 0)
+
+    def best(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                own, asked = batch.column(0).slice(r, 1).flatten(), batch.column(2).slice(r, 1).flatten()
+                v = np.frombuffer(batch.column(1)[r].as_py()).reshape(len(own), -1)
+                q = np.frombuffer(batch.column(3)[r].as_py()).reshape(len(asked), -1)
+                near = unit(q) @ unit(v).T
+                least = np.partition(near, -k, axis=1)[:, -k] if k < len(own) else np.full(len(asked), -np.inf)
+                row, col = np.nonzero(near >= least[:, None] - 1e-9)
+                score = _cosines(v[col], q[row])
+                order = np.lexsort((col, -score, row))
+                row, col, score = row[order], col[order], score[order]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(row[kept])), own.take(pa.array(col[kept])), pa.array(score[kept])], names=["query_id", ids, "score"])
+
+    pairs = _blocks(vectors, ids, vector, VECTOR_BLOCK, ("__i", "__v")).crossJoin(_blocks(queries, query_id, query, QUERY_BLOCK, ("__a", "__q")))
+    scored = pairs.mapInArrow(best, f"query_id {query_type}, `{ids}` {id_type}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), ids))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
