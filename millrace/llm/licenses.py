@@ -1,7 +1,7 @@
 """License scan by sentence rules (DataFrame functions only).
 
-A text is normalised once, cut into sentences, and each sentence is looked up
-among known licence sentences.  The identifiers found, in text order, form a
+A text is normalised once, and known licence sentences are found in it, on one line or
+wrapped over several, where they stand between ends: marks, line ends or the text's.  The identifiers found, in text order, form a
 sequence; ordered rules over such sequences name the licences.  Everything
 happens inside the row: no shuffle, no Python.
 """
@@ -96,6 +96,18 @@ DROPPED = r"[^\p{L}\p{N}.!?;:\n]+"
 SENTENCE_END = r"[.!?;:]+(?: |\n|$)|\n"
 
 
+#: Between the words of a known sentence stands a blank or a single line end, maybe after
+#: a mark; the next line may begin with the comment marks that normalisation leaves.
+GAP = r" ?[;:]?(?: |\n(?:[;!]+ )?)"
+
+
+def sentence_pattern() -> str:
+    """Regular expression for a known sentence that fills the place between two ends: marks, line ends or the text's."""
+    words = lambda s: GAP.join(w.replace(".", r"\.") for w in s.split(" "))
+    longest_first = sorted(SENTENCES.values(), key=len, reverse=True)
+    return r"(?:^|(?<=\n)|(?<=[.!?;:] ))(?:" + "|".join(words(s) for s in longest_first) + r")(?= ?(?:\n|$|[.!?;:]+(?: |\n|$)))"
+
+
 def rule_pattern(parts: list[str]) -> str:
     """Regular expression over ``,id,id,`` for one rule."""
     return "," + ",".join(f"(?:{p})" for p in parts) + ","
@@ -115,13 +127,9 @@ def license_scan(df: DataFrame, text: str = "text") -> DataFrame:
     """
     names = ["sentence_ids", "licenses", "license", "license_use"]
     known = F.create_map(*[F.lit(x) for x in chain.from_iterable((s, i) for i, s in SENTENCES.items())])
-    longest = max(map(len, SENTENCES.values()))
-    shortest = min(map(len, SENTENCES.values()))
     clean = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), DROPPED, " ")
-    sentences = F.filter(
-        F.transform(F.split(clean, SENTENCE_END, -1), lambda s: F.trim(s)),
-        lambda s: F.length(s).between(shortest, longest),
-    )
+    lines = F.trim(F.regexp_replace(clean, r" *\n *", "\n"))
+    sentences = F.transform(F.regexp_extract_all(lines, F.lit(sentence_pattern()), F.lit(0)), lambda s: F.regexp_replace(s, GAP, " "))
     found = F.filter(F.transform(sentences, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
     kept = df.select(*[c for c in df.columns if c.lower() not in names], found.alias("sentence_ids"))
     return _apply_rules(kept)
