@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 from html.parser import HTMLParser
@@ -13,6 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
+from millrace.functions.storage import written
+from millrace.operators.linkage import connected
+
 # The patterns of personal data, in the order they are applied.
 PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
@@ -209,6 +213,71 @@ def group_by_shared_tokens(df: DataFrame, ids: str, text: str, threshold: float
     return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+#: Tokens in more sets than this are met in blocks of as many, each pair of blocks by itself.
+HOT_TOKEN = 1000
+#: So many of the most frequent tokens are ordered by frequency; others count as the rarest of them.
+KNOWN_TOKENS = 200_000
+
+
+def near_duplicate_groups(df: DataFrame, ids: str, text: str, threshold: float = 0.6) -> DataFrame:
+    """(id, class_id, links) of every row: its class of token sets that links of ``threshold`` or more connect.
+
+    links: other rows whose token sets have that Jaccard similarity; class_id: the least id of the class.
+    Rows of equal sets are reduced to one representative with a count, so copies make no
+    pairs. Representatives meet on prefixes of their rarest tokens; positions and sizes rule out most
+    pairs before the exact similarity decides. Texts without tokens are equal to each other.
+    """
+    sets = df.select(F.col(ids).alias("id"), F.sort_array(F.array_distinct(tokens(F.col(text)))).alias("s"))
+    sets = sets.select("id", F.unhex(F.md5(F.array_join("s", " "))).alias("r"), F.transform("s", lambda t: F.xxhash64(t)).alias("s"))
+    reps = written(sets.groupBy("r").agg(F.first("s").alias("s"), F.count(F.lit(1)).alias("n")))
+    frequency = reps.select(F.explode("s").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    common_first = frequency.orderBy(F.desc("df"), "t").limit(KNOWN_TOKENS).toPandas()
+    known = common_first.sort_values("t")
+    known_t, known_df = known["t"].to_numpy(np.int64), known["df"].to_numpy(np.int64)
+    other = int(known_df.min()) if len(known) == KNOWN_TOKENS else 1
+
+    def prefixes(batches):
+        for batch in batches:
+            rows = []
+            for i, own in enumerate(batch.column(1)):
+                t = own.values.to_numpy()
+                n = len(t)
+                if not n:
+                    continue
+                place = np.minimum(np.searchsorted(known_t, t), max(len(known_t) - 1, 0))
+                df = np.where(known_t[place] == t, known_df[place], other) if len(known_t) else np.full(n, other)
+                first = np.lexsort((t, df))[: n - math.ceil(n * threshold - 1e-9) + 1]
+                at = np.flatnonzero(df[first] > 1)
+                rows.append((np.full(len(at), i), np.full(len(at), n), at, t[first][at], df[first][at]))
+            if rows:
+                i, n, at, t, df = (np.concatenate(c) for c in zip(*rows))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), *[pa.array(c.astype(np.int32)) for c in (n, at)], pa.array(t), pa.array(df.astype(np.int64))], names=["r", "size", "at", "t", "df"])
+
+    keys = reps.select("r", "s").mapInArrow(prefixes, "r binary, size int, at int, t long, df long")
+    blocks = F.ceil(F.col("df") / HOT_TOKEN).cast("int")
+    keys = keys.withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("r"), F.col("k")).cast("int"))
+    low = keys.withColumn("lo", F.col("own")).withColumn("hi", F.explode(F.sequence("own", F.col("k") - 1)))
+    high = keys.withColumn("hi", F.col("own")).withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("own"))))
+    x, y = low.alias("x"), high.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("t", "lo", "hi")]
+    need = (F.col("x.size") + F.col("y.size")) * (threshold / (1 + threshold)) - 1e-9
+    reach = 1 + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) - 1
+    once = (F.col("x.lo") < F.col("x.hi")) | (F.col("x.r") < F.col("y.r"))
+    met = x.join(y, same[0] & same[1] & same[2] & once & (reach >= need) & (F.least("x.size", "y.size") >= need))
+    met = met.select(F.least("x.r", "y.r").alias("a"), F.greatest("x.r", "y.r").alias("b")).distinct()
+    side = lambda r, s, n: reps.select(F.col("r").alias(r), F.col("s").alias(s), F.col("n").alias(n))
+    common = F.size(F.array_intersect("p", "q"))
+    edges = met.join(side("a", "p", "na"), "a").join(side("b", "q", "nb"), "b").where(common / (F.size("p") + F.size("q") - common) >= threshold)
+    edges = written(edges.select("a", "b", "na", "nb"))
+    others = edges.select(F.col("a").alias("r"), F.col("nb").alias("m")).union(edges.select("b", "na")).groupBy("r").agg(F.sum("m").alias("m"))
+    linked = connected(edges, edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct())
+    classes = reps.select("r", "n").join(others, "r", "left").join(linked.withColumnRenamed("id", "r"), "r", "left")
+    classes = written(classes.select("r", F.coalesce("component", "r").alias("component"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("links")))
+    named = written(sets.select("id", "r").join(classes, "r"))
+    least = named.groupBy("component").agg(F.min("id").alias("class_id"))
+    return named.join(least, "component").select("id", "class_id", "links")
+
+
 class _Visible(HTMLParser):
     """Collects the text that a page shows."""
 

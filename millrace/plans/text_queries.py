@@ -52,6 +52,10 @@ def shared_tokens(spark, d):
     return X.group_by_shared_tokens(c, "id", "text", 0.15).withColumn("similarity", F.round("similarity", 8))
 
 
+def near_duplicates(spark, d):
+    return X.near_duplicate_groups(table(spark, d, "documents"), "doc_id", "text", 0.6).withColumnRenamed("id", "doc_id")
+
+
 def page_texts(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(X.html_to_text("html")).alias("size"))
 
@@ -172,6 +176,12 @@ SELECT query_id, count(*) AS n, round(max(score), 4) AS best, round(sum(score),
     "vector_top_k_whole": (nearest_vectors_whole, "SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id) <= 10"),
     "rank_fusion": (fused, "WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id % 97, vec_id) - 1 AS r FROM embeddings UNION ALL SELECT vec_id, row_number() OVER (ORDER BY (vec_id * 31) % 89, vec_id) - 1 FROM embeddings) SELECT vec_id, round(sum(1.0::DOUBLE / (60 + r)), 8) AS score FROM r GROUP BY 1"),
     "near_duplicate_tokens": (shared_tokens, f"WITH s AS (SELECT conv_id * 1000 + turn AS id, list_distinct({_TOK.format('text')}) AS t FROM conversations) SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))), 8) AS similarity FROM s x JOIN s y ON x.id < y.id AND len(x.t) > 0 AND len(y.t) > 0 WHERE len(list_intersect(x.t, y.t)) >= 0.15 * (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)))"),
+    "near_duplicate_documents": (
+        near_duplicates,
+        f"""WITH RECURSIVE s AS (SELECT doc_id, list_distinct({_TOK.format("text")}) AS t FROM documents), p AS (SELECT x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.t, y.t)) AS c, len(x.t) + len(y.t) AS n FROM s x JOIN s y ON x.doc_id <> y.doc_id),
+e AS (SELECT a, b FROM p WHERE n = 0 OR c / (n - c) >= 0.6), r AS (SELECT doc_id AS id, doc_id AS c FROM s UNION SELECT e.b, r.c FROM r JOIN e ON r.id = e.a)
+SELECT doc_id, (SELECT min(c) FROM r WHERE id = doc_id) AS class_id, (SELECT count(*) FROM e WHERE a = doc_id) AS links FROM s""",
+    ),
     "html_to_text": (page_texts, None),
     "prune_conversation": (pruned, "WITH c AS (SELECT *, role = 'system' AS f FROM conversations), s AS (SELECT *, coalesce(sum(length(text)) FILTER (f) OVER (PARTITION BY conv_id), 0) AS used, sum(CASE WHEN f THEN 0 ELSE length(text) END) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM c) SELECT conv_id, turn FROM s WHERE f OR used + back <= 1500"),
     "injection_screen": (screened, "SELECT conv_id, turn, CASE WHEN turn = 1 THEN 0.6 ELSE 0.0 END::DOUBLE AS score FROM conversations"),
