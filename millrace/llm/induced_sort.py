@@ -205,7 +205,7 @@ def _doubling(names: np.ndarray) -> np.ndarray:
 
 def _common_prefix(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
     """Common prefix of the suffixes at a and b, by halving over span hashes."""
-    n = len(prefix) - 1
+    n = prefix.shape[1] - 1
     most = np.minimum(np.minimum(n - a, n - b), cap)
     out = np.zeros(len(a), np.int64)
     step = 1 << (int(cap).bit_length() - 1)
@@ -234,7 +234,7 @@ def suffix_array(text: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     starts[0] = False
     starts[1:] &= ~is_s[:-1]
     lms = np.flatnonzero(starts).astype(np.int32)
-    prefix = ta.prefix_hash_codes(t)
+    prefix = ta.prefix_hash(t)
     if len(lms) > 1:
         rough = lms[np.argsort(t[lms], kind="stable")]
         order, _ = _induce(t, is_s, runs, rough, None, characters, None)

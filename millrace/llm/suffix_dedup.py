@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm import fixed_filter, textarrays as ta
+from millrace.llm.carried import Carried
 from millrace.llm.induced_sort import suffix_array
 from millrace.llm.joins import join_groups
 from millrace.llm.storage import stored
@@ -73,9 +74,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     if n < length:
         return Segments(none.astype(np.uint64), none.astype(np.uint64), none, none, none)
     prefix = ta.prefix_hash(data)
-    place = np.arange(n - gram + 1)
-    grams = ta.span_hash(prefix, place, place + gram)
-    packed = (grams & _U(0xFFFFFFFF00000000)) | place.astype(np.uint64)
+    packed = (ta.rough_grams(data, gram) & _U(0xFFFFFFFF00000000)) | np.arange(n - gram + 1, dtype=np.uint64)
     least = (_sliding_least(packed, length - gram + 1) & _U(0xFFFFFFFF)).astype(np.int64)
     starts = np.arange(len(least))
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(least)]
@@ -89,14 +88,12 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     windows = np.diff(np.r_[first, len(starts)])
     begin, anchor = starts[first], at[first]
     content = ta.mix(ta.span_hash(prefix, begin, begin + windows + length - 1) + (anchor - begin).astype(np.uint64))
-    return Segments(grams[anchor], content, begin, windows, text[first])
+    return Segments(ta.span_hash(prefix, anchor, anchor + gram), content, begin, windows, text[first])
 
 
 def text_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Two hashes of each text: (texts, 2)."""
-    whole = ta.span_hash(ta.prefix_hash(data), offsets[:-1], offsets[1:])
-    back = ta.span_hash(ta.prefix_hash(data ^ np.uint8(0x5A)), offsets[:-1], offsets[1:])
-    return np.stack([whole, ta.mix(back + _U(3))], axis=1)
+    """Two independent hashes of each text: (texts, 2)."""
+    return np.stack([ta.span_hash(ta.prefix_hash(data, pair), offsets[:-1], offsets[1:], pair) for pair in (0, 1)], axis=1)
 
 
 def _longs(x: np.ndarray) -> pa.Array:
@@ -296,10 +293,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     repeated rows are documents of their own; an empty table gives no rows;
     input columns named as a result are replaced.
     """
-    made = {"n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans", "k1", "k2", "whole_sha256"}
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
+    own = Carried(docs, ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "spans"] if bodies else [])], keep)
+    docs, text = own.rows, own.find(text)
     fields = [("k1", "long"), ("k2", "long"), ("n_bytes", "long"), ("whole_sha256", "string")]
-    rows = ta.with_text_columns(docs, text, fields, _digest, keep=keep)
+    rows = ta.with_text_columns(docs, text, fields, _digest, keep=own.columns())
     rows = rows if bodies else stored(rows)
     spans = stored(_spans(repeated_segments(docs, text), docs, text))
     sent = docs.sparkSession.sparkContext.broadcast(fixed_filter.build(spans, "k1"))
@@ -318,7 +315,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     cut = stored(cut.select("k1", "k2", "n_removed", "n_spans", F.col("kept_sha256").alias("cut_sha256"), *more))
     joined = join_groups(rows, cut, ["k1", "k2"], 160 if not bodies else 1 << 20)
     return joined.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *own.restored(),
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from millrace.llm.carried import Carried
+
 RUN_BYTES = 1 << 20
 #: Bytes of an Arrow batch; a worker holds a few of them at a time.
 BATCH_BYTES = 8 << 20
@@ -32,18 +34,76 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+#: Spans are hashed modulo the prime 2**31 - 1 under two bases at once. Modulo a power of two, strings
+#: such as two Thue-Morse words are equal under every base.
+_PRIME = (1 << 31) - 1
+_P, _31 = _U(_PRIME), _U(31)
+#: Bytes under one table of powers, and of those that are worked on at a time.
+_CHUNK, _CACHED = 1 << 20, 1 << 15
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime."""
+    x = (x & _P) + (x >> _31)
+    x = (x & _P) + (x >> _31)
+    return x - (x >= _P) * _P
+
+
+class _Base:
+    """Powers of a base and of its inverse modulo the prime."""
+
+    def __init__(self, seed: int):
+        self.up = 2 + int(mix(np.array([seed], np.uint64))[0]) % (_PRIME - 3)
+        self.down = pow(self.up, -1, _PRIME)
+        self.tables: dict[int, np.ndarray] = {}
+
+    def table(self, base: int) -> np.ndarray:
+        if base not in self.tables:
+            powers = np.ones(1, np.uint64)
+            while len(powers) < _CHUNK:
+                powers = np.r_[powers, _fold(powers * _U(pow(base, len(powers), _PRIME)))]
+            self.tables[base] = powers
+        return self.tables[base]
+
+    def downs(self, at: np.ndarray) -> np.ndarray:
+        """Powers of the inverse."""
+        table = self.table(self.down)
+        if not len(at) or int(at.max()) < _CHUNK:
+            return table[at]
+        far = np.array([pow(self.down, _CHUNK * k, _PRIME) for k in range(int(at.max()) // _CHUNK + 1)], np.uint64)
+        return _fold(table[at % _CHUNK] * far[at // _CHUNK])
+
+
+#: Two pairs of bases: two keys of one text are independent.
+_PAIRS = [(_Base(11), _Base(12)), (_Base(13), _Base(14))]
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(name: str, step: np.uint64, n: int) -> np.ndarray:
-    """step ** 0 .. step ** (n - 1), kept between calls."""
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, RUN_BYTES + 1), step, dtype=np.uint64)
+def _power(name: str, step: np.uint64) -> np.ndarray:
+    """step ** 0 .. step ** _CHUNK, kept between calls."""
+    if name not in _powers:
+        steps = np.full(_CHUNK + 1, step, dtype=np.uint64)
         steps[0] = 1
-        have = _powers[name] = np.multiply.accumulate(steps)
-    return have[:n]
+        _powers[name] = np.multiply.accumulate(steps)
+    return _powers[name]
+
+
+def rough_grams(data: np.ndarray, width: int) -> np.ndarray:
+    """A number for each ``width`` neighbouring bytes, for choices alone: different bytes may have equal numbers."""
+    n = len(data) - width + 1
+    out = np.empty(max(n, 0), np.uint64)
+    sums = np.zeros(_CACHED + width + 1, np.uint64)
+    for i in range(0, n, _CACHED):
+        part = data[i : min(i + _CACHED, n) + width - 1]
+        own = out[i : i + len(part) - width + 1]
+        values = _BYTE[part]
+        values *= _power("up", _STEP)[: len(part)]
+        np.cumsum(values, out=sums[1 : len(part) + 1])
+        np.subtract(sums[width : width + len(own)], sums[: len(own)], out=own)
+        own *= _power("down", _BACK)[: len(own)]
+        own *= _STEP
+    return out
 
 
 def byte_set(members: bytes | range) -> np.ndarray:
@@ -75,26 +135,36 @@ def runs(offsets: np.ndarray, limit: int = RUN_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hash; differences of it give the hash of any span."""
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * _power("up", _STEP, len(data)), out=out[1:])
+def prefix_hash(codes: np.ndarray, pair: int = 0) -> np.ndarray:
+    """Running polynomial sums of bytes or other small numbers under a pair of bases: (2, places + 1), for ``span_hash``."""
+    n = len(codes)
+    out = np.empty((2, n + 1), np.uint64)
+    out[:, 0] = 0
+    wide = codes.dtype != np.uint8
+    for i in range(0, n, _CACHED):
+        part = codes[i : i + _CACHED].astype(np.uint64)
+        part += _U(1)
+        for row, base in zip(out, _PAIRS[pair], strict=True):
+            far, near = divmod(i, _CHUNK)
+            values = part * base.table(base.up)[near : near + len(part)]
+            own = row[i + 1 : i + 1 + len(part)]
+            np.cumsum(_fold(values) if wide else values, out=own)
+            if far:
+                own[:] = _fold(_fold(own) * _U(pow(base.up, far * _CHUNK, _PRIME)))
+            own += _fold(row[i : i + 1]) if near == 0 else row[i]
     return out
 
 
-def prefix_hash_codes(codes: np.ndarray) -> np.ndarray:
-    """The same for small numbers of any range."""
-    out = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum(mix((codes.astype(np.uint64) + _U(1)) * _STEP) * _power("up", _STEP, len(codes)), out=out[1:])
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, pair: int = 0) -> np.ndarray:
+    """64-bit hash of the codes start:end, wherever they stand; different spans differ but by chance."""
+    out = np.empty(len(start), np.uint64)
+    for i in range(0, len(start), _CACHED):
+        first, last = start[i : i + _CACHED], end[i : i + _CACHED]
+        a, b = (_fold((_fold(row[last]) + _P - _fold(row[first])) * base.downs(first)) for row, base in zip(prefix, _PAIRS[pair], strict=True))
+        out[i : i + _CACHED] = mix(((a << _31) | b) + (last - first).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes start:end, wherever they stand."""
-    value = (prefix[end] - prefix[start]) * _power("down", _BACK, len(prefix))[start]
-    return mix(value + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
-
-
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of each maximal run of bytes that are inside."""
     if not len(data):
@@ -161,32 +231,33 @@ def with_text_columns(df: DataFrame, text: str, fields: list[tuple[str, str]], c
     """``df`` with columns computed from whole texts, batch by batch in Arrow.
 
     compute(bytes, offsets) gives an array for each field.  keep: columns to
-    carry (default: all).  Columns named as a field are replaced.  mask: a boolean
-    field that is not returned; rows where it is false go.
+    carry (default: all).  Columns named as a returned field are replaced; any other name is carried.
+    mask: a boolean field that is not returned; rows where it is false go.
     """
-    made = {name.lower() for name, _ in fields}
-    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in made]
     returned = [x for x in fields if x[0] != mask]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in returned])
-    n_keep = len(keep)
-    carried = text in keep and isinstance(df.schema[text].dataType, T.StringType)
-    at = keep.index(text) if carried else n_keep
+    own = Carried(df, [n for n, _ in returned], keep)
+    body = own.find(text)
+    places = own.columns()
+    schema = T.StructType([own.rows.schema[c] for c in places] + [T.StructField(f"made{k}", T._parse_datatype_string(t)) for k, (_, t) in enumerate(returned)])
+    n_keep = len(places)
+    carried = body in places and isinstance(own.rows.schema[body].dataType, T.StringType)
+    at = places.index(body) if carried else n_keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(at))
             for i, j in runs(offsets):
-                own = offsets[i : j + 1]
-                results = compute(data[own[0] : own[-1]], own - own[0])
+                part = offsets[i : j + 1]
+                results = compute(data[part[0] : part[-1]], part - part[0])
                 named = dict(zip([n for n, _ in fields], results, strict=True))
                 columns = [batch.column(k).slice(i, j - i) for k in range(n_keep)] + [named[n] for n, _ in returned]
                 out = pa.RecordBatch.from_arrays(columns, names=schema.names)
                 yield out.filter(named[mask]) if mask else out
 
-    quoted = lambda c: "`" + c.replace("`", "``") + "`"
-    body = [] if carried else [F.col(quoted(text)).cast("string").alias("__text")]
+    extra = [] if carried else [F.col(body).cast("string").alias("body")]
     limit_batches(df)
-    return df.select(*[quoted(c) for c in keep], *body).mapInArrow(run, schema)
+    made = own.rows.select(*places, *extra).mapInArrow(run, schema)
+    return made.toDF(*[own.names[i] for i in own.kept], *[n for n, _ in returned])
 
 
 def limit_batches(df: DataFrame) -> None:

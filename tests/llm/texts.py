@@ -1,6 +1,7 @@
 """Awkward texts and tables for the tests of this folder."""
 
 import random
+import re
 
 from pyspark.sql import types as T
 
@@ -36,9 +37,24 @@ def awkward(rng=None):
         words(rng, 12),
         words(rng, 13),
         words(rng, 14),
+        "\n".join(thue_morse("a", "b")),
+        *(f"{x} {x[:300]}" for x in thue_morse("a", "b")),
+        " ".join(thue_morse("x ", "y ")),
     ]
 
 
+def thue_morse(a, b, doublings=10):
+    """Two different strings that every polynomial hash modulo 2**64 takes for equal."""
+    x, y = a, b
+    for _ in range(doublings):
+        x, y = x + y, y + x
+    return x, y
+
+
+def split_words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+
+
 def documents(spark, texts, extra=()):
     rows = [(i, t, ["en", "de", None][i % 3], f"src{i % 2}", len(t) if t is not None else None) for i, t in enumerate(texts)]
     return spark.createDataFrame([*rows, *extra], DOCUMENTS)
