@@ -16,5 +16,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], row_bytes: in
     shuffled by the key and adaptive execution splits hot groups, as the
     groups' side has a single row for each.
     """
+    if how in ("left_semi", "left_anti"):
+        groups = groups.select(*on)
     small = groups.limit(BROADCAST_BYTES // row_bytes + 1).count() <= BROADCAST_BYTES // row_bytes
     return rows.join(F.broadcast(groups) if small else groups.hint("merge"), on, how)

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from millrace.llm import language_id, mixing, quality_classifier, sharding
+from millrace.llm import language_id, mixing, quality_classifier, queries, sharding
 from tests.llm import test_jaccard as TJ, texts as X
 from tests.llm.test_contracts import bench_words
 
@@ -53,39 +53,86 @@ def test_stages_on_awkward_and_empty_tables(spark, tmp_path):
             docs.collect()
 
 
+def check_draws(rows, draws, weight, budget):
+    """rows: (row, source, tokens); draws: (row, source, tokens, epoch, start). Whole blocks, then a cut where the budget ends."""
+    for s in {x for _, x, _ in rows}:
+        own = sorted((d for d in draws if d[1] == s), key=lambda d: (d[4], d[3], d[2]))
+        mine = Counter(r for r, x, _ in rows if x == s)
+        worded = sum(t for _, x, t in rows if x == s)
+        assert weight[s] >= 0 and (worded or not weight[s])
+        at = 0
+        for d in own:
+            assert d[4] == at
+            at += d[2]
+        last = max(d[3] for d in own)
+        for e in range(last):
+            assert Counter(d[0] for d in own if d[3] == e) == mine
+        ending = Counter(d[0] for d in own if d[3] == last)
+        if not worded:
+            assert last == 0 and ending == mine
+        elif budget[s] == (last + 1) * worded:
+            assert ending == mine
+        else:
+            assert not ending - mine and at >= budget[s] > last * worded
+            assert all(d[4] < budget[s] for d in own if d[3] == last)
+
+
 def test_mixing_by_hand(spark):
     rng = random.Random(2)
     rows = [(i, X.words(rng, rng.randint(1, 30)), "big" if i % 10 else rng.choice(["small", "tiny", None])) for i in range(600)]
+    rows += [(600 + i, rng.choice([None, "", " "]), rng.choice(["big", "wordless"])) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     counted = mixing.count_tokens(df)
     mix = mixing.plan_mix(counted.select(mixing.source_key("source"), "mix_tokens"), evenness=0.9, max_repeats=None)
     tokens = Counter()
     for _, t, s in rows:
-        tokens[s] += len(t.split())
+        tokens[s] += len((t or "").split())
+    del tokens["wordless"]
     total = sum(tokens.values())
     weights = {s: (n / total) ** mix.exponent for s, n in tokens.items()}
     z = sum(weights.values())
     entropy = -sum(w / z * math.log(w / z) for w in weights.values())
     assert entropy == pytest.approx(0.9 * math.log(len(tokens)), abs=1e-6)
     drawn = mixing.mix_order(counted, mix).collect()
-    planned = {r.mix_source: r for r in mix.sources.collect()}
-    for s, n in tokens.items():
-        own = sorted((r for r in drawn if r.source == s), key=lambda r: r.mix_start)
-        budget = planned["" if s is None else "=" + s].budget
-        assert planned["" if s is None else "=" + s].weight == pytest.approx(weights[s] / z)
-        at = 0
-        for r in own:
-            assert r.mix_start == at < budget
-            at += r.mix_tokens
-        assert at >= budget
-        ids = [r.doc_id for r in own]
-        per_block = Counter(r.mix_epoch for r in own)
-        assert all(len({r.doc_id for r in own if r.mix_epoch == e}) == k for e, k in per_block.items())
-        assert set(ids) == {i for i, _, x in rows if x == s}
+    planned = {(r.mix_source or None) and r.mix_source[1:]: r for r in mix.sources.collect()}
+    for s in tokens:
+        assert planned[s].weight == pytest.approx(weights[s] / z)
+    check_draws(
+        [(i, s, len((t or "").split())) for i, t, s in rows],
+        [(r.doc_id, r.source, r.mix_tokens, r.mix_epoch, r.mix_start) for r in drawn],
+        {s: r.weight for s, r in planned.items()},
+        {s: r.budget for s, r in planned.items()},
+    )
+    assert {r.doc_id for r in drawn} == {i for i, _, _ in rows}
     plain = Counter(r.doc_id for r in mixing.mixed(df, evenness=0.9, max_repeats=None).collect())
     assert plain == Counter(r.doc_id for r in drawn)
 
 
+def test_mixing_query(spark, small, tmp_path):
+    """The whole query: blocks, weights of the target entropy, budgets; much repeated rows too."""
+    X.documents(spark, X.awkward(), [(3, "same words here", "en", "src1", 1)] * 9000 + [(None, None, None, None, None)] * 3).write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (small, str(tmp_path)):
+        docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+        got = queries.op1_source_mixing(spark, folder).collect()
+        tokens = Counter()
+        for d in docs:
+            tokens[d.source] += len(X.split_words(d.text))
+        worded = {s: n for s, n in tokens.items() if n}
+        weight = {s: next(r.weight for r in got if r.source == s) for s in {d.source for d in docs}}
+        assert sum(weight.values()) == pytest.approx(1, abs=1e-6)
+        top = max(n / weight[s] for s, n in worded.items())
+        entropy = -sum(weight[s] * math.log(weight[s]) for s in worded)
+        repeats = max(weight[s] / n for s, n in worded.items()) / min(weight[s] / n for s, n in worded.items())
+        assert repeats <= 4.01 and (entropy >= 0.98 * math.log(len(worded)) - 1e-6 or repeats >= 3.99 or len(worded) == 1)
+        key = lambda d: (d.doc_id, d.source)
+        rows = [(key(d), d.source, len(X.split_words(d.text))) for d in docs]
+        starts = [(key(r), r.source, r.n_tokens, r.epoch, r.start_token) for r in got]
+        ends = {s: max((d[4] + d[2] for d in starts if d[1] == s), default=0) for s in weight}
+        for s, n in worded.items():
+            assert ends[s] >= round(weight[s] * top) - 2 and ends[s] < weight[s] * top + 2 + max(r[2] for r in rows)
+        check_draws(rows, starts, weight, {s: min(ends[s], max(tokens[s], round(weight[s] * top))) for s in weight})
+
+
 def test_mixing_limit_of_repeats(spark):
     rows = [("=a", 1000), ("=b", 100), ("=c", 10)]
     mix = mixing.plan_mix(spark.createDataFrame(rows, "mix_source string, mix_tokens long"), evenness=1.0, max_repeats=3.0)
@@ -102,6 +149,16 @@ def test_sharding_shuffles(spark):
     assert 1800 < rises < 2200
 
 
+def test_sharding_numbers_repeated_rows(spark):
+    rows = spark.range(900).selectExpr("1 AS a", "'same' AS b").union(spark.range(100).selectExpr("cast(id AS int)", "cast(null AS string)"))
+    got = sharding.shuffle_into_shards(rows, 7, bucket_bytes=2048).collect()
+    assert Counter((r.a, r.b) for r in got) == Counter([(1, "same")] * 900 + [(i, None) for i in range(100)])
+    places = sorted(r.slot * 7 + r.shard for r in got)
+    assert places == list(range(1000))
+    first = [r for r in got if r.slot * 7 + r.shard < 500 and r.b is None]
+    assert 25 < len(first) < 75, "repeated rows are spread over the whole permutation"
+
+
 def test_language_of_pages_by_markup_and_address(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet").selectExpr("page_id", "url", "html", "regexp_replace(html, '<[^>]*>', ' ') AS body")
     found = language_id.identify(pages, text="body", declared=None, host="url", markup="html", least_texts=3).collect()
