@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm import textarrays as ta
+from millrace.llm.carried import Carried
 from millrace.llm.joins import join_groups
 from millrace.llm.storage import stored
 
@@ -231,21 +232,23 @@ def identify(
     language nothing is accepted; repeated rows each stay; an empty table gives
     no rows; input columns named as a result are replaced.
     """
-    made = {*RESULTS, "__ll", "__letters", "__declared", "__host", "__suffix", "__body"}
-    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in made]
-    host_column = host_of(host)
-    body = text if text in keep and df.schema[text].dataType.typeName() == "string" else "__body"  # carried once
-    marked = df.select(
-        *[F.col(f"`{c}`") for c in keep],
-        *([F.col(f"`{text}`").cast("string").alias("__body")] if body == "__body" else []),
-        declared_language(declared, markup).alias("__declared"),
+    own = Carried(df, RESULTS, keep)
+    column = lambda name: own.find(name) if name else None
+    keep = own.columns()
+    host_column = host_of(column(host))
+    body = own.find(text)
+    if body not in keep or own.rows.schema[body].dataType.typeName() != "string":
+        body = "__body"
+    marked = own.rows.select(
+        *keep,
+        *([F.col(own.find(text)).cast("string").alias("__body")] if body == "__body" else []),
+        declared_language(column(declared), column(markup)).alias("__declared"),
         host_column.alias("__host"),
         F.coalesce(suffix_of(host_column), F.lit("")).alias("__suffix"),
     )
     model = fit(marked, body, least_texts)
-    own = [F.col(f"`{c}`") for c in keep]
     if not model.languages:
-        return marked.select(*own, F.lit(NONE).alias("language"), F.lit(0.0).alias("language_p"), F.lit(NONE).alias("text_language"), F.col("__declared").alias("declared_language"), F.lit(False).alias("accepted"))
+        return marked.select(*own.restored(), F.lit(NONE).alias("language"), F.lit(0.0).alias("language_p"), F.lit(NONE).alias("text_language"), F.col("__declared").alias("declared_language"), F.lit(False).alias("accepted"))
     sent = df.sparkSession.sparkContext.broadcast(model)
     score = lambda columns: ta.with_text_columns(marked, body, [("__ll", "array<double>"), ("__letters", "long")], _score(sent), keep=columns)
     evidence = ["__declared", "__host", "__suffix"]
@@ -258,7 +261,7 @@ def identify(
     ll = F.slice("__ll", 1, k)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     fused = joined.select(
-        *own,
+        *keep,
         "__declared",
         ((F.col("__letters") > 0) & (F.array_max(ll) > F.element_at("__ll", k + 1) - BACKGROUND)).alias("__fits"),
         F.element_at(names, F.array_position(ll, F.array_max(ll)).cast("int")).alias("__by_text"),
@@ -267,7 +270,7 @@ def identify(
     best = F.array_max("__p")
     fits = F.col("__fits")
     return fused.select(
-        *own,
+        *own.restored(),
         F.when(fits, F.element_at(names, F.array_position("__p", best).cast("int"))).otherwise(NONE).alias("language"),
         F.when(fits, F.round(best, 6)).otherwise(0.0).alias("language_p"),
         F.when(fits, F.col("__by_text")).otherwise(NONE).alias("text_language"),

@@ -12,6 +12,8 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millrace.llm.carried import Carried
+
 # Licence sentences as their publishers word them, normalised
 # (lower case, runs of other characters than letters and digits as one blank).
 SENTENCES = {
@@ -113,6 +115,9 @@ def rule_pattern(parts: list[str]) -> str:
     return "," + ",".join(f"(?:{p})" for p in parts) + ","
 
 
+RESULTS = ["sentence_ids", "licenses", "license", "license_use"]
+
+
 def license_scan(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the licence findings of each text to ``df``.
 
@@ -125,17 +130,18 @@ def license_scan(df: DataFrame, text: str = "text") -> DataFrame:
     rows.  Input columns with the names of results are replaced, others pass
     through.
     """
-    names = ["sentence_ids", "licenses", "license", "license_use"]
+    own = Carried(df, RESULTS)
     known = F.create_map(*[F.lit(x) for x in chain.from_iterable((s, i) for i, s in SENTENCES.items())])
-    clean = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), DROPPED, " ")
+    clean = F.regexp_replace(F.lower(F.coalesce(F.col(own.find(text)).cast("string"), F.lit(""))), DROPPED, " ")
     lines = F.trim(F.regexp_replace(clean, r" *\n *", "\n"))
     sentences = F.transform(F.regexp_extract_all(lines, F.lit(sentence_pattern()), F.lit(0)), lambda s: F.regexp_replace(s, GAP, " "))
     found = F.filter(F.transform(sentences, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
-    kept = df.select(*[c for c in df.columns if c.lower() not in names], found.alias("sentence_ids"))
-    return _apply_rules(kept)
+    ruled = _apply_rules(own.rows.select(*own.columns(), found.alias("sentence_ids")))
+    return ruled.select(*own.restored(), *RESULTS)
 
 
 def _apply_rules(df: DataFrame) -> DataFrame:
+    """``df`` (with sentence_ids) and the licences that the rules find in it."""
     sequence = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
     hits: list[Column] = [F.when(sequence.rlike(rule_pattern(parts)), F.lit(name)) for name, _, parts in RULES]
     uses = F.create_map(*[F.lit(x) for x in chain.from_iterable({n: u for n, u, _ in RULES}.items())])

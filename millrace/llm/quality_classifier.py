@@ -21,6 +21,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm import textarrays as ta
+from millrace.llm.carried import Carried
 from millrace.llm.joins import join_groups
 from millrace.llm.storage import stored
 
@@ -133,9 +134,10 @@ def fit(docs: DataFrame, labels: DataFrame, ids: str, text: str, names: list[str
 
     The sample of labels is small enough to be broadcast (24 bytes a row); texts stay where they are.
     """
-    chosen = labels.where(F.col(ids).isNotNull()).select(F.col(ids).alias("__id"), *[F.col(x).cast("int").alias(f"__{x}") for x in names])
+    given, texts = Carried(labels), Carried(docs)
+    chosen = given.rows.select(F.col(given.find(ids)).alias("__id"), *[F.col(given.find(x)).cast("int").alias(f"__{x}") for x in names]).where("__id IS NOT NULL")
     chosen = stored(chosen.orderBy(F.xxhash64(F.lit(seed), "__id"), "__id", *[f"__{x}" for x in names]).limit(sample))
-    labelled = docs.select(F.col(ids).alias("__id"), F.col(text).cast("string").alias("__body")).join(F.broadcast(chosen), "__id").select("__body", *[f"__{x}" for x in names])
+    labelled = texts.rows.select(F.col(texts.find(ids)).alias("__id"), F.col(texts.find(text)).cast("string").alias("__body")).join(F.broadcast(chosen), "__id").select("__body", *[f"__{x}" for x in names])
     words, classes = _chosen_words(labelled, names, most_words)
     width = SHAPES + len(words)
 
@@ -170,6 +172,17 @@ def _evidence(sent, names: list[str]) -> ta.Compute:
     return compute
 
 
+def site_of(own: Carried, host: str | None, path: str | None, address: str | None) -> tuple[Column, Column]:
+    """(host, first part of the path) of an address, else of the columns that stand for them; null for none."""
+    named = [F.col(own.find(x)).cast("string") if x else F.lit(None).cast("string") for x in (host, path)]
+    if not address:
+        return named[0], named[1]
+    parts = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)(?::[0-9]*)?/?([^/?#]*)"
+    given = F.col(own.find(address)).cast("string")
+    known = F.regexp_extract(given, parts, 1) != ""
+    return F.when(known, F.lower(F.regexp_extract(given, parts, 1))).otherwise(named[0]), F.when(known, F.regexp_extract(given, parts, 2)).otherwise(named[1])
+
+
 def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
@@ -225,7 +238,8 @@ def classify(
     ids: str = "doc_id",
     text: str = "text",
     host: str = "source",
-    path: str = "lang",
+    path: str | None = "lang",
+    address: str | None = None,
     sample: int = 20_000,
     most_words: int = 128,
     seed: int = 31,
@@ -234,7 +248,9 @@ def classify(
     """Add quality and toxicity posteriors to the carried columns.
 
     doc_p_*: from the text alone; p_*: with its site's prior; keep: quality of one half or more and
-    toxicity below one half.  host, path: columns that name the site and its part.
+    toxicity below one half.  address: a column of addresses, whose host and first part of the path name the site;
+    where it is None or holds no address, the columns host and path do (a part of a site in one
+    language is the nearest to a path that rows without an address have).
     sample: the largest number of labelled documents that are fitted on (20,000
     by default), over at most most_words words a label; all other sums go over all documents.
 
@@ -245,15 +261,16 @@ def classify(
     as a result are replaced.
     """
     names = ["quality", "toxic"]
-    made = {*RESULTS, "__host", "__path"}
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
+    own = Carried(docs, RESULTS, keep)
+    keep = own.columns()
     evidence = fit(docs, labels, ids, text, names, sample, most_words, seed)
     sent = docs.sparkSession.sparkContext.broadcast(evidence)
-    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit(""))
-    marked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__body"), key(host).alias("__host"), key(path).alias("__path"))
+    key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+    site, part = site_of(own, host, path, address)
+    marked = own.rows.select(*keep, F.col(own.find(text)).cast("string").alias("__body"), key(site).alias("__host"), key(part).alias("__path"))
     fields = [("__quality", "double"), ("__toxic", "double"), ("__bins", "long")]
     scored = ta.with_text_columns(marked, "__body", fields, _evidence(sent, names), keep=[*keep, "__host", "__path"])
-    if text not in keep:  # light rows: scored once
+    if own.find(text) not in keep:  # light rows: scored once
         scored = stored(scored)
     for x in names:
         scored = scored.withColumn(f"doc_p_{x}", _sigmoid(F.col(f"__{x}") + evidence.prior[x]))
@@ -267,7 +284,7 @@ def classify(
         site = F.least(F.greatest(F.coalesce(f"__site_{x}", F.lit(top)), F.lit(1e-4)), F.lit(1 - 1e-4))
         result = result.withColumn(f"p_{x}", F.round(_sigmoid(F.col(f"__{x}") + _logit(site)), 6))
     return result.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *own.restored(),
         "p_quality",
         "p_toxic",
         *[F.round(f"doc_p_{x}", 6).alias(f"doc_p_{x}") for x in names],

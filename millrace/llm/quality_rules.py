@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm import textarrays as ta
+from millrace.llm.carried import Carried
 from millrace.llm.storage import stored
 
 _WORD = ~ta.byte_set([0x20, *range(0x09, 0x0E)])
@@ -168,11 +169,11 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source:
     rows each stay; an empty table gives an empty result; input columns named
     as a result are replaced.
     """
-    made = {n for n, _ in COUNTS} | {"failed", "passes", "g_lang", "g_source"}
-    keep = [c for c in (keep if keep is not None else df.columns) if c.lower() not in made]
-    marked = df.select(*[F.col(c) for c in dict.fromkeys([*keep, text])], F.coalesce(F.col(lang).cast("string"), F.lit("\0")).alias("g_lang"), F.coalesce(F.col(source).cast("string"), F.lit("\0")).alias("g_source"))
-    counted = stored(ta.with_text_columns(marked, text, COUNTS, count_texts, keep=[*keep, "g_lang", "g_source"]))
-    return judged(counted, keep, spread, least_rows)
+    own = Carried(df, [*(n for n, _ in COUNTS), "failed", "passes"], keep)
+    group = lambda name: F.coalesce(F.concat(F.lit("="), F.col(own.find(name)).cast("string")), F.lit(""))  # noqa: E731  null is no value's key
+    marked = own.rows.select(*own.rows.columns, group(lang).alias("g_lang"), group(source).alias("g_source"))
+    counted = stored(ta.with_text_columns(marked, own.find(text), COUNTS, count_texts, keep=[*own.columns(), "g_lang", "g_source"]))
+    return judged(counted, own.columns(), spread, least_rows).select(*own.restored(), *[n for n, _ in COUNTS], "failed", "passes")
 
 
 def learnt(counted: DataFrame, spread: float, least_rows: int) -> DataFrame:
