@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm import textarrays as ta
+from millrace.llm.carried import Carried
 from millrace.llm.components import connected_components
-from millrace.llm.joins import join_groups
+from millrace.llm.joins import join_groups, join_rare
 from millrace.llm.storage import stored
 
 WORDS = 5
@@ -37,12 +38,9 @@ COORDINATES = 64
 #: Levels of splitting; a node at the last level is brute-forced in blocks whatever its size.
 DEPTH = 3
 #: Sets in a leaf, and in a block of a larger node.
-LEAF = 1024
+LEAF = 512
 #: Shingles of one block when groups are verified.
 BLOCK_SHINGLES = 1 << 20
-#: Signatures that agree in this share of coordinates are candidates: four standard
-#: deviations below the threshold.
-CANDIDATE = 0.6
 #: Bits of the filter that keeps sets without a candidate from being shuffled.
 FILTER_BITS = 1 << 25
 
@@ -118,24 +116,43 @@ def _matrix(column: pa.Array, dtype) -> np.ndarray:
 def _sketch(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
     values, begin = shingle_sets(data, offsets)
     signature = np.stack([_per_set(np.minimum, (values * a) >> _U(32), begin, 0) for a in _MINHASH], axis=1).astype(np.uint32)
-    return [set_keys(values, begin), _binary(signature), pa.array(begin[1:] - begin[:-1], pa.int64())]
+    return [set_keys(values, begin), _binary(signature), pa.array(begin[1:] - begin[:-1], pa.int64()), *_texts(data, offsets)]
 
 
-def _keys_only(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-    return [set_keys(*shingle_sets(data, offsets))]
+def _texts(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+    """Two independent hashes of each text."""
+    return [pa.array(ta.span_hash(ta.prefix_hash(data, pair), offsets[:-1], offsets[1:], pair).view(np.int64)) for pair in (0, 1)]
+
+
+def _agreement(similarity: float) -> np.ndarray:
+    """Probability of each number of equal coordinates of a pair."""
+    k = range(COORDINATES + 1)
+    return np.array([math.comb(COORDINATES, i) * similarity**i * (1 - similarity) ** (COORDINATES - i) for i in k])
+
+
+def leaf_bound(recall: float, similarity: float = SIMILAR[0] / SIMILAR[1]) -> int:
+    """Equal coordinates from which a leaf takes a pair for a candidate: lost there is half of what ``recall`` allows at most."""
+    return int(np.flatnonzero(np.cumsum(_agreement(similarity)) <= (1 - recall) / 2).max(initial=-1)) + 1
 
 
 def runs_for(recall: float, similarity: float = SIMILAR[0] / SIMILAR[1]) -> int:
-    """Runs after which a pair at the threshold has met with probability ``recall``.
+    """Runs after which a pair at the threshold has been found with probability ``recall``.
 
-    A node samples 1 / similarity coordinates on average, so a pair at the threshold keeps
-    one common child on average; its survival over the levels is that of
-    a critical branching process.
+    A node samples 1 / similarity coordinates on average, so a pair that agrees in a coordinates keeps
+    a / (coordinates * similarity) common children on average; its survival over the levels is that of
+    a branching process. All runs see the same coordinates, so the chance of a miss is
+    averaged over a, and half of what ``recall`` allows is left to the leaves' bound.
     """
-    met = 1.0
+    each = _agreement(similarity)
+    mean = np.arange(COORDINATES + 1) / (COORDINATES * similarity)
+    met = np.ones(COORDINATES + 1)
     for _ in range(DEPTH):
-        met = 1 - math.exp(-met)
-    return math.ceil(math.log(1 - recall) / math.log(1 - met))
+        met = 1 - np.exp(-mean * met)
+    runs = 1
+    found = np.arange(COORDINATES + 1) >= leaf_bound(recall, similarity)
+    while (each * (1 - met) ** runs)[found].sum() > (1 - recall) / 2:
+        runs += 1
+    return runs
 
 
 def _root_coordinates(runs: int) -> np.ndarray:
@@ -223,8 +240,8 @@ def _forest(root: np.ndarray, keys: list[bytes]) -> tuple[list[bytes], list[byte
     return [keys[i] for i in at], [keys[root[i]] for i in at]
 
 
-def _leaf_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, side, key, sig), sorted by node, to forest edges (a, b) of signatures that agree enough.
+def _leaf_links(batches: Iterator[pa.RecordBatch], bound: int) -> Iterator[pa.RecordBatch]:
+    """(node, side, key, sig), sorted by node, to forest edges (a, b) of signatures that agree in ``bound`` coordinates or more.
 
     Sides: rows of side 1 and 2 are two blocks of which only pairs across count; side 0 is a block in itself.
     """
@@ -238,7 +255,7 @@ def _leaf_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         agree = np.zeros((len(side), len(side)), np.uint8)
         for c in range(COORDINATES):
             agree += signature[:, c, None] == signature[None, :, c]
-        similar = agree >= math.ceil(CANDIDATE * COORDINATES)
+        similar = agree >= bound
         if side.any():
             similar &= side[:, None] != side[None, :]
         more, least = _forest(_roots(similar), _flat(group, "key").to_pylist())
@@ -331,7 +348,7 @@ def _grouped(rows: DataFrame, by: str, run, schema: str) -> DataFrame:
 
 def candidate_groups(sets: DataFrame, recall: float) -> DataFrame:
     """(node, component) of the sets that may be similar to another; sets: key, sig."""
-    runs = runs_for(recall)
+    runs, bound = runs_for(recall), leaf_bound(recall)
     children = sets.select("key", "sig").mapInArrow(_paths(runs), "key binary, node long")
     edges = None
     for level in range(1, DEPTH + 1):
@@ -341,7 +358,7 @@ def candidate_groups(sets: DataFrame, recall: float) -> DataFrame:
         leaves = sizes if final else sizes.where(F.col("n") <= LEAF)
         members = children.join(leaves.hint("merge"), "node").withColumn("blocks", F.ceil(F.col("n") / LEAF)).drop("n")
         met = _blocked(members.join(sets.select("key", "sig").hint("merge"), "key"), "node", "blocks")
-        found = _grouped(met.select("block", "side", "key", "sig"), "block", _leaf_links, "a binary, b binary").distinct()
+        found = _grouped(met.select("block", "side", "key", "sig"), "block", lambda batches: _leaf_links(batches, bound), "a binary, b binary").distinct()
         edges = found if edges is None else edges.union(found)
         large = sizes.where(F.col("n") > LEAF)
         if final or large.isEmpty():
@@ -400,8 +417,8 @@ def verified(docs: DataFrame, text: str, sets: DataFrame, groups: DataFrame) ->
 
 
 def similarity_classes(docs: DataFrame, text: str, ids: str, recall: float) -> tuple[DataFrame, DataFrame]:
-    """(each text's key and id, each linked set's class and links)."""
-    fields = [("key", "binary"), ("sig", "binary"), ("size", "long")]
+    """(each text's set key, id and text keys, each linked set's class and links)."""
+    fields = [("key", "binary"), ("sig", "binary"), ("size", "long"), ("t1", "long"), ("t2", "long")]
     light = stored(ta.with_text_columns(docs.select(F.col(ids).alias("id"), F.col(text).alias("body")), "body", fields, _sketch, keep=["id"]))
     sets = stored(light.where("key IS NOT NULL").groupBy("key").agg(F.first("sig").alias("sig"), F.first("size").alias("size"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least")))
     groups = candidate_groups(sets, recall)
@@ -416,7 +433,7 @@ def similarity_classes(docs: DataFrame, text: str, ids: str, recall: float) -> t
     )
     linked = joined.where("n_links > 0")
     heads = linked.groupBy("component").agg(F.min("least").alias("class_id"))
-    return light.select("id", "key"), stored(linked.join(heads.hint("merge"), "component").select("key", "class_id", "n_links"))
+    return light.select("id", "key", "t1", "t2"), stored(linked.join(heads.hint("merge"), "component").select("key", "component", "class_id", "n_links"))
 
 
 def jaccard_join(docs: DataFrame, text: str = "text", ids: str = "doc_id", recall: float = 0.9999) -> DataFrame:
@@ -426,7 +443,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", ids: str = "doc_id", recal
     0.8 or more; n_links counts the other texts linked to this one, copies
     included; classes are the connected groups of links, named by their least
     id.  Links are verified exactly; recall is the least probability
-    that a pair at the threshold meets in a leaf.
+    that a pair at the threshold meets in a leaf and is a candidate there.
 
     Defined cases: null texts and texts without words have no links and a
     class of their own; texts of one to four words are linked to those of the
@@ -434,26 +451,38 @@ def jaccard_join(docs: DataFrame, text: str = "text", ids: str = "doc_id", recal
     documents of their own; an empty table gives no rows; other columns are not
     looked at.
     """
-    light, results = similarity_classes(docs, text, ids, recall)
-    joined = join_groups(light, results, ["key"], 96)
+    own = Carried(docs)
+    light, results = similarity_classes(own.rows, own.find(text), own.find(ids), recall)
+    joined = join_groups(light.select("id", "key"), results.select("key", "class_id", "n_links"), ["key"], 96)
     return joined.select(F.col("id").alias(ids), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", ids: str = "doc_id", recall: float = 0.9999) -> DataFrame:
     """``docs`` with one document of each class, that of the least id; columns as they were.
 
-    Rows that are equal in id and text are one document here.  Texts are shuffled once, by id and content.
+    Texts without a link stay where they are: only ids and keys are shuffled. Texts that may be linked are
+    found by a filter of fixed size where their keys are too many to be sent to every executor.
+
+    Defined cases: null texts and texts without words all stay; a null id loses to any other; of rows
+    equal in id and text one stays; of equal ids with different texts, the text of the least key;
+    an empty table gives no rows; columns are carried whatever their names.
     """
-    light, results = similarity_classes(docs, text, ids, recall)
-    several = join_groups(light.where("key IS NOT NULL"), results, ["key"], 96, "inner")
-    first = several.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("key").alias("key"))).alias("first"))
-    winners = first.select("first.id", "first.key", F.lit(True).alias("wins"))
-    same = [several["id"].eqNullSafe(winners["id"]), several["key"] == winners["key"]]
-    flags = several.select("id", "key").distinct().join(winners, same, "left")
-    flags = flags.select(several["id"].alias("__flag_id"), several["key"].alias("__flag_key"), F.coalesce("wins", F.lit(False)).alias("__wins"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = ta.with_text_columns(docs.withColumn("__id", F.col(ids)), text, [("__key", "binary")], _keys_only)
-    # Texts without a link stay; of the linked ones each winner stays once.
-    marked = keyed.join(flags, (F.col("__key") == F.col("__flag_key")) & F.col("__id").eqNullSafe(F.col("__flag_id")), "left")
-    number = F.row_number().over(Window.partitionBy("__key", "__id").orderBy(F.lit(1)))
-    return marked.withColumn("__n", F.when(F.col("__wins"), number)).where("__wins IS NULL OR __n = 1").select(*names)
+    own = Carried(docs)
+    light, results = similarity_classes(own.rows, own.find(text), own.find(ids), recall)
+    identity = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("")).alias("row_id")
+    several = join_groups(light.where("key IS NOT NULL"), results.select("key", "component"), ["key"], 96, "inner")
+    several = stored(several.groupBy("component", "id", "t1", "t2").agg(F.count(F.lit(1)).alias("n")))
+    order = F.struct(F.col("id").isNull().alias("no"), "id", "t1", "t2")
+    winners = several.groupBy("component").agg(F.min(order).alias("first")).select("component", F.col("first.t1").alias("w1"), F.col("first.t2").alias("w2"), F.col("first.id").alias("wid"))
+    judged = several.join(winners.hint("merge"), "component")
+    wins = (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2")) & F.col("id").eqNullSafe(F.col("wid"))
+    flags = stored(judged.select(identity, "t1", "t2", F.when(~wins, 0).when(F.col("n") == 1, 1).otherwise(2).alias("mark")))
+    keyed = ta.with_text_columns(own.rows.withColumn("id", F.col(own.find(ids))).withColumn("row_id", identity).drop("id"), own.find(text), [("t1", "long"), ("t2", "long")], _texts)
+    marked = join_rare(keyed, flags, ["t1", "t2", "row_id"], 64)
+    kept = marked.where("mark IS NULL OR mark = 1").select(*own.restored())
+    if flags.where("mark = 2").isEmpty():
+        return kept
+    # Winners that stand in the table several times: one of their rows stays.
+    repeated = join_rare(keyed, flags.where("mark = 2"), ["t1", "t2", "row_id"], 64).where("mark = 2")
+    number = F.row_number().over(Window.partitionBy("t1", "t2", "row_id").orderBy(F.lit(1)))
+    return kept.union(repeated.withColumn("n", number).where("n = 1").select(*own.restored()))

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import jaccard_join as J
@@ -125,4 +126,57 @@ def test_intersections():
 
 
 def test_runs_reach_the_recall():
-    assert 1 - (1 - 0.3742) ** J.runs_for(0.9999) >= 0.9999
+    """Pairs at the threshold, every node split to the last level: how many meet in a leaf and are candidates there."""
+    rng = np.random.default_rng(7)
+    n, recall = 40_000, 0.9999
+    a = rng.integers(0, 1 << 32, (n, J.COORDINATES), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 1 << 32, a.shape, dtype=np.uint32))
+    near = (a == b).sum(axis=1) >= J.leaf_bound(recall)
+
+    def nodes(batches):
+        tables = [pa.Table.from_batches([x]) for x in batches]
+        return pa.concat_tables(tables).to_pandas().astype({"key": "int64"})
+
+    def children(table, signature):
+        sig = J._binary(signature[table.key.to_numpy()])
+        return nodes(J._split(iter([pa.RecordBatch.from_arrays([pa.array(table.key), pa.array(table.node), sig], names=["key", "node", "sig"])])))
+
+    keys = pa.array(np.arange(n))
+    first = [nodes(J._paths(J.runs_for(recall))(iter([pa.RecordBatch.from_arrays([keys, J._binary(x)], names=["key", "sig"])]))) for x in (a, b)]
+    common = first[0].merge(first[1]).drop_duplicates()
+    for _ in range(J.DEPTH - 1):
+        common = children(common, a).merge(children(common, b)).drop_duplicates()
+    met = np.zeros(n, bool)
+    met[common.key.unique()] = True
+    missed = int((~(met & near)).sum())
+    assert missed <= n * (1 - recall) + 4 * (n * (1 - recall)) ** 0.5, missed
+
+
+@pytest.mark.parametrize("leaf", [4, 512])
+def test_recall_of_planted_pairs(spark, monkeypatch, leaf):
+    """Pairs of 0.80 to 0.85 beside texts that share a long passage, so that nodes are split: all links are found."""
+    monkeypatch.setattr(J, "LEAF", leaf)
+    rng = random.Random(12)
+    texts, pairs = [], 1500
+    for i in range(pairs):
+        w = [f"{i}w{rng.randrange(10**6)}" for _ in range(100)]
+        texts.append(" ".join(w))
+        texts.append(" ".join([*w[: 88 + i % 2], *[f"new{i}x{k}" for k in range(9)]]))
+    passage = [f"p{k}" for k in range(60)]
+    texts += [" ".join([*passage, *[f"{i}q{rng.randrange(10**6)}" for _ in range(40)]]) for i in range(1200 if leaf == 512 else 60)]
+    sets = [shingles(t) for t in texts]
+    linked = {k // 2 for k in range(0, 2 * pairs, 2) if 5 * len(sets[k] & sets[k + 1]) >= 4 * len(sets[k] | sets[k + 1])}
+    assert len(linked) > 0.9 * pairs
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id // 2 for r in J.jaccard_join(df).collect() if r.n_links and r.doc_id < 2 * pairs}
+    assert found <= linked and len(linked - found) <= 1
+
+
+def test_rows_apart_from_the_linked(spark, docs, monkeypatch):
+    """Too many linked texts to be sent to every executor: the same rows stay."""
+    from millrace.llm import joins
+
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    usual = key([tuple(r) for r in J.one_of_each(df).collect()])
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 64)
+    assert key([tuple(r) for r in J.one_of_each(df).collect()]) == usual
