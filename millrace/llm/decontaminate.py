@@ -1,28 +1,36 @@
 """Benchmark decontamination by training suffix arrays.
 
-The training texts are cut into shards of whole texts.  Each shard's word
-suffixes are sorted (prefix doubling over word ranks, to the depth of the
-longest benchmark item) and every benchmark suffix is looked up in it by binary
+Windows of the benchmark are hashed by tasks into a filter of fixed size; texts
+without a window that passes it are clean.  The windows of the others meet the
+benchmark's by an equi-join of their hashes, which names the items that can occur in each text.
+The texts that are left are dealt to shards of bounded size, each with the
+items that can occur in it.  Each shard's word suffixes are sorted (prefix
+doubling over word ranks, to the depth of its longest item) and every suffix of its items is looked up by binary
 search, word by word.  The intervals at window length give all places where a
 window occurs; going on from there gives the longest verbatim match and its
-place.  No text leaves its task and nothing is shuffled.  The benchmark is
-sent in blocks of a fixed size, so its size does not matter either.
+place.  Neither the benchmark nor a text passes the driver; clean texts stay where they are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm import textarrays as ta
+from millrace.llm import fixed_filter, textarrays as ta
+from millrace.llm.carried import Carried
+from millrace.llm.joins import join_rare
+from millrace.llm.storage import stored
 
 WINDOW = 13
-#: Words of the benchmark in one block, and so in one task's memory at a time.
-BLOCK_WORDS = 500_000
+#: Bytes of items that are searched at a time.
+BLOCK_BYTES = 2 << 20
+#: Bytes of texts in a shard, about.
+SHARD_BYTES = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -159,7 +167,7 @@ def search(tokens: np.ndarray, sa: np.ndarray, vocabulary: np.ndarray, block: Bl
     return Found(place, length, block.item[test], longest)
 
 
-def scan(data: np.ndarray, offsets: np.ndarray, blocks: list) -> dict[str, list | np.ndarray]:
+def scan(data: np.ndarray, offsets: np.ndarray, blocks: list[Block]) -> dict[str, list | np.ndarray]:
     """The report of one shard: a value for each text and column."""
     value, text, start = hashed_words(data, offsets)
     n_texts = len(offsets) - 1
@@ -167,7 +175,6 @@ def scan(data: np.ndarray, offsets: np.ndarray, blocks: list) -> dict[str, list
     vocabulary, rank = np.unique(value, return_inverse=True)
     n = len(value) + n_texts
     place = np.arange(len(value)) + text
-    n_hit = np.zeros(n_texts, np.int64)
     items: list[set[str]] = [set() for _ in range(n_texts)]
     best: list[tuple[int, str, int]] = [(0, "", -1)] * n_texts
     cover = np.zeros(n, bool)
@@ -175,8 +182,7 @@ def scan(data: np.ndarray, offsets: np.ndarray, blocks: list) -> dict[str, list
     first_byte = np.zeros(n, np.int64)
     first_byte[place] = start - offsets[text]
     sa, depth = None, 0
-    for sent in blocks:
-        block = sent.value
+    for block in blocks:
         if sa is None or block.longest > depth:
             depth = max(depth, block.longest)
             tokens = np.zeros(n + depth + 1, np.int64)
@@ -193,85 +199,163 @@ def scan(data: np.ndarray, offsets: np.ndarray, blocks: list) -> dict[str, list
         of = owner[got.place[by]]
         for x in by[np.r_[True, of[1:] != of[:-1]]]:
             t, length, name = owner[got.place[x]], int(got.longest[x]), block.ids[got.item[x]]
-            if length > best[t][0]:
+            if (-length, name) < (-best[t][0], best[t][1]):
                 best[t] = (length, name, int(first_byte[got.place[x]]))
-    hit = np.bincount(owner[cover], minlength=n_texts)
-    n_hit += hit
-    return {"n_words": n_words, "n_hit": n_hit, "items": items, "best": best}
+    return {"n_words": n_words, "n_hit": np.bincount(owner[cover], minlength=n_texts), "items": items, "best": best}
+
+
+def _window_hashes(value: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of all windows of ``length`` words."""
+    grams, at = ta.ngrams(value, text, length)
+    return ta.mix(grams + np.uint64(length)), text[at]
+
+
+def _windows_of(items: DataFrame, window: int) -> DataFrame:
+    """(h, length, item) of all windows of the items (item, body)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = ta.text_bytes(batch.column(1))
+            value, text, _ = hashed_words(data, offsets)
+            counts = np.bincount(text, minlength=batch.num_rows)
+            for length in np.unique(np.minimum(counts[counts > 0], window)):
+                h, of = _window_hashes(value, text, int(length))
+                fits = np.minimum(counts[of], window) == length
+                yield pa.RecordBatch.from_arrays([ta.longs(h[fits]), pa.array(np.full(int(fits.sum()), length, np.int32)), batch.column(0).take(pa.array(of[fits]))], names=["h", "length", "item"])
+
+    ta.limit_batches(items)
+    return items.select("item", "body").mapInArrow(run, "h long, length int, item long").distinct()
+
+
+def _matches(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_text: str, window: int) -> DataFrame:
+    """(t1, t2, n_hit, item_ids, longest_words, longest_item, longest_at) of the texts in which a window occurs, by their keys."""
+    given = Carried(benchmark)
+    rows = given.rows.select(F.col(given.find(item)).cast("string").alias("id"), F.col(given.find(item_text)).cast("string").alias("body"))
+    items = stored(rows.where("id IS NOT NULL AND body IS NOT NULL").distinct().withColumn("item", F.xxhash64("id", "body")))
+    windows = stored(_windows_of(items, window))
+    lengths = sorted(r.length for r in windows.select("length").distinct().collect())  # window at most
+    sent = docs.sparkSession.sparkContext.broadcast(fixed_filter.build(windows, "h"))
+
+    def candidates(data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        value, text, _ = hashed_words(data, offsets)
+        found = []
+        for length in lengths:
+            h, of = _window_hashes(value, text, length)
+            maybe = fixed_filter.holds(sent.value, h)
+            found.append((h[maybe], of[maybe]))
+        h, of = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.lexsort((h, of))
+        h, of = h[order], of[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])][: len(h)]
+        h, of = h[new], of[new]
+        asked = np.unique(of)
+        keys = np.zeros((2, len(offsets) - 1), np.uint64)
+        for t in asked:  # few texts hold a window that passes
+            keys[:, t] = ta.text_keys(data[offsets[t] : offsets[t + 1]], np.array([0, offsets[t + 1] - offsets[t]]))[0]
+        return pa.RecordBatch.from_arrays([ta.longs(keys[0, of]), ta.longs(keys[1, of]), ta.longs(h)], names=["t1", "t2", "h"])
+
+    asked = ta.read_texts(docs, text, "t1 long, t2 long, h long", candidates).distinct()
+    pairs = stored(asked.join(windows.select("h", "item").hint("merge"), "h").select("t1", "t2", "item").distinct())
+    wanted = docs.sparkSession.sparkContext.broadcast(fixed_filter.build(pairs.select("t1").distinct(), "t1"))
+
+    def bodies(data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        keys = ta.text_keys(data, offsets)
+        at = np.flatnonzero(fixed_filter.holds(wanted.value, keys[:, 0]))
+        raw = data.tobytes()
+        return pa.RecordBatch.from_arrays([ta.longs(keys[at, 0]), ta.longs(keys[at, 1]), pa.array([raw[offsets[i] : offsets[i + 1]] for i in at], pa.binary())], names=["t1", "t2", "body"])
+
+    texts = ta.read_texts(docs, text, "t1 long, t2 long, body binary", bodies).groupBy("t1", "t2").agg(F.first("body").alias("body"))
+    texts = stored(texts.join(pairs.select("t1", "t2").distinct().hint("merge"), ["t1", "t2"], "left_semi"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("b")).first()["b"]
+    shard = F.pmod(F.xxhash64("t1", "t2"), F.lit(max(1, math.ceil(size / SHARD_BYTES)))).alias("shard")
+    asked_items = pairs.select(shard, "item").distinct().join(items.select("item", "id", "body").hint("merge"), "item")
+    none = F.lit(None)
+    both = texts.select(shard, F.lit(0).alias("kind"), "t1", "t2", none.cast("string").alias("id"), "body").union(
+        asked_items.select("shard", F.lit(1), none.cast("long"), none.cast("long"), "id", F.col("body").cast("binary"))
+    )
+    schema = "t1 long, t2 long, n_hit long, item_ids array<string>, longest_words int, longest_item string, longest_at long"
+    ta.limit_batches(docs)
+    return both.repartition("shard").sortWithinPartitions("shard", "kind", "id").mapInArrow(lambda batches: _search_shards(batches, window), schema)
+
+
+def _search_shards(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(shard, kind, t1, t2, id, body), sorted, to the matches of each shard's texts: its texts come first, then its items."""
+    for group in ta.by_group(batches, 0):
+        kind = np.asarray(group["kind"])
+        n = int((kind == 0).sum())
+        body = group["body"].combine_chunks().cast(pa.string())
+        data, offsets = ta.text_bytes(body.slice(0, n))
+        ids, texts = group["id"].slice(n).to_pylist(), body.slice(n).to_pylist()
+        ends = np.cumsum([len(x) for x in texts]) // BLOCK_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1), len(ids)]
+        r = scan(data, offsets, [make_block(ids[i:j], texts[i:j], window) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j > i])
+        hit = np.flatnonzero(r["n_hit"] > 0)
+        best = [r["best"][t] for t in hit]
+        own = group.slice(0, n).take(pa.array(hit))
+        yield pa.RecordBatch.from_arrays(
+            [
+                own["t1"].combine_chunks(),
+                own["t2"].combine_chunks(),
+                pa.array(r["n_hit"][hit], pa.int64()),
+                pa.array([sorted(r["items"][t]) for t in hit], pa.list_(pa.string())),
+                pa.array([b[0] for b in best], pa.int32()),
+                pa.array([b[1] for b in best], pa.string()),
+                pa.array([b[2] for b in best], pa.int64()),
+            ],
+            names=["t1", "t2", "n_hit", "item_ids", "longest_words", "longest_item", "longest_at"],
+        )
+
+
+def _counted(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+    low = _LOWER[data]
+    _, _, text = ta.words(low, offsets, _INSIDE[low])
+    keys = ta.text_keys(data, offsets)
+    return [pa.array(np.bincount(text, minlength=len(offsets) - 1), pa.int64()), ta.longs(keys[:, 0]), ta.longs(keys[:, 1])]
 
 
-def blocks_of(benchmark: DataFrame, item: str, text: str, window: int, block_words: int) -> list:
-    """Broadcast blocks of the benchmark; the driver holds one block of rows at a time.
+REPORT = ["n_words", "n_hit", "item_ids", "longest_words", "longest_item", "longest_at", "contaminated"]
+_COUNTED = [("n_words", "long"), ("t1", "long"), ("t2", "long")]
+_CONTAMINATED = "n_hit IS NOT NULL AND n_hit > 0 AND 20 * n_hit >= n_words"
 
-    Items without an id or without words have no windows.
-    """
-    context = benchmark.sparkSession.sparkContext
-    rows = benchmark.selectExpr(f"cast(`{item}` as string) AS id", f"cast(`{text}` as string) AS body").where("id IS NOT NULL AND body IS NOT NULL")
-    sent, ids, texts, size = [], [], [], 0
-    for row in rows.toLocalIterator():
-        ids.append(row.id)
-        texts.append(row.body)
-        size += len(row.body) // 2 + 1  # words at most
-        if size >= block_words:
-            sent.append(context.broadcast(make_block(ids, texts, window)))
-            ids, texts, size = [], [], 0
-    if ids:
-        sent.append(context.broadcast(make_block(ids, texts, window)))
-    return sent
-
-
-def _is_contaminated(n_words: np.ndarray, n_hit: np.ndarray) -> np.ndarray:
-    return (n_hit > 0) & (20 * n_hit >= n_words)
-
-
-REPORT = [
-    ("n_words", "long"),
-    ("n_hit", "long"),
-    ("item_ids", "array<string>"),
-    ("longest_words", "int"),
-    ("longest_item", "string"),
-    ("longest_at", "long"),
-    ("contaminated", "boolean"),
-]
-
-
-def contamination_report(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+
+def contamination_report(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
     """Add to each document its benchmark matches.
 
     n_words; n_hit: words inside an occurring window of ``window`` words (an
     item of fewer words is one window); item_ids: items with occurring windows,
     sorted as strings; longest_words, longest_item, longest_at: the longest
-    verbatim run from an occurring window, its item and its byte offset in the text
+    verbatim run from an occurring window, its item (the least id of several) and its byte offset in the text
     (0, null, null for none); contaminated: hit words make up 5 % or more.
 
     Defined cases: null and empty texts have no words and are clean; items that
     are null, empty or without id never match; an empty benchmark leaves all
     clean; repeated rows each get their report; equal items all count; input
-    columns named as a result are replaced.
+    columns named as a result are replaced, others are carried whatever their names.
     """
-    blocks = blocks_of(benchmark, item, item_text, window, block_words)
-
-    def compute(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-        r = scan(data, offsets, blocks)
-        return [
-            pa.array(r["n_words"], pa.int64()),
-            pa.array(r["n_hit"], pa.int64()),
-            pa.array([sorted(x) for x in r["items"]], pa.list_(pa.string())),
-            pa.array([b[0] for b in r["best"]], pa.int32()),
-            pa.array([b[1] if b[0] else None for b in r["best"]], pa.string()),
-            pa.array([b[2] if b[0] else None for b in r["best"]], pa.int64()),
-            pa.array(_is_contaminated(r["n_words"], r["n_hit"]), pa.bool_()),
-        ]
-
-    return ta.with_text_columns(docs, text, REPORT, compute, keep=keep)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` less the contaminated ones, all columns as they were."""
-    blocks = blocks_of(benchmark, item, item_text, window, block_words)
-
-    def compute(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-        r = scan(data, offsets, blocks)
-        return [pa.array(~_is_contaminated(r["n_words"], r["n_hit"]), pa.bool_())]
-
-    return ta.with_text_columns(docs, text, [("__clean", "boolean")], compute, mask="__clean")
+    own = Carried(docs, REPORT, keep)
+    body = own.find(text)
+    matches = stored(_matches(own.rows, body, benchmark, item, item_text, window))
+    rows = ta.with_text_columns(own.rows, body, _COUNTED, _counted, keep=own.columns())
+    return join_rare(rows, matches, ["t1", "t2"], 512).select(
+        *own.restored(),
+        "n_words",
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
+        F.coalesce("longest_words", F.lit(0)).alias("longest_words"),
+        "longest_item",
+        "longest_at",
+        F.expr(_CONTAMINATED).alias("contaminated"),
+    )
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``docs`` less the contaminated ones, all columns as they were.
+
+    Defined cases as in ``contamination_report``: texts without words stay, as do all where the benchmark is empty;
+    of equal contaminated rows none stays.
+    """
+    own = Carried(docs)
+    body = own.find(text)
+    matches = stored(_matches(own.rows, body, benchmark, item, item_text, window).select("t1", "t2", "n_hit"))
+    rows = ta.with_text_columns(own.rows, body, _COUNTED, _counted)
+    return join_rare(rows, matches, ["t1", "t2"], 64).where(f"NOT ({_CONTAMINATED})").select(*own.restored())

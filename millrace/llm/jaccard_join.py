@@ -120,8 +120,8 @@ def _sketch(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
 
 
 def _texts(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-    """Two independent hashes of each text."""
-    return [pa.array(ta.span_hash(ta.prefix_hash(data, pair), offsets[:-1], offsets[1:], pair).view(np.int64)) for pair in (0, 1)]
+    keys = ta.text_keys(data, offsets)
+    return [ta.longs(keys[:, 0]), ta.longs(keys[:, 1])]
 
 
 def _agreement(similarity: float) -> np.ndarray:
@@ -195,24 +195,6 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(child.view(np.int64))], names=["key", "node"])
 
 
-def _by_group(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
-    """Consecutive rows of equal value, from batches sorted by the column."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        value = np.asarray(batch.column(column))
-        cuts = np.r_[0, np.flatnonzero(value[1:] != value[:-1]) + 1, len(value)]
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            part = batch.slice(i, j - i)
-            if held and held[-1].column(column)[0] != part.column(column)[0]:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held = []
-            held.append(part)
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def _flat(table: pa.Table, name: str) -> pa.Array:
     column = table[name].combine_chunks()
     return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
@@ -247,7 +229,7 @@ def _leaf_links(batches: Iterator[pa.RecordBatch], bound: int) -> Iterator[pa.Re
     """
     a: list[bytes] = []
     b: list[bytes] = []
-    for group in _by_group(batches, 0):
+    for group in ta.by_group(batches, 0):
         if group.num_rows < 2:
             continue
         signature = _matrix(_flat(group, "sig"), np.uint32)
@@ -305,7 +287,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     links counts the texts of the similar sets met in this block.
     """
-    for group in _by_group(batches, 0):
+    for group in ta.by_group(batches, 0):
         if group.num_rows < 2:
             continue
         sets = [np.frombuffer(s, np.uint64) for s in _flat(group, "shingles").to_pylist()]

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_shared(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; set one only where it is unset."""
+    """Use the folder the cluster names in spark.checkpoint.dir; set one only where it is unset on a single machine."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "millrace-checkpoints"))
 
 

@@ -91,35 +91,12 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     return Segments(ta.span_hash(prefix, anchor, anchor + gram), content, begin, windows, text[first])
 
 
-def text_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Two independent hashes of each text: (texts, 2)."""
-    return np.stack([ta.span_hash(ta.prefix_hash(data, pair), offsets[:-1], offsets[1:], pair) for pair in (0, 1)], axis=1)
-
-
-def _longs(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
-
-
-def _read(df: DataFrame, text: str, schema: str, run) -> DataFrame:
-    """Rows made by run(bytes, offsets) of each run of texts."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = ta.text_bytes(batch.column(0))
-            for i, j in ta.runs(offsets):
-                own = offsets[i : j + 1]
-                yield run(data[own[0] : own[-1]], own - own[0])
-
-    ta.limit_batches(df)
-    return df.select(F.col(f"`{text}`").cast("string").alias("body")).mapInArrow(rows, schema)
-
-
 def _digest(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-    keys = text_keys(data, offsets)
+    keys = ta.text_keys(data, offsets)
     raw = data.tobytes()
     return [
-        _longs(keys[:, 0]),
-        _longs(keys[:, 1]),
+        ta.longs(keys[:, 0]),
+        ta.longs(keys[:, 1]),
         pa.array(np.diff(offsets)),
         pa.array([hashlib.sha256(raw[i:j]).hexdigest() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]),
     ]
@@ -127,7 +104,7 @@ def _digest(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
 
 def _census(data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
     s = segments(data, offsets)
-    return pa.RecordBatch.from_arrays([_longs(s.anchor), _longs(s.content)], names=["anchor", "content"])
+    return pa.RecordBatch.from_arrays([ta.longs(s.anchor), ta.longs(s.content)], names=["anchor", "content"])
 
 
 def _bodies(sent):
@@ -139,7 +116,7 @@ def _bodies(sent):
         at = at[np.unique(s.content[at], return_index=True)[1]]
         raw = data.tobytes()
         body = [raw[i : i + w + LENGTH - 1] for i, w in zip(s.start[at], s.windows[at], strict=True)]
-        return pa.RecordBatch.from_arrays([_longs(s.anchor[at]), _longs(s.content[at]), pa.array(body, pa.binary())], names=["anchor", "content", "body"])
+        return pa.RecordBatch.from_arrays([ta.longs(s.anchor[at]), ta.longs(s.content[at]), pa.array(body, pa.binary())], names=["anchor", "content", "body"])
 
     return run
 
@@ -149,11 +126,11 @@ def _places(sent):
 
     def run(data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         s = segments(data, offsets)
-        keys = text_keys(data, offsets)
+        keys = ta.text_keys(data, offsets)
         at = np.flatnonzero(fixed_filter.holds(sent.value, s.content))
         own = keys[s.text[at]]
         return pa.RecordBatch.from_arrays(
-            [_longs(own[:, 0]), _longs(own[:, 1]), _longs(s.anchor[at]), _longs(s.content[at]), pa.array(s.start[at] - offsets[s.text[at]]), pa.array(s.windows[at])],
+            [ta.longs(own[:, 0]), ta.longs(own[:, 1]), ta.longs(s.anchor[at]), ta.longs(s.content[at]), pa.array(s.start[at] - offsets[s.text[at]]), pa.array(s.windows[at])],
             names=["k1", "k2", "anchor", "content", "start", "windows"],
         )
 
@@ -221,15 +198,15 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.arange(len(body) - LENGTH + 1)
             values = ta.span_hash(ta.prefix_hash(body), first, first + LENGTH)
             same = [pa.array(np.full(len(first), batch.column(k)[row].as_py())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(first.astype(np.int32)), _longs(values)], names=["anchor", "content", "first", "window"])
+            yield pa.RecordBatch.from_arrays([*same, pa.array(first.astype(np.int32)), ta.longs(values)], names=["anchor", "content", "first", "window"])
 
 
 def repeated_segments(docs: DataFrame, text: str) -> DataFrame:
     """(anchor, content, runs): repeated windows of segments as runs (first, number); null for all of them."""
-    counts = stored(_read(docs, text, "anchor long, content long", _census).groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n")))
+    counts = stored(ta.read_texts(docs, text, "anchor long, content long", _census).groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n")))
     several = stored(counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1"))
     sent = docs.sparkSession.sparkContext.broadcast(fixed_filter.build(several, "anchor"))
-    bodies = _read(docs, text, "anchor long, content long, body binary", _bodies(sent)).groupBy("anchor", "content").agg(F.first("body").alias("body"))
+    bodies = ta.read_texts(docs, text, "anchor long, content long, body binary", _bodies(sent)).groupBy("anchor", "content").agg(F.first("body").alias("body"))
     unclear = bodies.join(several.hint("merge"), "anchor").select("anchor", "content", "body", "contents")
     schema = "anchor long, content long, first int, number int"
     one_task = unclear.where(F.col("contents") <= MOST_CONTENTS).drop("contents")
@@ -253,7 +230,7 @@ def _merged(whole: DataFrame, runs: DataFrame) -> DataFrame:
 def _spans(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """(k1, k2, spans): repeated windows of each text as runs of starts (first, number)."""
     sent = docs.sparkSession.sparkContext.broadcast(fixed_filter.build(found, "content"))
-    places = _read(docs, text, "k1 long, k2 long, anchor long, content long, start long, windows long", _places(sent)).distinct()
+    places = ta.read_texts(docs, text, "k1 long, k2 long, anchor long, content long, start long, windows long", _places(sent)).distinct()
     runs = F.coalesce("runs", F.array(F.struct(F.lit(0).alias("first"), F.col("windows").cast("int").alias("number"))))
     moved = F.transform(runs, lambda r: F.struct((F.col("start") + r["first"]).alias("first"), r["number"].cast("long").alias("number")))
     return places.join(found.hint("merge"), ["anchor", "content"]).groupBy("k1", "k2").agg(F.flatten(F.collect_list(moved)).alias("spans"))
@@ -302,12 +279,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     sent = docs.sparkSession.sparkContext.broadcast(fixed_filter.build(spans, "k1"))
 
     def asked(data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-        keys = text_keys(data, offsets)
+        keys = ta.text_keys(data, offsets)
         at = np.flatnonzero(fixed_filter.holds(sent.value, keys[:, 0]))
         raw = data.tobytes()
-        return pa.RecordBatch.from_arrays([_longs(keys[at, 0]), _longs(keys[at, 1]), pa.array([raw[offsets[i] : offsets[i + 1]] for i in at], pa.binary())], names=["k1", "k2", "body"])
+        return pa.RecordBatch.from_arrays([ta.longs(keys[at, 0]), ta.longs(keys[at, 1]), pa.array([raw[offsets[i] : offsets[i + 1]] for i in at], pa.binary())], names=["k1", "k2", "body"])
 
-    one_each = _read(docs, text, "k1 long, k2 long, body binary", asked).groupBy("k1", "k2").agg(F.first("body").alias("body"))
+    one_each = ta.read_texts(docs, text, "k1 long, k2 long, body binary", asked).groupBy("k1", "k2").agg(F.first("body").alias("body"))
     wanted = one_each.join(spans.hint("merge"), ["k1", "k2"]).select("k1", "k2", "body", F.col("spans.first").alias("firsts"), F.col("spans.number").alias("numbers"))
     schema = "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<first:long,end:long>>"
     cut = wanted.mapInArrow(_cut, schema)

@@ -265,3 +265,45 @@ def limit_batches(df: DataFrame) -> None:
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(str(conf.get(name)).rstrip("b")) > BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
+
+
+def text_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Two independent hashes of each text: (texts, 2)."""
+    return np.stack([span_hash(prefix_hash(data, pair), offsets[:-1], offsets[1:], pair) for pair in (0, 1)], axis=1)
+
+
+def longs(x: np.ndarray) -> pa.Array:
+    """Unsigned numbers as Spark's longs."""
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def read_texts(df: DataFrame, text: str, schema: str, run: Callable[[np.ndarray, np.ndarray], pa.RecordBatch]) -> DataFrame:
+    """Rows made by run(bytes, offsets) of each run of texts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            for i, j in runs(offsets):
+                own = offsets[i : j + 1]
+                yield run(data[own[0] : own[-1]], own - own[0])
+
+    limit_batches(df)
+    return df.select(F.col(text).cast("string").alias("body")).mapInArrow(rows, schema)
+
+
+def by_group(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
+    """Consecutive rows of equal value, from batches sorted by the column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        value = np.asarray(batch.column(column))
+        cuts = np.r_[0, np.flatnonzero(value[1:] != value[:-1]) + 1, len(value)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            part = batch.slice(i, j - i)
+            if held and held[-1].column(column)[0] != part.column(column)[0]:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
