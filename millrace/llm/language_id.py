@@ -33,8 +33,8 @@ BINS = 1 << 14
 TEMPER = 1 / 3
 #: Weight of the level above in a host's or suffix's prior, in documents.
 SMOOTHING = 20.0
-#: Posteriors below this are not summed into priors.
-LEAST_POSTERIOR = 0.01
+#: Trigrams that the pooled counts of all languages count for in a language's own: languages of few texts lean on them.
+POOLED = 2_000.0
 #: Log-odds against the background before the text is seen.
 BACKGROUND = 10.0
 NONE = "und"
@@ -97,16 +97,15 @@ class Model:
     weights: np.ndarray
 
 
-def fit(marked: DataFrame, body: str, least_texts: int) -> Model:
-    """Trigram counts of all texts per declared two-letter language.
+def fit(marked: DataFrame, body: str) -> Model:
+    """Trigram counts of all texts per declared two-letter language, shrunk towards those of all texts.
 
-    The driver gets languages x BINS sums, at most 26 * 26 * 16,384 numbers; each task
+    The driver gets a row of BINS sums a language, at most 26 * 26 of them (44 MB of weights); each task
     holds and sends the same for the languages that it meets.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        texts: dict[str, int] = {}
         for batch in batches:
             data, offsets = ta.text_bytes(batch.column(0))
             declared = np.array(batch.column(1).to_pylist(), dtype=object)
@@ -118,24 +117,21 @@ def fit(marked: DataFrame, body: str, least_texts: int) -> Model:
                 table = np.bincount(spread[counts] * BINS + bins[counts], minlength=len(names) * BINS).reshape(len(names), BINS)
                 for k, name in enumerate(names):
                     sums[name] = sums.get(name, 0) + table[k]
-                    texts[name] = texts.get(name, 0) + int((which == k).sum())
         for name, table in sums.items():
             at = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * (len(at) + 1), pa.string()), pa.array(np.r_[-1, at], pa.int32()), pa.array(np.r_[texts[name], table[at]], pa.int64())],
-                names=["language", "bin", "n"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(table[at], pa.int64())], names=["language", "bin", "n"])
 
     ta.limit_batches(marked)
     summed = marked.where("__declared IS NOT NULL").select(F.col(f"`{body}`"), "__declared").mapInArrow(count, "language string, bin int, n long").groupBy("language", "bin").agg(F.sum("n").alias("n"))
-    rows = stored(summed)
-    languages = sorted(r.language for r in rows.where((F.col("bin") == -1) & (F.col("n") >= least_texts)).select("language").collect())
+    rows = stored(summed.groupBy("language").agg(F.collect_list("bin").alias("bins"), F.collect_list("n").alias("counts")))
+    found = {r.language: (r.bins, r.counts) for r in rows.toLocalIterator()}
+    languages = sorted(found)
     table = np.zeros((len(languages) + 1, BINS))
-    number = {x: k for k, x in enumerate(languages)}
-    for r in rows.where("bin >= 0").toLocalIterator():
-        if r.language in number:
-            table[number[r.language], r.bin] = r.n
-    table += 0.5
+    for k, x in enumerate(languages):
+        table[k, found[x][0]] = found[x][1]
+    pooled = table.sum(axis=0) + 0.5
+    table[:-1] += POOLED * pooled / pooled.sum()
+    table[-1] += 0.5
     return Model(languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
@@ -169,7 +165,7 @@ def _priors(scored: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
     """
     k = len(model.languages)
     text_only = _softmax(F.slice("__ll", 1, k))
-    parts = F.filter(F.transform(text_only, lambda p, i: F.struct(i.alias("language"), p.alias("p"))), lambda x: x["p"] >= LEAST_POSTERIOR)
+    parts = F.filter(F.transform(text_only, lambda p, i: F.struct(i.alias("language"), p.alias("p"))), lambda x: x["p"] > 0)
     known = scored.where((F.col("__letters") > 0) & (F.array_max(F.slice("__ll", 1, k)) > F.element_at("__ll", k + 1) - BACKGROUND))
     summed = stored(
         known.select("__host", "__suffix", "__declared", F.explode(parts).alias("x"))
@@ -213,7 +209,6 @@ def identify(
     declared: str | None = "lang",
     host: str | None = "source",
     markup: str | None = None,
-    least_texts: int = 10,
     least_p: float = 0.5,
     keep: list[str] | None = None,
 ) -> DataFrame:
@@ -226,6 +221,8 @@ def identify(
     declared, host, markup: columns of declared codes, of hosts or addresses and
     of markup with a lang attribute; each may be None.
 
+    Every declared two-letter language is modelled; other codes count as none.
+
     Defined cases: null and empty texts, and texts without letters, are ``und``
     and not accepted; rows without host or declaration go without that
     evidence; ties take the first code in order; without a single declared
@@ -246,7 +243,7 @@ def identify(
         host_column.alias("__host"),
         F.coalesce(suffix_of(host_column), F.lit("")).alias("__suffix"),
     )
-    model = fit(marked, body, least_texts)
+    model = fit(marked, body)
     if not model.languages:
         return marked.select(*own.restored(), F.lit(NONE).alias("language"), F.lit(0.0).alias("language_p"), F.lit(NONE).alias("text_language"), F.col("__declared").alias("declared_language"), F.lit(False).alias("accepted"))
     sent = df.sparkSession.sparkContext.broadcast(model)
@@ -277,3 +274,14 @@ def identify(
         F.col("__declared").alias("declared_language"),
         (fits & (best >= least_p)).alias("accepted"),
     )
+
+
+def in_a_language(df: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source", markup: str | None = None, least_p: float = 0.5) -> DataFrame:
+    """The rows in which a language was found, columns as they were, whatever their names.
+
+    Defined cases as in ``identify``: null and empty texts and those without letters go; repeated rows each stay or go.
+    """
+    own = Carried(df)
+    column = lambda name: own.find(name) if name else None
+    found = identify(own.rows, own.find(text), column(declared), column(host), column(markup), least_p)
+    return found.where("accepted").select(*own.restored())

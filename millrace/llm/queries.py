@@ -60,10 +60,14 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    found = language_id.identify(docs, keep=["doc_id"])
-    return found.select("doc_id", "language", "language_p", "text_language", "declared_language", F.col("accepted").alias("kept"))
+    """Language of every document; all pages, with their markup and addresses, are evidence beside them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.col("source").alias("host"), F.lit(None).cast("string").alias("markup"), F.lit(True).alias("asked"))
+    pages = _table(spark, sf_dir, "pages")
+    shown = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
+    none = F.lit(None)
+    pages = pages.select(none.cast("long"), shown, none.cast("string"), "url", F.regexp_extract("html", r"(?i)<html\b[^>]*>", 0), F.lit(False))
+    found = language_id.identify(docs.union(pages), host="host", markup="markup", keep=["doc_id", "asked"])
+    return found.where("asked").select("doc_id", "language", "language_p", "text_language", "declared_language", F.col("accepted").alias("kept"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

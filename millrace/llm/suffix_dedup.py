@@ -40,8 +40,9 @@ LENGTH = 200
 GRAM = 64
 #: Bytes of segments that a shard's task sorts at once, about.
 PART_BYTES = 1 << 20
-#: Contents of one anchor that one task sorts; about 300 bytes each.
+#: Contents of one anchor that one task sorts; about 300 bytes each. More of them are dealt anew, by anchors of the next level.
 MOST_CONTENTS = 4096
+WHOLE_LEVEL = 4
 
 _U = np.uint64
 
@@ -67,14 +68,20 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Segments:
-    """All segments of the texts; texts shorter than ``length`` have none."""
+def segments(data: np.ndarray, offsets: np.ndarray, level: int = 0) -> Segments:
+    """All segments of the texts; texts shorter than ``LENGTH`` have none.
+
+    Each level chooses anchors by another order; from ``WHOLE_LEVEL`` on a window is its own anchor.
+    """
+    length, gram = LENGTH, GRAM if level < WHOLE_LEVEL else LENGTH
     none = np.zeros(0, np.int64)
     n = len(data)
     if n < length:
         return Segments(none.astype(np.uint64), none.astype(np.uint64), none, none, none)
     prefix = ta.prefix_hash(data)
-    packed = (ta.rough_grams(data, gram) & _U(0xFFFFFFFF00000000)) | np.arange(n - gram + 1, dtype=np.uint64)
+    order = ta.rough_grams(data, gram)
+    order = ta.mix(order + _U(level)) if level else order
+    packed = (order & _U(0xFFFFFFFF00000000)) | np.arange(n - gram + 1, dtype=np.uint64)
     least = (_sliding_least(packed, length - gram + 1) & _U(0xFFFFFFFF)).astype(np.int64)
     starts = np.arange(len(least))
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(least)]
@@ -102,16 +109,21 @@ def _digest(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
     ]
 
 
-def _census(data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-    s = segments(data, offsets)
-    return pa.RecordBatch.from_arrays([ta.longs(s.anchor), ta.longs(s.content)], names=["anchor", "content"])
+def _census(level: int):
+    """Anchor and content of every segment."""
 
+    def run(data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        s = segments(data, offsets, level)
+        return pa.RecordBatch.from_arrays([ta.longs(s.anchor), ta.longs(s.content)], names=["anchor", "content"])
+
+    return run
 
-def _bodies(sent):
+
+def _bodies(sent, level: int):
     """Bytes of the segments whose anchor may have several contents."""
 
     def run(data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-        s = segments(data, offsets)
+        s = segments(data, offsets, level)
         at = np.flatnonzero(fixed_filter.holds(sent.value, s.anchor))
         at = at[np.unique(s.content[at], return_index=True)[1]]
         raw = data.tobytes()
@@ -121,11 +133,11 @@ def _bodies(sent):
     return run
 
 
-def _places(sent):
+def _places(sent, level: int):
     """Where the segments are that may be repeated in part or whole."""
 
     def run(data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-        s = segments(data, offsets)
+        s = segments(data, offsets, level)
         keys = ta.text_keys(data, offsets)
         at = np.flatnonzero(fixed_filter.holds(sent.value, s.content))
         own = keys[s.text[at]]
@@ -190,32 +202,22 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield part(held)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, content, body) to a row a window: (anchor, content, first, window)."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            body = np.frombuffer(batch.column(2)[row].as_py(), np.uint8)
-            first = np.arange(len(body) - LENGTH + 1)
-            values = ta.span_hash(ta.prefix_hash(body), first, first + LENGTH)
-            same = [pa.array(np.full(len(first), batch.column(k)[row].as_py())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(first.astype(np.int32)), ta.longs(values)], names=["anchor", "content", "first", "window"])
-
-
-def repeated_segments(docs: DataFrame, text: str) -> DataFrame:
+def repeated_segments(docs: DataFrame, text: str, level: int = 0) -> DataFrame:
     """(anchor, content, runs): repeated windows of segments as runs (first, number); null for all of them."""
-    counts = stored(ta.read_texts(docs, text, "anchor long, content long", _census).groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n")))
+    counts = stored(ta.read_texts(docs, text, "anchor long, content long", _census(level)).groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n")))
     several = stored(counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1"))
     sent = docs.sparkSession.sparkContext.broadcast(fixed_filter.build(several, "anchor"))
-    bodies = ta.read_texts(docs, text, "anchor long, content long, body binary", _bodies(sent)).groupBy("anchor", "content").agg(F.first("body").alias("body"))
+    bodies = ta.read_texts(docs, text, "anchor long, content long, body binary", _bodies(sent, level)).groupBy("anchor", "content").agg(F.first("body").alias("body"))
     unclear = bodies.join(several.hint("merge"), "anchor").select("anchor", "content", "body", "contents")
-    schema = "anchor long, content long, first int, number int"
     one_task = unclear.where(F.col("contents") <= MOST_CONTENTS).drop("contents")
-    found = one_task.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard, schema)
+    found = one_task.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard, "anchor long, content long, first int, number int")
     if not several.where(F.col("contents") > MOST_CONTENTS).isEmpty():
-        # An anchor with very many contents would fill a task: its windows are counted one by one, by many tasks.
-        windows = unclear.where(F.col("contents") > MOST_CONTENTS).select("anchor", "content", "body").mapInArrow(_windows, "anchor long, content long, first int, window long")
-        twice = windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "window")
-        found = found.union(windows.join(twice.hint("merge"), ["anchor", "window"]).select("anchor", "content", "first", F.lit(1).alias("number")))
+        # The segments of a hot anchor are texts of their own, whose windows are dealt by other anchors.
+        hot = stored(unclear.where(F.col("contents") > MOST_CONTENTS).select("anchor", "content", "body"))
+        spans = _spans(repeated_segments(hot, "body", level + 1), hot, "body", level + 1)
+        keyed = ta.with_text_columns(hot, "body", [("k1", "long"), ("k2", "long")], lambda d, o: [ta.longs(k) for k in ta.text_keys(d, o).T], keep=["anchor", "content"])
+        told = keyed.join(spans.hint("merge"), ["k1", "k2"]).select("anchor", "content", F.explode("spans").alias("x"))
+        found = found.union(told.select("anchor", "content", F.col("x.first").cast("int"), F.col("x.number").cast("int")))
     runs = found.groupBy("anchor", "content").agg(F.collect_list(F.struct("first", "number")).alias("runs"))
     whole = counts.where("n > 1").select("anchor", "content")
     return stored(_merged(whole, runs))
@@ -227,10 +229,10 @@ def _merged(whole: DataFrame, runs: DataFrame) -> DataFrame:
     return whole.withColumn("runs", none).union(runs.join(whole, ["anchor", "content"], "left_anti").select("anchor", "content", "runs"))
 
 
-def _spans(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+def _spans(found: DataFrame, docs: DataFrame, text: str, level: int = 0) -> DataFrame:
     """(k1, k2, spans): repeated windows of each text as runs of starts (first, number)."""
     sent = docs.sparkSession.sparkContext.broadcast(fixed_filter.build(found, "content"))
-    places = ta.read_texts(docs, text, "k1 long, k2 long, anchor long, content long, start long, windows long", _places(sent)).distinct()
+    places = ta.read_texts(docs, text, "k1 long, k2 long, anchor long, content long, start long, windows long", _places(sent, level)).distinct()
     runs = F.coalesce("runs", F.array(F.struct(F.lit(0).alias("first"), F.col("windows").cast("int").alias("number"))))
     moved = F.transform(runs, lambda r: F.struct((F.col("start") + r["first"]).alias("first"), r["number"].cast("long").alias("number")))
     return places.join(found.hint("merge"), ["anchor", "content"]).groupBy("k1", "k2").agg(F.flatten(F.collect_list(moved)).alias("spans"))

@@ -40,17 +40,33 @@ def test_pipeline_against_brute_force(spark, small):
 
 
 def test_stages_on_awkward_and_empty_tables(spark, tmp_path):
+    """Which rows pass each stage, by hand; columns that stages use themselves are carried."""
+    clash = ["key", "t1", "mix_row", "mix_source", "full", "cut", "budget", "prior", "said", "__declared", "__body", "row_id", "h", "row", "c0", "a.b"]
     for name, texts in (("awkward", X.awkward()), ("empty", [])):
         folder = tmp_path / name
         extra = [(None, None, None, None, None), (3, texts[4], "en", None, 1), (3, texts[4], "en", None, 1)] if texts else []
-        X.documents(spark, texts, extra).write.parquet(f"{folder}/documents.parquet")
-        spark.createDataFrame([(1, None), (None, "x y"), (2, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        X.documents(spark, texts, extra).selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in clash]).write.parquet(f"{folder}/documents.parquet")
+        item = X.awkward()[17] if texts else "x y"
+        spark.createDataFrame([(1, None), (None, "x y"), (2, ""), (3, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
         docs = spark.read.parquet(f"{folder}/documents.parquet")
         columns = docs.columns
+        passed = []
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, str(folder))
             assert docs.columns[: len(columns)] == columns
-            docs.collect()
+            rows = docs.collect()
+            assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in rows for c in clash)
+            passed.append(Counter(r.doc_id for r in rows))
+        if not texts:
+            assert not any(passed)
+            continue
+        lettered = {i for i, t in enumerate(texts) if any(c.isalpha() for c in t or "")} - {8, 14}  # one letter again and again, and the alphabet: no language
+        assert set(passed[0]) == lettered | {3} and passed[0][3] == 2  # the two rows of one letter
+        classes = TJ.brute([(i, texts[i]) for i in lettered] + [(3, texts[4])] * 2)
+        assert set(passed[1]) == {c for _, c, _ in classes} and max(passed[1].values()) == 1
+        clean = {i for i in passed[1] if not contaminated(texts[4] if i == 3 else texts[i], {tuple(bench_words(item))[k : k + 13] for k in range(2)})}
+        assert set(passed[2]) == clean and 17 not in clean
+        assert set(passed[3]) == clean and passed[4] == passed[3]
 
 
 def check_draws(rows, draws, weight, budget):
@@ -161,12 +177,30 @@ def test_sharding_numbers_repeated_rows(spark):
 
 def test_language_of_pages_by_markup_and_address(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet").selectExpr("page_id", "url", "html", "regexp_replace(html, '<[^>]*>', ' ') AS body")
-    found = language_id.identify(pages, text="body", declared=None, host="url", markup="html", least_texts=3).collect()
+    found = language_id.identify(pages, text="body", declared=None, host="url", markup="html").collect()
     assert len(found) == pages.count()
     same = [r.language == r.declared_language for r in found if r.declared_language]
     assert sum(same) >= 0.9 * len(same)
 
 
+def test_language_query(spark, small):
+    """Pages are evidence only: a row for each document, with the language it declares."""
+    got = queries.op6_language_id(spark, small).collect()
+    docs = {d.doc_id: d for d in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    lettered = [r for r in got if any(c.isalpha() for c in docs[r.doc_id].text or "")]
+    assert all(r.kept and r.language == docs[r.doc_id].lang for r in lettered)
+    assert not any(r.kept for r in got if r not in lettered)
+
+
+def test_language_of_few_texts(spark):
+    """A language that one text declares is modelled; nothing is needed to be accepted but letters."""
+    rows = [(1, "der hund und die katze sind im haus", "de", "a"), (2, "the dog and the cat are in the house", "en", "a"), (3, "the house and the dog", None, "a"), (4, "die katze und der hund", None, "b"), (5, "12 34", None, "b"), (6, None, "en", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.language, r.accepted) for r in language_id.identify(df).collect()}
+    assert got == {1: ("de", True), 2: ("en", True), 3: ("en", True), 4: ("de", True), 5: ("und", False), 6: ("und", False)}
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     hidden = docs.selectExpr("doc_id", "text", "source", "lang AS truth", "if(doc_id % 2 = 0, lang, null) AS lang")
