@@ -1,7 +1,7 @@
 """Corpus pipeline: from documents to shuffled shards of a clean, mixed corpus.
 
 Each stage takes all rows that the one before it kept and returns the columns
-of documents; the last adds shard and slot.
+of documents, whatever they are called; the last adds shard and slot.
 """
 
 from __future__ import annotations
@@ -15,27 +15,42 @@ SHARDS = 16
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language was found."""
-    return language_id.identify(docs).where("accepted").select(*docs.columns)
+    """Documents in which a language was found.
+
+    Null and empty texts and texts without letters go; repeated rows each stay; an empty table gives no rows.
+    """
+    return language_id.in_a_language(docs)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones, that of the least id."""
+    """One document of each group of similar ones, that of the least id.
+
+    Texts without words all stay; a null id loses to any other; of rows equal in id and text one stays.
+    """
     return jaccard_join.one_of_each(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than 5 % stands in the benchmark."""
+    """Documents of which less than 5 % stands in the benchmark.
+
+    Benchmark items that are null or empty never match; with an empty benchmark all stay.
+    """
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's weight asks for: at least once, so none is lost."""
+    """Each document as often as its source's weight asks for: at least once, so none is lost.
+
+    Null sources form one source; texts without words are drawn with every whole block of their source.
+    """
     return mixing.mixed(docs)
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows in seeded random order, dealt to shards."""
+    """All rows in seeded random order, dealt to shards: shard and slot are added, in place of columns of these names.
+
+    Repeated rows all stay, in different slots; an empty table gives no rows.
+    """
     return sharding.shuffle_into_shards(docs, SHARDS)
 
 
