@@ -60,6 +60,49 @@ SENTENCES = {
     "spdx-gpl3": "spdx license identifier gpl 3.0 or later",
     "spdx-gpl3-only": "spdx license identifier gpl 3.0 only",
     "spdx-bsd3": "spdx license identifier bsd 3 clause",
+    "spdx-bsd2": "spdx license identifier bsd 2 clause",
+    "spdx-isc": "spdx license identifier isc",
+    "spdx-mpl2": "spdx license identifier mpl 2.0",
+    "spdx-gpl2": "spdx license identifier gpl 2.0 or later",
+    "spdx-gpl2-only": "spdx license identifier gpl 2.0 only",
+    "spdx-lgpl3": "spdx license identifier lgpl 3.0 or later",
+    "spdx-lgpl21": "spdx license identifier lgpl 2.1 or later",
+    "spdx-agpl3": "spdx license identifier agpl 3.0 or later",
+    "spdx-cc0": "spdx license identifier cc0 1.0",
+    "spdx-unlicense": "spdx license identifier unlicense",
+    "spdx-bsl": "spdx license identifier bsl 1.0",
+    "spdx-zlib": "spdx license identifier zlib",
+    "spdx-epl2": "spdx license identifier epl 2.0",
+    "apache-unless": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "apache-title": "apache license",
+    "mit-liability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "bsd-disclaimer": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl-copy": "you should have received a copy of the gnu general public license along with this program",
+    "lgpl3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version",
+    "agpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-free-by": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation version 3",
+    "mpl-line-3": "this source code form is subject to the terms of the mozilla public license v 2.0",
+    "mpl-line-4": "this source code form is subject to the terms of the mozilla public license v. 2.0",
+    "boost-title": "boost software license version 1.0",
+    "boost-line": "distributed under the boost software license version 1.0",
+    "boost-permission": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-permission": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "zlib-origin": "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "wtfpl-title": "do what the fuck you want to public license",
+    "epl-line": "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0",
+    "epl-line-2": "this program and the accompanying materials are made available under the terms of the eclipse public license v 2.0",
+    "artistic-line": "licensed under the artistic license 2.0",
+    "cc-by-sa-long": "this work is licensed under a creative commons attribution sharealike 4.0 international license",
+    "cc-by-nd-long": "this work is licensed under a creative commons attribution noderivatives 4.0 international license",
+    "cc-by-nc-sa-long": "this work is licensed under a creative commons attribution noncommercial sharealike 4.0 international license",
+    "cc-by-nc-nd-long": "this work is licensed under a creative commons attribution noncommercial noderivatives 4.0 international license",
+    "cc-by-nc-nd-line": "licensed under cc by nc nd 4.0",
+    "odbl-line": "this database is made available under the open database license",
 }
 
 # Fixed values: (licence, use, rule).  A rule is a sequence of alternatives;
@@ -89,6 +132,26 @@ RULES = [
     ("ISC", "permissive", ["isc-permission"]),
     ("BSD-3-Clause", "permissive", ["bsd3-line|spdx-bsd3"]),
     ("BSD-2-Clause", "permissive", ["bsd2-line"]),
+    ("AGPL-3.0", "copyleft", ["agpl-free|agpl-free-by|spdx-agpl3"]),
+    ("LGPL-3.0", "copyleft", ["lgpl3-free|spdx-lgpl3"]),
+    ("LGPL-2.1", "copyleft", ["lgpl21-free|spdx-lgpl21"]),
+    ("GPL-2.0", "copyleft", ["gpl2-free|spdx-gpl2|spdx-gpl2-only"]),
+    ("MPL-2.0", "copyleft", ["mpl-line-3|mpl-line-4|spdx-mpl2"]),
+    ("EPL-2.0", "copyleft", ["epl-line|epl-line-2|spdx-epl2"]),
+    ("Zlib", "permissive", ["zlib-as-is", "zlib-permission", "zlib-origin"]),
+    ("Zlib", "permissive", ["zlib-permission|spdx-zlib"]),
+    ("BSL-1.0", "permissive", ["boost-permission|boost-line|boost-title|spdx-bsl"]),
+    ("BSD-2-Clause", "permissive", ["spdx-bsd2"]),
+    ("ISC", "permissive", ["spdx-isc|isc-as-is"]),
+    ("Artistic-2.0", "permissive", ["artistic-line"]),
+    ("CC-BY-NC-ND-4.0", "noncommercial", ["cc-by-nc-nd-line|cc-by-nc-nd-long"]),
+    ("CC-BY-NC-SA-4.0", "noncommercial", ["cc-by-nc-sa-long"]),
+    ("CC-BY-ND-4.0", "restricted", ["cc-by-nd-long"]),
+    ("CC-BY-SA-4.0", "copyleft", ["cc-by-sa-long"]),
+    ("ODbL-1.0", "copyleft", ["odbl-line"]),
+    ("CC0-1.0", "public-domain", ["spdx-cc0"]),
+    ("Unlicense", "public-domain", ["unlicense-anyone|spdx-unlicense"]),
+    ("WTFPL", "public-domain", ["wtfpl-title"]),
     ("Proprietary", "restricted", ["rights-reserved"]),
 ]
 

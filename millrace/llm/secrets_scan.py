@@ -150,7 +150,8 @@ def secret_scan(df: DataFrame, text: str = "text", reach: int = 400) -> DataFram
     free = F.when(F.size("opaque") > 0, _outside(F.col("opaque"), F.concat("base", "ident", "endpoint"))).otherwise(_none())
     found = found.select(*own.columns(), "base", F.array_sort(F.concat("base", "ident", free, "endpoint")).alias("parts"))
     weak = F.size("parts") > F.size("base")
-    return found.select(*own.restored(), F.col("base").alias("base_spans"), F.when(weak, _linked(F.col("parts"), reach)).otherwise(_none()).alias("linked_spans"))
+    spans = found.select(*own.columns(), F.col("base").alias("base_spans"), F.when(weak, _linked(F.col("parts"), reach)).otherwise(_none()).alias("linked_spans"))
+    return spans.select(*own.restored(), *RESULTS)
 
 
 def span_text(spans: Column) -> Column:
