@@ -16,8 +16,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from millrace.llm import textarrays as ta
-
 
 def _types(t: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than its successor (S); the last one is."""
@@ -170,17 +168,39 @@ def _induce(t: np.ndarray, is_s: np.ndarray, runs: np.ndarray, lms: np.ndarray,
     return order, shared
 
 
-def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+def _eights(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros behind the end."""
+    padded = np.r_[text, np.zeros(8, np.uint8)]
+    return np.ndarray(len(text) + 1, "<u8", padded, strides=(1,)).copy()
+
+
+def _common_prefix(eights: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Common prefix of the suffixes at a and b, up to most; bytes are compared eight at a time."""
+    out = np.zeros(len(a), np.int64)
+    going, k = np.flatnonzero(most > 0), 0
+    while len(going):
+        x = eights[a[going] + k] ^ eights[b[going] + k]
+        differ = x != 0
+        low = x[differ]
+        out[going[differ]] = k + (np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) >> 3)
+        going, k = going[~differ], k + 8
+        out[going] = k
+        going = going[most[going] > k]
+    return np.minimum(out, most)
+
+
+def _names(lms: np.ndarray, ordered: np.ndarray, eights: np.ndarray) -> np.ndarray:
     """Rank of each LMS substring, by place: equal substrings get equal names."""
-    ends = np.r_[lms[1:] + 1, len(t)]
-    number = np.full(len(t), -1, np.int64)
+    n = len(eights) - 1
+    number = np.full(n + 1, -1, np.int64)
     number[lms] = np.arange(len(lms))
     which = number[ordered]
-    stop = np.minimum(ends[which], len(t))
-    digest = ta.span_hash(prefix, ordered.astype(np.int64), stop)
-    changed = np.r_[True, (digest[1:] != digest[:-1]) | ((stop - ordered)[1:] != (stop - ordered)[:-1])]
+    size = (np.r_[lms[1:] + 1, n + 1] - lms)[which]
+    a, b = ordered[:-1].astype(np.int64), ordered[1:].astype(np.int64)
+    most = np.minimum(np.minimum(n - a, n - b), size[1:])  # the end of the string is equal to nothing
+    same = (size[1:] == size[:-1]) & (_common_prefix(eights, a, b, most) == size[1:])
     names = np.empty(len(lms), np.int64)
-    names[which] = np.cumsum(changed) - 1
+    names[which] = np.r_[0, np.cumsum(~same)]
     return names
 
 
@@ -203,21 +223,6 @@ def _doubling(names: np.ndarray) -> np.ndarray:
     return order
 
 
-def _common_prefix(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefix of the suffixes at a and b, by halving over span hashes."""
-    n = prefix.shape[1] - 1
-    most = np.minimum(np.minimum(n - a, n - b), cap)
-    out = np.zeros(len(a), np.int64)
-    step = 1 << (int(cap).bit_length() - 1)
-    while step:
-        ok = out + step <= most
-        at = np.flatnonzero(ok)
-        same = ta.span_hash(prefix, a[at] + out[at], a[at] + out[at] + step) == ta.span_hash(prefix, b[at] + out[at], b[at] + out[at] + step)
-        out[at[same]] += step
-        step >>= 1
-    return out.astype(np.int32)
-
-
 def suffix_array(text: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """(places of the suffixes of a byte string in order, common prefix of each with the one before, up to cap).
 
@@ -234,15 +239,17 @@ def suffix_array(text: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     starts[0] = False
     starts[1:] &= ~is_s[:-1]
     lms = np.flatnonzero(starts).astype(np.int32)
-    prefix = ta.prefix_hash(t)
+    eights = _eights(text)
     if len(lms) > 1:
         rough = lms[np.argsort(t[lms], kind="stable")]
         order, _ = _induce(t, is_s, runs, rough, None, characters, None)
-        names = _names(t, lms, order[starts[order]], prefix)
+        names = _names(lms, order[starts[order]], eights)
         ordered = lms[_doubling(names)] if names.max() + 1 < len(names) else lms[np.argsort(names)]
     else:
         ordered = lms
-    common = np.r_[np.int32(0), _common_prefix(prefix, ordered[:-1].astype(np.int64), ordered[1:].astype(np.int64), cap)].astype(np.int32)
+    first, second = ordered[:-1].astype(np.int64), ordered[1:].astype(np.int64)
+    most = np.minimum(len(text) - np.maximum(first, second), cap)
+    common = np.r_[0, _common_prefix(eights, first, second, most)].astype(np.int32)
     order, shared = _induce(t, is_s, runs, ordered, common, characters, cap)
     order, shared = order[1:], shared[1:]  # without the end
     shared[0] = 0
