@@ -209,9 +209,11 @@ def repeated_segments(docs: DataFrame, text: str, level: int = 0) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(fixed_filter.build(several, "anchor"))
     bodies = ta.read_texts(docs, text, "anchor long, content long, body binary", _bodies(sent, level)).groupBy("anchor", "content").agg(F.first("body").alias("body"))
     unclear = bodies.join(several.hint("merge"), "anchor").select("anchor", "content", "body", "contents")
+    hot_anchors = not several.where(F.col("contents") > MOST_CONTENTS).isEmpty()
+    unclear = stored(unclear) if hot_anchors else unclear  # read twice
     one_task = unclear.where(F.col("contents") <= MOST_CONTENTS).drop("contents")
     found = one_task.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard, "anchor long, content long, first int, number int")
-    if not several.where(F.col("contents") > MOST_CONTENTS).isEmpty():
+    if hot_anchors:
         # The segments of a hot anchor are texts of their own, whose windows are dealt by other anchors.
         hot = stored(unclear.where(F.col("contents") > MOST_CONTENTS).select("anchor", "content", "body"))
         spans = _spans(repeated_segments(hot, "body", level + 1), hot, "body", level + 1)
