@@ -88,3 +88,43 @@ def hl7_fields(message: Column) -> Column:
     """An HL7 v2 message as an array of (segment, fields)."""
     lines = F.filter(F.split(message, r"[\r\n]+"), lambda s: F.length(s) > 0)
     return F.transform(lines, lambda s: F.struct(F.split(s, r"\|")[0].alias("segment"), F.split(s, r"\|").alias("fields")))
+
+
+def reconciled_medications(df: DataFrame, by: Sequence[str], drug: str, codes: DataFrame, name: str, code: str) -> DataFrame:
+    """(by, code) of each patient's drugs, each code once; names meet the code table without regard to case and outer blanks, unknown ones go."""
+    key = lambda c: F.lower(F.trim(F.col(c)))
+    known = codes.select(key(name).alias("__name"), F.col(code).alias("code")).distinct()
+    return df.select(*by, key(drug).alias("__name")).join(known, "__name").select(*by, "code").distinct()
+
+
+def readmission_risk(df: DataFrame, patient: str, codes: str) -> DataFrame:
+    """A patient's largest number of codes in one record, over ten, 1 at most."""
+    return df.groupBy(patient).agg(F.least(F.lit(1.0), F.max(F.coalesce(F.size(codes), F.lit(0))) / 10).alias("risk"))
+
+
+def spirometry(df: DataFrame, by: Sequence[str], order: str, flow: str, rate: float) -> DataFrame:
+    """fvc, fev1, their ratio and peak flow of each trace; volume is the running sum of flow over the sample rate."""
+    at = Window.partitionBy(*by).orderBy(order)
+    volume = df.withColumn("__v", F.sum(flow).over(at.rowsBetween(Window.unboundedPreceding, 0)) / rate).withColumn("__i", F.row_number().over(at))
+    second = F.max_by("__v", F.when(F.col("__i") <= int(rate), F.col("__i")))
+    made = volume.groupBy(*by).agg(F.max("__v").alias("fvc"), second.alias("fev1"), F.max(flow).alias("pef"))
+    return made.withColumn("fev1_fvc_ratio", F.when(F.col("fvc") > 0, F.col("fev1") / F.col("fvc")).otherwise(0.0))
+
+
+def eligible(df: DataFrame, include: Sequence[str], exclude: Sequence[str]) -> DataFrame:
+    """``df`` with eligible and failed (numbers of the criteria not met, from 0): all of include and none of exclude must hold; unknown counts as not met."""
+    met = [F.coalesce(F.expr(x), F.lit(False)) for x in include] + [~F.coalesce(F.expr(x), F.lit(True)) for x in exclude]
+    failed = F.array_compact(F.array(*[F.when(~m, F.lit(i)) for i, m in enumerate(met)]))
+    return df.withColumn("failed", failed).withColumn("eligible", F.size("failed") == 0)
+
+
+def matched_controls(treated: DataFrame, controls: DataFrame, ids: str, score: str, caliper: float) -> DataFrame:
+    """(id, control_id, distance): the nearest control of each treated row within a caliper of the score, controls used again; ties by id.
+
+    An equi-join on cells of the caliper's width and their neighbours.
+    """
+    cell = F.floor(F.col(score) / caliper).cast("long")
+    left = treated.select(F.col(ids).alias("id"), F.col(score).alias("s"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("c"))
+    right = controls.select(F.col(ids).alias("control_id"), F.col(score).alias("t"), cell.alias("c"))
+    near = left.join(right, "c").withColumn("distance", F.abs(F.col("s") - F.col("t"))).where(F.col("distance") <= caliper)
+    return near.groupBy("id").agg(F.min(F.struct("distance", "control_id")).alias("b")).select("id", "b.control_id", "b.distance")

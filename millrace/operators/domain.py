@@ -156,3 +156,60 @@ def zero_crossings(samples: Column) -> Column:
     later = F.slice(samples, F.lit(2), F.greatest(F.size(samples) - 1, F.lit(0)))
     earlier = F.slice(samples, F.lit(1), F.greatest(F.size(samples) - 1, F.lit(0)))
     return F.size(F.filter(F.zip_with(earlier, later, lambda a, b: (a < 0) != (b < 0)), lambda x: x))
+
+
+def short_time_spectrum(samples: Column, window: int, hop: int) -> Column:
+    """Magnitudes of Hann-windowed frames, one after another: window // 2 + 1 a frame; only whole frames."""
+
+    def run(x: np.ndarray) -> np.ndarray:
+        if len(x) < window:
+            return np.zeros(0)
+        frames = np.lib.stride_tricks.sliding_window_view(x, window)[::hop]
+        hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(window) / window)
+        return (np.abs(np.fft.rfft(frames * hann, axis=1)) / hann.sum()).ravel()
+
+    return _per_signal(run)(samples)
+
+
+def envelope(samples: Column) -> Column:
+    """Magnitude of the analytic signal (Hilbert transform)."""
+
+    def run(x: np.ndarray) -> np.ndarray:
+        n = len(x)
+        if not n:
+            return x
+        gain = np.zeros(n)
+        gain[0] = 1
+        gain[1 : (n + 1) // 2] = 2
+        if n % 2 == 0:
+            gain[n // 2] = 1
+        return np.abs(np.fft.ifft(np.fft.fft(x) * gain))
+
+    return _per_signal(run)(samples)
+
+
+def smoothed(samples: Column, window: int, order: int) -> Column:
+    """Savitzky-Golay smoothing: a polynomial fitted to each window; the first and last windows' own fits at the borders."""
+    if window % 2 == 0 or not 0 <= order < window:
+        raise ValueError("the window must be odd and larger than the order")
+    half = window // 2
+    powers = np.arange(-half, half + 1)[:, None] ** np.arange(order + 1)
+    fit = powers @ np.linalg.pinv(powers)  # values of the fitted polynomial at all places of a window
+
+    def run(x: np.ndarray) -> np.ndarray:
+        if len(x) < window:
+            return x
+        windows = np.lib.stride_tricks.sliding_window_view(x, window)
+        return np.concatenate([fit[:half] @ x[:window], windows @ fit[half], fit[half + 1 :] @ x[-window:]])
+
+    return _per_signal(run)(samples)
+
+
+def cross_spectrum(left: Column, right: Column) -> Column:
+    """Magnitudes of the one-sided cross spectrum of two signals of equal length."""
+
+    @F.pandas_udf("array<double>")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([np.abs(np.fft.rfft(np.asarray(x, float)) * np.conj(np.fft.rfft(np.asarray(y, float)))) for x, y in zip(a, b, strict=True)])
+
+    return run(left, right)

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import ast
-import unicodedata
 from collections.abc import Mapping, Sequence
+from itertools import combinations_with_replacement
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.columns import floor_mod, text_of
+from millrace.functions.ranges import running
 
 _BINARY = {
     ast.Add: lambda a, b: a + b,
@@ -91,11 +92,11 @@ def bin_equal_width(df: DataFrame, column: str, bins: int) -> DataFrame:
 def bin_quantile(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Add {column}_bin by edges at the values of rank int(b * n / bins); right-open but for the last bin.
 
-    The edges come from counts per value and their running sum, not from one sorted list.
+    The edges come from counts per value and their running sum by ranges, not from one sorted list.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     n = counts.agg(F.sum("n")).first()[0] or 0
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    upto = running(counts, ["v"], {"upto": ("n", "sum")})
     ranks = [min(int(b * n / bins), n - 1) for b in range(1, bins)]
     edges = upto.agg(*[F.min(F.when(F.col("upto") > r, F.col("v"))) for r in ranks]).first() if n and ranks else []
     number = F.lit(1)
@@ -121,7 +122,7 @@ def clean_strings(df: DataFrame, columns: Sequence[str], lowercase: bool = True,
 
     @F.pandas_udf("string")
     def to_form(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize(form, x))
+        return s.str.normalize(form)
 
     out = {}
     for c in columns:
@@ -135,3 +136,63 @@ def clean_strings(df: DataFrame, columns: Sequence[str], lowercase: bool = True,
 def token_count(df: DataFrame, column: str, name: str = "token_count") -> DataFrame:
     """Words between white space; 0 for null or blank."""
     return df.withColumn(name, F.coalesce(F.regexp_count(F.col(column), F.lit(r"\S+")), F.lit(0)).cast("long"))
+
+
+def polynomial_features(df: DataFrame, columns: Sequence[str], degree: int = 2) -> DataFrame:
+    """Products of 2 to ``degree`` of the columns, with repetition, named a*b; a null factor gives null."""
+    made = {}
+    for n in range(2, degree + 1):
+        for factors in combinations_with_replacement(columns, n):
+            product = F.col(factors[0]).cast("double")
+            for c in factors[1:]:
+                product = product * F.col(c)
+            made["*".join(factors)] = product
+    return df.withColumns(made)
+
+
+def interaction_features(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Products of pairs of columns, named a_x_b."""
+    return df.withColumns({f"{a}_x_{b}": F.col(a).cast("double") * F.col(b) for a, b in pairs})
+
+
+def _bucket(text: Column, n: int) -> Column:
+    """A number below n from the first 32 bits of a text's MD5 digest."""
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(n)).cast("int")
+
+
+def hash_encode(df: DataFrame, column: str, n: int) -> DataFrame:
+    """Replace a category by n columns {column}_hash_{i}: 1 at its hash bucket; null has the word None's."""
+    bucket = _bucket(text_of(F.col(column)), n)
+    return df.select(*[c for c in df.columns if c != column], *[(bucket == i).cast("int").alias(f"{column}_hash_{i}") for i in range(n)])
+
+
+def _held(values: Column, one: int) -> Column:
+    """How often an array holds a number."""
+    return F.size(F.filter(values, lambda x: x == one))
+
+
+def ngram_features(df: DataFrame, column: str, n: int, size: int, analyzer: str = "word") -> DataFrame:
+    """Replace a text by ``size`` columns ngram_{analyzer}_{n}_{i}: how many of its n-grams hash to each.
+
+    word: runs of ASCII letters and digits of the lower-cased text, n of them joined by a blank; char: n characters of it. Null is empty.
+    """
+    low = F.lower(F.coalesce(F.col(column), F.lit("")))
+    units = F.regexp_extract_all(low, F.lit("[a-z0-9]+" if analyzer == "word" else "(?s)."), F.lit(0))
+    count = F.size("__units") - n + 1
+    join = " " if analyzer == "word" else ""
+    grams = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: _bucket(F.array_join(F.slice("__units", i, n), join), size))).otherwise(F.array().cast("array<int>"))
+    counted = df.withColumn("__units", units).withColumn("__grams", grams)
+    return counted.select(*[c for c in df.columns if c != column], *[_held(F.col("__grams"), i).alias(f"ngram_{analyzer}_{n}_{i}") for i in range(size)])
+
+
+def fourier_features(df: DataFrame, columns: Sequence[str], periods: Sequence[float]) -> DataFrame:
+    """Sine and cosine of each column over each period, named {column}_sin_{period} and {column}_cos_{period}."""
+    turn = lambda c, p: F.col(c) * F.lit(6.283185307179586 / p)
+    return df.withColumns({f"{c}_{name}_{p}": f(turn(c, p)) for c in columns for p in periods for name, f in (("sin", F.sin), ("cos", F.cos))})
+
+
+def rolling_features(df: DataFrame, columns: Sequence[str], windows: Sequence[int], statistics: Sequence[str], by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Statistics of the last rows of each series, named {column}_roll{window}_{statistic}; fewer rows at its start."""
+    pick = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_pop}
+    over = lambda w: Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - w, 0)
+    return df.withColumns({f"{c}_roll{w}_{s}": pick[s](c).over(over(w)) for c in columns for w in windows for s in statistics})

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions.ranges import numbered, quantiles, running
+
 
 def hash_split(df: DataFrame, keys: Sequence[str], parts: Mapping[str, float], seed: int = 0, name: str = "split") -> DataFrame:
     """Assign rows to parts by a hash of their keys, so that a row's part never changes."""
@@ -32,8 +34,13 @@ def scale(df: DataFrame, columns: Sequence[str], method: str = "standard") -> Da
 
 
 def impute(df: DataFrame, columns: Sequence[str], method: str = "mean") -> DataFrame:
-    pick = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5), "min": F.min, "max": F.max}[method]
-    stats = df.agg(*[pick(c).alias(f"v{i}") for i, c in enumerate(columns)]).first()
+    """Nulls become the column's mean, median, min or max; a column without values stays null."""
+    if method == "median":
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])))
+        found = {r["name"]: r["m"] for r in quantiles(long, "name", "value", {"m": 0.5}).collect()}  # a row a column
+        stats = [found.get(c) for c in columns]
+    else:
+        stats = df.agg(*[{"mean": F.avg, "min": F.min, "max": F.max}[method](c).alias(f"v{i}") for i, c in enumerate(columns)]).first()
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(stats[i])) for i, c in enumerate(columns)})
 
 
@@ -43,8 +50,8 @@ def one_hot(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
 
 def frequency_encode(df: DataFrame, column: str) -> DataFrame:
     counts = df.groupBy(F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    total = F.sum("__n").over(Window.partitionBy())
-    rates = counts.select("__v", (F.col("__n") / total).alias(f"{column}_frequency"))
+    total = counts.agg(F.sum("__n")).first()[0]
+    rates = counts.select("__v", (F.col("__n") / F.lit(total)).alias(f"{column}_frequency"))
     return df.join(rates, F.col(column).eqNullSafe(F.col("__v")), "left").drop("__v")
 
 
@@ -71,12 +78,11 @@ def binary_report(df: DataFrame, label: str, predicted: str) -> DataFrame:
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve by ranks; equal scores share theirs.
 
-    Scores are counted first, so the running sum goes over distinct scores.
+    Scores are counted first; the running sum goes over distinct scores, by ranges of them.
     """
     counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = F.sum(F.col("p") * (F.col("below") + F.col("n") / 2))
-    return counts.withColumn("below", below).agg((wins / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auc"))
+    wins = F.sum(F.col("p") * (F.col("upto") - F.col("n") / 2))
+    return running(counts, ["s"], {"upto": ("n", "sum")}).agg((wins / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auc"))
 
 
 def regression_report(df: DataFrame, label: str, predicted: str) -> DataFrame:
@@ -99,10 +105,9 @@ def stability_index(expected: DataFrame, actual: DataFrame, column: str, edges:
 def largest_gap(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic, over the counts of distinct values."""
     counts = a.select(F.col(column).alias("v"), F.lit(1).alias("x"), F.lit(0).alias("y")).union(b.select(F.col(column), F.lit(0), F.lit(1))).where("v IS NOT NULL").groupBy("v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    gap = F.abs(F.sum("x").over(upto) / F.sum("x").over(whole) - F.sum("y").over(upto) / F.sum("y").over(whole))
-    return counts.select(gap.alias("gap")).agg(F.max("gap").alias("ks"))
+    upto = running(counts, ["v"], {"fx": ("x", "sum"), "fy": ("y", "sum")})
+    whole = upto.agg(F.max("fx").alias("nx"), F.max("fy").alias("ny"))
+    return upto.join(F.broadcast(whole)).agg(F.max(F.abs(F.col("fx") / F.nullif("nx", F.lit(0)) - F.col("fy") / F.nullif("ny", F.lit(0)))).alias("ks"))
 
 
 def backtest_windows(df: DataFrame, ts: str, cutoffs: Sequence[str], horizon_days: int, train_days: int | None = None) -> DataFrame:
@@ -183,3 +188,73 @@ def tf_idf(docs: DataFrame, ids: str, tokens: str) -> DataFrame:
     counts = docs.select(ids, F.explode(tokens).alias("term")).groupBy(ids, "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = counts.groupBy("term").agg((F.log((1 + n) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
     return counts.join(idf, "term").select(ids, "term", (F.col("tf") * F.col("idf")).alias("weight"))
+
+
+def threshold_scores(df: DataFrame, label: str, probability: str) -> DataFrame:
+    """(threshold, precision, recall, f1) at 0.01 to 0.99: a row counts as positive from its threshold on.
+
+    Rows are counted by hundredths first, so the sweep goes over a hundred of them.
+    """
+    p = F.col(probability)
+    hundredth = F.least(F.greatest(F.floor(p * 100 + 1e-9), F.lit(0)), F.lit(100)).cast("int").alias("h")
+    cells = df.where(p.isNotNull()).groupBy(hundredth).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    steps = df.sparkSession.range(1, 100).select(F.col("id").cast("int").alias("t"))
+    upper = steps.join(F.broadcast(cells), F.col("h") >= F.col("t"), "left").groupBy("t").agg(F.coalesce(F.sum("p"), F.lit(0)).alias("tp"), F.coalesce(F.sum("n"), F.lit(0)).alias("fp"))
+    every = cells.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("pos"))
+    over = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+    tp, fp, pos = F.col("tp"), F.col("fp"), F.col("pos")
+    return upper.crossJoin(F.broadcast(every)).select((F.col("t") / 100).alias("threshold"), over(tp, tp + fp).alias("precision"), over(tp, pos).alias("recall"), over(2 * tp, tp + fp + pos).alias("f1"))
+
+
+def best_threshold(df: DataFrame, label: str, probability: str, metric: str = "f1") -> DataFrame:
+    """(threshold, score) of the best precision, recall or F1; the least threshold of equals."""
+    if metric not in ("f1", "precision", "recall"):
+        raise ValueError(f"unknown metric {metric!r}")
+    scores = threshold_scores(df, label, probability)
+    best = F.max_by(F.struct("threshold", metric), F.struct(F.col(metric), -F.col("threshold"))).alias("b")
+    return scores.agg(best).select("b.threshold", F.col(f"b.{metric}").alias("score"))
+
+
+def residual_histogram(df: DataFrame, label: str, predicted: str, bins: int) -> DataFrame:
+    """(bin, n) of label less prediction, in equal widths between the least and the largest; 0 to bins - 1."""
+    e = df.select((F.col(label) - F.col(predicted)).cast("double").alias("e")).where("e IS NOT NULL")
+    low, high = e.agg(F.min("e"), F.max("e")).first()
+    width = (high - low) / bins if low is not None else 0.0
+    number = F.least(F.floor((F.col("e") - F.lit(low)) / F.lit(width)), F.lit(bins - 1)) if width else F.lit(0)
+    return e.groupBy(number.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def durbin_watson(df: DataFrame, label: str, predicted: str, by: Sequence[str], order: str) -> DataFrame:
+    """Durbin-Watson statistic of each series' residuals, and whether it lies outside 1.5 to 2.5."""
+    e = df.withColumn("__e", F.col(label) - F.col(predicted))
+    step = F.col("__e") - F.lag("__e").over(Window.partitionBy(*by).orderBy(order))
+    stat = (F.sum(F.col("__d") * F.col("__d")) / F.nullif(F.sum(F.col("__e") * F.col("__e")), F.lit(0.0))).alias("durbin_watson")
+    found = e.withColumn("__d", step).groupBy(*by).agg(stat)
+    return found.withColumn("outside", (F.col("durbin_watson") < 1.5) | (F.col("durbin_watson") > 2.5))
+
+
+def prediction_interval(calibration_rows: DataFrame, test: DataFrame, label: str, predicted: str, coverage: float = 0.9) -> DataFrame:
+    """(half_width, mean_width, covered): the conformal half width of calibration residuals, and the share of test labels inside.
+
+    The half width is the ceil((n + 1) * coverage)-th smallest absolute residual (the largest if there are too few).
+    """
+    size = lambda d: d.select(F.abs(F.col(label) - F.col(predicted)).cast("double").alias("r")).where("r IS NOT NULL")
+    counts = size(calibration_rows).groupBy("r").agg(F.count(F.lit(1)).alias("n"))
+    upto = running(counts, ["r"], {"upto": ("n", "sum")})
+    total = upto.agg(F.max("upto").alias("total"))
+    rank = F.least(F.ceil((F.col("total") + 1) * coverage), F.col("total"))
+    half = upto.crossJoin(F.broadcast(total)).agg(F.min(F.when(F.col("upto") >= rank, F.col("r"))).alias("half_width"))
+    return size(test).crossJoin(F.broadcast(half)).groupBy("half_width").agg(F.avg((F.col("r") <= F.col("half_width")).cast("double")).alias("covered")).select("half_width", (2 * F.col("half_width")).alias("mean_width"), "covered")
+
+
+def walk_forward(df: DataFrame, order: Sequence[str], train: int, test: int, steps: int) -> DataFrame:
+    """Rows of each step: ``train`` rows in time order, then the next ``test``; every step begins ``test`` rows later.
+
+    Raises ValueError when the table has fewer than train + test * steps rows.
+    """
+    if df.count() < train + test * steps:
+        raise ValueError("too few rows for these windows")
+    rows = numbered(df, order, "__n").where(F.col("__n") <= train + test * steps)
+    at = F.col("__n") - 1 - F.col("step") * test
+    role = F.when((at >= 0) & (at < train), "train").when((at >= train) & (at < train + test), "test")
+    return rows.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("role", role).where("role IS NOT NULL").drop("__n")

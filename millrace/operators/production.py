@@ -87,3 +87,38 @@ def well_path(survey: DataFrame, by: Sequence[str], depth: str, inclination: str
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     out = stations.withColumns({n: F.coalesce(F.sum(factor * s).over(so_far), F.lit(0.0)) for n, s in steps.items()})
     return out.drop("__i", "__a", "__i0", "__a0", "__l", "__b")
+
+
+def oil_in_place(acres: Column, thickness_ft: Column, porosity: Column, saturation: Column, volume_factor: Column) -> Column:
+    """Original oil in place by volumes, in stock-tank barrels."""
+    return 7758.0 * acres * thickness_ft * porosity * (1 - saturation) / volume_factor
+
+
+def material_balance(oil: Column, water: Column, gas: Column, factor: Column, first_factor: Column, expansion: float = 0.003) -> tuple[Column, Column]:
+    """(oil, gas) in place: voidage over the expansion of oil, and gas over its expansion; no expansion of oil: five times what was produced."""
+    grown = factor - first_factor
+    return F.when(grown > 1e-6, (oil * factor + water) / (grown + 1e-9)).otherwise(oil * 5.0), gas / (expansion + 1e-9)
+
+
+def interpolated(df: DataFrame, by: Sequence[str], at: str, table: DataFrame, x: str, y: str, name: str) -> DataFrame:
+    """Add the table's value at ``at`` by linear interpolation within ``by`` (a fluid's PVT table); outside its range the end's value.
+
+    Table rows and asked rows are ordered together once; nothing is joined pair by pair.
+    """
+    kinds = {c: df.schema[c].dataType for c in df.columns}
+    asked = df.select(F.struct(*df.columns).alias("__row"), *by, F.col(at).cast("double").alias("__x"), F.lit(None).cast("double").alias("__y"))
+    known = table.select(F.lit(None).cast(asked.schema["__row"].dataType).alias("__row"), *by, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    point = F.when(F.col("__y").isNotNull(), F.struct(F.col("__x").alias("x"), F.col("__y").alias("y")))
+    order = Window.partitionBy(*by).orderBy("__x", F.col("__y").isNull())
+    back = F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first(point, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    met = asked.union(known).withColumn("__a", back).withColumn("__b", ahead).where("__row IS NOT NULL")
+    a, b = F.col("__a"), F.col("__b")
+    between = F.when(b.isNull(), a["y"]).when(a.isNull(), b["y"]).when(b["x"] == a["x"], a["y"]).otherwise(a["y"] + (b["y"] - a["y"]) * (F.col("__x") - a["x"]) / (b["x"] - a["x"]))
+    return met.select(*[F.col(f"__row.{c}").alias(c) for c in kinds], between.alias(name))
+
+
+def is_shale(gamma: Column, clean: float = 20.0, shale: float = 120.0, cutoff: float = 0.35) -> Column:
+    """1.0 where the linear shale volume of a gamma-ray reading exceeds the cutoff (shale), else 0.0 (sand)."""
+    volume = F.least(F.greatest((gamma - clean) / (shale - clean), F.lit(0.0)), F.lit(1.0))
+    return (volume > cutoff).cast("double")

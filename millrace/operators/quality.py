@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.columns import micros, row_digest
+from millrace.functions.ranges import quantiles
 
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row a column: observed, nulls, distinct values, least, largest, as text."""
+    """One row a column: observed, nulls, distinct values, least, largest, most frequent (the least of several), as text."""
     made = []
     for i, c in enumerate(columns):
         made += [F.count(c).alias(f"o{i}"), F.count_if(F.col(c).isNull()).alias(f"n{i}"), F.countDistinct(c).alias(f"d{i}"), F.min(c).cast("string").alias(f"a{i}"), F.max(c).cast("string").alias(f"z{i}")]
@@ -25,18 +26,19 @@ def top_values(df: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def statistics(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
-    """Count, mean, sample deviation (0 for one value) and percentiles; exact=False takes sketches, for tables that do not fit."""
+    """Count, mean, sample deviation (0 for one value) and percentiles; exact ones come from counts of values in ranges, exact=False takes sketches."""
     ranks = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns]))).where("value IS NOT NULL")
-    at = (lambda r: F.percentile("value", r)) if exact else (lambda r: F.percentile_approx("value", r, 10_000))
-    return long.groupBy("name").agg(
+    sketched = [] if exact else [F.percentile_approx("value", r, 10_000).alias(n) for n, r in ranks.items()]
+    moments = long.groupBy("name").agg(
         F.count("value").alias("n"),
         F.min("value").alias("least"),
         F.max("value").alias("largest"),
         F.avg("value").alias("mean"),
         F.when(F.count("value") > 1, F.stddev_samp("value")).otherwise(0.0).alias("std"),
-        *[at(r).alias(n) for n, r in ranks.items()],
+        *sketched,
     )
+    return moments.join(quantiles(long, "name", "value", ranks), "name") if exact else moments
 
 
 def null_rates(df: DataFrame, thresholds: Mapping[str, float]) -> DataFrame:

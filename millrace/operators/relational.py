@@ -150,13 +150,30 @@ def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], columns: Sequen
 
 
 def range_lookup(df: DataFrame, ranges: DataFrame, bounds: Mapping[str, tuple[str, str]], columns: Sequence[str]) -> DataFrame:
-    """Left join where each value lies between a range's bounds, both included; several matches multiply rows."""
+    """Left join where each value lies between a range's bounds, both included; several matches multiply rows.
+
+    For a small table of ranges, which Spark sends to every executor; ``grid_lookup`` is the way for large ones.
+    """
     condition = F.lit(True)
     for value, (low, high) in bounds.items():
         condition = condition & F.col(f"l.{value}").between(F.col(f"r.{low}"), F.col(f"r.{high}"))
     return df.alias("l").join(ranges.alias("r"), condition, "left").select("l.*", *[F.col(f"r.{c}") for c in columns])
 
 
+def grid_lookup(df: DataFrame, ranges: DataFrame, bounds: Mapping[str, tuple[str, str]], columns: Sequence[str], widths: Mapping[str, float]) -> DataFrame:
+    """``range_lookup`` over several axes at once by an equi-join on cells of a grid, ``widths`` wide on each axis.
+
+    A box is copied to each cell that it touches: take widths near the boxes' own. Rows without a value on an axis match nothing.
+    """
+    cell = lambda c, axis: F.floor(c / F.lit(widths[axis])).cast("long")
+    spread, left, condition = ranges, df, F.lit(True)
+    for i, (axis, (low, high)) in enumerate(bounds.items()):
+        spread = spread.where(F.col(low) <= F.col(high)).withColumn(f"__cell{i}", F.explode(F.sequence(cell(F.col(low), axis), cell(F.col(high), axis))))
+        left = left.withColumn(f"__cell{i}", cell(F.col(axis), axis))
+        condition = condition & (F.col(f"l.__cell{i}") == F.col(f"r.__cell{i}")) & F.col(f"l.{axis}").between(F.col(f"r.{low}"), F.col(f"r.{high}"))
+    return left.alias("l").join(spread.alias("r"), condition, "left").select(*[F.col(f"l.{c}") for c in df.columns], *[F.col(f"r.{c}") for c in columns])
+
+
 def bucketed_range_lookup(df: DataFrame, ranges: DataFrame, value: str, low: str, high: str, columns: Sequence[str], width: float) -> DataFrame:
     """The same for one value by an equi-join on buckets of ``width``: no nested loop over large tables.
 

@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
+from millrace.functions.ranges import numbered
 from millrace.functions.storage import written
 from millrace.operators.linkage import connected
 
@@ -92,6 +93,50 @@ def recursive_chunks(df: DataFrame, text: str, size: int) -> DataFrame:
     return df.select("*", F.posexplode(cut(text)).alias("chunk_index", "chunk"))
 
 
+def _sentences(text: Column) -> Column:
+    """Trimmed sentences: pieces between white space that follows a full stop, an exclamation or a question mark."""
+    cut = F.split(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"([.!?])\s+", "$1\u0001"), "\u0001")
+    return F.filter(F.transform(cut, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > 0)
+
+
+def sentence_windows(df: DataFrame, text: str, size: int, overlap: int = 0) -> DataFrame:
+    """A row a window of ``size`` sentences: chunk_index, sentence_start, sentence_count, chunk. The last window is the first that reaches the end."""
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be at least 0 and below the size")
+    stride = size - overlap
+    cut = df.withColumn("__s", _sentences(F.col(text))).where(F.size("__s") > 0)
+    last = F.ceil(F.greatest(F.size("__s") - size, F.lit(0)) / stride).cast("int")
+    rows = cut.select("*", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: i * stride)).alias("chunk_index", "sentence_start"))
+    window = F.slice("__s", F.col("sentence_start") + 1, F.lit(size))
+    return rows.withColumn("sentence_count", F.size(window)).withColumn("chunk", F.array_join(window, " ")).drop("__s")
+
+
+def parent_chunks(chunks: DataFrame, keys: Sequence[str], index: str, chunk: str, group: int) -> DataFrame:
+    """Children with parent_index and parent_text: the ``group`` chunks of one document that stand together, joined by line ends."""
+    rows = chunks.withColumn("parent_index", F.floor(F.col(index) / group).cast("int"))
+    within = Window.partitionBy(*keys, "parent_index").orderBy(index).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return rows.withColumn("parent_text", F.array_join(F.collect_list(chunk).over(within), "\n"))
+
+
+#: Lines that open a block of source code.
+CODE_BOUNDARY = r"(?:async\s+def|def|class|function|func|fn|interface|struct|enum|impl|public|private|protected)\b.*"
+
+
+def code_chunks(df: DataFrame, text: str, size: int, boundary: str = CODE_BOUNDARY) -> DataFrame:
+    """Blocks of source lines (each opened by a boundary line) packed in order into chunks of at most ``size`` characters; a longer block is a chunk."""
+    marked = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\n(?=" + boundary + ")", "\u0001")
+    blocks = F.filter(F.split(marked, "\u0001"), lambda b: b.rlike(r"\S"))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+
+    def step(acc: Column, b: Column) -> Column:
+        joined = F.coalesce(F.concat(acc["open"], F.lit("\n\n"), b), b)
+        full = acc["open"].isNotNull() & (F.length(joined) > size)
+        return F.struct(F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), F.when(full, b).otherwise(joined).alias("open"))
+
+    chunks = F.aggregate(blocks, start, step, lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
+    return df.select("*", F.posexplode(chunks).alias("chunk_index", "chunk"))
+
+
 def tokens(text: Column) -> Column:
     """Runs of ASCII letters and digits of the lower-cased text."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
@@ -330,12 +375,17 @@ def prune_conversation(df: DataFrame, conversation: str, turn: str, text: str, b
 
 # Phrases that try to take over a prompt.
 INJECTION = [
-    r"(?i)ignore (?:all |any )?(?:previous|prior|above) instructions",
-    r"(?i)disregard (?:all |any )?(?:previous|prior|above)",
-    r"(?i)you are now\b",
-    r"(?i)system prompt",
-    r"(?i)\bact as\b",
-    r"(?i)reveal (?:your|the) (?:prompt|instructions)",
+    r"(?i)ignore\s+(?:all\s+)?(?:previous|prior|above)\s+instructions",
+    r"(?i)disregard\s+(?:the\s+)?(?:above|previous|system|prior)",
+    r"(?i)forget\s+(?:everything|all\s+previous|your\s+instructions)",
+    r"(?i)you\s+are\s+now\s+(?:a|an|in|no\s+longer)\b",
+    r"(?i)new\s+(?:system\s+)?(?:instructions?|rules?|prompt)\s*:",
+    r"(?i)\b(?:call|invoke|run|use|execute)\s+the\s+[\w.-]+\s+tool\b",
+    r"(?i)system\s*prompt\b",
+    r"(?i)reveal\s+(?:your\s+)?(?:system\s+prompt|instructions?|secrets?)",
+    r"(?i)(?:exfiltrate|leak|send)\s+.{0,40}?(?:https?://|api[_-]?key|password|secret)",
+    r"(?i)!\[[^\]]*\]\(https?://",
+    r"(?i)override\s+(?:the\s+)?(?:system|instructions?|policy|guardrails?)",
 ]
 
 
@@ -352,3 +402,45 @@ def new_chunks(chunks: DataFrame, manifest: DataFrame, doc: str, chunk: str) ->
     added = now.join(old, [doc, "digest"], "left_anti").withColumn("change", F.lit("add"))
     removed = old.join(now, [doc, "digest"], "left_anti").withColumn("change", F.lit("remove"))
     return added.union(removed)
+
+
+def hybrid_top_k(dense: DataFrame, lexical: DataFrame, query: str, item: str, k: int, candidates: int = 4, constant: int = 60) -> DataFrame:
+    """(query, item, score): the k best of two rankings fused by reciprocal ranks; both hold (query, item, score), higher is better.
+
+    Of each ranking the ``candidates * k`` best of a query take part; ties by item.
+    """
+    fetch = k * candidates
+
+    def ranks(scored: DataFrame) -> DataFrame:
+        number = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), item))
+        return scored.select(query, item, "score").withColumn("r", number).where(F.col("r") <= fetch).select(query, item, (1 / (F.lit(constant) + F.col("r"))).alias("part"))
+
+    fused = ranks(dense).unionByName(ranks(lexical)).groupBy(query, item).agg(F.sum("part").alias("score"))
+    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), item))
+    return fused.withColumn("r", place).where(F.col("r") <= k).drop("r")
+
+
+def decayed(value: Column, age_seconds: Column, half_life_seconds: float) -> Column:
+    """A value halved once a half life; negative ages count as none."""
+    return value * F.pow(F.lit(0.5), F.greatest(age_seconds, F.lit(0.0)) / half_life_seconds)
+
+
+def ranked_recall(df: DataFrame, by: Sequence[str], item: str, relevance: str, age_seconds: str, importance: str, half_life_seconds: float, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """``df`` with score and place: relevance, decayed recency and importance, each scaled to 0..1 within ``by`` (no spread: 0), weighed and summed."""
+    rows = df.withColumn("__recency", decayed(F.lit(1.0), F.col(age_seconds).cast("double"), half_life_seconds))
+    score = F.lit(0.0)
+    bounds = rows.groupBy(*by).agg(*[f(c).cast("double").alias(f"__{n}{i}") for i, c in enumerate((relevance, "__recency", importance)) for n, f in (("lo", F.min), ("hi", F.max))])
+    for i, c in enumerate((relevance, "__recency", importance)):
+        span = F.col(f"__hi{i}") - F.col(f"__lo{i}")
+        score = score + weights[i] * F.when(span > 0, (F.col(c) - F.col(f"__lo{i}")) / span).otherwise(0.0)
+    joined = rows.join(bounds, list(by)) if by else rows.crossJoin(F.broadcast(bounds))
+    scored = joined.withColumn("score", score).select(*df.columns, "score")
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), item))) if by else numbered(scored, [F.desc("score"), item], "place")
+
+
+def consolidated(df: DataFrame, classes: DataFrame, ids: str, order: Sequence[str | Column], text: str) -> DataFrame:
+    """One row a class of near-duplicates (id, class_id): its first text in an order, and how many members it stands for."""
+    first = F.row_number().over(Window.partitionBy("class_id").orderBy(*order, ids))
+    rows = df.join(classes.select(F.col("id").alias(ids), "class_id"), ids).withColumn("__first", first)
+    members = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("members"))
+    return rows.where("__first = 1").join(members, "class_id").select("class_id", ids, text, "members")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.columns import micros, text_of
+from millrace.functions.ranges import running
 
 _SECOND = 1_000_000
 
@@ -73,36 +77,57 @@ def rolling(df: DataFrame, ts: str, value: str, size: int, statistic: str = "mea
     return df.withColumn(name, pick(value).over(over))
 
 
-def late_events(df: DataFrame, arrival: str, ts: str, value: str, bucket_seconds: int, lateness_seconds: int, by: Sequence[str] = ()) -> DataFrame:
+def late_events(df: DataFrame, arrival: str, ts: str, value: str, bucket_seconds: int, lateness_seconds: int, by: Sequence[str] = (), aggregation: str = "sum") -> DataFrame:
     """Events in arrival order with is_late, and one correction row a bucket that a late event reached.
 
     The watermark is the largest timestamp so far; an event older than it less the
-    lateness is late. A correction holds the bucket's sum up to its last late event.
+    lateness is late. A correction holds the bucket's sum, count or mean up to its last late event.
+    Without ``by`` the watermark runs over all rows, by ranges of their arrival.
     """
-    so_far = Window.partitionBy(*by).orderBy(arrival).rowsBetween(Window.unboundedPreceding, 0)
     t = micros(F.col(ts))
     bucket = (F.floor(t / (bucket_seconds * _SECOND)) * bucket_seconds).cast("long")
-    marked = df.withColumn("bucket", bucket).withColumn("is_late", t < F.max(t).over(so_far) - lateness_seconds * _SECOND)
-    in_bucket = Window.partitionBy(*by, "bucket").orderBy(arrival).rowsBetween(Window.unboundedPreceding, 0)
-    summed = marked.withColumn("running", F.sum(value).over(in_bucket))
-    events = summed.select(*by, F.lit("event").alias("kind"), F.col(arrival).alias("arrival"), "bucket", F.col(value).alias("value"), "is_late")
-    corrections = summed.where("is_late").groupBy(*by, "bucket").agg(F.max(arrival).alias("arrival"), F.max_by("running", arrival).alias("value"))
-    return events.union(corrections.select(*by, F.lit("correction"), "arrival", "bucket", "value", F.lit(True)))
+    marked = df.withColumn("bucket", bucket).withColumn("__t", t)
+    if by:
+        so_far = Window.partitionBy(*by).orderBy(arrival).rowsBetween(Window.unboundedPreceding, 0)
+        marked = marked.withColumn("__mark", F.max("__t").over(so_far))
+    else:
+        marked = running(marked, [arrival], {"__mark": ("__t", "max")})
+    marked = marked.withColumn("is_late", F.col("__t") < F.col("__mark") - lateness_seconds * _SECOND)
+    events = marked.select(*by, F.lit("event").alias("kind"), F.col(arrival).alias("arrival"), "bucket", F.col(value).cast("double").alias("value"), "is_late")
+    last = events.where("is_late").groupBy(*by, "bucket").agg(F.max("arrival").alias("__last"))
+    pick = {"sum": F.sum, "count": F.count, "mean": F.avg}[aggregation]("value").cast("double")
+    held = events.join(last, [*by, "bucket"]).where("arrival <= __last")
+    corrections = held.groupBy(*by, "bucket", "__last").agg(pick.alias("value"))
+    return events.union(corrections.select(*by, F.lit("correction"), "__last", "bucket", "value", F.lit(True)))
 
 
 def windowed_deduplicate(df: DataFrame, keys: Sequence[str], ts: str, minutes: float, order: str) -> DataFrame:
-    """Keep an event when the last kept one of its key is ``minutes`` or more before it.
+    """Keep an event when the last kept one of its key is ``minutes`` or more before it; equal times in the given order.
 
-    A fold over the key's timestamps in order; only (timestamp, order) pairs are gathered.
+    Each key's events arrive sorted and pass once; only the last kept time is held, so a key may have any number of them.
+    Null keys are a key of their own; rows without a time go.
     """
     span = int(minutes * 60 * _SECOND)
-    pairs = F.array_sort(F.collect_list(F.struct(micros(F.col(ts)).alias("t"), F.col(order).alias("o"))))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{df.schema[order].dataType.simpleString()}>").alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        keep = acc["last"].isNull() | (x["t"] - acc["last"] >= span)
-        return F.struct(F.when(keep, x["t"]).otherwise(acc["last"]).alias("last"), F.when(keep, F.concat(acc["kept"], F.array(x["o"]))).otherwise(acc["kept"]).alias("kept"))
-
-    kept = df.groupBy(*keys).agg(F.aggregate(pairs, start, step, lambda acc: acc["kept"]).alias("__kept"))
-    winners = kept.select(*keys, F.explode("__kept").alias(order))
-    return df.join(winners.select(order), order, "left_semi")
+    rows = df.select("*", F.to_json(F.struct(*keys)).alias("__key"), micros(F.col(ts)).alias("__t")).where("__t IS NOT NULL")
+    n = len(df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, t = batch.column(n), np.asarray(batch.column(n + 1))
+            new = np.asarray(pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).cast(pa.int8()))
+            cuts = [0, *(np.flatnonzero(new) + 1), len(key)]
+            kept = []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                own = key[i].as_py()
+                at = i + int(np.searchsorted(t[i:j], last + span)) if own == last_key else i
+                while at < j:
+                    kept.append(at)
+                    last = int(t[at])
+                    at = max(at + 1, i + int(np.searchsorted(t[i:j], last + span)))
+                last_key = own
+            yield batch.select(list(range(n))).take(pa.array(kept, pa.int64()))
+
+    return rows.repartition("__key").sortWithinPartitions("__key", "__t", order).mapInArrow(run, df.schema)

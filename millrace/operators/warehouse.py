@@ -295,3 +295,59 @@ def parse_changes(df: DataFrame, envelope: str, schema: str, keep: Sequence[str]
     good = F.coalesce(good, F.lit(False))
     row = F.when(F.col("__e.op") == "d", F.col("__e.before")).otherwise(F.col("__e.after"))
     return parsed.where(good).select(*keep, F.col("__e.op").alias("op"), row.alias("__row")).select(*keep, "op", "__row.*"), parsed.where(~good).drop("__e")
+
+
+def one_per_key(source: DataFrame, keys: Sequence[str], policy: str = "error", order: Sequence[str | Column] = ()) -> DataFrame:
+    """``source`` with one row a key, for loads that must not multiply rows.
+
+    error: the load fails at the first key that stands twice (checked while rows are read, no extra job); first, last: the row
+    that comes first or last in the order. Null keys are keys.
+    """
+    if policy == "error":
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
+        checked = source.withColumn("__n", F.when(number > 1, F.raise_error(F.concat(F.lit("duplicate key: "), F.to_json(F.struct(*keys)))).cast("int")).otherwise(1))
+        return checked.where("__n = 1").drop("__n")
+    if policy not in ("first", "last") or not order:
+        raise ValueError("policy must be error, first or last; the latter two need an order")
+    struct = F.struct(*source.columns)
+    place = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    best = (F.min_by if policy == "first" else F.max_by)(struct, place).alias("__row")
+    return source.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(best).select("__row.*")
+
+
+def append_only(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``source`` whose key the target does not hold: what an append-only ingest writes; null keys are keys."""
+    pairs = all_same("s", "t", keys)
+    return source.alias("s").join(target.select(*keys).distinct().alias("t"), pairs, "left_anti")
+
+
+def strict_changes(df: DataFrame, envelope: str, schema: str, keep: Sequence[str] = ("offset",)) -> DataFrame:
+    """Envelopes as columns op, before, after, source and ts_ms; the first that is no JSON object or has no known op fails the read.
+
+    schema: of the row images. Known ops: c, u, d, r.
+    """
+    kind = f"op string, before struct<{schema}>, after struct<{schema}>, source string, ts_ms long"
+    parsed = F.from_json(F.col(envelope), kind)
+    bad = F.col("e").isNull() | ~F.coalesce(F.col("e.op").isin("c", "u", "d", "r"), F.lit(False))
+    fail = F.raise_error(F.concat(F.lit("malformed change: "), F.coalesce(F.col(envelope), F.lit("null"))))
+    read = df.withColumn("e", parsed)
+    op = F.when(bad, fail.cast("string")).otherwise(F.col("e.op")).alias("op")
+    return read.select(*keep, op, "e.before", "e.after", "e.source", "e.ts_ms")
+
+
+def pending_migrations(applied: DataFrame, migrations: Sequence[tuple[int, str]], version: str = "version") -> list[tuple[int, str]]:
+    """The migrations to apply, in order; a gap after what was applied, or versions that do not rise, raise ValueError."""
+    numbers = [v for v, _ in migrations]
+    if not numbers or any(b <= a for a, b in zip([0, *numbers], numbers, strict=False)):
+        raise ValueError("migrations must have rising positive versions")
+    top = applied.agg(F.max(version)).first()[0] or 0
+    done = {r[0] for r in applied.where(F.col(version).isin(numbers)).select(version).collect()}
+    expected, found = top + 1, []
+    for number, statement in migrations:
+        if number in done:
+            continue
+        if number != expected:
+            raise ValueError(f"version gap: expected {expected}, got {number}")
+        found.append((number, statement))
+        expected += 1
+    return found
