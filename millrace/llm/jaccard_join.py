@@ -413,9 +413,9 @@ def similarity_classes(docs: DataFrame, text: str, ids: str, recall: float) -> t
         .join(links, "key", "left")
         .select("key", F.coalesce("component", "key").alias("component"), "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    linked = joined.where("n_links > 0")
-    heads = linked.groupBy("component").agg(F.min("least").alias("class_id"))
-    return light.select("id", "key", "t1", "t2"), stored(linked.join(heads.hint("merge"), "component").select("key", "component", "class_id", "n_links"))
+    linked = stored(joined.where("n_links > 0"))
+    heads = stored(linked.groupBy("component").agg(F.min("least").alias("class_id")))
+    return light.select("id", "key", "t1", "t2"), stored(join_groups(linked, heads, ["component"], 64).select("key", "component", "class_id", "n_links"))
 
 
 def jaccard_join(docs: DataFrame, text: str = "text", ids: str = "doc_id", recall: float = 0.9999) -> DataFrame:
@@ -455,8 +455,8 @@ def one_of_each(docs: DataFrame, text: str = "text", ids: str = "doc_id", recall
     several = join_groups(light.where("key IS NOT NULL"), results.select("key", "component"), ["key"], 96, "inner")
     several = stored(several.groupBy("component", "id", "t1", "t2").agg(F.count(F.lit(1)).alias("n")))
     order = F.struct(F.col("id").isNull().alias("no"), "id", "t1", "t2")
-    winners = several.groupBy("component").agg(F.min(order).alias("first")).select("component", F.col("first.t1").alias("w1"), F.col("first.t2").alias("w2"), F.col("first.id").alias("wid"))
-    judged = several.join(winners.hint("merge"), "component")
+    winners = stored(several.groupBy("component").agg(F.min(order).alias("first")).select("component", F.col("first.t1").alias("w1"), F.col("first.t2").alias("w2"), F.col("first.id").alias("wid")))
+    judged = join_groups(several, winners, ["component"], 96)
     wins = (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2")) & F.col("id").eqNullSafe(F.col("wid"))
     flags = stored(judged.select(identity, "t1", "t2", F.when(~wins, 0).when(F.col("n") == 1, 1).otherwise(2).alias("mark")))
     keyed = ta.with_text_columns(own.rows.withColumn("id", F.col(own.find(ids))).withColumn("row_id", identity).drop("id"), own.find(text), [("t1", "long"), ("t2", "long")], _texts)
