@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 from pyspark.sql.window import Window
 
 from millrace.functions.ranges import numbered
@@ -145,16 +145,17 @@ def tokens(text: Column) -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score) of all documents that share a term with the query.
 
-    Term counts of documents are made once; only terms that queries hold are
-    shuffled, and a query's repeated terms count again.
+    Texts are cut once: terms that queries hold are counted and written, and the same pass observes
+    how many documents there are and how long. A query's repeated terms count again.
     """
+    seen = Observation()
     cut = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t"))
-    totals = cut.select(F.size("t").alias("length")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length")).first()
-    n, mean = totals["n_docs"], totals["mean_length"] or 1.0
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     # The size must be a column before the explode, or it is computed anew for every term.
-    words = cut.select("doc_id", "t", F.size("t").alias("length")).select("doc_id", "length", F.explode("t").alias("term"))
-    counts = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    whole = cut.select("doc_id", "t", F.size("t").alias("length")).observe(seen, F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
+    words = whole.select("doc_id", "length", F.explode("t").alias("term"))
+    counts = written(words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")))
+    n, mean = seen.get["n_docs"], seen.get["mean_length"] or 1.0
     idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
     scored = counts.join(idf, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
