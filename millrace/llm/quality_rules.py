@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from millrace.llm import textarrays as ta
 from millrace.llm.carried import Carried
+from millrace.llm.joins import join_groups
 from millrace.llm.storage import stored
 
 _WORD = ~ta.byte_set([0x20, *range(0x09, 0x0E)])
@@ -195,12 +196,12 @@ def _within(rows: DataFrame, limits: DataFrame, values: dict[str, Column]) -> Da
     """``rows`` with their group's fences joined and failed, the measures outside them."""
     wide = limits.groupBy("g_lang", "g_source").agg(*[F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in values for side in ("low", "high")])
     bad = [F.when((v < F.col(f"{m}_low")) | (v > F.col(f"{m}_high")), F.lit(m)) for m, v in values.items()]
-    return rows.join(wide, ["g_lang", "g_source"], "left").withColumn("failed", F.array_compact(F.array(*bad)))
+    return join_groups(rows, stored(wide), ["g_lang", "g_source"], 256).withColumn("failed", F.array_compact(F.array(*bad)))
 
 
 def judged(counted: DataFrame, keep: list[str], spread: float, least_rows: int) -> DataFrame:
     """Fences of the counted rows, joined back to them."""
-    found = _within(counted, stored(learnt(counted, spread, least_rows)), measures())
+    found = _within(counted, learnt(counted, spread, least_rows), measures())
     return found.select(*keep, *[n for n, _ in COUNTS], "failed").withColumn("passes", F.size("failed") == 0)
 
 
