@@ -390,9 +390,9 @@ def verified(docs: DataFrame, text: str, sets: DataFrame, groups: DataFrame) ->
 
     fields = [("key", "binary"), ("shingles", "binary"), ("asked", "boolean")]
     whole = ta.with_text_columns(docs, text, fields, shingles, keep=[], mask="asked")
-    wanted = groups.select(F.col("node").alias("key"), "component").join(sets.select("key", "copies", "size").hint("merge"), "key")
-    sizes = wanted.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / LEAF), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
-    wanted = wanted.join(sizes.hint("merge"), "component").select("key", "component", "copies", "blocks")
+    wanted = stored(groups.select(F.col("node").alias("key"), "component").join(sets.select("key", "copies", "size").hint("merge"), "key"))
+    sizes = stored(wanted.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / LEAF), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks")))
+    wanted = join_groups(wanted, sizes, ["component"], 64).select("key", "component", "copies", "blocks")
     one_each = whole.groupBy("key").agg(F.first("shingles").alias("shingles"))
     rows = _blocked(one_each.join(wanted.hint("merge"), "key"), "component", "blocks")
     return _grouped(rows.select("block", "side", "key", "copies", "shingles"), "block", _verify, "key binary, links long, other binary")
