@@ -79,6 +79,39 @@ class SnapshotTable:
         new = merge_upsert(self.scan(), source, keys, values) if folders else source.select(*keys, *values)
         return self._commit("merge", [self._write(new, version + 1, ())], at, version)
 
+    def delete(self, condition: str, at: str) -> int:
+        """Remove the rows for which the condition is true, as a new version; folders without such a row are kept as they are."""
+        version, folders = self._latest()
+        kept = []
+        for folder in folders:
+            own = self.spark.read.parquet(f"{self.path}/{folder}")
+            if own.where(condition).isEmpty():
+                kept.append(folder)
+            else:
+                kept.append(self._write(own.where(~F.coalesce(F.expr(condition), F.lit(False))), version + 1, ()))
+        return self._commit("delete", kept, at, version)
+
+    def compact(self, at: str, partition: Sequence[str] = ()) -> int:
+        """The same rows in one folder, as a new version; adaptive execution gives its files an even size."""
+        version, _ = self._latest()
+        return self._commit("compact", [self._write(self.scan().hint("rebalance"), version + 1, partition)], at, version)
+
+    def vacuum(self, keep: int) -> list[str]:
+        """Forget all but the last ``keep`` versions and delete the folders that only they name; no writer may be at work."""
+        if keep < 1:
+            raise ValueError("at least one version must stay")
+        versions = self.versions()
+        named = {v: self.entry(v)["folders"] for v in versions}
+        used = {f for v in versions[-keep:] for f in named[v]}
+        gone = sorted({f for v in versions[:-keep] for f in named[v]} - used)
+        for version in versions[:-keep]:
+            fs, path = self._fs(f"{self.path}/log/{version:020d}.json")
+            fs.delete(path, False)
+        for folder in gone:
+            fs, path = self._fs(f"{self.path}/{folder}")
+            fs.delete(path, True)
+        return gone
+
     def scan(self, version: int | None = None, as_of: str | None = None, equal: Mapping[str, object] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
         """The table at a version, or at the last one committed by ``as_of`` (ISO text); filters and columns reach the files."""
         if as_of is not None:
