@@ -31,12 +31,6 @@ def bm25(spark, d):
 
 
 def nearest_vectors(spark, d):
-    v = table(spark, d, "embeddings")
-    out = X.vector_top_k(v, v.where("vec_id < 5").select(F.col("vec_id").alias("q"), "embedding"), "vec_id", "embedding", "q", "embedding", 10)
-    return out.select(F.col("query_id").cast("long").alias("query_id"), "vec_id", F.round("score", 4).alias("score"))
-
-
-def nearest_vectors_whole(spark, d):
     v = table(spark, d, "embeddings")
     out = X.vector_top_k(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "embedding"), "vec_id", "embedding", "q", "embedding", 10)
     return out.select("query_id", "vec_id", F.round("score", 4).alias("score"))
@@ -168,8 +162,7 @@ c AS (SELECT doc_id, l, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS l, u
 s AS (SELECT query_id, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / m))) AS score FROM q JOIN c USING (term) JOIN i USING (term), n GROUP BY ALL)
 SELECT query_id, count(*) AS n, round(max(score), 4) AS best, round(sum(score), 2) AS total FROM s GROUP BY query_id""",
     ),
-    "vector_top_k": (nearest_vectors, "SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS score FROM embeddings v, embeddings q WHERE q.vec_id < 5 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id) <= 10"),
-    "vector_top_k_whole": (nearest_vectors_whole, "SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id) <= 10"),
+    **{name: (nearest_vectors, "SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id) <= 10") for name in ("vector_top_k", "vector_top_k_whole")},
     "rank_fusion": (fused, "WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id % 97, vec_id) - 1 AS r FROM embeddings UNION ALL SELECT vec_id, row_number() OVER (ORDER BY (vec_id * 31) % 89, vec_id) - 1 FROM embeddings) SELECT vec_id, round(sum(1.0::DOUBLE / (60 + r)), 8) AS score FROM r GROUP BY 1"),
     "near_duplicate_tokens": (shared_tokens, f"WITH s AS (SELECT conv_id * 1000 + turn AS id, list_distinct({_TOK.format('text')}) AS t FROM conversations) SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))), 8) AS similarity FROM s x JOIN s y ON x.id < y.id AND len(x.t) > 0 AND len(y.t) > 0 WHERE len(list_intersect(x.t, y.t)) >= 0.15 * (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)))"),
     "near_duplicate_documents": (
