@@ -2,7 +2,7 @@
 
 A document classifier is fitted on a bounded sample of labelled documents:
 logistic regressions over the shape of a text and the words whose shares of
-the classes differ most clearly.  Every document gets two probabilities from it, quality
+the classes clearly differ.  Every document gets two probabilities from it, quality
 and toxicity.  Their means per host and per path of a host are then shrunk
 towards the level above (path, host, all documents), with the strength
 of shrinking estimated from the spread between sites; sparse sites thus follow the
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm import textarrays as ta
@@ -92,8 +92,8 @@ def _columns(doc: np.ndarray, bins: np.ndarray, words: np.ndarray) -> tuple[np.n
     return np.concatenate([doc[shape], doc[chosen]]), np.concatenate([bins[shape] - BINS, at[chosen] + SHAPES])
 
 
-def _chosen_words(labelled: DataFrame, names: list[str], most_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bins whose presence stands clearest of chance for some label, labelled documents per label and class)."""
+def _chosen_words(labelled: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(all bins whose presence stands clear of chance for some label, labelled documents per label and class)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(names), 2, BINS + 1), np.int64)
@@ -124,12 +124,11 @@ def _chosen_words(labelled: DataFrame, names: list[str], most_words: int) -> tup
         n_no, n_yes = np.maximum(table[k, :, BINS], 1.0)
         share = (yes + no + 0.5) / (n_no + n_yes + 1.0)
         clear = np.abs(yes / n_yes - no / n_no) / np.sqrt(share * (1 - share) * (1 / n_yes + 1 / n_no))
-        top = np.argsort(-clear, kind="stable")[:most_words]
-        found.append(top[clear[top] >= CLEAR])
+        found.append(np.flatnonzero(clear >= CLEAR))
     return np.unique(np.concatenate(found)), table[:, :, BINS]
 
 
-def fit(docs: DataFrame, labels: DataFrame, ids: str, text: str, names: list[str], sample: int, most_words: int, seed: int) -> Evidence:
+def fit(docs: DataFrame, labels: DataFrame, ids: str, text: str, names: list[str], sample: int, seed: int) -> Evidence:
     """Logistic regressions on at most ``sample`` labelled documents, chosen by hash of the id.
 
     The sample of labels is small enough to be broadcast (24 bytes a row); texts stay where they are.
@@ -138,22 +137,23 @@ def fit(docs: DataFrame, labels: DataFrame, ids: str, text: str, names: list[str
     chosen = given.rows.select(F.col(given.find(ids)).alias("__id"), *[F.col(given.find(x)).cast("int").alias(f"__{x}") for x in names]).where("__id IS NOT NULL")
     chosen = stored(chosen.orderBy(F.xxhash64(F.lit(seed), "__id"), "__id", *[f"__{x}" for x in names]).limit(sample))
     labelled = texts.rows.select(F.col(texts.find(ids)).alias("__id"), F.col(texts.find(text)).cast("string").alias("__body")).join(F.broadcast(chosen), "__id").select("__body", *[f"__{x}" for x in names])
-    words, classes = _chosen_words(labelled, names, most_words)
+    words, classes = _chosen_words(labelled, names)
     width = SHAPES + len(words)
 
     def features(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-        n = len(offsets) - 1
-        table = np.zeros((n, width))
-        table[_columns(*_presences(data, offsets), words)] = 1.0
-        return [pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(table.ravel(), pa.float64()))]
+        doc, at = _columns(*_presences(data, offsets), words)
+        order = np.lexsort((at, doc))
+        ends = np.searchsorted(doc[order], np.arange(len(offsets)))
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[order], pa.int32()))]
 
-    rows = stored(ta.with_text_columns(labelled, "__body", [("__x", "array<double>")], features, keep=[f"__{x}" for x in names])).coalesce(8)  # a bounded sample, read in every iteration
+    sparse = F.udf(lambda at: Vectors.sparse(width, at, np.ones(len(at))), VectorUDT())
+    rows = stored(ta.with_text_columns(labelled, "__body", [("__x", "array<int>")], features, keep=[f"__{x}" for x in names])).coalesce(8)  # a bounded sample, read in every iteration
     weights, offset, prior = {}, {}, {}
     for k, name in enumerate(names):
         prior[name] = float(np.log((classes[k, 1] + 1) / (classes[k, 0] + 1)))
         weights[name], offset[name] = np.zeros(width), 0.0
         if classes[k].min() > 0:
-            known = rows.where(f"__{name} IN (0, 1)").select(array_to_vector("__x").alias("features"), F.col(f"__{name}").cast("double").alias("label"))
+            known = rows.where(f"__{name} IN (0, 1)").select(sparse("__x").alias("features"), F.col(f"__{name}").cast("double").alias("label"))
             model = LogisticRegression(regParam=1e-4, maxIter=100, standardization=False).fit(known)
             weights[name], offset[name] = model.coefficients.toArray(), float(model.intercept) - prior[name]
     return Evidence(words, weights, offset, prior)
@@ -241,7 +241,6 @@ def classify(
     path: str | None = "lang",
     address: str | None = None,
     sample: int = 20_000,
-    most_words: int = 128,
     seed: int = 31,
     keep: list[str] | None = None,
 ) -> DataFrame:
@@ -252,7 +251,7 @@ def classify(
     where it is None or holds no address, the columns host and path do (a part of a site in one
     language is the nearest to a path that rows without an address have).
     sample: the largest number of labelled documents that are fitted on (20,000
-    by default), over at most most_words words a label; all other sums go over all documents.
+    by default), over every word that speaks clearly for a label; all other sums go over all documents.
 
     Defined cases: texts without words get the site's prior alone and are not kept;
     null hosts and paths are sites of their own; labels that are null, or of
@@ -263,7 +262,7 @@ def classify(
     names = ["quality", "toxic"]
     own = Carried(docs, RESULTS, keep)
     keep = own.columns()
-    evidence = fit(docs, labels, ids, text, names, sample, most_words, seed)
+    evidence = fit(docs, labels, ids, text, names, sample, seed)
     sent = docs.sparkSession.sparkContext.broadcast(evidence)
     key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
     site, part = site_of(own, host, path, address)
