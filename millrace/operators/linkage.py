@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -30,33 +31,47 @@ def connected(edges: DataFrame, vertices: DataFrame) -> DataFrame:
         labels = stepped.select("id", "component")
 
 
-def jaro_winkler(a: str, b: str) -> float:
-    """Jaro similarity raised by a common prefix of up to four characters."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    taken, first = [False] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == c:
-                taken[j] = True
-                first.append(c)
-                break
-    if not first:
-        return 0.0
-    second = [c for c, t in zip(b, taken, strict=True) if t]
-    m = len(first)
-    swaps = sum(x != y for x, y in zip(first, second, strict=True)) / 2
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    prefix = next((k for k in range(min(4, len(a), len(b))) if a[k] != b[k]), min(4, len(a), len(b)))
-    return jaro + prefix * 0.1 * (1 - jaro)
+def _points(texts: Sequence[str], fill: int) -> np.ndarray:
+    """Code points of the texts, a row each, filled up to the longest."""
+    size = np.array([len(t) for t in texts])
+    table = np.full((len(texts), max(4, size.max(initial=0))), fill, np.int32)
+    table[np.arange(table.shape[1]) < size[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.int32)
+    return table
+
+
+def jaro_winkler(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    """Jaro similarity of each pair, raised by a common prefix of up to four characters; two empty texts are equal.
+
+    All pairs take a step at once: the k-th character of every left text gets the first
+    free equal character within reach in its right text.
+    """
+    a, b = _points(left, -1), _points(right, -2)
+    n_a, n_b = (a >= 0).sum(axis=1), (b >= 0).sum(axis=1)
+    reach = np.maximum(np.maximum(n_a, n_b) // 2 - 1, 0)[:, None]
+    places, free, found = np.arange(b.shape[1]), b >= 0, np.zeros(a.shape, bool)
+    for k in range(n_a.max(initial=0)):
+        fits = free & (b == a[:, k : k + 1]) & (np.abs(places - k) <= reach)
+        found[:, k] = fits.any(axis=1)
+        rows = np.flatnonzero(found[:, k])
+        free[rows, fits[rows].argmax(axis=1)] = False
+    met = np.maximum(found.sum(axis=1), 1)
+    # row by row, both masks hold the same number of characters
+    moved = np.bincount(np.nonzero(found)[0], weights=(a[found] != b[(b >= 0) & ~free]).astype(float), minlength=len(a))
+    jaro = (met / np.maximum(n_a, 1) + met / np.maximum(n_b, 1) + 1 - moved / 2 / met) / 3 * found.any(axis=1)
+    start = np.cumprod(a[:, :4] == b[:, :4], axis=1).sum(axis=1)
+    return np.where(n_a + n_b == 0, 1.0, jaro + start * 0.1 * (1 - jaro))
 
 
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler_column(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)])
+    """Pairs are taken together by the power of two of their longer text, so that a long one does not widen all; null counts as empty."""
+    a, b = a.fillna("").to_numpy(), b.fillna("").to_numpy()
+    power = np.frexp([max(len(x), len(y)) for x, y in zip(a, b, strict=True)])[1]
+    out = np.empty(len(a))
+    for p in np.unique(power):
+        own = np.flatnonzero(power == p)
+        out[own] = jaro_winkler(a[own], b[own])
+    return pd.Series(out)
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

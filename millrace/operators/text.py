@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import numpy as np
@@ -83,12 +83,44 @@ def split_text(text: str, size: int, separators: Sequence[str] = SEPARATORS) ->
     return pieces
 
 
-def recursive_chunks(df: DataFrame, text: str, size: int) -> DataFrame:
-    """A row a piece of ``split_text``, in Arrow batches."""
+def _atoms(text: str, size: int, separators: Sequence[str]) -> Iterator[str]:
+    """Pieces of at most ``size`` characters that no coarser separator cuts further; empty ones go."""
+    if len(text) <= size:
+        yield from filter(None, [text])
+    elif not separators or not separators[0]:
+        yield from (text[i : i + size] for i in range(0, len(text), size))
+    else:
+        for part in text.split(separators[0]):
+            yield from _atoms(part, size, separators[1:])
+
+
+def split_overlapping(text: str, size: int, overlap: int, separators: Sequence[str] = ("\n\n", "\n", " ", "")) -> list[str]:
+    """Runs of pieces joined by blanks, as many as fit in ``size`` characters; each run takes over the last pieces of the one before.
+
+    At least one piece is taken over, more while they fit in ``overlap`` characters joined. A piece that
+    does not fit behind what is taken over stands there all the same, so a chunk may exceed ``size`` by
+    one taken-over run. No overlap: plain runs.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be at least 0 and less than the size")
+    atoms = list(_atoms(text, size, separators))
+    ends = np.cumsum([len(a) + 1 for a in atoms])  # places in all pieces joined by blanks
+    starts = ends - [len(a) + 1 for a in atoms]
+    chunks, first = [], 0
+    for k in range(len(atoms)):
+        after = ends[k + 1] - 1 if k + 1 < len(atoms) else None
+        if after is None or after - starts[first] > size:
+            chunks.append(" ".join(atoms[first : k + 1]))
+            first = min(k, int(np.searchsorted(starts, ends[k] - 1 - overlap))) if overlap else k + 1
+    return chunks
+
+
+def recursive_chunks(df: DataFrame, text: str, size: int, overlap: int | None = None) -> DataFrame:
+    """A row a piece of ``split_text``, or of ``split_overlapping`` where an overlap is given, in Arrow batches."""
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, size) if t else [])
+        return texts.map(lambda t: [] if not t else split_text(t, size) if overlap is None else split_overlapping(t, size, overlap))
 
     return df.select("*", F.posexplode(cut(text)).alias("chunk_index", "chunk"))
 

@@ -130,7 +130,7 @@ def envelopes(spark, d):
     raw = sql(spark, d, f"""SELECT offset, CASE WHEN offset % 97 = 0 THEN '{{broken' WHEN op = 'd' THEN to_json(named_struct('op', op, 'before', named_struct('id', id, 'amount', amount)))
       ELSE to_json(named_struct('op', op, 'after', named_struct('id', id, 'amount', amount))) END AS value FROM ({_CHANGES}) c""", "orders")
     good, bad = W.parse_changes(raw, "value", "id bigint, amount bigint")
-    return good.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount")).union(bad.select(F.lit("malformed"), F.count(F.lit(1)).over(W.Window.partitionBy()), F.lit(0).cast("long")).limit(1))
+    return good.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount")).union(bad.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit("malformed"), "n", F.lit(0).cast("long")))
 
 
 _FULL = f"FROM ({OLD}) t FULL JOIN ({NEW}) s ON t.id = s.id"

@@ -57,6 +57,7 @@ def read_jdbc(spark: SparkSession, url: str, query: str, column: str | None = No
 
 
 def write(df: DataFrame, path: str, fmt: str, mode: str = "error", partition: list[str] | None = None, **options: str) -> None:
+    """Write files of one format. A row is a line in json as in jsonl, so files written as json are read as jsonl: json reads one document a file."""
     plain = {"header": "true"} if fmt in ("csv", "tsv", "psv") else {}
     sep = {"sep": FORMATS[fmt]["sep"]} if "sep" in FORMATS.get(fmt, {}) else {}
     writer = df.write.format(_known(fmt)).mode(mode).options(**plain | sep | options)

@@ -108,8 +108,14 @@ def test_unicode_forms(spark):
 
 
 def test_similarities(spark):
-    assert K.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
-    assert K.jaro_winkler("", "a") == 0.0
+    # textbook values
+    left = ["martha", "dwayne", "dixon", "", "", "abc", "same", "ab", "😀b"]
+    right = ["marhta", "duane", "dicksonx", "a", "", "xyz", "same", "ba", "😀c"]
+    expected = [0.9611, 0.84, 0.8133, 0.0, 1.0, 0.0, 1.0, 0.0, 0.7]
+    assert K.jaro_winkler(left, right).tolist() == pytest.approx(expected, abs=1e-4)
+    pairs = spark.createDataFrame([*zip(left, right), (None, ""), ("a" * 3000, "a" * 2999)], "a string, b string")
+    got = [r[0] for r in pairs.coalesce(1).select(K.jaro_winkler_column("a", "b")).collect()]
+    assert got == pytest.approx([*expected, 1.0, 0.9999], abs=1e-4)
     df = spark.createDataFrame([(1, "alice"), (2, "alic3"), (3, "bob"), (4, "alice"), (5, None)], "id long, name string")
     kept = K.fuzzy_deduplicate(df, "id", "name", 2, 0.8)
     assert [r[0] for r in values(kept)] == [1, 3, 5]
@@ -127,6 +133,19 @@ def test_chunks_stop_at_the_end(spark):
     assert T.split_text("aa bb. cc dd\n\nee", 6) == ["aa bb", "cc dd", "ee"]
 
 
+def test_recursive_chunks_overlap(spark):
+    assert T.split_overlapping("aa bb cc dd ee", 8, 0) == ["aa bb cc", "dd ee"]
+    assert T.split_overlapping("aa bb cc dd ee", 8, 5) == ["aa bb cc", "bb cc dd", "cc dd ee"]
+    assert T.split_overlapping("aa bb cc dd ee", 8, 1) == ["aa bb cc", "cc dd ee"]
+    assert T.split_overlapping("abcdefghij\n\nk", 4, 0) == ["abcd", "efgh", "ij k"]
+    assert T.split_overlapping("abcd efgh", 4, 2) == ["abcd", "abcd efgh"]
+    assert T.split_overlapping("", 4, 2) == []
+    with pytest.raises(ValueError):
+        T.split_overlapping("a", 4, 4)
+    df = spark.createDataFrame([(1, "aa bb cc dd ee"), (2, ""), (3, None)], "i int, t string")
+    assert values(T.recursive_chunks(df, "t", 8, 5), "i", "chunk_index", "chunk") == [(1, 0, "aa bb cc"), (1, 1, "bb cc dd"), (1, 2, "cc dd ee")]
+
+
 def test_page_text():
     assert T.visible_text("<html><head><title>x</title></head><body><p>a &amp; b</p><script>no()</script><p>c</p></body></html>") == "a & b\nc"
 

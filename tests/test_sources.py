@@ -64,6 +64,48 @@ def test_changes_from_a_stream(spark, tmp_path):
     assert sorted(map(tuple, table.scan().collect())) == [(1, 7), (3, 8)]
 
 
+def _drained(df, tmp_path, name, mode):
+    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/state-{name}").start().awaitTermination()
+
+
+def test_sessions_and_repeats_of_a_stream(spark, tmp_path):
+    rows = [("u", "2024-01-01 00:00:00"), ("u", "2024-01-01 00:09:00"), ("u", "2024-01-01 00:30:00"), ("v", "2024-01-01 00:00:00"), ("v", "2024-01-01 00:00:00")]
+    schema = "who string, at timestamp"
+    df = spark.createDataFrame(rows, "who string, at string").withColumn("at", F.to_timestamp("at"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    read = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    _drained(events.session_stream(read(), "at", ["who"], "10 minutes", "1 hour"), tmp_path, "stays", "complete")
+    got = sorted((r.who, r.start.minute, r.end.minute, r.events) for r in spark.table("stays").collect())
+    assert got == [("u", 0, 19, 2), ("u", 30, 40, 1), ("v", 0, 10, 2)]
+    _drained(events.deduplicate_stream(read(), ["who", "at"], "at", "1 hour"), tmp_path, "once", "append")
+    assert spark.table("once").count() == 4
+
+
+@pytest.mark.parametrize("fmt", ["json", "text", "xml"])
+def test_other_round_trips(spark, tmp_path, fmt):
+    """What is written as json is read line by line; text has one column, and XML a row element."""
+    df, schema = spark.createDataFrame(ROWS, SCHEMA), SCHEMA
+    if fmt == "text":
+        df, schema = df.select(F.coalesce("name", F.lit("")).alias("value")), None
+    options = {"rowTag": "row"} if fmt == "xml" else {}
+    files.write(df, f"{tmp_path}/t", fmt, **options)
+    got = files.read(spark, f"{tmp_path}/t", "jsonl" if fmt == "json" else fmt, schema, **options)
+    assert sorted(map(tuple, got.select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
+
+
+@pytest.mark.parametrize("codec", ["gzip", "bzip2", "snappy", "zstd", "lz4"])
+def test_codecs(spark, tmp_path, codec):
+    fmt = "csv" if codec in ("gzip", "bzip2") else "parquet"
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    files.write(df, f"{tmp_path}/t", fmt, compression=codec if codec != "lz4" else "lz4_raw")
+    assert sorted(map(tuple, files.read(spark, f"{tmp_path}/t", fmt, SCHEMA).collect())) == ROWS
+
+
+def test_binary_files(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"\x00\x01")
+    assert [bytes(r.content) for r in files.read(spark, str(tmp_path), "binary").collect()] == [b"\x00\x01"]
+
+
 def test_windows_of_a_stream_equal_the_batch(spark, small, tmp_path):
     schema = spark.read.parquet(f"{small}/events.parquet").schema
     (tmp_path / "in").mkdir()
