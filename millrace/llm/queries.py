@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import decontaminate, jaccard_join, language_id, licenses, mixing, quality_classifier, quality_rules, secrets_scan, sharding, suffix_dedup
+from millrace.llm import decontaminate, jaccard_join, language_id, licenses, mixing, quality_classifier, quality_rules, secrets_scan, sharding, spelling, suffix_dedup
 from millrace.llm.storage import stored
 
 
@@ -130,6 +130,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, forms and roots of the words of all documents, one run in 97 of which loses a letter.
+
+    Null texts have no words; a null doc_id is written as nothing.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(spelling.runs(F.col("text"), 5)).alias("run"))
+    hashed = runs.select("run", F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")).alias("h"))
+    at = F.pmod(F.col("h"), F.length("run")).cast("int")
+    spoilt = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = hashed.select(F.when(F.col("h") % 97 == 0, spoilt).otherwise(F.col("run")).alias("word"))
+    return spelling.spelling_groups(spelling.count_words(words, "word"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mixing": op1_source_mixing,
@@ -142,6 +156,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_quality_rules": op9_quality_rules,
         "op10_license_scan": op10_license_scan,
+        "op11_spelling_variants": op11_spelling_variants,
     }
 
 

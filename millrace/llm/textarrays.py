@@ -165,6 +165,20 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, pair: int
     return out
 
 
+def gap_hash(prefix: np.ndarray, start: np.ndarray, gap: np.ndarray, end: np.ndarray, pair: int = 0) -> np.ndarray:
+    """The ``span_hash`` that the codes start:end have without the one at gap."""
+    out = np.empty(len(start), np.uint64)
+    for i in range(0, len(start), _CACHED):
+        first, at, last = start[i : i + _CACHED], gap[i : i + _CACHED], end[i : i + _CACHED]
+        parts = []
+        for row, base in zip(prefix, _PAIRS[pair], strict=True):
+            head = _fold((_fold(row[at]) + _P - _fold(row[first])) * base.downs(first))
+            parts.append(_fold(head + _fold((_fold(row[last]) + _P - _fold(row[at + 1])) * base.downs(first + 1))))
+        a, b = parts
+        out[i : i + _CACHED] = mix(((a << _31) | b) + (last - first - 1).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of each maximal run of bytes that are inside."""
     if not len(data):
