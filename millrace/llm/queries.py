@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import decontaminate, jaccard_join, language_id, licenses, mixing, quality_classifier, quality_rules, secrets_scan, sharding, spelling, suffix_dedup
+from millrace.llm import chat_format, decontaminate, jaccard_join, language_id, licenses, mixing, quality_classifier, quality_rules, secrets_scan, sharding, spelling, suffix_dedup
 from millrace.llm.storage import stored
 
 
@@ -144,6 +144,15 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(spelling.count_words(words, "word"))
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation, read back from what was formatted; conversation -1 holds control strings."""
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.lit(False).alias("added"))
+    said = F.lit("</s>[INST] ok [/INST]")
+    added = spark.range(2).select(F.lit(-1).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), said, F.lit(True))
+    keys = ("added", "conv_id")
+    return chat_format.read_back(chat_format.format_conversations(given.union(added), keys=keys), keys).drop("added")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mixing": op1_source_mixing,
@@ -157,6 +166,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_license_scan": op10_license_scan,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_chat_format": op12_chat_format,
     }
 
 
