@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import chat_format, decontaminate, jaccard_join, language_id, licenses, mixing, quality_classifier, quality_rules, secrets_scan, sharding, spelling, suffix_dedup
+from millrace.llm import chat_format, decontaminate, jaccard_join, language_id, licenses, mixing, prefix_trie, quality_classifier, quality_rules, secrets_scan, sharding, spelling, suffix_dedup
+from millrace.llm.joins import join_groups
 from millrace.llm.storage import stored
 
 
@@ -153,6 +154,29 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(given.union(added), keys=keys), keys).drop("added")
 
 
+def _branched(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, conversations) in which up to 8 first turns of each come from the first of its five; a null conversation stays as it is."""
+    taken = F.pmod(F.crc32(F.coalesce(F.col("conv").cast("string"), F.lit("")).cast("binary")), F.lit(9))
+    first = F.col("conv") - F.col("conv") % 5
+    convs = stored(turns.groupBy("conv").agg(F.max("place").alias("n")))
+    bases = convs.select(F.col("conv").alias("base"), F.col("n").alias("n_base"))
+    each = convs.select("conv", first.alias("base"), taken.alias("h")).join(bases, "base", "left")
+    each = stored(each.select("conv", "h", F.least("h", F.coalesce("n_base", F.lit(0))).alias("kept")))
+    own = join_groups(turns, each.select("conv", "kept"), ["conv"], 64).where(F.col("place") > taken)
+    own = own.select("conv", (F.col("place") - taken + F.coalesce("kept", F.lit(0))).alias("place"), "d1", "d2", "size")
+    # Below zero the remainder is negative: a first conversation may have followers on either side.
+    near = F.array(*[F.try_add(F.col("conv"), F.lit(k)) for k in range(-4, 5)])
+    shared = turns.where((F.col("place") <= 8) & (F.col("conv") == first)).select(F.col("conv").alias("base"), F.explode(near).alias("conv"), "place", "d1", "d2", "size").where(F.col("base") == first)
+    shared = join_groups(shared, each.select("conv", "kept"), ["conv"], 64, "inner").where("place <= kept")
+    return own.union(shared.select(own.columns)), each.select("conv")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of all conversations, each of which begins like the first of its five."""
+    turns = stored(prefix_trie.number_turns(_table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(*_branched(turns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mixing": op1_source_mixing,
@@ -167,6 +191,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_license_scan": op10_license_scan,
         "op11_spelling_variants": op11_spelling_variants,
         "op12_chat_format": op12_chat_format,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
