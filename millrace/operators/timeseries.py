@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from millrace.functions.columns import micros, text_of
+from millrace.functions.columns import all_same, micros, text_of
 from millrace.functions.ranges import running
 
 _SECOND = 1_000_000
@@ -81,7 +81,7 @@ def late_events(df: DataFrame, arrival: str, ts: str, value: str, bucket_seconds
     """Events in arrival order with is_late, and one correction row a bucket that a late event reached.
 
     The watermark is the largest timestamp so far; an event older than it less the
-    lateness is late. A correction holds the bucket's sum, count or mean up to its last late event.
+    lateness is late. A correction holds the bucket's sum, count or mean up to its last late event. Null keys are a key.
     Without ``by`` the watermark runs over all rows, by ranges of their arrival.
     """
     t = micros(F.col(ts))
@@ -96,7 +96,8 @@ def late_events(df: DataFrame, arrival: str, ts: str, value: str, bucket_seconds
     events = marked.select(*by, F.lit("event").alias("kind"), F.col(arrival).alias("arrival"), "bucket", F.col(value).cast("double").alias("value"), "is_late")
     last = events.where("is_late").groupBy(*by, "bucket").agg(F.max("arrival").alias("__last"))
     pick = {"sum": F.sum, "count": F.count, "mean": F.avg}[aggregation]("value").cast("double")
-    held = events.join(last, [*by, "bucket"]).where("arrival <= __last")
+    of_last = all_same("e", "l", [*by, "bucket"]) & (F.col("e.arrival") <= F.col("l.__last"))
+    held = events.alias("e").join(last.alias("l"), of_last).select("e.*", "l.__last")
     corrections = held.groupBy(*by, "bucket", "__last").agg(pick.alias("value"))
     return events.union(corrections.select(*by, F.lit("correction"), "__last", "bucket", "value", F.lit(True)))
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from millrace.functions.columns import micros
 from millrace.operators.warehouse import apply_changes
 from millrace.sources.snapshots import SnapshotTable
 
@@ -50,3 +54,96 @@ def changes_into_table(changes: DataFrame, table: SnapshotTable, keys: Sequence[
         table.overwrite(apply_changes(known, batch, keys, values, offset), stamp)
 
     return apply_each_batch(changes, run, checkpoint)
+
+
+def batch_folders(path: str) -> Callable[[DataFrame, int], None]:
+    """A batch function that writes each batch into a folder of its own below ``path``: one that is run again replaces itself."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+#: Spark's state store that holds states of several variables on disk.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _LateEvents(StatefulProcessor):
+    """Running watermark and buckets of one key."""
+
+    def __init__(self, columns: Sequence[str], seconds: int, lateness: int, aggregation: str, retain: int | None):
+        self.columns, self.width, self.lateness, self.aggregation, self.retain = list(columns), seconds, lateness * 1_000_000, aggregation, retain
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.mark = handle.getValueState("mark", "mark long")
+        self.buckets = handle.getMapState("buckets", "bucket long", "n long, total double")
+
+    def _value(self, n: int, total: float) -> float | None:
+        if self.aggregation == "count":
+            return float(n)
+        return None if not n else total if self.aggregation == "sum" else total / n
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        given = pd.concat(list(rows), ignore_index=True).sort_values("arrival", kind="stable").reset_index(drop=True)
+        timed = given["t"].notna().to_numpy()
+        t = given["t"].fillna(0).to_numpy(np.int64)
+        before = self.mark.get()[0] if self.mark.exists() else np.iinfo(np.int64).min
+        mark = np.maximum.accumulate(np.where(timed, t, before)) if len(t) else t
+        mark = np.maximum(mark, before)
+        if len(mark) and (timed.any() or self.mark.exists()):
+            self.mark.update((int(mark[-1]),))
+        late = timed & (t < np.maximum(mark, np.iinfo(np.int64).min + self.lateness) - self.lateness)
+        bucket = np.floor_divide(t, self.width * 1_000_000) * self.width
+        shown = given["value"]
+        events = pd.DataFrame({"kind": "event", "arrival": given["arrival"], "bucket": pd.array(bucket, "Int64"), "value": shown, "is_late": pd.array(late, "boolean")})
+        events.loc[~timed, ["bucket", "is_late"]] = pd.NA
+        made = [events]
+        for b in np.unique(bucket[timed]):
+            own = np.flatnonzero(timed & (bucket == b))
+            there = shown.notna().to_numpy()[own]
+            numbers, totals = np.cumsum(there), np.cumsum(np.where(there, shown.fillna(0).to_numpy(np.float64)[own], 0.0))
+            k = (int(b),)
+            n, total = self.buckets.getValue(k) if self.buckets.containsKey(k) else (0, 0.0)
+            if self.retain is not None and not self.buckets.containsKey(k):
+                self.handle.registerTimer((int(b) + self.width + self.retain) * 1000)
+            self.buckets.updateValue(k, (int(n + numbers[-1]), float(total + totals[-1])))
+            if (last := np.flatnonzero(late[own])).size:
+                i = last[-1]
+                value = self._value(int(n + numbers[i]), float(total + totals[i]))
+                made.append(pd.DataFrame({"kind": ["correction"], "arrival": [given["arrival"][own[i]]], "bucket": pd.array([int(b)], "Int64"), "value": [value], "is_late": pd.array([True], "boolean")}))
+        out = pd.concat(made, ignore_index=True)
+        for column, value in zip(self.columns, key, strict=True):
+            out[column] = value
+        yield out[[*self.columns, "kind", "arrival", "bucket", "value", "is_late"]]
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        """Forget buckets that the watermark has left behind by the time they are kept."""
+        done = expiredTimerInfo.getExpiryTimeInMs() // 1000 - self.width - self.retain
+        if self.buckets.containsKey((done,)):
+            self.buckets.removeKey((done,))
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def late_events_stream(df: DataFrame, arrival: str, ts: str, value: str, bucket_seconds: int, lateness_seconds: int, by: Sequence[str], aggregation: str = "sum", retain_seconds: int | None = None) -> DataFrame:
+    """``timeseries.late_events`` over a stream: every event with is_late, and a correction row for each bucket that a batch's late events reach.
+
+    A bucket's correction stands for it up to the batch's last late event and replaces the earlier ones: those of the largest arrival
+    are the rows of the batch operator. Each key holds the largest time seen and a count and sum per bucket, in the state store. Arrivals must rise
+    from batch to batch. retain_seconds: buckets end so long after the stream's own watermark, by timers, and rows older than that
+    are dropped; none: all are kept.
+    """
+    if aggregation not in ("sum", "count", "mean") or not by:
+        raise ValueError("the aggregation is sum, count or mean, by one column or more")
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = df if retain_seconds is None else df.withWatermark(ts, f"{retain_seconds} seconds")
+    # Spark wants the watermark's own column on the way to the timers.
+    marked = [] if retain_seconds is None else [F.col(ts).alias("__ts")]
+    light = rows.select(*by, F.col(arrival).alias("arrival"), micros(F.col(ts)).alias("t"), F.col(value).cast("double").alias("value"), *marked)
+    types = {f.name: f.dataType for f in light.schema.fields}
+    schema = T.StructType([T.StructField(c, types[c]) for c in by])
+    for name, kind in (("kind", T.StringType()), ("arrival", types["arrival"]), ("bucket", T.LongType()), ("value", T.DoubleType()), ("is_late", T.BooleanType())):
+        schema.add(name, kind)
+    processor = _LateEvents(by, bucket_seconds, lateness_seconds, aggregation, retain_seconds)
+    return light.groupBy(*by).transformWithStateInPandas(processor, schema, "append", "None" if retain_seconds is None else "EventTime")
