@@ -56,9 +56,9 @@ def frequency_encode(df: DataFrame, column: str) -> DataFrame:
 
 
 def target_encode(df: DataFrame, column: str, target: str, smoothing: float = 10.0) -> DataFrame:
-    """Mean of the target per value, shrunk to the mean of all rows by ``smoothing`` rows."""
-    overall = df.agg(F.avg(target)).first()[0]
-    rates = df.groupBy(F.col(column).alias("__v")).agg(((F.sum(target) + smoothing * overall) / (F.count(target) + smoothing)).alias(f"{column}_target"))
+    """Mean of the target per value, shrunk to the mean of all rows by ``smoothing`` rows; the mean of all for values without a target, null where no row has one."""
+    overall = F.lit(df.agg(F.avg(target)).first()[0]).cast("double")
+    rates = df.groupBy(F.col(column).alias("__v")).agg(((F.coalesce(F.sum(F.col(target).cast("double")), F.lit(0.0)) + smoothing * overall) / (F.count(target) + smoothing)).alias(f"{column}_target"))
     return df.join(rates, F.col(column).eqNullSafe(F.col("__v")), "left").drop("__v")
 
 
@@ -216,8 +216,8 @@ def best_threshold(df: DataFrame, label: str, probability: str, metric: str = "f
 
 
 def residual_histogram(df: DataFrame, label: str, predicted: str, bins: int) -> DataFrame:
-    """(bin, n) of label less prediction, in equal widths between the least and the largest; 0 to bins - 1."""
-    e = df.select((F.col(label) - F.col(predicted)).cast("double").alias("e")).where("e IS NOT NULL")
+    """(bin, n) of label less prediction, in equal widths between the least and the largest; 0 to bins - 1. Only finite residuals count."""
+    e = df.select((F.col(label) - F.col(predicted)).cast("double").alias("e")).where("e IS NOT NULL AND NOT isnan(e) AND abs(e) < double('infinity')")
     low, high = e.agg(F.min("e"), F.max("e")).first()
     width = (high - low) / bins if low is not None else 0.0
     number = F.least(F.floor((F.col("e") - F.lit(low)) / F.lit(width)), F.lit(bins - 1)) if width else F.lit(0)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.columns import all_same, checked
+from millrace.functions.storage import written
 
 
 @dataclass(frozen=True)
@@ -189,14 +190,19 @@ def bucketed_range_lookup(df: DataFrame, ranges: DataFrame, value: str, low: str
 def prefix_lookup(df: DataFrame, table: DataFrame, value: str, prefix: str, columns: Sequence[str], key: Sequence[str]) -> DataFrame:
     """Left join where the value begins with the table's prefix; several matches multiply rows.
 
-    An equi-join on the value's beginnings of the lengths that prefixes have.
-    key: columns that tell the rows of df apart.
+    An equi-join on the value's beginnings of the lengths that prefixes have. key: columns that go with a row; they need not tell rows
+    apart, as a row's own beginnings travel with it. Null values match nothing.
     """
     lengths = sorted(r[0] for r in table.where(F.col(prefix).isNotNull()).select(F.length(prefix)).distinct().collect())
     cut = [F.when(F.length(value) >= n, F.substring(F.col(value), 1, n)) for n in lengths]
-    tried = F.explode(F.array_compact(F.array(*cut))) if cut else F.explode(F.array().cast("array<string>"))
-    hits = df.select(*key, tried.alias("__prefix")).alias("l").join(table.alias("r"), F.col("l.__prefix") == F.col(f"r.{prefix}")).select(*[F.col(f"l.{k}") for k in key], *[F.col(f"r.{c}") for c in columns])
-    return df.join(hits, list(key), "left")
+    tried = F.array_compact(F.array(*cut)) if cut else F.array().cast("array<string>")
+    # Each prefix that stands in the table once; a beginning that does not is dropped by the first join, before rows meet.
+    known = table.where(F.col(prefix).isNotNull()).select(F.col(prefix).alias("__prefix")).distinct()
+    numbered = written(df.withColumn("__row", F.monotonically_increasing_id()))
+    beginnings = numbered.select("__row", F.explode(tried).alias("__prefix")).join(known, "__prefix", "left_semi")
+    hits = beginnings.join(table.select(F.col(prefix).alias("__prefix"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)]), "__prefix").drop("__prefix")
+    others = [c for c in df.columns if c not in key]
+    return numbered.join(hits, "__row", "left").select(*key, *others, *[F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def pivot(df: DataFrame, index: Sequence[str], columns: str, values: str, function: str = "sum", names: Sequence | None = None) -> DataFrame:

@@ -49,7 +49,7 @@ def fixed_chunks(df: DataFrame, text: str, size: int, overlap: int = 0) -> DataF
 
 def sentence_chunks(df: DataFrame, text: str, size: int) -> DataFrame:
     """Sentences packed in order into chunks of at most ``size`` characters (a longer sentence is a chunk)."""
-    sentences = F.filter(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda s: F.length(F.trim(s)) > 0)
+    sentences = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.length(F.trim(s)) > 0)
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -127,7 +127,7 @@ def recursive_chunks(df: DataFrame, text: str, size: int, overlap: int | None =
 
 def _sentences(text: Column) -> Column:
     """Trimmed sentences: pieces between white space that follows a full stop, an exclamation or a question mark."""
-    cut = F.split(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"([.!?])\s+", "$1\u0001"), "\u0001")
+    cut = F.split(F.trim(F.coalesce(text, F.lit(""))), r"(?<=[.!?])\s+")
     return F.filter(F.transform(cut, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > 0)
 
 
@@ -156,8 +156,7 @@ CODE_BOUNDARY = r"(?:async\s+def|def|class|function|func|fn|interface|struct|enu
 
 def code_chunks(df: DataFrame, text: str, size: int, boundary: str = CODE_BOUNDARY) -> DataFrame:
     """Blocks of source lines (each opened by a boundary line) packed in order into chunks of at most ``size`` characters; a longer block is a chunk."""
-    marked = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\n(?=" + boundary + ")", "\u0001")
-    blocks = F.filter(F.split(marked, "\u0001"), lambda b: b.rlike(r"\S"))
+    blocks = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\n(?=" + boundary + ")"), lambda b: b.rlike(r"\S"))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
 
     def step(acc: Column, b: Column) -> Column:
@@ -178,11 +177,14 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id:
     """(query_id, doc_id, score) of all documents that share a term with the query.
 
     Texts are cut once: terms that queries hold are counted and written, and the same pass observes
-    how many documents there are and how long. A query's repeated terms count again.
+    how many documents there are and how long. A query's repeated terms count again. No documents or no terms give no rows.
     """
+    kinds = {n: df.schema[c].dataType.simpleString() for n, df, c in (("query_id", queries, query_id), ("doc_id", docs, doc_id))}
     seen = Observation()
     cut = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t"))
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    if docs.isEmpty() or asked.isEmpty():  # nothing would run, and nothing be observed
+        return docs.sparkSession.createDataFrame([], f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
     # The size must be a column before the explode, or it is computed anew for every term.
     whole = cut.select("doc_id", "t", F.size("t").alias("length")).observe(seen, F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
     words = whole.select("doc_id", "length", F.explode("t").alias("term"))
@@ -206,19 +208,23 @@ VECTOR_BLOCK, QUERY_BLOCK = 1024, 256
 
 
 def _blocks(df: DataFrame, ids: str, vector: str, size: int, names: tuple[str, str]) -> DataFrame:
-    """Rows of (list of ids in order, their vectors as bytes of doubles), up to ``size`` a row; null vectors are left out."""
+    """Rows of (list of ids in order, their vectors of one length as bytes of doubles), up to ``size`` a row; vectors that are null or hold what is no finite number are left out."""
     kind = df.schema[ids].dataType.simpleString()
 
     def pack(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                part = part.take(pc.sort_indices(part.column(0)))
-                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                listed = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
-                yield pa.RecordBatch.from_arrays([listed, pa.array([flat.tobytes()], pa.binary())], names=list(names))
-
-    rows = df.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(ids, F.col(vector).cast("array<double>"))
+            lengths = pc.list_value_length(batch.column(1))
+            for length in pc.unique(lengths):
+                alike = batch.filter(pc.equal(lengths, length))
+                for at in range(0, alike.num_rows, size):
+                    part = alike.slice(at, size)
+                    part = part.take(pc.sort_indices(part.column(0)))
+                    flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    listed = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                    yield pa.RecordBatch.from_arrays([listed, pa.array([flat.tobytes()], pa.binary())], names=list(names))
+
+    odd = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
+    rows = df.where(F.col(vector).isNotNull() & ~F.exists(vector, odd)).select(ids, F.col(vector).cast("array<double>"))
     return rows.mapInArrow(pack, f"{names[0]} array<{kind}>, {names[1]} binary")
 
 
@@ -237,7 +243,7 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, ids: str, vector: str,
     Blocks of vectors meet blocks of queries in matrix products; of each such pair the k
     best a query go on (a margin keeps those that rounding could swap, then scores are summed
     anew in a fixed order), and a grouped merge ranks them. No vector goes through the driver's plan.
-    Equal scores go by id; a zero vector scores 0; vectors that are or hold null are left out.
+    Equal scores go by id; a zero vector scores 0; vectors that are or hold null, NaN or infinity are left out, and a query meets the vectors of its own length.
     """
     id_type, query_type = vectors.schema[ids].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
 
@@ -249,8 +255,9 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, ids: str, vector: str,
         for batch in batches:
             for r in range(batch.num_rows):
                 own, asked = batch.column(0).slice(r, 1).flatten(), batch.column(2).slice(r, 1).flatten()
-                v = np.frombuffer(batch.column(1)[r].as_py()).reshape(len(own), -1)
-                q = np.frombuffer(batch.column(3)[r].as_py()).reshape(len(asked), -1)
+                v, q = (np.array(memoryview(batch.column(c)[r].as_py()).cast("d")).reshape(n, -1) if len(batch.column(c)[r].as_py()) else np.zeros((n, 0)) for c, n in ((1, len(own)), (3, len(asked))))
+                if v.shape[1] != q.shape[1]:
+                    continue
                 near = unit(q) @ unit(v).T
                 least = np.partition(near, -k, axis=1)[:, -k] if k < len(own) else np.full(len(asked), -np.inf)
                 row, col = np.nonzero(near >= least[:, None] - 1e-9)
@@ -471,9 +478,13 @@ def ranked_recall(df: DataFrame, by: Sequence[str], item: str, relevance: str, a
     return scored.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), item))) if by else numbered(scored, [F.desc("score"), item], "place")
 
 
-def consolidated(df: DataFrame, classes: DataFrame, ids: str, order: Sequence[str | Column], text: str) -> DataFrame:
-    """One row a class of near-duplicates (id, class_id): its first text in an order, and how many members it stands for."""
+def consolidated(df: DataFrame, classes: DataFrame, ids: str, order: Sequence[str | Column], text: str, kind: str | None = None, taken: str = "episodic") -> DataFrame:
+    """(class_id, id, text, members): one row a class of near-duplicates that two rows or more belong to, its first text in an order.
+
+    classes: (id, class_id) of ``df``'s rows. kind: a column; only its rows of the kind ``taken`` are consolidated and counted.
+    """
+    own = df if kind is None else df.where(F.col(kind) == taken)
+    rows = own.join(classes.select(F.col("id").alias(ids), "class_id"), ids)
     first = F.row_number().over(Window.partitionBy("class_id").orderBy(*order, ids))
-    rows = df.join(classes.select(F.col("id").alias(ids), "class_id"), ids).withColumn("__first", first)
-    members = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("members"))
-    return rows.where("__first = 1").join(members, "class_id").select("class_id", ids, text, "members")
+    members = rows.groupBy("class_id").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return rows.withColumn("__first", first).where("__first = 1").join(members, "class_id").select("class_id", ids, text, "members")

@@ -330,9 +330,9 @@ def strict_changes(df: DataFrame, envelope: str, schema: str, keep: Sequence[str
     parsed = F.from_json(F.col(envelope), kind)
     bad = F.col("e").isNull() | ~F.coalesce(F.col("e.op").isin("c", "u", "d", "r"), F.lit(False))
     fail = F.raise_error(F.concat(F.lit("malformed change: "), F.coalesce(F.col(envelope), F.lit("null"))))
-    read = df.withColumn("e", parsed)
-    op = F.when(bad, fail.cast("string")).otherwise(F.col("e.op")).alias("op")
-    return read.select(*keep, op, "e.before", "e.after", "e.source", "e.ts_ms")
+    # A filter, as a check in a column goes with a column that is not used.
+    read = df.withColumn("e", parsed).where(F.when(bad, fail.cast("boolean")).otherwise(F.lit(True)))
+    return read.select(*keep, "e.op", "e.before", "e.after", "e.source", "e.ts_ms")
 
 
 def pending_migrations(applied: DataFrame, migrations: Sequence[tuple[int, str]], version: str = "version") -> list[tuple[int, str]]:

@@ -125,10 +125,18 @@ def packed_sentences(spark, d):
     return T.sentence_chunks(table(spark, d, "conversations"), "text", 200).select("conv_id", "turn", "chunk_index", F.md5("chunk").alias("digest"))
 
 
+#: The embedding that stands for a benchmark item in the ranking by vectors.
+_OWNED = "SELECT item_id AS q, item_id % 100 AS vec_id FROM benchmark"
+
+
 def hybrid(spark, d):
-    c = table(spark, d, "conversations").select((F.col("conv_id") % 20).alias("q"), (F.col("conv_id") * 1000 + F.col("turn")).alias("item"), F.length("text").alias("n"))
-    dense = c.select("q", "item", (F.col("n") * 7919 % 1013).cast("double").alias("score"))
-    lexical = c.select("q", "item", (F.col("n") * 104729 % 997).cast("double").alias("score"))
+    """Documents for every benchmark item: ranked by BM25, and by their class vectors among those of the item's nearest embedding."""
+    docs, asked = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark")
+    lexical = T.bm25(docs, asked, "doc_id", "text", "item_id", "text").select(F.col("query_id").alias("q"), F.col("doc_id").alias("item"), F.round("score", 6).alias("score"))
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    owners = sql(spark, d, _OWNED, "benchmark").join(vectors, "vec_id").select("q", "embedding")
+    dense = T.vector_top_k(vectors.withColumnRenamed("vec_id", "item"), owners, "item", "embedding", "q", "embedding", 20)
+    dense = dense.select(F.col("query_id").alias("q"), "item", F.round("score", 6).alias("score"))
     return rounded(T.hybrid_top_k(dense, lexical, "q", "item", 5), 10, "score")
 
 
@@ -144,9 +152,10 @@ def decayed(spark, d):
 
 
 def consolidated(spark, d):
-    c = sql(spark, d, "SELECT conv_id * 1000 + turn AS id, text FROM conversations", "conversations")
-    classes = c.select("id", (F.col("id") % 50).alias("class_id"))
-    return T.consolidated(c, classes, "id", [F.desc(F.length("text"))], "text").select("class_id", "id", "members")
+    """English documents as memories; their classes come from all texts, and the longest stands for its class."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    classes = T.near_duplicate_groups(docs.where("lang = 'en'"), "doc_id", "text", 0.6).select("id", "class_id")
+    return T.consolidated(docs, classes, "doc_id", [F.desc(F.length("text"))], "text", "lang", "en").select("class_id", "doc_id", "members")
 
 
 def screened(spark, d):
@@ -400,10 +409,25 @@ QUERIES = {
     "chunk_parents": (parents, "WITH c AS (SELECT conv_id, turn, text, unnest(range(0, CAST(ceil(greatest(length(text) - 60, 0) / 60) AS BIGINT) + 1)) AS i FROM conversations WHERE length(text) > 0), k AS (SELECT conv_id, turn, i, text[i * 60 + 1:i * 60 + 60] AS chunk FROM c) SELECT conv_id, turn, CAST(i AS INTEGER) AS chunk_index, CAST(i // 3 AS INTEGER) AS parent_index, md5(string_agg(chunk, chr(10)) OVER (PARTITION BY conv_id, turn, i // 3 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS digest FROM k"),
     "chunk_code": (code_chunks, f"WITH s AS (SELECT event_id, string_split(source, chr(10) || 'class ') AS c FROM ({_CODE}) x), b AS (SELECT event_id, string_split(c[1], chr(10) || 'def ')[1] AS h, 'def ' || string_split(c[1], chr(10) || 'def ')[2] AS f, 'class ' || c[2] AS k FROM s), p AS (SELECT event_id, CASE WHEN length(h || f) + 2 > 60 THEN [h, f, k] WHEN length(h || f || k) + 4 > 60 THEN [h || chr(10) || chr(10) || f, k] ELSE [h || chr(10) || chr(10) || f || chr(10) || chr(10) || k] END AS a FROM b), q AS (SELECT event_id, CASE WHEN len(a) = 3 AND length(a[2] || a[3]) + 2 <= 60 THEN [a[1], a[2] || chr(10) || chr(10) || a[3]] ELSE a END AS a FROM p) SELECT event_id, CAST(i - 1 AS INTEGER) AS chunk_index, md5(a[i]) AS digest FROM (SELECT event_id, a, unnest(range(1, len(a) + 1)) AS i FROM q)"),
     "chunk_sentences_packed": (packed_sentences, f"WITH s AS (SELECT conv_id, turn, {_PACK} AS s FROM conversations), f AS (SELECT conv_id, turn, string_split(list_reduce(s, lambda a, x: CASE WHEN length(string_split(a, chr(2))[-1]) + 1 + length(x) <= 200 THEN a || ' ' || x ELSE a || chr(2) || x END), chr(2)) AS c FROM s WHERE len(s) > 0) SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS chunk_index, md5(c[i]) AS digest FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM f)"),
-    "hybrid_top_k": (hybrid, "WITH c AS (SELECT conv_id % 20 AS q, conv_id * 1000 + turn AS item, length(text) AS n FROM conversations), r AS (SELECT q, item, row_number() OVER (PARTITION BY q ORDER BY n * 7919 % 1013 DESC, item) AS r FROM c UNION ALL SELECT q, item, row_number() OVER (PARTITION BY q ORDER BY n * 104729 % 997 DESC, item) FROM c), f AS (SELECT q, item, sum(1.0::DOUBLE / (60 + r)) AS s FROM r WHERE r <= 20 GROUP BY 1, 2) SELECT q, item, round(s, 10) AS score FROM f QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, item) <= 5"),
+    "hybrid_top_k": (
+        hybrid,
+        f"""WITH d AS (SELECT doc_id, {_WORDS} AS t FROM documents), n AS (SELECT count(*) AS n, avg(len(t)) AS m FROM d),
+w AS (SELECT item_id AS q, term, count(*) AS times FROM (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY ALL),
+c AS (SELECT doc_id, l, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM d) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+lexical AS (SELECT q, doc_id AS item, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / m))), 6) AS score FROM w JOIN c USING (term) JOIN f USING (term), n GROUP BY ALL),
+v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), o AS (SELECT q, e FROM ({_OWNED}) JOIN v USING (vec_id)), z AS (SELECT q, vec_id AS item, coalesce(list_cosine_similarity(o.e, v.e), 0) AS score FROM o, v),
+dense AS (SELECT q, item, round(score, 6) AS score FROM z QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, item) <= 20),
+r AS (SELECT q, item, row_number() OVER (PARTITION BY q ORDER BY score DESC, item) AS r FROM lexical UNION ALL SELECT q, item, row_number() OVER (PARTITION BY q ORDER BY score DESC, item) FROM dense),
+s AS (SELECT q, item, sum(1.0::DOUBLE / (60 + r)) AS s FROM r WHERE r <= 20 GROUP BY 1, 2) SELECT q, item, round(s, 10) AS score FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, item) <= 5""",
+    ),
     "ranked_recall": (recalled, "WITH e AS (SELECT event_id, user_id, value, pow(0.5, event_id * 37 % 86400 / 3600.0) AS a, event_id % 10 AS w FROM events), b AS (SELECT *, " + ", ".join(f"min({c}) OVER u AS l{i}, max({c}) OVER u AS h{i}" for i, c in enumerate(("value", "a", "w"))) + " FROM e WINDOW u AS (PARTITION BY user_id)) SELECT event_id, round(" + " + ".join(f"{g} * CASE WHEN h{i} > l{i} THEN ({c} - l{i}) / (h{i} - l{i}) ELSE 0 END" for i, (c, g) in enumerate((("value", 1.0), ("a", 0.5), ("w", 0.25)))) + ", 6) AS score FROM b"),
     "memory_decay": (decayed, "SELECT event_id, round(value * pow(0.5, greatest(event_id * 37 % 86400 - 100, 0) / 3600.0), 6) AS value FROM events"),
-    "memory_consolidation": (consolidated, "SELECT id % 50 AS class_id, arg_min(id, (-length(text), id)) AS id, count(*) AS members FROM (SELECT conv_id * 1000 + turn AS id, text FROM conversations) GROUP BY 1"),
+    "memory_consolidation": (
+        consolidated,
+        f"""WITH RECURSIVE s AS (SELECT doc_id AS id, text, list_distinct({_WORDS}) AS t FROM documents WHERE lang = 'en'), p AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.t, y.t)) AS c, len(x.t) + len(y.t) AS n FROM s x JOIN s y ON x.id <> y.id),
+e AS (SELECT a, b FROM p WHERE n = 0 OR c / (n - c) >= 0.6), r AS (SELECT id, id AS c FROM s UNION SELECT e.b, r.c FROM r JOIN e ON r.id = e.a), k AS (SELECT id, min(c) AS class_id FROM r GROUP BY 1)
+SELECT class_id, arg_min(id, (-length(text), id)) AS doc_id, count(*) AS members FROM k JOIN s USING (id) GROUP BY 1 HAVING count(*) > 1""",
+    ),
     "injection_screen": (screened, f"WITH x AS (SELECT conv_id, turn, text || ' ' || {_SAID!r}[(conv_id + turn) % {len(_SAID)} + 1] AS t FROM conversations) SELECT conv_id, turn, round(least(1.0, 0.3 * ({_SCREEN})), 2)::DOUBLE AS score FROM x"),
     "fuzzy_pairs_jaro": (jaro, "WITH n AS (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1) SELECT x.id AS a, y.id AS b, round(jaro_winkler_similarity(x.p_name, y.p_name), 6) AS score FROM n x JOIN n y ON x.p_name[1] = y.p_name[1] AND x.id < y.id WHERE jaro_winkler_similarity(x.p_name, y.p_name) >= 0.85"),
     "signal_spectrum": (spectra, f"WITH v AS ({_VEC}), s AS (SELECT vec_id, range AS k, list_sum(list_transform(range(len(x)), lambda i: x[i + 1] * cos(2 * pi() * range * i / len(x)))) AS re, list_sum(list_transform(range(len(x)), lambda i: x[i + 1] * sin(2 * pi() * range * i / len(x)))) AS im FROM v, range(33)) SELECT vec_id, CAST(k AS INTEGER) AS bin, round(sqrt(re * re + im * im), 4) AS size FROM s"),

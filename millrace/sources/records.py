@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from millrace.operators.clinical import hl7_fields
 
 
-def _checked(good: Column, value: Column, message: str, shown: Column) -> Column:
-    """``value`` where ``good``; else the read fails with the message and what it is about."""
-    return F.when(F.coalesce(good, F.lit(False)), value).otherwise(F.raise_error(F.concat(F.lit(f"{message}: "), F.coalesce(F.substring(shown, 1, 80), F.lit("null")))))
+def _checked(df: DataFrame, good: Column, message: str, shown: Column) -> DataFrame:
+    """``df``; the first row that is not ``good`` fails the read with the message and what it is about, whichever columns are used."""
+    fail = F.raise_error(F.concat(F.lit(f"{message}: "), F.coalesce(F.substring(shown, 1, 80), F.lit("null")))).cast("boolean")
+    return df.where(F.when(F.coalesce(good, F.lit(False)), F.lit(True)).otherwise(fail))
 
 
 def _mapped(entries: Column) -> Column:
@@ -40,18 +41,16 @@ def read_geojson(spark: SparkSession, path: str | list[str], properties: str = "
     """
     schema = f"type string, features array<struct<type string, id string, geometry string, properties {properties}>>"
     docs = spark.read.schema(schema).options(multiLine="true", mode="FAILFAST").json(path)
-    features = _checked(F.col("type") == "FeatureCollection", F.col("features"), "not a FeatureCollection", F.col("type"))
-    rows = docs.select(F.explode(features).alias("f"))
-    known = _checked(F.col("f.type") == "Feature", F.col("f"), "not a Feature", F.col("f.type"))
-    return rows.select(known.alias("f")).select(F.col("f.id").alias("feature_id"), "f.geometry", "f.properties")
+    rows = _checked(docs, F.col("type") == "FeatureCollection", "not a FeatureCollection", F.col("type")).select(F.explode("features").alias("f"))
+    return _checked(rows, F.col("f.type") == "Feature", "not a Feature", F.col("f.type")).select(F.col("f.id").alias("feature_id"), "f.geometry", "f.properties")
 
 
 def read_vcf(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Variant calls: chrom, pos, id, ref, alt, qual (null for a point), filter, info (flags hold ``true``; of equal names the last counts)."""
     lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value")).where("value <> '' AND NOT startswith(value, '#')")
-    cells = lines.select(F.split("value", "\t").alias("c"), "value")
-    f = cells.select(_checked(F.size("c") >= 8, F.col("c"), "fewer than 8 fields", F.col("value")).alias("f"))
     at = lambda i: F.get("f", F.lit(i))
+    cells = _checked(lines.select(F.split("value", "\t").alias("f"), "value"), F.size("f") >= 8, "fewer than 8 fields", F.col("value"))
+    f = _checked(cells, at(1).try_cast("long").isNotNull() & (at(5).isin("", ".") | at(5).try_cast("double").isNotNull()), "a position or quality that is no number", F.col("value"))
     named = F.transform(
         F.filter(F.split(at(7), ";"), lambda x: (x != "") & (x != ".")),
         lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(1)).alias("key"), F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise("true").alias("value")),
@@ -78,8 +77,7 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     read = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "\r", "").alias("r")).where(r"r RLIKE '\\S'")
     body = F.regexp_replace("r", "^>", "")
     header, rest = F.trim(F.substring_index(body, "\n", 1)), F.when(body.contains("\n"), F.regexp_replace(body, "^[^\n]*\n", "")).otherwise("")
-    named = _checked(header != "", header, "header without a name", F.col("r"))
-    split = read.select(named.alias("header"), F.trim(F.regexp_replace(rest, r"[ \t]*\n[ \t]*", "")).alias("sequence"))
+    split = _checked(read, header != "", "header without a name", F.col("r")).select(header.alias("header"), F.trim(F.regexp_replace(rest, r"[ \t]*\n[ \t]*", "")).alias("sequence"))
     return split.select(F.regexp_extract("header", r"^\S+", 0).alias("seq_id"), F.regexp_replace("header", r"^\S+\s*", "").alias("description"), "sequence")
 
 
@@ -102,11 +100,12 @@ def read_las(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     heads = parts.select("source_uri", _items(lines("W")).alias("w"), _items(lines("C")).alias("c"), F.array_join(lines("A"), " ").alias("a"))
     none = F.get(F.filter("w", lambda x: x["key"] == "NULL"), F.lit(0))["value"].try_cast("double")
-    sampled = F.transform(F.filter(F.split("a", r"\s+"), lambda x: x != ""), lambda x: x.cast("double"))
+    sampled = F.transform(F.filter(F.split("a", r"\s+"), lambda x: x != ""), lambda x: x.try_cast("double"))
     read = heads.select("source_uri", F.col("c.key").alias("curves"), _mapped(F.col("w")).alias("well"), none.alias("none"), sampled.alias("samples"))
     n = F.size("curves")
-    whole = _checked((n > 0) & (F.size("samples") % n == 0) | (F.size("samples") == 0), F.col("samples"), "samples do not fill the curves", F.col("source_uri"))
-    known = F.transform(whole, lambda x: F.when(F.col("none").isNull() | (x != F.col("none")), x))
+    read = _checked(read, ~F.exists("samples", lambda x: x.isNull()), "a sample that is no number", F.col("source_uri"))
+    read = _checked(read, (n > 0) & (F.size("samples") % F.greatest(n, F.lit(1)) == 0) | (F.size("samples") == 0), "samples do not fill the curves", F.col("source_uri"))
+    known = F.transform("samples", lambda x: F.when(F.col("none").isNull() | (x != F.col("none")), x))
     rows = F.transform(F.array(known), lambda a: F.transform(F.filter(F.sequence(F.lit(0), F.size(a)), lambda i: (i % F.greatest(n, F.lit(1)) == 0) & (i < F.size(a))), lambda i: F.slice(a, i + 1, n)))
     return read.select("source_uri", "well", "curves", F.get(rows, F.lit(0)).alias("data"))
 
