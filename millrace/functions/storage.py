@@ -28,3 +28,15 @@ def written(df: DataFrame) -> DataFrame:
     """Cut the lineage by a checkpoint in the folder of spark.checkpoint.dir (a local one only where it is unset)."""
     _ensure_shared(df.sparkSession)
     return df.checkpoint()
+
+
+def rewritten(df: DataFrame) -> DataFrame:
+    """``df`` written to a new folder of the checkpoint folder and read again, for a loop's state.
+
+    A checkpoint hands on the size that the optimiser guessed for its plan. Where each round joins the last one's state with itself, guesses
+    multiply to numbers whose digits double a round; a written table has the size of its files.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.functions.storage import written
+from millrace.functions.storage import rewritten, written
 
 
 def connected(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def connected(edges: DataFrame, vertices: DataFrame) -> DataFrame:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         met = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", "near").alias("new"))
         jump = labels.select(F.col("id").alias("new"), F.col("component").alias("jump"))
-        stepped = written(met.join(jump, "new", "left").select("id", "old", F.least("new", "jump").alias("component")))
+        stepped = rewritten(met.join(jump, "new", "left").select("id", "old", F.least("new", "jump").alias("component")))
         if stepped.where("old <> component").isEmpty():
             return stepped.select("id", "component")
         labels = stepped.select("id", "component")

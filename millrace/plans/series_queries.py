@@ -1,4 +1,4 @@
-"""Queries of recursions along series: filters and Kalman estimates, per user and over one order of all events."""
+"""Queries of series: filters and Kalman estimates, per user and over one order of all events; fitted declines."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from millrace.operators import filters as R
-from millrace.plans.tables import table
+from millrace.operators import declines as D, filters as R
+from millrace.plans.tables import sql, table
 
 #: Coefficients of many digits: results do not lie on the border of rounding.
 _B, _A = (math.sqrt(2) / 7, math.sqrt(3) / 6, math.sqrt(5) / 19), (1.0, -math.sqrt(7) / 5, math.sqrt(11) / 16)
@@ -40,6 +40,26 @@ def smoother(spark, d):
     return _shown(R.kalman_smoother(_values(spark, d), "value", ["ts", "event_id"], by=["user_id"]), "smoothed", "smoothed_variance")
 
 
+_RATES = "SELECT user_id, CAST(event_id % 400 AS DOUBLE) AS days, value + 5 AS value FROM events"
+# Curves without noise: a fit gives back what made them.
+_PLANTED = "SELECT c_custkey, 50.0 + c_custkey % 97 AS qi, (1 + c_custkey % 9) / 2000.0 AS d, (10 + c_custkey % 80) / 100.0 AS b FROM customer"
+
+
+def straight(method):
+    def run(spark, d):
+        out = D.straight_decline(sql(spark, d, _RATES, "events"), ["user_id"], "days", "value", method)
+        return out.select("user_id", *[F.round(c, 6).alias(c) for c in ("qi", "di_per_year", "b")])
+
+    return run
+
+
+def hyperbolic(spark, d):
+    curve = F.expr("CAST(qi AS DOUBLE) * pow(1 + CAST(b AS DOUBLE) * CAST(d AS DOUBLE) * days, -1 / CAST(b AS DOUBLE))")
+    wells = sql(spark, d, _PLANTED, "customer").withColumn("days", F.explode(F.sequence(F.lit(0), F.lit(29)))).withColumn("days", F.col("days") * 30.0)
+    out = D.hyperbolic_decline(wells.select("c_custkey", "days", curve.alias("q")), ["c_custkey"], "days", "q")
+    return out.select("c_custkey", *[F.round(c, 4).alias(c) for c in ("qi", "di_per_year", "b")], "converged")
+
+
 _ORDERED = "o AS MATERIALIZED (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
 
 
@@ -88,4 +108,7 @@ s(user_id, event_id, i, m, p) AS (SELECT r.* FROM r JOIN n ON r.user_id = n.user
 SELECT r.user_id, r.event_id, r.i, r.m + r.p / (r.p + 0.01) * (s.m - r.m), r.p + pow(r.p / (r.p + 0.01), 2) * (s.p - r.p - 0.01) FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i - 1)
 SELECT event_id, round(m, 6) AS smoothed, round(p, 6) AS smoothed_variance FROM s"""),
     ),
+    "decline_exponential": (straight("exponential"), f"SELECT user_id, round(exp(regr_intercept(ln(value + 1e-9), days)), 6) AS qi, round(-365 * regr_slope(ln(value + 1e-9), days), 6) AS di_per_year, 0.0::DOUBLE AS b FROM ({_RATES}) WHERE value + 1e-9 > 0 GROUP BY 1"),
+    "decline_harmonic": (straight("harmonic"), f"SELECT user_id, round(1 / greatest(regr_intercept(1 / (value + 1e-9), days), 1e-9), 6) AS qi, round(365 * regr_slope(1 / (value + 1e-9), days) / greatest(regr_intercept(1 / (value + 1e-9), days), 1e-9), 6) AS di_per_year, 1.0::DOUBLE AS b FROM ({_RATES}) GROUP BY 1"),
+    "decline_hyperbolic": (hyperbolic, f"SELECT c_custkey, round(qi, 4)::DOUBLE AS qi, round(d * 365, 4)::DOUBLE AS di_per_year, round(b, 4)::DOUBLE AS b, true AS converged FROM ({_PLANTED})"),
 }
