@@ -1,4 +1,4 @@
-"""Queries of series: filters and Kalman estimates, per user and over one order of all events; fitted declines."""
+"""Queries of series: filters and Kalman estimates, per user and over one order of all events; fitted declines, sample entropy, autoregression and alignment."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from millrace.operators import declines as D, filters as R
+from millrace.operators import declines as D, filters as R, lagged as G
 from millrace.plans.tables import sql, table
 
 #: Coefficients of many digits: results do not lie on the border of rounding.
@@ -60,6 +60,27 @@ def hyperbolic(spark, d):
     return out.select("c_custkey", *[F.round(c, 4).alias(c) for c in ("qi", "di_per_year", "b")], "converged")
 
 
+def entropies(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("at", "x"))
+    return G.sample_entropy(rows, ["vec_id"], ["at"], "x", 2, 0.05).withColumn("sample_entropy", F.round(F.col("sample_entropy") + 0.0, 6))
+
+
+def autoregressive(method):
+    def run(spark, d):
+        out = G.autoregression(_values(spark, d), ["user_id"], ["ts", "event_id"], "value", 2, method)
+        return out.select("user_id", "n", *[F.round(F.get("coefficients", F.lit(i)), 6).alias(f"a{i + 1}") for i in (0, 1)])
+
+    return run
+
+
+_SHIFTED = "SELECT user_id, event_id, ts, value - 10 AS r, coalesce(lead(value - 10, CAST(3 AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS t FROM events"
+
+
+def lags(spark, d):
+    out = G.best_lag(sql(spark, d, _SHIFTED, "events"), ["user_id"], ["ts", "event_id"], "r", "t", 5)
+    return out.select("user_id", "lag", F.round("score", 4).alias("score"))
+
+
 _ORDERED = "o AS MATERIALIZED (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
 
 
@@ -111,4 +132,26 @@ SELECT event_id, round(m, 6) AS smoothed, round(p, 6) AS smoothed_variance FROM
     "decline_exponential": (straight("exponential"), f"SELECT user_id, round(exp(regr_intercept(ln(value + 1e-9), days)), 6) AS qi, round(-365 * regr_slope(ln(value + 1e-9), days), 6) AS di_per_year, 0.0::DOUBLE AS b FROM ({_RATES}) WHERE value + 1e-9 > 0 GROUP BY 1"),
     "decline_harmonic": (straight("harmonic"), f"SELECT user_id, round(1 / greatest(regr_intercept(1 / (value + 1e-9), days), 1e-9), 6) AS qi, round(365 * regr_slope(1 / (value + 1e-9), days) / greatest(regr_intercept(1 / (value + 1e-9), days), 1e-9), 6) AS di_per_year, 1.0::DOUBLE AS b FROM ({_RATES}) GROUP BY 1"),
     "decline_hyperbolic": (hyperbolic, f"SELECT c_custkey, round(qi, 4)::DOUBLE AS qi, round(d * 365, 4)::DOUBLE AS di_per_year, round(b, 4)::DOUBLE AS b, true AS converged FROM ({_PLANTED})"),
+    "sample_entropy": (
+        entropies,
+        """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), m AS (SELECT vec_id, count(*) FILTER (near) AS matches, count(*) FILTER (near AND i <= len(x) - 3 AND j <= len(x) - 3 AND abs(x[i + 2] - x[j + 2]) < 0.05::DOUBLE) AS longer
+FROM (SELECT *, greatest(abs(x[i] - x[j]), abs(x[i + 1] - x[j + 1])) < 0.05::DOUBLE AS near FROM v, range(1, 63) a(i), range(1, 63) b(j) WHERE i <> j) GROUP BY 1)
+SELECT vec_id, matches, longer, CASE WHEN matches = 0 THEN 0.0 WHEN longer = 0 THEN 'inf'::DOUBLE ELSE round(-ln(longer / matches) + 0.0, 6) END AS sample_entropy FROM m""",
+    ),
+    **{
+        f"autoregression_{k}": (
+            autoregressive(k),
+            f"""WITH w AS (SELECT user_id, value AS x, lag(value) OVER o AS y, lag(value, 2) OVER o AS z FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, count(*) AS n, {moments} FROM w GROUP BY 1) SELECT user_id, n, round((q * a - r * b) / (p * q - r * r), 6) AS a1, round((p * b - r * a) / (p * q - r * r), 6) AS a2 FROM s""",
+        )
+        for k, moments in (
+            ("ols", "sum(y * y) FILTER (z IS NOT NULL) AS p, sum(z * z) AS q, sum(y * z) AS r, sum(x * y) FILTER (z IS NOT NULL) AS a, sum(x * z) AS b"),
+            ("yule_walker", "sum(x * x) AS p, sum(x * x) AS q, sum(x * y) AS r, sum(x * y) AS a, sum(x * z) AS b"),
+        )
+    },
+    "best_lag": (
+        lags,
+        f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ({_SHIFTED})), c AS (SELECT a.user_id, l AS lag, sum(CASE WHEN b.r IS NOT NULL THEN b.r * a.t ELSE 0 END) AS s FROM o a CROSS JOIN range(-5, 6) k(l) LEFT JOIN o b ON b.user_id = a.user_id AND b.i = a.i + l GROUP BY 1, 2)
+SELECT user_id, arg_max(lag, (s, -lag)) AS lag, round(max(s), 4) AS score FROM c GROUP BY 1""",
+    ),
 }
