@@ -15,10 +15,13 @@ _KINDS = {"sum": F.sum, "max": F.max}
 def running(df: DataFrame, order: Sequence[str | Column], values: Mapping[str, tuple[str, str]]) -> DataFrame:
     """``df`` with running sums or maxima over all rows in an order, the own row included.
 
-    values: new column to (column, "sum" or "max"). Spark's sort deals the order to ranges; they are
+    Rows of equal place stand in an order of their hashes. values: new column to (column, "sum" or "max"). Spark's sort deals the order to ranges; they are
     summed first (one row a range), then each inside. The sorted rows are written once, as both steps must see the same ranges.
     """
-    placed = written(df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()))
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    # Rows of equal place differ in their hashes, so many of them are dealt to several ranges.
+    ties = [F.xxhash64(*[F.col(f"`{c}`") for c in plain])] if plain else []
+    placed = written(df.orderBy(*order, *ties).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()))
     whole = placed.groupBy("__part").agg(*[_KINDS[kind](column).alias(f"__v_{name}") for name, (column, kind) in values.items()])
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     before = whole.select("__part", *[_KINDS[kind](f"__v_{name}").over(earlier).alias(f"__b_{name}") for name, (_, kind) in values.items()])

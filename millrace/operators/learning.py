@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.ranges import numbered, quantiles, running
+from millrace.functions.storage import written
 
 
 def hash_split(df: DataFrame, keys: Sequence[str], parts: Mapping[str, float], seed: int = 0, name: str = "split") -> DataFrame:
@@ -252,9 +253,10 @@ def walk_forward(df: DataFrame, order: Sequence[str], train: int, test: int, ste
 
     Raises ValueError when the table has fewer than train + test * steps rows.
     """
-    if df.count() < train + test * steps:
+    first = written(df.orderBy(*order).limit(train + test * steps))
+    if first.count() < train + test * steps:
         raise ValueError("too few rows for these windows")
-    rows = numbered(df, order, "__n").where(F.col("__n") <= train + test * steps)
+    rows = numbered(first, order, "__n")
     at = F.col("__n") - 1 - F.col("step") * test
     role = F.when((at >= 0) & (at < train), "train").when((at >= train) & (at < train + test), "test")
     return rows.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("role", role).where("role IS NOT NULL").drop("__n")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -80,17 +83,56 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+#: Values of a block that are compared with as many others in one group.
+GROUP = 1000
+
+
+def _length_classes(threshold: float, metric: str) -> float | None:
+    """How many times longer one of two similar values may be; None if lengths rule nothing out."""
+    # A Jaro similarity j needs 3 j - 1 <= m / a + m / b for m common characters; a common start adds up to 0.4 (1 - j).
+    shortest = threshold if metric == "levenshtein" else 3 * (threshold - 0.4) / 0.6 - 2
+    return 1 / shortest if 0 < shortest < 1 else None
+
+
+def _block_pairs(values: DataFrame, ratio: float | None) -> DataFrame:
+    """Rows x and y of every two values (v, id, block) of a block whose lengths are within the ratio, each pair once.
+
+    Values stand in classes of lengths; a class meets itself and the next. Classes of very many values are dealt to
+    groups of some ``GROUP``, and every two groups meet under a key of their own, so a block is worked on by many tasks.
+    """
+    kind = F.lit(0) if ratio is None else F.floor(F.log(F.greatest(F.length("v"), F.lit(1)) * 1.0) / math.log(ratio) + 1e-9)
+    classed = values.withColumn("c", kind.cast("int"))
+    sizes = written(classed.groupBy("block", "c").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("k")))
+    dealt = written(classed.join(sizes, ["block", "c"]).withColumn("g", F.pmod(F.xxhash64("v"), F.col("k")).cast("int")).drop("k"))
+    other = sizes.select(F.col("block").alias("o_block"), F.col("c").alias("o_c"), F.col("k").alias("o_k"))
+    span = lambda first: F.explode(F.sequence(first, F.col("o_k") - 1))
+    met = []
+    for step in (0, 1):
+        with_next = dealt.join(other, (F.col("block") == F.col("o_block")) & (F.col("c") + step == F.col("o_c")))
+        x = with_next.select("block", "c", "g", span(F.col("g") if step == 0 else F.lit(0)).alias("h"), F.col("v").alias("x_v"), F.col("id").alias("x_id"))
+        before = dealt.join(other, (F.col("block") == F.col("o_block")) & (F.col("c") - step == F.col("o_c")))
+        upto = F.col("g") if step == 0 else F.col("o_k") - 1
+        y = before.select("block", (F.col("c") - step).alias("c"), F.explode(F.sequence(F.lit(0), upto)).alias("g"), F.col("g").alias("h"), F.col("v").alias("y_v"), F.col("id").alias("y_id"))
+        pairs = x.join(y, ["block", "c", "g", "h"])
+        met.append(pairs.where("g < h OR x_id < y_id") if step == 0 else pairs)
+    both = met[0].union(met[1]) if ratio is not None else met[0]
+    swap = F.col("x_id") > F.col("y_id")
+    pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
+    return both.select(pick("x_id", "y_id").alias("a"), pick("y_id", "x_id").alias("b"), pick("x_v", "y_v").alias("av"), pick("y_v", "x_v").alias("bv"))
+
+
 def fuzzy_pairs(df: DataFrame, key: str, column: str, prefix: int, threshold: float, metric: str = "levenshtein") -> DataFrame:
     """(a, b, score) of rows in one block (same first letters) that are similar enough; equal values meet once.
 
-    Values are compared once each; the rows that share a value are linked to its least row.
+    Values are compared once each; the rows that share a value are linked to its least row. Values meet only where their lengths
+    allow the threshold, group by group, so that no block is one task's.
     """
     value = F.lower(F.coalesce(F.col(column).cast("string"), F.lit("none")))
     rows = df.select(F.col(key).alias("id"), value.alias("v"))
     values = rows.groupBy("v").agg(F.min("id").alias("id")).withColumn("block", F.substring("v", 1, prefix))
-    score = edit_similarity(F.col("x.v"), F.col("y.v")) if metric == "levenshtein" else jaro_winkler_column(F.col("x.v"), F.col("y.v"))
-    near = values.alias("x").join(values.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id")))
-    pairs = near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), score.alias("score")).where(F.col("score") >= threshold)
+    score = edit_similarity(F.col("av"), F.col("bv")) if metric == "levenshtein" else jaro_winkler_column(F.col("av"), F.col("bv"))
+    near = _block_pairs(values, _length_classes(threshold, metric))
+    pairs = near.select("a", "b", score.alias("score")).where(F.col("score") >= threshold)
     same = rows.join(values.select("v", F.col("id").alias("head")), "v").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
     return pairs.union(same)
 
@@ -142,6 +184,34 @@ def link(left: DataFrame, right: DataFrame, fields: Sequence[Field], ids: tuple[
     return met.withColumn("status", status)
 
 
+def link_candidates(left: DataFrame, right: DataFrame, fields: Sequence[Field], ids: tuple[str, str], match: float, review: float) -> DataFrame:
+    """(left_id, right_id, score, status) of the pairs that reach the review score, each once.
+
+    Rows meet on the least sets of fields whose agreement is enough for it, all fields of a set together, so a field of few
+    values alone brings no pairs unless it is enough alone. Nulls agree with nothing. Raises ValueError when no agreement is needed.
+    """
+    names = {f.name: f for f in fields}
+    up = {n: math.log2(f.m / f.u) for n, f in names.items()}
+    down = {n: math.log2((1 - f.m) / (1 - f.u)) for n, f in names.items()}
+    score = lambda own: sum(up[n] if n in own else down[n] for n in names)
+    reaching = [frozenset(c) for k in range(len(names) + 1) for c in itertools.combinations(names, k) if score(c) >= review]
+    least = [s for s in reaching if not any(o < s for o in reaching)]
+    if frozenset() in least:
+        raise ValueError("pairs that agree in nothing would reach the review score")
+    a = left.select(F.col(ids[0]).alias("left_id"), *names)
+    b = right.select(F.col(ids[1]).alias("right_id"), *names)
+    agree = lambda s: functools.reduce(operator.and_, [F.coalesce(F.col(f"l.{n}") == F.col(f"r.{n}"), F.lit(False)) for n in sorted(s)])
+    parts = []
+    for i, own in enumerate(least):
+        hit = a.alias("l").join(b.alias("r"), functools.reduce(operator.and_, [F.col(f"l.{n}") == F.col(f"r.{n}") for n in sorted(own)]))
+        for earlier in least[:i]:
+            hit = hit.where(~agree(earlier))
+        parts.append(hit.select("left_id", "right_id", link_score(fields).alias("score")))
+    if not parts:
+        parts = [a.crossJoin(b).limit(0).select("left_id", "right_id", F.lit(0.0).alias("score"))]
+    return functools.reduce(DataFrame.union, parts).where(F.col("score") >= review).withColumn("status", F.when(F.col("score") >= match, "match").otherwise("review"))
+
+
 def breadth_first(edges: DataFrame, starts: DataFrame, depth: int, undirected: bool = False) -> DataFrame:
     """(id, distance) of all nodes within ``depth`` steps of the starts, for edges (a, b)."""
     steps = edges.select("a", "b")

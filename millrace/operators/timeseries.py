@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.columns import all_same, micros, text_of
-from millrace.functions.ranges import running
+from millrace.functions.ranges import numbered, running
 
 _SECOND = 1_000_000
+#: Rows of one order that a rolling statistic takes together.
+BLOCK = 8192
 
 
 def sessionize(df: DataFrame, entity: Sequence[str], ts: str, minutes: float, order: Sequence[str] = ()) -> DataFrame:
@@ -71,10 +73,17 @@ def resample(df: DataFrame, ts: str, value: str, seconds: int, aggregation: str
 
 
 def rolling(df: DataFrame, ts: str, value: str, size: int, statistic: str = "mean", by: Sequence[str] = (), order: Sequence[str] = (), name: str = "rolling") -> DataFrame:
-    """Statistic of the last ``size`` rows, fewer at the start. Give ``by``, or one task orders all rows."""
-    over = Window.partitionBy(*by).orderBy(ts, *order).rowsBetween(-(size - 1), 0)
+    """Statistic of the last ``size`` rows, fewer at the start; without ``by`` over all rows, in blocks of their order that begin with the rows they need of the one before."""
     pick = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_pop}[statistic]
-    return df.withColumn(name, pick(value).over(over))
+    if by:
+        return df.withColumn(name, pick(value).over(Window.partitionBy(*by).orderBy(ts, *order).rowsBetween(-(size - 1), 0)))
+    block = max(BLOCK, size)
+    place = numbered(df, [ts, *order], "__n").withColumn("__n", F.col("__n") - 1)
+    at = F.floor(F.col("__n") / block)
+    needed = F.when(F.col("__n") % block > block - size, F.array(at, at + 1)).otherwise(F.array(at))
+    dealt = place.withColumn("__block", F.explode(needed))
+    over = Window.partitionBy("__block").orderBy("__n").rowsBetween(-(size - 1), 0)
+    return dealt.withColumn(name, pick(value).over(over)).where(F.col("__block") == at).drop("__n", "__block")
 
 
 def late_events(df: DataFrame, arrival: str, ts: str, value: str, bucket_seconds: int, lateness_seconds: int, by: Sequence[str] = (), aggregation: str = "sum") -> DataFrame:

@@ -213,6 +213,11 @@ def resample(kind):
     return lambda spark, d: S.resample(table(spark, d, "events"), "ts", "value", 3600, kind, "event_id")
 
 
+def rolling_whole(spark, d):
+    out = S.rolling(table(spark, d, "events").select("event_id", "ts", "value"), "ts", "value", 50, "max", order=["event_id"])
+    return out.select("event_id", "rolling")
+
+
 def rolling_least(spark, d):
     return S.rolling(table(spark, d, "events").select("event_id", "user_id", "ts", "value"), "ts", "value", 5, "min", ["user_id"], ["event_id"]).select("event_id", "rolling")
 
@@ -438,6 +443,7 @@ SELECT class_id, arg_min(id, (-length(text), id)) AS doc_id, count(*) AS members
     "join_cross": (crossed, "SELECT n_nationkey, r_regionkey FROM nation, region"),
     **{f"metric_{k}": (metric(k), f"SELECT l_returnflag, {'round(' + k + '(l_quantity), 6)' if k != 'count' else 'count(l_quantity)'} AS m FROM lineitem GROUP BY 1") for k in ("sum", "count", "avg")},
     **{f"resample_{k}": (resample(k), f"SELECT CAST(floor({_US} / 3600000000) AS BIGINT) * 3600 AS bucket, {k}(value) AS value FROM events GROUP BY 1") for k in ("min", "max", "count")},
+    "rolling_whole": (rolling_whole, "SELECT event_id, max(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS rolling FROM events"),
     "rolling_min": (rolling_least, "SELECT event_id, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS rolling FROM events"),
     **{f"cohort_{k}": (cohort(k), f"WITH f AS (SELECT *, min(ts) OVER (PARTITION BY user_id) AS first_seen FROM events) SELECT epoch_us(first_seen) AS first_seen, CAST(floor(({_US} - epoch_us(first_seen)) / 604800000000) AS BIGINT) AS period, count(DISTINCT user_id) AS users, round({f}(value)::DOUBLE, 6) AS metric FROM f GROUP BY f.first_seen, 2") for k, f in (("count", "count"), ("mean", "avg"))},
     **{f"late_events_{k}{'_global' if not by else ''}": (late(k, by), late_sql(k, by)) for k, by in (("count", ["user_id"]), ("mean", ["user_id"]), ("sum", []))},

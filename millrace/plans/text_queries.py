@@ -76,6 +76,19 @@ def fuzzy_jaro(spark, d):
     return K.fuzzy_pairs(p, "id", "p_name", 1, 0.85, "jaro_winkler").withColumn("score", F.round("score", 6))
 
 
+def fuzzy_brands(spark, d):
+    """Names with their brands: some thousand values in blocks of very different sizes."""
+    p = sql(spark, d, "SELECT p_name || ' ' || p_brand AS v, min(p_partkey) AS id FROM part GROUP BY 1", "part")
+    return K.fuzzy_pairs(p, "id", "v", 1, 0.9).withColumn("score", F.round("score", 6))
+
+
+def candidates(spark, d):
+    a = sql(spark, d, "SELECT s_suppkey AS id, s_nationkey AS nation, floor(s_acctbal / 100) AS band, s_suppkey % 7 AS digit FROM supplier", "supplier")
+    b = sql(spark, d, "SELECT c_custkey AS id, c_nationkey AS nation, nullif(floor(c_acctbal / 100), 3) AS band, c_custkey % 7 AS digit FROM customer", "customer")
+    out = K.link_candidates(a, b, [K.Field("nation", 0.9, 0.1), K.Field("band", 0.8, 0.2), K.Field("digit", 0.7, 0.2)], ("id", "id"), 6.0, 2.9)
+    return out.withColumn("score", F.round("score", 6))
+
+
 def linked(spark, d):
     a = sql(spark, d, "SELECT s_suppkey AS id, s_nationkey AS nation, floor(s_acctbal / 1000) AS band FROM supplier", "supplier")
     b = sql(spark, d, "SELECT c_custkey AS id, c_nationkey AS nation, nullif(floor(c_acctbal / 1000), 3) AS band FROM customer", "customer")
@@ -179,7 +192,20 @@ SELECT doc_id, (SELECT min(c) FROM r WHERE id = doc_id) AS class_id, (SELECT cou
         f"""WITH RECURSIVE n AS ({_NAMES}), e AS (SELECT x.id AS a, y.id AS b FROM n x JOIN n y ON x.p_name[1:2] = y.p_name[1:2] AND x.id <> y.id AND 1 - levenshtein(x.p_name, y.p_name) / greatest(length(x.p_name), length(y.p_name)) >= 0.6),
 r AS (SELECT id, id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON r.id = e.a) SELECT p_name, id FROM n WHERE id = (SELECT min(c) FROM r WHERE r.id = n.id)""",
     ),
-    "fuzzy_pairs_jaro_winkler": (fuzzy_jaro, None),
+    "fuzzy_pairs_jaro_winkler": (
+        fuzzy_jaro,
+        f"WITH n AS ({_NAMES}) SELECT x.id AS a, y.id AS b, round(jaro_winkler_similarity(lower(x.p_name), lower(y.p_name)), 6) AS score FROM n x JOIN n y ON x.p_name[1] = y.p_name[1] AND x.id < y.id WHERE jaro_winkler_similarity(lower(x.p_name), lower(y.p_name)) >= 0.85",
+    ),
+    "fuzzy_pairs_brands": (
+        fuzzy_brands,
+        "WITH n AS (SELECT lower(p_name || ' ' || p_brand) AS v, min(p_partkey) AS id FROM part GROUP BY 1), s AS (SELECT x.id AS a, y.id AS b, 1 - levenshtein(x.v, y.v) / greatest(length(x.v), length(y.v)) AS score FROM n x JOIN n y ON x.v[1] = y.v[1] AND x.id < y.id) SELECT a, b, round(score, 6) AS score FROM s WHERE score >= 0.9",
+    ),
+    "link_candidates": (
+        candidates,
+        """WITH p AS (SELECT s_suppkey AS left_id, c_custkey AS right_id, s_nationkey = c_nationkey AS n, coalesce(floor(s_acctbal / 100) = nullif(floor(c_acctbal / 100), 3), false) AS b, s_suppkey % 7 = c_custkey % 7 AS g FROM supplier, customer),
+s AS (SELECT left_id, right_id, CASE WHEN n THEN log2(0.9 / 0.1) ELSE log2(0.1 / 0.9) END + CASE WHEN b THEN log2(0.8 / 0.2) ELSE log2(0.2 / 0.8) END + CASE WHEN g THEN log2(0.7 / 0.2) ELSE log2(0.3 / 0.8) END AS score FROM p)
+SELECT left_id, right_id, round(score, 6) AS score, CASE WHEN score >= 6 THEN 'match' ELSE 'review' END AS status FROM s WHERE score >= 2.9""",
+    ),
     "probabilistic_link": (
         linked,
         """WITH p AS (SELECT s_suppkey AS left_id, c_custkey AS right_id, s_nationkey = c_nationkey AS n, coalesce(floor(s_acctbal / 1000) = nullif(floor(c_acctbal / 1000), 3), false) AS s FROM supplier, customer),
