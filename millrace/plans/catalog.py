@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import domain_queries, event_queries, extra_queries, graph_queries, plane_queries, quality_queries, relational_queries, series_queries, text_queries, warehouse_queries
+from millrace.plans import domain_queries, event_queries, extra_queries, graph_queries, model_queries, plane_queries, quality_queries, relational_queries, series_queries, text_queries, warehouse_queries
 
-_MODULES = [relational_queries, event_queries, warehouse_queries, quality_queries, text_queries, domain_queries, extra_queries, series_queries, plane_queries, graph_queries]
+_MODULES = [relational_queries, event_queries, warehouse_queries, quality_queries, text_queries, domain_queries, extra_queries, series_queries, plane_queries, graph_queries, model_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
