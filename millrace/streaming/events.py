@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from datetime import UTC, datetime
 from typing import Any
 
 import numpy as np
@@ -42,16 +43,21 @@ def apply_each_batch(df: DataFrame, run: Callable[[DataFrame, int], None], check
 def changes_into_table(changes: DataFrame, table: SnapshotTable, keys: Sequence[str], values: Sequence[str], checkpoint: str, offset: str = "offset") -> StreamingQuery:
     """Keep a snapshot table up to date with a stream of change events.
 
-    A batch is committed under its id as time, and one that is already in the log is
-    not applied again, so a restarted query repeats nothing.
+    A batch is committed with its number in the log, and one that is there already is
+    not applied again, so a restarted query repeats nothing. Only the folders that hold a changed key are rewritten: give the table buckets by
+    its keys, and a batch costs what it touches.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        stamp = f"batch-{number:012d}"
-        if any(e["at"] == stamp for e in table.history()):
+        if any(e.get("batch") == number for e in table.history()):
             return
-        known = table.scan() if table.versions() else batch.select(*keys, *values).limit(0)
-        table.overwrite(apply_changes(known, batch, keys, values, offset), stamp)
+        changes = batch.persist()
+        try:
+            none = changes.select(*keys, *values).limit(0)
+            make = lambda known: apply_changes(none if known is None else known.select(*keys, *values), changes, keys, values, offset)
+            table.rewrite(changes, keys, make, "changes", datetime.now(UTC).isoformat(), {"batch": number})
+        finally:
+            changes.unpersist()
 
     return apply_each_batch(changes, run, checkpoint)
 
