@@ -173,27 +173,84 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+#: Terms of all queries that are sent to every executor; more of them meet the words of the documents in joins.
+TERMS = 500_000
+#: Scores of a batch of documents and all queries that are held at once.
+CELLS = 1 << 22
+
+
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score) of all documents that share a term with the query.
 
-    Texts are cut once: terms that queries hold are counted and written, and the same pass observes
-    how many documents there are and how long. A query's repeated terms count again. No documents or no terms give no rows.
+    Texts are cut once and keep the counts of the terms that queries hold, a row a document; the same pass observes
+    how many documents there are and how long. Documents are scored where they are, against all queries at once, so no word is shuffled. A query's
+    repeated terms count again. No documents or no terms give no rows; null query ids are left out.
     """
+    spark = docs.sparkSession
     kinds = {n: df.schema[c].dataType.simpleString() for n, df, c in (("query_id", queries, query_id), ("doc_id", docs, doc_id))}
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query))).alias("term")).where("query_id IS NOT NULL")
+    asked = written(asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")))
+    if docs.isEmpty() or asked.isEmpty():  # nothing would run, and nothing be observed
+        return spark.createDataFrame([], f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
     seen = Observation()
     cut = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t"))
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    if docs.isEmpty() or asked.isEmpty():  # nothing would run, and nothing be observed
-        return docs.sparkSession.createDataFrame([], f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
     # The size must be a column before the explode, or it is computed anew for every term.
     whole = cut.select("doc_id", "t", F.size("t").alias("length")).observe(seen, F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
-    words = whole.select("doc_id", "length", F.explode("t").alias("term"))
-    counts = written(words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")))
+    if asked.limit(TERMS + 1).count() > TERMS:
+        words = whole.select("doc_id", "length", F.explode("t").alias("term"))
+        counts = written(words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")))
+        n, mean = seen.get["n_docs"], seen.get["mean_length"] or 1.0
+        idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+        part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
+        scored = counts.join(idf, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+        return scored.where("score > 0")
+    known = asked.toArrow().combine_chunks()
+    terms = pc.unique(known.column("term").combine_chunks())
+    sent = spark.sparkContext.broadcast(terms)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The places of a document's terms among the queries', and how often each stands in it."""
+        for batch in batches:
+            lists = batch.column(1)
+            place = pc.index_in(lists.flatten(), sent.value)
+            row = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists).fill_null(0)))
+            there = np.asarray(place.is_valid())
+            key, times = np.unique(row[there].astype(np.int64) * len(sent.value) + np.asarray(place.filter(pa.array(there))), return_counts=True)
+            ends = np.searchsorted(key // len(sent.value), np.arange(len(lists) + 1))
+            listed = lambda x: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), listed(key % len(sent.value)), listed(times)], names=["doc_id", "length", "terms", "tf"])
+
+    counts = written(whole.select("doc_id", "t", "length").mapInArrow(counted, f"doc_id {kinds['doc_id']}, length int, terms array<int>, tf array<int>"))
     n, mean = seen.get["n_docs"], seen.get["mean_length"] or 1.0
-    idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    scored = counts.join(idf, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-    return scored.where("score > 0")
+    frequency = np.zeros(len(terms))
+    for r in counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).toArrow().to_batches():
+        frequency[np.asarray(r.column(0))] = np.asarray(r.column(1))
+    idf = np.log(1 + (n - frequency + 0.5) / (frequency + 0.5))
+    names = pc.unique(known.column("query_id").combine_chunks())
+    by_term = np.asarray(pc.index_in(known.column("term").combine_chunks(), terms))
+    order = np.argsort(by_term, kind="stable")
+    firsts = np.searchsorted(by_term[order], np.arange(len(terms) + 1))
+    who, weight = np.asarray(pc.index_in(known.column("query_id").combine_chunks(), names))[order], np.asarray(known.column("times").combine_chunks())[order]
+    model = spark.sparkContext.broadcast((idf, firsts, who, weight * 1.0, names))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, firsts, who, weight, names = model.value
+        for batch in batches:
+            each = max(1, CELLS // len(names))
+            for at in range(0, batch.num_rows, each):
+                part = batch.slice(at, each)
+                term, tf = (np.asarray(part.column(i).flatten()) for i in (2, 3))
+                row = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(part.column(2))))
+                length = np.asarray(part.column(1), np.float64)[row]
+                own = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+                many = firsts[term + 1] - firsts[term]
+                hit = np.repeat(np.arange(len(term)), many)
+                posting = np.repeat(firsts[term] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(len(hit)) if len(hit) else hit
+                cells = np.bincount(row[hit] * len(names) + who[posting], own[hit] * weight[posting], part.num_rows * len(names))
+                found = np.flatnonzero(cells > 0)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(found % len(names))), part.column(0).take(pa.array(found // len(names))), pa.array(cells[found])], names=["query_id", "doc_id", "score"])
+
+    return counts.mapInArrow(score, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
 
 
 def cosine(a: Column, b: Column) -> Column:

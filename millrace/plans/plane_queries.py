@@ -9,7 +9,7 @@ from millrace.plans.tables import sql
 
 _CUSTOMERS = "SELECT c_custkey, c_nationkey, CAST(c_acctbal AS DOUBLE) / 100 AS x, c_custkey * 37 % 1000 / 10.0 + 0.003 AS y FROM customer"
 _PARTS = "SELECT p_partkey, p_partkey * 7 % 1000 / 10.0 + 0.013 AS x, CAST(p_retailprice AS DOUBLE) % 100 + 0.017 AS y FROM part"
-_CORNERS = "SELECT s_nationkey AS id, s_suppkey, CAST(s_acctbal AS DOUBLE) / 100 AS x, s_suppkey * 53 % 1000 / 10.0 AS y FROM supplier"
+_CORNERS = "SELECT s_nationkey % 4 AS id, s_suppkey, CAST(s_acctbal AS DOUBLE) / 100 AS x, s_suppkey * 53 % 1000 / 10.0 AS y FROM supplier"
 # A twelve-cornered star around a place of each nation.
 _ANGLE = "pi() * {i} / 6"
 _STAR = "{c}(" + _ANGLE + ") * (6 + (n_nationkey * 7 + {i} * 5) % 11) + {at}"

@@ -67,6 +67,29 @@ def test_bm25_of_nothing(spark):
     assert [(r.query_id, r.doc_id) for r in X.bm25(docs, asked, "i", "t", "q", "s").collect()] == [("q", 1)]
 
 
+@pytest.mark.parametrize("terms", [500_000, 0])
+def test_bm25_of_many_queries(spark, monkeypatch, terms):
+    import math
+    import random
+
+    monkeypatch.setattr(X, "TERMS", terms)
+    monkeypatch.setattr(X, "CELLS", 50)
+    rng = random.Random(1)
+    docs = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))) if i % 9 else None) for i in range(60)]
+    asked = [(q, " ".join(rng.choice("abcxyz") for _ in range(4))) for q in range(12)] + [(None, "a")]
+    words = {i: (t or "").split() for i, t in docs}
+    mean = sum(map(len, words.values())) / len(docs)
+    df = {w: sum(w in own for own in words.values()) for w in "abcdefghxyz"}
+    expected = {}
+    for q, text in asked:
+        for i, own in words.items():
+            parts = [math.log(1 + (60 - df[w] + 0.5) / (df[w] + 0.5)) * own.count(w) * 2.5 / (own.count(w) + 1.5 * (0.25 + 0.75 * len(own) / mean)) for w in text.split() if w in own]
+            if parts and q is not None:
+                expected[q, i] = pytest.approx(sum(parts), rel=1e-9)
+    got = X.bm25(spark.createDataFrame(docs, "i long, t string"), spark.createDataFrame(asked, "q long, s string"), "i", "t", "q", "s").collect()
+    assert len(got) == len(expected) and {(r.query_id, r.doc_id): r.score for r in got} == expected
+
+
 def test_targets_and_residuals_without_numbers(spark):
     df = spark.createDataFrame([("a", None), ("b", None), (None, None)], "c string, y double")
     assert [r.c_target for r in L.target_encode(df, "c", "y").collect()] == [None] * 3
