@@ -1,4 +1,4 @@
-"""Series against their own past and against each other: sample entropy, autoregression, alignment by cross-correlation.
+"""Series against their own past and against each other: sample entropy, autoregression, alignment by cross-correlation, singular spectra.
 
 Long series are cut to blocks whose sums merge; what is gathered in a task is a block.
 """
@@ -192,3 +192,83 @@ def aligned(df: DataFrame, by: Sequence[str], order: Sequence[str], reference: s
     lags = cross_correlation(df, by, order, reference, target, most).groupBy("key").agg(top)
     moved = rows.join(lags, "key").select("key", (F.col("n") + F.col("lag")).alias("n"), F.col("v1").alias("aligned"))
     return rows.join(moved, ["key", "n"], "left").select("key", "n", F.col("v0").alias("reference"), F.coalesce("aligned", F.lit(0.0)).alias("aligned"))
+
+
+# Singular spectra ----------------------------------------------------------
+def singular_spectrum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, window: int, components: int) -> DataFrame:
+    """(by, n, value, component, part): each series as a sum of ``components`` parts of largest weight, a row a place and part.
+
+    Windows of ``window`` values are the columns of a matrix; its products are sums over blocks, a small matrix a series,
+    whose eigenvectors give the parts. A window's share of a part is averaged over all windows that hold a place. n numbers the
+    rows of all series, those of one behind those of another; rows without a value are left out, and series shorter than the window give no rows.
+    All ``window`` parts sum to the series. The order of parts of equal weight is open.
+    """
+    if not isinstance(window, int) or window < 2 or not isinstance(components, int) or not 0 < components <= window:
+        raise ValueError("the window must be a whole number above 1, and there are 1 to window components")
+    rows = written(keyed(df, by, order, [value]).withColumn("at", F.col("n").cast("double")))
+
+    def windows(keys, ends, own, x):
+        """Each series of the block: its key, the first places of its windows, and these."""
+        start = 0
+        while start < own:
+            end = ends[start]
+            i = np.arange(start, min(end, own))
+            i = i[i + window <= end]
+            if len(i):
+                yield keys[start], i, x[i[:, None] + np.arange(window)]
+            start = end
+
+    def products(keys, ends, own, values):
+        for key, _, seen in windows(keys, ends, own, values[0]):
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([(seen.T @ seen).ravel().tolist()], pa.list_(pa.float64()))], names=["key", "s"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One matrix a series of a task, so that few go through the shuffle."""
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for key, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[key] = total.get(key, 0.0) + np.asarray(s.values)
+            if len(total) > 1000:
+                yield _matrices(total)
+                total = {}
+        yield _matrices(total)
+
+    parts = each_block(rows, window - 1, "key string, s array<double>", products).mapInArrow(summed, "key string, s array<double>")
+    whole = parts.select("key", F.posexplode("s").alias("i", "v")).groupBy("key", "i").agg(F.sum("v").alias("v")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("m"))
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.linalg.eigh(np.asarray(m.values).reshape(window, window))[1][:, ::-1][:, :components].T.ravel().tolist() for m in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=["key", "u"])
+
+    bases = written(whole.select("key", "m.v").mapInArrow(vectors, "key string, u array<double>"))
+
+    def projected(keys, ends, own, values):
+        for key, i, seen in windows(keys, ends, own, values[0]):
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(i), pa.string()), pa.array(values[1][i].astype(np.int64)), pa.array(list(seen), pa.list_(pa.float64()))], names=["key", "n", "x"])
+
+    # A window's share of a part at its place j is (u . x) u[j]; places average their windows'.
+    met = each_block(rows, window - 1, "key string, n long, x array<double>", projected).join(bases, "key")
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.asarray(batch.column(2).flatten(), np.float64).reshape(-1, window)
+            u = np.asarray(batch.column(3).flatten(), np.float64).reshape(-1, components, window)
+            share = np.einsum("rcw,rw->rc", u, x)[:, :, None] * u
+            places = (np.asarray(batch.column(1))[:, None, None] + np.arange(window)[None, None, :]) + np.zeros((1, components, 1), np.int64)
+            number = np.zeros_like(places) + np.arange(components)[None, :, None]
+            # Windows of a batch follow each other, so their sums by place come first.
+            flat = places.ravel() * components + number.ravel()
+            known, at = np.unique(flat, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(known // components), pa.array((known % components).astype(np.int32)), pa.array(np.bincount(at, share.ravel())), pa.array(np.bincount(at))], names=["n", "component", "total", "held"])
+
+    sums = met.select("key", "n", "x", "u").mapInArrow(shares, "n long, component int, total double, held long")
+    averaged = sums.groupBy("n", "component").agg((F.sum("total") / F.sum("held")).alias("part"))
+    series = df.select(*by, (F.to_json(F.struct(*by)) if by else F.lit("")).alias("key")).distinct()
+    return rows.select("key", "n", F.col("v0").alias("value")).join(averaged, "n").join(series, "key").select(*by, "n", "value", "component", "part")
+
+
+def _matrices(total: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([m.tolist() for m in total.values()], pa.list_(pa.float64()))], names=["key", "s"])

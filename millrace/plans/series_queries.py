@@ -81,6 +81,12 @@ def lags(spark, d):
     return out.select("user_id", "lag", F.round("score", 4).alias("score"))
 
 
+def spectra(spark, d):
+    """All parts of every user's series, which sum to it."""
+    out = G.singular_spectrum(_values(spark, d), ["user_id"], ["ts", "event_id"], "value", 4, 4)
+    return out.groupBy("user_id", "n").agg(F.round(F.sum("part"), 6).alias("total"), F.count(F.lit(1)).alias("parts")).drop("n")
+
+
 _ORDERED = "o AS MATERIALIZED (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
 
 
@@ -149,6 +155,7 @@ s AS (SELECT user_id, count(*) AS n, {moments} FROM w GROUP BY 1) SELECT user_id
             ("yule_walker", "sum(x * x) AS p, sum(x * x) AS q, sum(x * y) AS r, sum(x * y) AS a, sum(x * z) AS b"),
         )
     },
+    "singular_spectrum": (spectra, "SELECT user_id, round(value, 6) AS total, 4 AS parts FROM events QUALIFY count(*) OVER (PARTITION BY user_id) >= 4"),
     "best_lag": (
         lags,
         f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ({_SHIFTED})), c AS (SELECT a.user_id, l AS lag, sum(CASE WHEN b.r IS NOT NULL THEN b.r * a.t ELSE 0 END) AS s FROM o a CROSS JOIN range(-5, 6) k(l) LEFT JOIN o b ON b.user_id = a.user_id AND b.i = a.i + l GROUP BY 1, 2)

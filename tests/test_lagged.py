@@ -102,3 +102,42 @@ def test_nothing_and_wrong_calls(spark, series):
     for call in (lambda: G.sample_entropy(empty, ["id"], ["at"], "x", 0), lambda: G.sample_entropy(empty, ["id"], ["at"], "x", 2, 0.0), lambda: G.autoregression(empty, ["id"], ["at"], "x", 2, "burg"), lambda: G.best_lag(empty, ["id"], ["at"], "x", "y", 0)):
         with pytest.raises(ValueError):
             call()
+
+
+def ssa(x, window, count):
+    columns = len(x) - window + 1
+    u, s, vt = np.linalg.svd(np.array([x[i : i + window] for i in range(columns)]).T, full_matrices=False)
+    out = []
+    for k in range(min(count, len(s))):
+        one, total, held = s[k] * np.outer(u[:, k], vt[k]), np.zeros(len(x)), np.zeros(len(x))
+        for c in range(columns):
+            total[c : c + window] += one[:, c]
+            held[c : c + window] += 1
+        out.append(total / held)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("size", [4096, 32])
+def test_singular_spectrum(spark, monkeypatch, size):
+    monkeypatch.setattr(blocks, "SIZE", size)
+    rng = random.Random(12)
+    series = {k: [10 * math.sin(i / (3 + k)) + 3 * math.cos(i) + 0.1 * i + rng.gauss(0, 0.3) for i in range(70 + 15 * k)] for k in range(3)} | {7: [1.0, 2.0, 4.0], 8: [1.0, 2.0]}
+    rows = [(str(k), i, v, 0.0) for k, x in series.items() for i, v in enumerate(x)] + [("0", 900, None, 0.0)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, ROWS)
+    found = {}
+    for r in G.singular_spectrum(df, ["id"], ["at"], "x", 3, 3).orderBy("n").collect():
+        found.setdefault((r.id, r.component), []).append(r.part)
+    assert {k for k, _ in found} == {"0", "1", "2", "7"}
+    for k in ("0", "1", "2", "7"):
+        assert np.sum([found[k, c] for c in range(3)], axis=0) == pytest.approx(series[int(k)], abs=1e-9)
+    got = {}
+    for r in G.singular_spectrum(df, ["id"], ["at"], "x", 12, 2).orderBy("n").collect():
+        got.setdefault((r.id, r.component), []).append(r.part)
+    for k in range(3):
+        for c, part in enumerate(ssa(np.array(series[k]), 12, 2)):
+            assert got[str(k), c] == pytest.approx(list(part), abs=1e-7)
+    assert G.singular_spectrum(df.limit(0), ["id"], ["at"], "x", 3, 1).collect() == []
+    for bad in ((1, 1), (3, 4), (3, 0)):
+        with pytest.raises(ValueError):
+            G.singular_spectrum(df, ["id"], ["at"], "x", *bad)
