@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from millrace.llm.carried import Carried
 from millrace.llm.joins import is_small, join_groups
 from millrace.llm.storage import stored
 
@@ -32,9 +33,10 @@ def number_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     Ordered by turn, null first; turns of equal number in the order of their hashes. Null conversations are one
     conversation; null roles and texts count as empty.
     """
-    said, who = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (text, role))
+    own = Carried(df)  # extra columns may have any names
+    said, who = (F.coalesce(F.col(own.find(c)).cast("string"), F.lit("")) for c in (text, role))
     digest = F.sha2(F.concat(F.octet_length(who).cast("string"), F.lit(":"), who, said).cast("binary"), 256)
-    light = df.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), digest.alias("digest"), F.octet_length(said).cast("long").alias("size"))
+    light = own.rows.select(F.col(own.find(conv)).alias("conv"), F.col(own.find(turn)).alias("turn"), digest.alias("digest"), F.octet_length(said).cast("long").alias("size"))
     light = light.select("conv", "turn", *[F.xxhash64(F.lit(k), "digest").alias(f"d{k}") for k in (1, 2)], "size")
     order = [F.col("turn").asc_nulls_first(), "d1", "d2"]
     dealt = stored(light.orderBy(F.col("conv").asc_nulls_first(), *order).withColumn("part", F.spark_partition_id()))
@@ -42,8 +44,8 @@ def number_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     counts = dealt.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(F.col("conv").alias("conv_"), F.col("part").alias("part_"), F.sum("n").over(earlier).alias("before")).where("before IS NOT NULL")
-    own = F.row_number().over(Window.partitionBy("conv", "part").orderBy(*order))
-    numbered = dealt.withColumn("own", own).join(F.broadcast(before), F.col("conv").eqNullSafe(F.col("conv_")) & (F.col("part") == F.col("part_")), "left")
+    place = F.row_number().over(Window.partitionBy("conv", "part").orderBy(*order))
+    numbered = dealt.withColumn("own", place).join(F.broadcast(before), F.col("conv").eqNullSafe(F.col("conv_")) & (F.col("part") == F.col("part_")), "left")
     return numbered.select("conv", (F.col("own") + F.coalesce("before", F.lit(0))).cast("long").alias("place"), "d1", "d2", "size")
 
 

@@ -96,7 +96,8 @@ def test_any_conversations(spark):
     rng = random.Random(8)
     rows = [(c, t, rng.choice(["user", "tool"]), rng.choice("ab")) for c in range(200) for t in range(rng.randint(1, 12))]
     rows += [(1000 + c, t, "comb", "x" if t < c else "y") for c in range(30) for t in range(c + 1)]
-    turns = prefix_trie.number_turns(spark.createDataFrame(rows, CONV)).cache()
+    odd = spark.createDataFrame(rows, CONV).selectExpr("*", "1 AS `a.b`", "'x' AS TEXT", "2 AS conv", "3 AS part", "4 AS n", "5 AS `tick``s`")
+    turns = prefix_trie.number_turns(odd).cache()
     got = prefix_trie.prefix_trie(turns, turns.select("conv").distinct().union(spark.createDataFrame([(5000,), (None,)], "conv long")))
     own = defaultdict(list, {5000: [], None: []})
     for conv, turn, role, text in sorted(rows, key=lambda r: r[:2]):
