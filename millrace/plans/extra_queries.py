@@ -353,7 +353,7 @@ def undisturbed(spark, d):
 
 def survival_median(spark, d):
     curve = D.survival_curve(sql(spark, d, "SELECT user_id, CAST(max(event_id) % 400 AS BIGINT) AS days, max(event_id) % 3 = 0 AS died, user_id % 2 AS arm FROM events GROUP BY user_id", "events"), "days", "died", ["arm"], ["user_id"])
-    return D.median_survival(curve, "days", ["arm"])
+    return D.median_survival(curve, "days", ["arm"]).withColumn("median", F.col("median").cast("double"))
 
 
 def flows(spark, d):
@@ -465,7 +465,11 @@ SELECT class_id, arg_min(id, (-length(text), id)) AS doc_id, count(*) AS members
     "matched_controls": (controls, "WITH l AS (SELECT c_custkey AS id, c_acctbal AS s FROM customer WHERE c_nationkey = 1), r AS (SELECT c_custkey AS c, c_acctbal AS t FROM customer WHERE c_nationkey > 10) SELECT id, arg_min(c, (abs(s - t), c)) AS control_id, round(min(abs(s - t)), 4) AS distance FROM l JOIN r ON abs(s - t) <= 5 GROUP BY id"),
     "hl7_segments": (messages, "SELECT event_id, CAST(i AS INTEGER) AS i, ['MSH', 'PID', 'OBX'][i + 1] AS segment, ['MSH~^~~' || event_type, 'PID~1~' || user_id, 'OBX'][i + 1] AS fields FROM (SELECT event_id, event_type, user_id, unnest(range(3)) AS i FROM events)"),
     "without_intercurrent": (undisturbed, "SELECT event_id FROM events WHERE event_type <> 'error' AND user_id % 3 <> 2"),
-    "median_survival": (survival_median, None),
+    "median_survival": (
+        survival_median,
+        """WITH u AS (SELECT user_id, max(event_id) % 400 AS days, max(event_id) % 3 = 0 AS died, user_id % 2 AS arm FROM events GROUP BY user_id), r AS (SELECT *, count(*) OVER (PARTITION BY arm) - row_number() OVER w + 1 AS n FROM u WINDOW w AS (PARTITION BY arm ORDER BY days, user_id)),
+s AS (SELECT arm, days, CASE WHEN bool_or(died AND n = 1) OVER w THEN 0 ELSE exp(sum(CASE WHEN died AND n > 1 THEN ln(1 - 1 / n) ELSE 0 END) OVER w) END AS survival FROM r WINDOW w AS (PARTITION BY arm ORDER BY days, user_id)) SELECT arm, CAST(min(days) FILTER (survival <= 0.5) AS DOUBLE) AS median FROM s GROUP BY 1""",
+    ),
     "flow_ratios": (flows, "SELECT event_id, round(value * 100 / (user_id + 1e-6), 4) AS ratio, round(value * (user_id + 14.0) / 14.696 * 519.67 / (value + 60 + 459.67), 6) AS standard, round(CASE WHEN value + user_id > 0 THEN value / (value + user_id) ELSE 0 END, 8) AS water_cut FROM events"),
     "volumetrics": (volumes, "SELECT p_partkey, round(7758.0 * p_size * p_retailprice * 0.2 * 0.7 / 1.2, 2) AS volumetric, round(CASE WHEN 1 + p_size / 100 - 1.1 > 1e-6 THEN (p_retailprice * (1 + p_size / 100) + p_size) / (1 + p_size / 100 - 1.1 + 1e-9) ELSE p_retailprice * 5 END, 2) AS oil, round(p_retailprice * 10 / (0.003 + 1e-9), 2) AS gas, (least(greatest((p_size * 2 - 20) / 100.0, 0), 1) > 0.35)::INT::DOUBLE AS shale FROM part"),
     "pvt_interpolation": (fluid, "WITH k AS (SELECT f, x, 1.0 + f + pow(x / 50.0, 2) AS y, lead(x) OVER w AS x2, lead(1.0 + f + pow(x / 50.0, 2)) OVER w AS y2 FROM range(2) r(f), (VALUES (5.0::DOUBLE), (12.0), (30.0), (44.0)) v(x) WINDOW w AS (PARTITION BY f ORDER BY x)) SELECT p_partkey, round(CASE WHEN p_size < 5 THEN (SELECT y FROM k WHERE f = p_partkey % 2 AND x = 5) WHEN p_size >= 44 THEN (SELECT y FROM k WHERE f = p_partkey % 2 AND x = 44) ELSE (SELECT y + (y2 - y) * (p_size - x) / (x2 - x) FROM k WHERE f = p_partkey % 2 AND p_size >= x AND p_size < x2) END, 8) AS factor FROM part"),

@@ -164,7 +164,12 @@ _NAMES = "SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1"
 
 QUERIES = {
     "chunk_fixed": (chunks, "SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(i * 450 AS INTEGER) AS start, md5(text[i * 450 + 1:i * 450 + 500]) AS digest FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(greatest(length(text) - 500, 0) / 450) AS BIGINT) + 1)) AS i FROM documents WHERE length(text) > 0)"),
-    "chunk_sentences": (sentence_chunks, None),
+    "chunk_sentences": (
+        sentence_chunks,
+        r"""WITH s AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: length(trim(s)) > 0) AS s FROM conversations),
+f AS (SELECT conv_id, turn, string_split(list_reduce(s, lambda a, x: CASE WHEN length(string_split(a, chr(2))[-1]) + 1 + length(x) <= 200 THEN a || ' ' || x ELSE a || chr(2) || x END), chr(2)) AS c FROM s WHERE len(s) > 0)
+SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS chunk_index, CAST(length(c[i]) AS INTEGER) AS size FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM f)""",
+    ),
     "chunk_recursive": (recursive_chunks, None),
     "redact_personal_data": (redacted, "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '" + "', '<redacted>', 'g'), '".join(X.PII.values()) + "', '<redacted>', 'g')) AS digest FROM documents"),
     "bm25": (
