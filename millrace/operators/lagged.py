@@ -53,8 +53,11 @@ def template_matches(df: DataFrame, by: Sequence[str], order: Sequence[str], val
         raise ValueError("the length must be a positive whole number and the tolerance positive")
     width = tolerance * (1 + 1e-9)
     axes = range(min(length, 2))
-    cell = F.array(*[F.floor(F.get("x", F.lit(a)) / width) for a in axes])
-    runs = written(_templates(df, by, order, value, length).withColumns({"cell": cell, "id": F.monotonically_increasing_id()}))
+    found = written(_templates(df, by, order, value, length).withColumn("id", F.monotonically_increasing_id()))
+    # The runs of a short series are one group, wherever they lie.
+    long = found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > GROUP).select("key", F.lit(True).alias("long"))
+    cell = F.array(*[F.when(F.col("long"), F.floor(F.get("x", F.lit(a)) / width)).otherwise(0) for a in axes])
+    runs = found.join(long, "key", "left").withColumn("cell", cell).drop("long")
     groups = runs.groupBy("key", "cell").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("k"))
     dealt = runs.join(groups, ["key", "cell"]).withColumn("g", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     packed = written(dealt.groupBy("key", "cell", "g").agg(F.flatten(F.collect_list("x")).alias("x"), F.collect_list("more").alias("more")))
