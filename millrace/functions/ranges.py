@@ -20,7 +20,7 @@ def running(df: DataFrame, order: Sequence[str | Column], values: Mapping[str, t
     """
     plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     # Rows of equal place differ in their hashes, so many of them are dealt to several ranges.
-    ties = [F.xxhash64(*[F.col(f"`{c}`") for c in plain])] if plain else []
+    ties = [F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in plain])] if plain else []
     placed = written(df.orderBy(*order, *ties).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()))
     whole = placed.groupBy("__part").agg(*[_KINDS[kind](column).alias(f"__v_{name}") for name, (column, kind) in values.items()])
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
