@@ -137,7 +137,7 @@ def late_events_stream(df: DataFrame, arrival: str, ts: str, value: str, bucket_
     A bucket's correction stands for it up to the batch's last late event and replaces the earlier ones: those of the largest arrival
     are the rows of the batch operator. Each key holds the largest time seen and a count and sum per bucket, in the state store. Arrivals must rise
     from batch to batch. retain_seconds: buckets end so long after the stream's own watermark, by timers, and rows older than that
-    are dropped; none: all are kept.
+    are dropped; none: all are kept. The session's state store is set to the one that holds such states (``ROCKS``).
     """
     if aggregation not in ("sum", "count", "mean") or not by:
         raise ValueError("the aggregation is sum, count or mean, by one column or more")
