@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import queries as Q
 from tests.llm import texts as X
@@ -62,6 +63,14 @@ def test_op2(spark, folders):
         assert multiset(map(tuple, Q.op2_sharding(spark, folder).collect())) == multiset(map(tuple, got))
 
 
+def test_op2_digests_what_the_operator_returns(spark, small, monkeypatch):
+    """The texts themselves go through the shuffle: what it returns of them is what is digested."""
+    shuffle = Q.sharding.shuffle_into_shards
+    monkeypatch.setattr(Q.sharding, "shuffle_into_shards", lambda df, shards: shuffle(df, shards).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\u00e9"))))
+    expected = [(d[0], len(b) + 1, zlib.crc32(b)) for d in rows_of(spark, small, "documents") for b in [((d[1] or "") + "\u00e9").encode()]]
+    assert multiset((r.doc_id, r.size, r.text_crc32) for r in Q.op2_sharding(spark, small).collect()) == multiset(expected)
+
+
 # op5 -----------------------------------------------------------------------
 def test_op5(spark, folders):
     for folder in folders:
