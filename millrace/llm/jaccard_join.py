@@ -8,6 +8,11 @@ join): a node samples coordinates, each set follows the tokens it holds there, a
 that chose the same path meet.  Small nodes are leaves and are brute-forced;
 the number of runs follows from the target recall.
 
+Near copies of one text stay together on all paths, so a large group of them would be
+split and brute-forced again in every run.  The sets in large nodes therefore first follow a
+leader they look like; sets of one leader are linked by that, and in each node only
+those without it are compared with the rest.  Nodes with too many of these are split.
+
 Leaves compare signatures and send on a spanning forest of what looks similar,
 never the pairs.  Candidate groups are the components of these forests; in
 each the exact similarity of all sets is computed from the shingles, in blocks, and
@@ -328,24 +333,83 @@ def _grouped(rows: DataFrame, by: str, run, schema: str) -> DataFrame:
     return rows.repartition(by).sortWithinPartitions(by).mapInArrow(run, schema)
 
 
+def _like_pivot(batches: Iterator[pa.RecordBatch], bound: int) -> Iterator[pa.RecordBatch]:
+    """(key, pivot, sig, pivot_sig) to (key, leader) of the rows whose signatures agree in ``bound`` coordinates or more."""
+    for batch in batches:
+        if batch.num_rows:
+            agree = (_matrix(batch.column(2), np.uint32) == _matrix(batch.column(3), np.uint32)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(agree >= bound)) for c in batch.columns[:2]], names=["key", "leader"])
+
+
+def _leaders(held: DataFrame, bound: int) -> DataFrame:
+    """(key, leader), stored: the pivot that a set looks like, for the sets that look like theirs.
+
+    held: (key, sig, nodes), the large nodes of each set. A node's pivot is the set in it that most large nodes hold, as it is in the
+    middle of its near copies; a set's pivot is that of most of its nodes. So a set meets one other, however many nodes hold both.
+    """
+    place = F.struct((-F.size("nodes")).alias("rank"), F.xxhash64("key", F.lit(7)).alias("tie"), F.col("key").alias("pivot"))
+    spread = held.select("key", place.alias("place"), F.explode("nodes").alias("node"))
+    pivots = stored(spread.groupBy("node").agg(F.min("place").alias("first")))
+    asked = join_groups(spread.select("key", "node"), pivots, ["node"], 96, "inner").groupBy("key").agg(F.mode("first", True).alias("first"))
+    asked = asked.select("key", F.col("first.pivot").alias("pivot")).where("pivot <> key").join(held.select("key", "sig").hint("merge"), "key")
+    of_pivots = held.select(F.col("key").alias("pivot"), F.col("sig").alias("pivot_sig"))
+    of_pivots = stored(join_groups(of_pivots, pivots.select(F.col("first.pivot").alias("pivot")), ["pivot"], 48, "left_semi"))
+    met = join_groups(asked, of_pivots, ["pivot"], 64 + 4 * COORDINATES, "inner")
+    return stored(met.select("key", "pivot", "sig", "pivot_sig").mapInArrow(lambda batches: _like_pivot(batches, bound), "key binary, leader binary"))
+
+
+def _besides(rows: DataFrame) -> DataFrame:
+    """Rows (node, label, main, n, rest of the row) to blocks in which all pairs meet but those of two sets of the node's main label.
+
+    Sets of the main label stand in one block each; the others, ``LEAF`` at most, in every block, and in one for themselves.
+    """
+    blocks = F.ceil(F.col("n") / LEAF).cast("int")
+    own = F.pmod(F.xxhash64("key", F.lit(5)), blocks).cast("int")
+    follows = F.col("label") == F.col("main")
+    rest = [c for c in rows.columns if c not in ("node", "label", "main", "n")]
+    placed = rows.select("node", follows.alias("__follows"), F.explode(F.when(follows, F.array(own)).otherwise(F.sequence(F.lit(-1), blocks - 1))).alias("__at"), *rest)
+    side = F.when(F.col("__follows"), 1).when(F.col("__at") < 0, 0).otherwise(2)
+    return placed.select(F.xxhash64("node", "__at").alias("block"), side.cast("int").alias("side"), *rest)
+
+
 def candidate_groups(sets: DataFrame, recall: float) -> DataFrame:
     """(node, component) of the sets that may be similar to another; sets: key, sig."""
     runs, bound = runs_for(recall), leaf_bound(recall)
     children = sets.select("key", "sig").mapInArrow(_paths(runs), "key binary, node long")
     edges = None
+
+    def links(met: DataFrame) -> DataFrame:
+        return _grouped(met.select("block", "side", "key", "sig"), "block", lambda batches: _leaf_links(batches, bound), "a binary, b binary").distinct()
+
     for level in range(1, DEPTH + 1):
         children = stored(children) if level > 1 else children
         sizes = stored(children.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         final = level == DEPTH
         leaves = sizes if final else sizes.where(F.col("n") <= LEAF)
         members = children.join(leaves.hint("merge"), "node").withColumn("blocks", F.ceil(F.col("n") / LEAF)).drop("n")
-        met = _blocked(members.join(sets.select("key", "sig").hint("merge"), "key"), "node", "blocks")
-        found = _grouped(met.select("block", "side", "key", "sig"), "block", lambda batches: _leaf_links(batches, bound), "a binary, b binary").distinct()
+        found = links(_blocked(members.join(sets.select("key", "sig").hint("merge"), "key"), "node", "blocks"))
         edges = found if edges is None else edges.union(found)
         large = sizes.where(F.col("n") > LEAF)
         if final or large.isEmpty():
             break
-        open_ = children.join(large.select("node").hint("merge"), "node").join(sets.select("key", "sig").hint("merge"), "key")
+        open_ = join_groups(children, large.select("node"), ["node"], 32, "inner")
+        if level == 1:
+            nodes = open_.groupBy("key").agg(F.collect_list("node").alias("nodes"))
+            held = stored(nodes.join(sets.select("key", "sig").hint("merge"), "key"))
+            leaders = _leaders(held, bound)
+            spread = held.select("key", "sig", F.explode("nodes").alias("node"))
+            labelled = join_groups(spread, leaders, ["key"], 80).select("key", "sig", "node", F.coalesce("leader", "key").alias("label"))
+            shares = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"))
+            shares = stored(shares.select("node", "n", F.col("most.label").alias("main"), (F.col("n") - F.col("most.n")).alias("others")))
+            besides = shares.where(F.col("others").between(1, LEAF)).drop("others")
+            edges = edges.union(leaders.select(F.col("key").alias("a"), F.col("leader").alias("b")))
+            edges = edges.union(links(_besides(join_groups(labelled, besides, ["node"], 80, "inner"))))
+            large = shares.where(F.col("others") > LEAF)
+            if large.isEmpty():
+                break
+            open_ = join_groups(spread, large.select("node"), ["node"], 32, "inner")
+        else:
+            open_ = open_.join(sets.select("key", "sig").hint("merge"), "key")
         children = open_.select("key", "node", "sig").mapInArrow(_split, "key binary, node long")
     return stored(connected_components(edges))
 

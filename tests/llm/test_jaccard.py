@@ -180,3 +180,24 @@ def test_rows_apart_from_the_linked(spark, docs, monkeypatch):
     usual = key([tuple(r) for r in J.one_of_each(df).collect()])
     monkeypatch.setattr(joins, "BROADCAST_BYTES", 64)
     assert key([tuple(r) for r in J.one_of_each(df).collect()]) == usual
+
+
+def test_near_copies_are_not_split(spark, monkeypatch):
+    """A large group of near copies is linked in its nodes, not sent on to their children by every run; outsiders keep their links."""
+    rng = random.Random(21)
+    base = X.words(rng, 200)
+    texts = near_copies(rng, base, 400)
+    changed = texts[7].split(" ")
+    texts += near_copies(rng, " ".join([*changed[:-25], *[f"fringe{k}" for k in range(25)]]), 30)  # like a few of the copies, or like none
+    texts += [" ".join([*base.split(" ")[:60], *[f"{i}q{k}" for k in range(140)]]) for i in range(30)]  # same nodes, no link
+
+    def refuse(batches):
+        if any(b.num_rows for b in batches):
+            raise AssertionError("near copies were split")
+        return iter(())
+
+    monkeypatch.setattr(J, "LEAF", 128)
+    monkeypatch.setattr(J, "_split", refuse)
+    rows = list(enumerate(texts))
+    got = [tuple(r) for r in J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert key(got) == key(brute(rows))
