@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -330,7 +331,8 @@ def _blocked(rows: DataFrame, group: str, blocks: str) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, by: str, run, schema: str) -> DataFrame:
-    return rows.repartition(by).sortWithinPartitions(by).mapInArrow(run, schema)
+    """Groups in the order of their keys, so that forests are stars around their least keys, which components need fewest rounds for."""
+    return rows.repartition(by).sortWithinPartitions(by, "key").mapInArrow(run, schema)
 
 
 def _like_pivot(batches: Iterator[pa.RecordBatch], bound: int) -> Iterator[pa.RecordBatch]:
@@ -341,20 +343,20 @@ def _like_pivot(batches: Iterator[pa.RecordBatch], bound: int) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(agree >= bound)) for c in batch.columns[:2]], names=["key", "leader"])
 
 
-def _leaders(held: DataFrame, bound: int) -> DataFrame:
+def _leaders(held: DataFrame, bound: int, n_nodes: int) -> DataFrame:
     """(key, leader), stored: the pivot that a set looks like, for the sets that look like theirs.
 
-    held: (key, sig, nodes), the large nodes of each set. A node's pivot is the set in it that most large nodes hold, as it is in the
+    held: (key, sig, nodes), the large nodes of each set, n_nodes in all. A node's pivot is the set in it that most large nodes hold, as it is in the
     middle of its near copies; a set's pivot is that of most of its nodes. So a set meets one other, however many nodes hold both.
     """
     place = F.struct((-F.size("nodes")).alias("rank"), F.xxhash64("key", F.lit(7)).alias("tie"), F.col("key").alias("pivot"))
     spread = held.select("key", place.alias("place"), F.explode("nodes").alias("node"))
     pivots = stored(spread.groupBy("node").agg(F.min("place").alias("first")))
-    asked = join_groups(spread.select("key", "node"), pivots, ["node"], 96, "inner").groupBy("key").agg(F.mode("first", True).alias("first"))
+    asked = join_groups(spread.select("key", "node"), pivots, ["node"], 96, "inner", n_nodes).groupBy("key").agg(F.mode("first", True).alias("first"))
     asked = asked.select("key", F.col("first.pivot").alias("pivot")).where("pivot <> key").join(held.select("key", "sig").hint("merge"), "key")
     of_pivots = held.select(F.col("key").alias("pivot"), F.col("sig").alias("pivot_sig"))
-    of_pivots = stored(join_groups(of_pivots, pivots.select(F.col("first.pivot").alias("pivot")), ["pivot"], 48, "left_semi"))
-    met = join_groups(asked, of_pivots, ["pivot"], 64 + 4 * COORDINATES, "inner")
+    of_pivots = stored(join_groups(of_pivots, pivots.select(F.col("first.pivot").alias("pivot")), ["pivot"], 48, "left_semi", n_nodes))
+    met = join_groups(asked, of_pivots, ["pivot"], 64 + 4 * COORDINATES, "inner", n_nodes)
     return stored(met.select("key", "pivot", "sig", "pivot_sig").mapInArrow(lambda batches: _like_pivot(batches, bound), "key binary, leader binary"))
 
 
@@ -373,65 +375,62 @@ def _besides(rows: DataFrame) -> DataFrame:
 
 
 def candidate_groups(sets: DataFrame, recall: float) -> DataFrame:
-    """(node, component) of the sets that may be similar to another; sets: key, sig."""
+    """(node, component), stored, of the sets that may be similar to another; sets: key, sig."""
     runs, bound = runs_for(recall), leaf_bound(recall)
+    signatures = sets.select("key", "sig").hint("merge")
     children = sets.select("key", "sig").mapInArrow(_paths(runs), "key binary, node long")
-    edges = None
-
-    def links(met: DataFrame) -> DataFrame:
-        return _grouped(met.select("block", "side", "key", "sig"), "block", lambda batches: _leaf_links(batches, bound), "a binary, b binary").distinct()
-
+    leaves, followed, others = [], [], []
     for level in range(1, DEPTH + 1):
         children = stored(children) if level > 1 else children
         sizes = stored(children.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        final = level == DEPTH
-        leaves = sizes if final else sizes.where(F.col("n") <= LEAF)
-        members = children.join(leaves.hint("merge"), "node").withColumn("blocks", F.ceil(F.col("n") / LEAF)).drop("n")
-        found = links(_blocked(members.join(sets.select("key", "sig").hint("merge"), "key"), "node", "blocks"))
-        edges = found if edges is None else edges.union(found)
-        large = sizes.where(F.col("n") > LEAF)
-        if final or large.isEmpty():
+        n_large = sizes.where(F.col("n") > LEAF).count() if level < DEPTH else 0
+        met = children.join(sizes.hint("merge"), "node")
+        met = stored(met) if n_large else met
+        own = met.where(F.col("n") <= LEAF) if n_large else met
+        leaves.append(own.select("key", "node", F.ceil(F.col("n") / LEAF).alias("blocks")))
+        if not n_large:
             break
-        open_ = join_groups(children, large.select("node"), ["node"], 32, "inner")
+        open_ = met.where(F.col("n") > LEAF).select("key", "node")
         if level == 1:
             nodes = open_.groupBy("key").agg(F.collect_list("node").alias("nodes"))
-            held = stored(nodes.join(sets.select("key", "sig").hint("merge"), "key"))
-            leaders = _leaders(held, bound)
+            held = stored(nodes.join(signatures, "key"))
+            leaders = _leaders(held, bound, n_large)
             spread = held.select("key", "sig", F.explode("nodes").alias("node"))
             labelled = join_groups(spread, leaders, ["key"], 80).select("key", "sig", "node", F.coalesce("leader", "key").alias("label"))
             shares = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"))
             shares = stored(shares.select("node", "n", F.col("most.label").alias("main"), (F.col("n") - F.col("most.n")).alias("others")))
             besides = shares.where(F.col("others").between(1, LEAF)).drop("others")
-            edges = edges.union(leaders.select(F.col("key").alias("a"), F.col("leader").alias("b")))
-            edges = edges.union(links(_besides(join_groups(labelled, besides, ["node"], 80, "inner"))))
-            large = shares.where(F.col("others") > LEAF)
-            if large.isEmpty():
+            followed.append(leaders.select(F.col("key").alias("a"), F.col("leader").alias("b")))
+            others.append(_besides(join_groups(labelled, besides, ["node"], 80, "inner", n_large)))
+            large = shares.where(F.col("others") > LEAF).select("node")
+            n_large = large.count()
+            if not n_large:
                 break
-            open_ = join_groups(spread, large.select("node"), ["node"], 32, "inner")
+            open_ = join_groups(spread, large, ["node"], 32, "inner", n_large)
         else:
-            open_ = open_.join(sets.select("key", "sig").hint("merge"), "key")
+            open_ = open_.join(signatures, "key")
         children = open_.select("key", "node", "sig").mapInArrow(_split, "key binary, node long")
-    return stored(connected_components(edges))
+    # The blocks of all levels are compared at once.
+    met = [_blocked(reduce(DataFrame.union, leaves).join(signatures, "key"), "node", "blocks"), *others]
+    blocks = reduce(DataFrame.union, [x.select("block", "side", "key", "sig") for x in met])
+    edges = _grouped(blocks, "block", lambda batches: _leaf_links(batches, bound), "a binary, b binary")
+    return connected_components(reduce(DataFrame.union, followed, edges))
 
 
 def _bits(keys: pa.Array) -> np.ndarray:
     """The filter's bit of each key."""
-    return (_matrix(keys, np.uint64)[:, 0] % _U(FILTER_BITS)).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
+    return (_matrix(keys, ">u8")[:, 0] % _U(FILTER_BITS)).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
 
 
 def _filter_of(keys: DataFrame) -> np.ndarray:
     """A bit for each key: FILTER_BITS / 8 bytes whatever the number of keys.
 
-    Tasks make words of 64 bits, Spark merges them, and the driver gets one row a word at most.
+    Spark merges words of 64 bits, and the driver gets one row a word at most.
     """
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = _bits(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(bit // 64), pa.array((_U(1) << (bit % 64).astype(np.uint64)).view(np.int64))], names=["w", "b"])
-
+    bits = keys.select((F.conv(F.hex(F.substring("key", 5, 4)), 16, 10).cast("long") % FILTER_BITS).alias("bit"))
+    words = bits.selectExpr("bit DIV 64 AS w", "shiftleft(1L, CAST(bit % 64 AS INT)) AS b")
     table = np.zeros(FILTER_BITS // 64, np.int64)
-    for batch in keys.select("key").mapInArrow(words, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow().to_batches():
+    for batch in words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow().to_batches():
         table[np.asarray(batch.column(0))] = np.asarray(batch.column(1))
     return table.view(np.uint64)
 

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from millrace.llm import jaccard_join as J
+from millrace.llm import components, jaccard_join as J, joins
 from tests.llm import texts as X
 
 
@@ -201,3 +201,48 @@ def test_near_copies_are_not_split(spark, monkeypatch):
     rows = list(enumerate(texts))
     got = [tuple(r) for r in J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert key(got) == key(brute(rows))
+
+
+def test_work_for_large_groups(spark, monkeypatch):
+    """Large groups that take the paths of all levels: each stage has a task a partition, so many of them are what a few rows cost."""
+    rng = random.Random(5)
+    base = X.words(rng, 200)
+    texts = near_copies(rng, base, 150)
+    texts += [" ".join([*base.split(" ")[:150], *[f"{i}q{k}" for k in range(20)]]) for i in range(100)]  # same nodes, no link
+    monkeypatch.setattr(J, "LEAF", 16)
+    rows, context, group = list(enumerate(texts)), spark.sparkContext, "large groups"
+    context.setJobGroup(group, group)
+    try:
+        got = [tuple(r) for r in J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert key(got) == key(brute(rows))
+    tracker = context.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    ran = [s for s in map(tracker.getStageInfo, stages) if s and s.numCompletedTasks]
+    assert len(ran) < 130, len(ran)  # 110; 151 when each level was compared on its own and stars took two rounds
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "stored", lambda df, store=components.stored: written.append(1) or store(df))
+    edges = [(f"a{k}", "a") for k in range(50)] + [("b", "b0"), ("c", "c")]
+    got = {tuple(r) for r in components.connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {(f"a{k}", "a") for k in range(50)} | {("a", "a"), ("b", "b"), ("b0", "b")}
+    assert len(written) == 2
+
+
+@pytest.mark.parametrize("most", [64, 8 << 20])
+def test_components(spark, monkeypatch, most):
+    """Paths, hubs, rings and random graphs, with minima sent to all executors or not."""
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", most)
+    rng = random.Random(8)
+    edges = [(k, k + 1) for k in range(40)] + [(199, k) for k in range(100, 199)] + [(200 + k, 200 + (k + 1) % 9) for k in range(9)]
+    edges += [(rng.randrange(300, 500), rng.randrange(300, 500)) for _ in range(120)] + [(7, 7), (600, 600)]
+    least = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = [tuple(r) for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert sorted(got) == sorted(least.items())
