@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from millrace.functions.ranges import numbered
 from millrace.functions.storage import written
+from millrace.operators import tokensets
 from millrace.operators.linkage import connected
 
 # The patterns of personal data, in the order they are applied.
@@ -338,27 +339,17 @@ def reciprocal_rank_fusion(rankings: DataFrame, ids: str, rank: str, k: int = 60
 def group_by_shared_tokens(df: DataFrame, ids: str, text: str, threshold: float = 0.6) -> DataFrame:
     """(a, b, similarity) of texts whose token sets have a Jaccard similarity of ``threshold`` or more.
 
-    Prefix filter: sets are ordered by token frequency and meet on the rare tokens
-    that two such sets cannot all miss, then lengths and the exact similarity decide.
+    Sets meet in groups by size (``tokensets``), and their overlaps are counted block by block.
     """
-    sets = df.select(F.col(ids).alias("id"), F.array_distinct(tokens(F.col(text))).alias("set")).where(F.size("set") > 0)
-    frequency = sets.select(F.explode("set").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    ranked = sets.select("id", F.explode("set").alias("t")).join(frequency, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("o")).select("id", F.col("o.t").alias("o"))
-    size = F.size("o")
-    keys = ranked.select("id", size.alias("n"), F.explode(F.slice("o", F.lit(1), (size - F.ceil(size * threshold) + 1).cast("int"))).alias("t"))
-    x, y = keys.alias("x"), keys.alias("y")
-    fits = (F.col("x.n") >= threshold * F.col("y.n")) & (F.col("y.n") >= threshold * F.col("x.n"))
-    met = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.id") < F.col("y.id")) & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    both = met.join(ranked.select(F.col("id").alias("a"), F.col("o").alias("p")), "a").join(ranked.select(F.col("id").alias("b"), F.col("o").alias("q")), "b")
-    common = F.size(F.array_intersect("p", "q"))
-    similarity = common / (F.size("p") + F.size("q") - common)
-    return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
-
-
-#: Tokens in more sets than this are met in blocks of as many, each pair of blocks by itself.
-HOT_TOKEN = 1000
-#: So many of the most frequent tokens are ordered by frequency; others count as the rarest of them.
-KNOWN_TOKENS = 200_000
+    sets = written(tokensets.with_sets(df, ids, text).where("n > 0").select("id", "n", "s"))
+    pairs = tokensets.similar_pairs(tokensets.met(sets, threshold, lambda n: 8 * n + 40), threshold)
+    return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+
+
+#: Former bounds of an index of tokens, which nothing uses now; the sizes of groups and blocks are those of ``tokensets``.
+HOT_TOKEN, KNOWN_TOKENS = 1000, 200_000
+#: So many sets with candidates are sent to every executor to be found among all.
+FEW_CANDIDATES = 200_000
 
 
 def near_duplicate_groups(df: DataFrame, ids: str, text: str, threshold: float = 0.6) -> DataFrame:
@@ -366,60 +357,51 @@ def near_duplicate_groups(df: DataFrame, ids: str, text: str, threshold: float =
 
     links: other rows whose token sets have that Jaccard similarity; class_id: the least id of the class.
     Rows of equal sets are reduced to one representative with a count, so copies make no
-    pairs. Representatives meet on prefixes of their rarest tokens; positions and sizes rule out most
-    pairs before the exact similarity decides. Texts without tokens are equal to each other.
+    pairs. Representatives meet as sketches, which rule out most pairs; what they leave is connected to candidate groups, whose
+    sets are then compared exactly, block by block. Texts without tokens are equal to each other.
     """
-    sets = df.select(F.col(ids).alias("id"), F.sort_array(F.array_distinct(tokens(F.col(text)))).alias("s"))
-    sets = sets.select("id", F.unhex(F.md5(F.array_join("s", " "))).alias("r"), F.transform("s", lambda t: F.xxhash64(t)).alias("s"))
-    reps = written(sets.groupBy("r").agg(F.first("s").alias("s"), F.count(F.lit(1)).alias("n")))
-    frequency = reps.select(F.explode("s").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    common_first = frequency.orderBy(F.desc("df"), "t").limit(KNOWN_TOKENS).toPandas()
-    known = common_first.sort_values("t")
-    known_t, known_df = known["t"].to_numpy(np.int64), known["df"].to_numpy(np.int64)
-    other = int(known_df.min()) if len(known) == KNOWN_TOKENS else 1
-
-    def prefixes(batches):
-        for batch in batches:
-            rows = []
-            for i, own in enumerate(batch.column(1)):
-                t = own.values.to_numpy()
-                n = len(t)
-                if not n:
-                    continue
-                place = np.minimum(np.searchsorted(known_t, t), max(len(known_t) - 1, 0))
-                df = np.where(known_t[place] == t, known_df[place], other) if len(known_t) else np.full(n, other)
-                first = np.lexsort((t, df))[: n - math.ceil(n * threshold - 1e-9) + 1]
-                at = np.flatnonzero(df[first] > 1)
-                rows.append((np.full(len(at), i), np.full(len(at), n), at, t[first][at], df[first][at]))
-            if rows:
-                i, n, at, t, df = (np.concatenate(c) for c in zip(*rows))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), *[pa.array(c.astype(np.int32)) for c in (n, at)], pa.array(t), pa.array(df.astype(np.int64))], names=["r", "size", "at", "t", "df"])
-
-    keys = reps.select("r", "s").mapInArrow(prefixes, "r binary, size int, at int, t long, df long")
-    blocks = F.ceil(F.col("df") / HOT_TOKEN).cast("int")
-    keys = keys.withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("r"), F.col("k")).cast("int"))
-    low = keys.withColumn("lo", F.col("own")).withColumn("hi", F.explode(F.sequence("own", F.col("k") - 1)))
-    high = keys.withColumn("hi", F.col("own")).withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("own"))))
-    x, y = low.alias("x"), high.alias("y")
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("t", "lo", "hi")]
-    need = (F.col("x.size") + F.col("y.size")) * (threshold / (1 + threshold)) - 1e-9
-    reach = 1 + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) - 1
-    once = (F.col("x.lo") < F.col("x.hi")) | (F.col("x.r") < F.col("y.r"))
-    met = x.join(y, same[0] & same[1] & same[2] & once & (reach >= need) & (F.least("x.size", "y.size") >= need))
-    met = met.select(F.least("x.r", "y.r").alias("a"), F.greatest("x.r", "y.r").alias("b")).distinct()
-    side = lambda r, s, n: reps.select(F.col("r").alias(r), F.col("s").alias(s), F.col("n").alias(n))
-    common = F.size(F.array_intersect("p", "q"))
-    edges = met.join(side("a", "p", "na"), "a").join(side("b", "q", "nb"), "b").where(common / (F.size("p") + F.size("q") - common) >= threshold)
-    edges = written(edges.select("a", "b", "na", "nb"))
-    others = edges.select(F.col("a").alias("r"), F.col("nb").alias("m")).union(edges.select("b", "na")).groupBy("r").agg(F.sum("m").alias("m"))
-    linked = connected(edges, edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct())
-    classes = reps.select("r", "n").join(others, "r", "left").join(linked.withColumnRenamed("id", "r"), "r", "left")
-    classes = written(classes.select("r", F.coalesce("component", "r").alias("component"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("links")))
-    named = written(sets.select("id", "r").join(classes, "r"))
+    light = written(tokensets.with_sketches(df, ids, text))
+    reps = written(light.groupBy("r").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")))
+    dealt = tokensets.met(reps.where("n > 0").select("r", "n", "sketch"), threshold, lambda n: int(tokensets.sketch_bits(np.array(n))) // 8 + 40)
+    may = written(tokensets.candidate_forest(dealt, threshold))
+    groups = connected(may, may.select(F.col("a").alias("id")).union(may.select("b")).distinct())
+    links = written(_exact_links(df, ids, text, light, groups.withColumnRenamed("id", "r"), reps, threshold))
+    linked = connected(links.select(F.col("key").alias("a"), F.col("other").alias("b")), links.select(F.col("key").alias("id")).distinct())
+    others = links.groupBy(F.col("key").alias("r")).agg(F.sum("links").alias("m"))
+    classes = reps.select("r", "copies").join(others, "r", "left").join(linked.withColumnRenamed("id", "r"), "r", "left")
+    classes = written(classes.select("r", F.coalesce("component", "r").alias("component"), (F.col("copies") - 1 + F.coalesce("m", F.lit(0))).alias("links")))
+    named = written(light.select("id", "r").join(classes, "r"))
     least = named.groupBy("component").agg(F.min("id").alias("class_id"))
     return named.join(least, "component").select("id", "class_id", "links")
 
 
+def _exact_links(df: DataFrame, ids: str, text: str, light: DataFrame, groups: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(key, links, other) of the sets that have similar ones in their candidate group (r, component).
+
+    The texts of these sets are read again, one of each set.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / tokensets.BLOCK).cast("int").alias("k"))
+    members = written(groups.join(sizes, "component").join(reps, "r"))
+    alone = F.lit(0).cast("int").alias("side")
+    small = members.where("k = 1").select(F.xxhash64("component").alias("block"), alone, F.col("r").alias("key"), "copies")
+    own = F.pmod(F.xxhash64("r", F.lit(5)), F.col("k")).cast("int")
+    placed = members.where("k > 1").withColumns({"own": own, "part": F.floor(own / tokensets.PART).cast("int"), "c": F.xxhash64("component")})
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("k") - 1) / tokensets.PART).cast("int"))))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    side = F.when(low == high, 0).when(F.col("part") == low, 1).otherwise(2).cast("int").alias("side")
+    paired = paired.select(F.xxhash64("component", low, high).alias("at"), side, F.col("r").alias("key"), "n", "sketch", "copies", "c", "own")
+    large = tokensets.candidates_in_blocks(paired.repartition(partitions, "at").sortWithinPartitions("at"), threshold)
+    asked = written(small.union(large))
+    wanted = light.join(asked.select(F.col("key").alias("r")).distinct(), "r").groupBy("r").agg(F.min(F.struct("id")).alias("first")).select(F.col("first.id").alias("__id"))
+    wanted = written(wanted.distinct())
+    few = wanted.count() <= FEW_CANDIDATES
+    texts = df.select(ids, text).join(F.broadcast(wanted) if few else wanted, F.col(ids).eqNullSafe(F.col("__id")), "left_semi")
+    found = tokensets.with_sets(texts, ids, text).groupBy("r").agg(F.first("s").alias("s"))
+    rows = asked.join(found.withColumnRenamed("r", "key"), "key").select("block", "side", "key", "copies", "s")
+    return tokensets.links_in_blocks(rows.repartition(partitions, "block").sortWithinPartitions("block"), threshold)
+
+
 class _Visible(HTMLParser):
     """Collects the text that a page shows."""
 
