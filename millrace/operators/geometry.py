@@ -17,6 +17,8 @@ from millrace.functions.storage import written
 HOT = 20_000
 #: Cells along the longer side of a polygon.
 ACROSS = 32
+#: Comparisons of a point with a part of a line that cost as much as one copy of the part, and copies of parts for each part and point at most.
+COPY, COPIES = 50.0, 16
 #: Reach of a cell beyond what arithmetic in doubles may lose.
 _MARGIN = 1 + 1e-9
 
@@ -79,42 +81,56 @@ def nearest_line(points: DataFrame, lines: DataFrame, x: str, y: str, line: str,
     """``points`` with nearest_id, distance and within_buffer: the line that comes nearest, by its straight parts.
 
     lines: ids and arrays of [x, y] vertices; a line of one vertex has no part. Ties go to the least id. Without any line:
-    null, 0.0 and false; a point without finite coordinates: three nulls. Points look for lines in the cells around them, and those that find
-    none near enough look again in cells of twice the size, until the grid is one cell.
+    null, 0.0 and false; a point without finite coordinates: three nulls. Lines stand in the cells that they pass through. A point takes the best part of its own cell
+    and, if that is further than the cell's border, looks in all cells within that distance; points in cells without a line
+    look again in cells of four times the size, until the grid is one cell.
     """
     if not buffer > 0:
         raise ValueError("the buffer must be positive")
-    rows = written(points.withColumn("__row", F.monotonically_increasing_id()))
+    # 0.0 and -0.0 are one place, as for the joins on it.
+    at = lambda c: F.when(_finite(F.col(c)), F.col(c).cast("double") + 0.0)
+    rows = points.withColumns({"__x": at(x), "__y": at(y)})
     parts = written(_edges(lines, line, vertices, closed=False).dropDuplicates())
-    placed = rows.select("__row", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(_finite(F.col("x"), F.col("y")))
     length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
     ends = lambda a, b, p: [F.min(a).alias(f"{p}0"), F.max(b).alias(f"{p}1")]
-    grid = parts.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("length"), *ends(F.least("ax", "bx"), F.greatest("ax", "bx"), "x"), *ends(F.least("ay", "by"), F.greatest("ay", "by"), "y")).first()
+    grid = parts.agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("length"), *ends(F.least("ax", "bx"), F.greatest("ax", "bx"), "x"), *ends(F.least("ay", "by"), F.greatest("ay", "by"), "y")).first()
     kind = lines.schema[line].dataType
     if not grid["n"]:
         none = F.when(_finite(F.col(x), F.col(y)), F.lit(0.0))
-        return rows.select(*points.columns, F.lit(None).cast(kind).alias("nearest_id"), none.alias("distance"), (none > 0).alias("within_buffer"))
-    own = placed.agg(*ends("x", "x", "x"), *ends("y", "y", "y")).first()
-    reach = max([0.0] + [max(grid[f"{p}1"], own[f"{p}1"]) - min(grid[f"{p}0"], own[f"{p}0"]) for p in "xy" if own["x0"] is not None])
-    whole = max(grid["x1"] - grid["x0"], grid["y1"] - grid["y0"])
-    size = max(grid["length"], whole / math.sqrt(grid["n"]), reach / 1e6) or 1.0
+        return points.select(*points.columns, F.lit(None).cast(kind).alias("nearest_id"), none.alias("distance"), (none > 0).alias("within_buffer"))
+    # Points of one place are looked for once.
+    placed = written(rows.where("__x IS NOT NULL AND __y IS NOT NULL").select(F.col("__x").alias("x"), F.col("__y").alias("y")).distinct().withColumn("__row", F.monotonically_increasing_id()))
+    most = [F.percentile_approx(p, [0.02, 0.98]).alias(f"{p}q") for p in "xy"]
+    own = placed.agg(F.count(F.lit(1)).alias("m"), *ends("x", "x", "x"), *ends("y", "y", "y"), *most).first()
+    reach = max([0.0] + [max(grid[f"{p}1"], own[f"{p}1"]) - min(grid[f"{p}0"], own[f"{p}0"]) for p in "xy" if own["m"]])
+    # Cells as small as pays: each halves the parts that a point meets, and doubles the copies of the parts.
+    across = [own[f"{p}q"][1] - own[f"{p}q"][0] if own["m"] else 0.0 for p in "xy"]
+    size = max(math.sqrt(COPY * across[0] * across[1] / max(own["m"], 1)), grid["length"] / (COPIES * (grid["n"] + own["m"])), reach / 1e6) or max(reach, 1.0)
+    best_of = lambda asked, cells: _met(asked, cells, ["cx", "cy"]).groupBy("__row").agg(F.min(F.struct(_distance(F.col("x"), F.col("y")).alias("d"), "shape")).alias("best"))
     found, pending = [], placed
     while True:
-        last = size >= reach
-        cells = _touched(parts, F.lit(size), F.lit(size))
-        asked = pending.withColumns({"cx": _cell(F.col("x"), F.lit(size)), "cy": _cell(F.col("y"), F.lit(size))})
-        best = _met(asked, cells, ["cx", "cy"]).groupBy("__row").agg(F.min(F.struct(_distance(F.col("x"), F.col("y")).alias("d"), "shape")).alias("best"))
-        tried = written(pending.join(best, "__row", "left"))
-        near = F.coalesce(F.col("best.d") <= size, F.lit(False)) | F.lit(last)
-        found.append(tried.where(near).select("__row", "best"))
-        pending = tried.where(~near).select("__row", "x", "y")
-        if last or pending.isEmpty():
+        s = F.lit(size)
+        cells = written(_touched(parts, s, F.lit(0.0)))
+        cell = {"cx": _cell(F.col("x"), s), "cy": _cell(F.col("y"), s)}
+        tried = written(pending.join(best_of(pending.withColumns(cell), cells), "__row", "left"))
+        seen = tried.where("best IS NOT NULL").withColumn("far", F.col("best.d") * _MARGIN + s * 1e-9)
+        first, last = [{p: _cell(F.col(p) + sign * F.col("far"), s) for p in "xy"} for sign in (-1, 1)]
+        within = (first["x"] == last["x"]) & (first["y"] == last["y"])
+        wide = seen.where(~within).withColumn("cx", F.explode(F.sequence(first["x"], last["x"]))).withColumn("cy", F.explode(F.sequence(first["y"], last["y"])))
+        found += [seen.select("__row", "best"), best_of(wide.select("__row", "x", "y", "cx", "cy"), cells)]
+        pending = tried.where("best IS NULL").select("__row", "x", "y")
+        if pending.isEmpty():
+            break
+        # One cell of all: its corners may lie anywhere, so it is moved over everything.
+        if size > 2 * reach:
+            found.append(best_of(pending.withColumns({"cx": F.lit(0), "cy": F.lit(0)}), parts.withColumns({"cx": F.lit(0), "cy": F.lit(0)})))
             break
-        size *= 2
+        size *= 4
     whole_found = found[0]
     for more in found[1:]:
         whole_found = whole_found.union(more)
-    return rows.join(whole_found, "__row", "left").select(*points.columns, F.col("best.shape").alias("nearest_id"), F.col("best.d").alias("distance"), (F.col("best.d") <= buffer).alias("within_buffer"))
+    nearest = whole_found.groupBy("__row").agg(F.min("best").alias("best")).join(placed, "__row").select(F.col("x").alias("__x"), F.col("y").alias("__y"), "best")
+    return rows.join(nearest, ["__x", "__y"], "left").select(*points.columns, F.col("best.shape").alias("nearest_id"), F.col("best.d").alias("distance"), (F.col("best.d") <= buffer).alias("within_buffer"))
 
 
 def _banded(polygons: DataFrame, ids: str, vertices: str, buffer: float) -> tuple[DataFrame, DataFrame]:

@@ -53,6 +53,19 @@ def test_nearest_line(spark, lines, hot, monkeypatch):
         assert (r.nearest_id, r.within_buffer) == (best[1], best[0] <= 5) and r.distance == pytest.approx(best[0], rel=1e-12, abs=1e-9)
 
 
+@pytest.mark.parametrize("copy", [1e-4, 50.0, 1e6])
+def test_nearest_of_long_lines(spark, monkeypatch, copy):
+    """Lines that cross everything stand in small cells, by the number of points, not in cells as long as they are."""
+    monkeypatch.setattr(G, "COPY", copy)
+    rng = random.Random(8)
+    crossing = [(f"c{k % 7}", [[rng.uniform(0, 100), rng.uniform(0, 100)] for _ in range(12)]) for k in range(6)]
+    points = [(i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(120)] + [(900, 250.0, -40.0), (901, -0.0, 0.0), (901, 0.0, -0.0)]
+    got = G.nearest_line(spark.createDataFrame(points, POINTS), spark.createDataFrame(crossing, SHAPES), "x", "y", "name", "v", 1.0).collect()
+    expected = [(i, *min((gap(x, y, *a, *b), name) for name, v in crossing for a, b in zip(v, v[1:], strict=False))) for i, x, y in points]
+    assert sorted((r.id, r.nearest_id) for r in got) == sorted((i, name) for i, _, name in expected)
+    assert [r.distance for r in sorted(got, key=lambda r: (r.id, r.distance))] == pytest.approx([d for _, d, _ in sorted(expected)], abs=1e-9)
+
+
 def test_no_lines_and_no_points(spark):
     points = spark.createDataFrame([(1, 1.0, 1.0), (2, None, 1.0)], POINTS)
     for rows in ([], [("a", [[1.0, 2.0]]), ("b", [[None, 2.0], [3.0, 4.0]])]):
