@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+#: Rows of one task that looks up values of a table.
+PART = 100_000
+
 
 def gas_oil_ratio(gas: Column, oil: Column) -> Column:
     return gas / (oil + 1e-6)
@@ -103,17 +107,24 @@ def material_balance(oil: Column, water: Column, gas: Column, factor: Column, fi
 def interpolated(df: DataFrame, by: Sequence[str], at: str, table: DataFrame, x: str, y: str, name: str) -> DataFrame:
     """Add the table's value at ``at`` by linear interpolation within ``by`` (a fluid's PVT table); outside its range the end's value.
 
-    Table rows and asked rows are ordered together once; nothing is joined pair by pair.
+    Table rows and asked rows are ordered together once; nothing is joined pair by pair. A table row knows its next one, so each asked row
+    only looks back. Asked rows are dealt to parts of some ``PART``, and each part gets the table, as long as its copies are no more than the asked rows.
     """
     kinds = {c: df.schema[c].dataType for c in df.columns}
-    asked = df.select(F.struct(*df.columns).alias("__row"), *by, F.col(at).cast("double").alias("__x"), F.lit(None).cast("double").alias("__y"))
-    known = table.select(F.lit(None).cast(asked.schema["__row"].dataType).alias("__row"), *by, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
-    point = F.when(F.col("__y").isNotNull(), F.struct(F.col("__x").alias("x"), F.col("__y").alias("y")))
-    order = Window.partitionBy(*by).orderBy("__x", F.col("__y").isNull())
-    back = F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(point, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    met = asked.union(known).withColumn("__a", back).withColumn("__b", ahead).where("__row IS NOT NULL")
-    a, b = F.col("__a"), F.col("__b")
+    n, n_known = df.count(), max(table.count(), 1)
+    parts = max(1, min(math.ceil(n / PART), n // n_known))
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")
+    point = F.struct(F.col("__x").alias("x"), F.col("__y").alias("y"))
+    known = table.select(*by, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).where("__y IS NOT NULL")
+    known = known.withColumn("__p", F.struct(point.alias("a"), F.lead(point).over(Window.partitionBy(*by).orderBy("__x", "__y")).alias("b")))
+    copied = known.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = df.select(F.struct(*df.columns).alias("__row"), *by, part.alias("__part"), F.col(at).cast("double").alias("__x"))
+    order = Window.partitionBy(*by, "__part").orderBy("__x", F.col("__p").isNull(), "__y")
+    back = F.last("__p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    least = F.first("__p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    met = asked.unionByName(copied, allowMissingColumns=True).withColumn("__back", back).withColumn("__least", least).where("__row IS NOT NULL")
+    a = F.col("__back.a")
+    b = F.when(a.isNull(), F.col("__least.a")).otherwise(F.col("__back.b"))
     between = F.when(b.isNull(), a["y"]).when(a.isNull(), b["y"]).when(b["x"] == a["x"], a["y"]).otherwise(a["y"] + (b["y"] - a["y"]) * (F.col("__x") - a["x"]) / (b["x"] - a["x"]))
     return met.select(*[F.col(f"__row.{c}").alias(c) for c in kinds], between.alias(name))
 
