@@ -39,6 +39,18 @@ def test_planted_curves_are_found(spark, wells):
     assert not got["few"].converged and got["few"].b == 0.0
 
 
+@pytest.mark.parametrize("whole,together", [(100_000, 100_000), (100_000, 1), (100, 130), (0, 1)])
+def test_wells_are_fitted_whole_or_by_rounds(spark, monkeypatch, whole, together):
+    monkeypatch.setattr(D, "WHOLE", whole)
+    monkeypatch.setattr(D, "TOGETHER", together)
+    planted = {f"w{k}": (10.0 + k, 0.0005 * (k + 1), 0.1 + 0.1 * k) for k in range(6)}
+    rows = [(w, 30.0 * i, curve(*p, 30.0 * i)) for w, p in planted.items() for i in range(160 if w == "w3" else 40)] + [("few", 0.0, 9.0), ("few", 10.0, 8.0)]
+    got = {r.well: r for r in D.hyperbolic_decline(spark.createDataFrame(rows, ROWS).repartition(3), ["well"], "t", "q").collect()}
+    assert set(got) == {*planted, "few"} and not got["few"].converged
+    for well, (qi, d, b) in planted.items():
+        assert got[well].converged and (got[well].qi, got[well].di_per_year, got[well].b) == pytest.approx((qi, d * 365, b), rel=1e-6)
+
+
 def test_noisy_curves_are_least_squares(spark):
     """At the minimum the residuals are orthogonal to every free derivative, and no neighbour is better."""
     rng = random.Random(6)
