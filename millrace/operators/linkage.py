@@ -153,13 +153,55 @@ class Field:
     u: float
 
 
-def link_score(fields: Sequence[Field], left: str = "l", right: str = "r") -> Column:
-    """Sum of log2 agreement weights; a null on either side disagrees."""
-    total = F.lit(0.0)
-    for f in fields:
-        agree = F.coalesce(F.col(f"{left}.{f.name}") == F.col(f"{right}.{f.name}"), F.lit(False))
-        total = total + F.when(agree, math.log2(f.m / f.u)).otherwise(math.log2((1 - f.m) / (1 - f.u)))
-    return total
+#: Pairs of rows that agree in a block's columns which one task lists, and rows of a side in it.
+PAIRS, SIDE = 1 << 24, 1 << 12
+
+
+def _agree(name: str) -> Column:
+    return F.coalesce(F.col(f"l.{name}") == F.col(f"r.{name}"), F.lit(False))
+
+
+def _dealt_join(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows l of ``a`` and r of ``b`` that agree in the columns, all of them.
+
+    Few values make many pairs of few rows, so partitions by the size of the input would leave the pairs to a few tasks. Rows of a value with
+    many pairs are dealt to parts, every two of which meet under a key of their own.
+    """
+    counts = [x.groupBy(*on).agg(F.count(F.lit(1)).alias(n)) for x, n in ((a, "__n"), (b, "__m"))]
+    parts = lambda n: F.when(F.col("__n") * F.col("__m") > PAIRS // 16, F.ceil(F.col(n) / SIDE)).otherwise(1).cast("int")
+    met = written(counts[0].join(counts[1], list(on)).select(*on, (F.col("__n").cast("double") * F.col("__m")).alias("__pairs"), parts("__n").alias("__i"), parts("__m").alias("__j")))
+    total = met.agg(F.sum("__pairs").alias("pairs"), F.sum(F.col("__i") * F.col("__j")).alias("parts")).first()
+    same = lambda names: functools.reduce(operator.and_, [F.col(f"l.{n}") == F.col(f"r.{n}") for n in names])
+    if (total["pairs"] or 0) <= PAIRS:
+        return a.alias("l").join(b.alias("r"), same(on))
+    partitions = min(total["parts"], math.ceil(total["pairs"] / PAIRS) * 4)
+    keys = [*on, "__g", "__h"]
+
+    def dealt(x: DataFrame, own: str, parts: str, other: str, others: str) -> DataFrame:
+        # Rows of any order are dealt evenly; copies of a row would meet in one part by their hash.
+        rows = x.join(met, list(on)).withColumn(own, F.pmod(F.monotonically_increasing_id(), F.col(parts)).cast("int"))
+        rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
+        return rows.select(*x.columns, "__g", "__h").repartition(partitions, *keys)
+
+    return dealt(a, "__g", "__i", "__h", "__j").alias("l").join(dealt(b, "__h", "__j", "__g", "__i").alias("r").hint("merge"), same(keys))
+
+
+def _scored(hit: DataFrame, fields: Sequence[Field], agreed: Sequence[str], status) -> DataFrame:
+    """(left_id, right_id, score, status) of joined rows that agree in some fields: constants, picked by the agreement of the others.
+
+    A null on either side disagrees. status: of a score.
+    """
+    open_ = [f.name for f in fields if f.name not in agreed]
+    cases = []
+    for found in itertools.product((True, False), repeat=len(open_)):
+        yes = {*agreed, *(n for n, same in zip(open_, found, strict=True) if same)}
+        total = 0.0
+        for f in fields:
+            total += math.log2(f.m / f.u) if f.name in yes else math.log2((1 - f.m) / (1 - f.u))
+        case = functools.reduce(operator.and_, [_agree(n) if same else ~_agree(n) for n, same in zip(open_, found, strict=True)], F.lit(True))
+        cases.append((case, total))
+    flat = lambda of: functools.reduce(lambda made, c: made.when(c[0], of(c[1])), cases[1:-1], F.when(cases[0][0], of(cases[0][1]))).otherwise(of(cases[-1][1])) if len(cases) > 1 else F.lit(of(cases[0][1]))
+    return hit.select("left_id", "right_id", flat(lambda total: total).alias("score"), flat(status).alias("status"))
 
 
 def link(left: DataFrame, right: DataFrame, fields: Sequence[Field], ids: tuple[str, str], match: float, review: float, blocks: Sequence[str] | None = None) -> DataFrame:
@@ -172,16 +214,15 @@ def link(left: DataFrame, right: DataFrame, fields: Sequence[Field], ids: tuple[
     blocks = list(blocks or [f.name for f in fields])
     a = left.select(F.col(ids[0]).alias("left_id"), *[f.name for f in fields])
     b = right.select(F.col(ids[1]).alias("right_id"), *[f.name for f in fields])
-    met = None
-    for k in blocks:
-        hit = a.alias("l").join(b.alias("r"), F.col(f"l.{k}") == F.col(f"r.{k}"))
+    status = lambda score: "match" if score >= match else "review" if score >= review else "non_match"
+    parts = []
+    for i, k in enumerate(blocks):
+        hit = _dealt_join(a, b, [k])
         # listed by the first block that the pair agrees on
-        for earlier in blocks[: blocks.index(k)]:
-            hit = hit.where(~F.coalesce(F.col(f"l.{earlier}") == F.col(f"r.{earlier}"), F.lit(False)))
-        scored = hit.select("left_id", "right_id", link_score(fields).alias("score"))
-        met = scored if met is None else met.union(scored)
-    status = F.when(F.col("score") >= match, "match").when(F.col("score") >= review, "review").otherwise("non_match")
-    return met.withColumn("status", status)
+        for earlier in blocks[:i]:
+            hit = hit.where(~_agree(earlier))
+        parts.append(_scored(hit, fields, [k], status))
+    return functools.reduce(DataFrame.union, parts)
 
 
 def link_candidates(left: DataFrame, right: DataFrame, fields: Sequence[Field], ids: tuple[str, str], match: float, review: float) -> DataFrame:
@@ -200,16 +241,16 @@ def link_candidates(left: DataFrame, right: DataFrame, fields: Sequence[Field],
         raise ValueError("pairs that agree in nothing would reach the review score")
     a = left.select(F.col(ids[0]).alias("left_id"), *names)
     b = right.select(F.col(ids[1]).alias("right_id"), *names)
-    agree = lambda s: functools.reduce(operator.and_, [F.coalesce(F.col(f"l.{n}") == F.col(f"r.{n}"), F.lit(False)) for n in sorted(s)])
+    agree = lambda s: functools.reduce(operator.and_, [_agree(n) for n in sorted(s)])
     parts = []
     for i, own in enumerate(least):
-        hit = a.alias("l").join(b.alias("r"), functools.reduce(operator.and_, [F.col(f"l.{n}") == F.col(f"r.{n}") for n in sorted(own)]))
+        hit = _dealt_join(a, b, sorted(own))
         for earlier in least[:i]:
             hit = hit.where(~agree(earlier))
-        parts.append(hit.select("left_id", "right_id", link_score(fields).alias("score")))
+        parts.append(_scored(hit, fields, sorted(own), lambda score: "match" if score >= match else "review").where(F.col("score") >= review))
     if not parts:
-        parts = [a.crossJoin(b).limit(0).select("left_id", "right_id", F.lit(0.0).alias("score"))]
-    return functools.reduce(DataFrame.union, parts).where(F.col("score") >= review).withColumn("status", F.when(F.col("score") >= match, "match").otherwise("review"))
+        parts = [a.crossJoin(b).limit(0).select("left_id", "right_id", F.lit(0.0).alias("score"), F.lit("review").alias("status"))]
+    return functools.reduce(DataFrame.union, parts)
 
 
 def breadth_first(edges: DataFrame, starts: DataFrame, depth: int, undirected: bool = False) -> DataFrame:

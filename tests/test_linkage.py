@@ -71,6 +71,26 @@ def test_link_candidates(spark):
         K.link_candidates(spark.createDataFrame(left, kind), spark.createDataFrame(right, kind), fields, ("id", "id"), 4.0, -99.0)
 
 
+def test_pairs_of_few_values_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(K, "PAIRS", 64)
+    monkeypatch.setattr(K, "SIDE", 5)
+    rng = random.Random(4)
+    rows = lambda n: [(i, rng.choice([None, 1, 2]), rng.choice([None, *range(5)])) for i in range(n)]
+    left, right = rows(50), rows(90)
+    fields = [K.Field("x", 0.9, 0.3), K.Field("y", 0.95, 0.1)]
+    weigh = lambda f, same: math.log2(f.m / f.u) if same else math.log2((1 - f.m) / (1 - f.u))
+    same = lambda a, b: [a[i] is not None and a[i] == b[i] for i in (1, 2)]
+    kind = "id long, x long, y long"
+    frames = [spark.createDataFrame(r, kind) for r in (left, right)]
+    every = [(a[0], b[0], sum(map(weigh, fields, same(a, b))), any(same(a, b))) for a in left for b in right]
+    name = lambda s: "match" if s >= 4 else "review" if s >= 0 else "non_match"
+    found = K.link(*frames, fields, ("id", "id"), 4.0, 0.0)
+    assert sorted(map(tuple, found.collect())) == sorted((i, j, s, name(s)) for i, j, s, agree in every if agree)
+    assert found.select(F.spark_partition_id()).distinct().count() > 8
+    found = K.link_candidates(*frames, fields, ("id", "id"), 4.0, 1.0).collect()
+    assert sorted(map(tuple, found)) == sorted((i, j, s, name(s)) for i, j, s, _ in every if s >= 1.0)
+
+
 @pytest.mark.parametrize("block,size", [(8192, 3), (10, 7), (4, 9)])
 def test_rolling_over_all_rows(spark, monkeypatch, block, size):
     monkeypatch.setattr(S, "BLOCK", block)
