@@ -113,7 +113,9 @@ def interpolated(df: DataFrame, by: Sequence[str], at: str, table: DataFrame, x:
     kinds = {c: df.schema[c].dataType for c in df.columns}
     n, n_known = df.count(), max(table.count(), 1)
     parts = max(1, min(math.ceil(n / PART), n // n_known))
-    part = F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")
+    # By a hash, so that a task that runs again deals its rows alike.
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    part = F.pmod(F.xxhash64(*plain, F.lit(7)), F.lit(parts)).cast("int")
     point = F.struct(F.col("__x").alias("x"), F.col("__y").alias("y"))
     known = table.select(*by, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).where("__y IS NOT NULL")
     known = known.withColumn("__p", F.struct(point.alias("a"), F.lead(point).over(Window.partitionBy(*by).orderBy("__x", "__y")).alias("b")))
