@@ -178,8 +178,8 @@ def _dealt_join(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
     keys = [*on, "__g", "__h"]
 
     def dealt(x: DataFrame, own: str, parts: str, other: str, others: str) -> DataFrame:
-        # Rows of any order are dealt evenly; copies of a row would meet in one part by their hash.
-        rows = x.join(met, list(on)).withColumn(own, F.pmod(F.monotonically_increasing_id(), F.col(parts)).cast("int"))
+        # By a hash, so that a task that runs again deals its rows alike.
+        rows = x.join(met, list(on)).withColumn(own, F.pmod(F.xxhash64(x.columns[0], F.lit(7)), F.col(parts)).cast("int"))
         rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
         return rows.select(*x.columns, "__g", "__h").repartition(partitions, *keys)
 
