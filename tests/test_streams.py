@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,6 +65,61 @@ def test_buckets_are_forgotten(spark, tmp_path):
     assert sorted(r.arrival for r in got.where("kind = 'event'").collect()) == [0, 1, 2, 3, 4, 5, 6, 8]
 
 
+class Held:
+    """A state variable in a dict, with its calls counted; as a value it has one key."""
+
+    def __init__(self, calls):
+        self.held, self.calls = {}, calls
+
+    def exists(self):
+        return self.containsKey()
+
+    def get(self):
+        return self.getValue()
+
+    def update(self, value):
+        self.held[()] = value
+
+    def containsKey(self, key=()):
+        self.calls["asked", bool(key)] += 1
+        return key in self.held
+
+    def getValue(self, key=()):
+        self.calls["asked", bool(key)] += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.calls["put"] += 1
+        self.held[key] = value
+
+
+def test_buckets_are_asked_for_once_and_not_at_all_for_a_new_key():
+    calls = Counter()
+    p = events._LateEvents(["who"], 3600, 1800, "mean", None)
+    p.mark, p.buckets = Held(calls), Held(calls)
+
+    def fed(*parts):
+        calls.clear()
+        frames = [pd.DataFrame({"who": "a", "arrival": a, "t": pd.Series(t, dtype="float64") * 1_000_000, "value": pd.Series(v, dtype="float64")}) for a, t, v in parts]
+        out = pd.concat(p.handleInputRows(("a",), iter(frames), None))
+        return [tuple(None if pd.isna(x) else x for x in r) for r in out.itertuples(index=False)], calls["put"], calls["asked", True]
+
+    # A row without a time leaves the key as it was.
+    assert fed(([1], [None], [5])) == ([("a", "event", 1, None, 5, None)], 0, 0)
+    # Two frames, rows out of order, one twice, one without a value: the bucket at 0 is corrected up to its last late row.
+    rows, put, asked = fed(([4, 2, 3], [100, 50, 7300], [2, 1, None]), ([4, 5], [100, 7400], [2, 9]))
+    assert rows == [
+        ("a", "event", 2, 0, 1, False), ("a", "event", 3, 7200, None, False), ("a", "event", 4, 0, 2, True), ("a", "event", 4, 0, 2, True), ("a", "event", 5, 7200, 9, False),
+        ("a", "correction", 4, 0, 5 / 3, True),
+    ]
+    assert (put, asked) == (2, 0)
+    # Later, the buckets that the batch touches are read and written, each once; one of late rows without values has no mean.
+    rows, put, asked = fed(([6, 7, 8], [200, 3700, 7500], [7, None, 1]))
+    assert rows[3:] == [("a", "correction", 6, 0, 3, True), ("a", "correction", 7, 3600, None, True)]
+    assert (put, asked) == (3, 3)
+    assert p.buckets.held == {(0,): (4, 12.0), (3600,): (0, 0.0), (7200,): (2, 10.0)}
+
+
 def test_wrong_calls(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path))
     for by, aggregation in (([], "sum"), (["who"], "median")):
