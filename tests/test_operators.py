@@ -1,6 +1,7 @@
 """Operators on rows written by hand: the rules that SQL twins do not show."""
 
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pytest
@@ -169,3 +170,21 @@ def test_split_is_stable(spark):
     b = {r.id: r.split for r in L.hash_split(df.where("id % 2 = 0"), ["id"], {"train": 0.8, "test": 0.2}).collect()}
     assert all(a[i] == s for i, s in b.items())
     assert 0.75 < sum(s == "train" for s in a.values()) / 2000 < 0.85
+
+
+def test_new_chunks_reads_each_side_once(spark, tmp_path):
+    digest = lambda text: None if text is None else hashlib.sha256(text.encode()).hexdigest()
+    now = [(1, "same"), (1, "same"), (1, "new"), (1, "new"), (2, "same"), (3, None), (None, "x"), (None, "x"), (None, None)]
+    old = [(1, "same"), (1, "gone"), (1, "gone"), (2, "other"), (3, None), (None, "x"), (4, None)]
+    spark.createDataFrame(now, "d long, c string").write.parquet(f"{tmp_path}/now")
+    spark.createDataFrame([(d, digest(c)) for d, c in old], "d long, digest string").write.parquet(f"{tmp_path}/old")
+    chunks, manifest = spark.read.parquet(f"{tmp_path}/now"), spark.read.parquet(f"{tmp_path}/old")
+    got = T.new_chunks(chunks, manifest, "d", "c")
+    assert got.columns == ["d", "digest", "change"]
+    # Nulls equal nothing: what holds one is new on one side and gone on the other.
+    added = {(1, "new"), (2, "same"), (3, None), (None, "x"), (None, None)}
+    removed = {(1, "gone"), (2, "other"), (3, None), (None, "x"), (4, None)}
+    assert values(got) == sorted([*((d, digest(c), "add") for d, c in added), *((d, digest(c), "remove") for d, c in removed)], key=repr)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    assert {r.change for r in T.new_chunks(chunks, manifest.limit(0), "d", "c").collect()} == {"add"}
+    assert {r.change for r in T.new_chunks(chunks.limit(0), manifest, "d", "c").collect()} == {"remove"}
