singular_spectrum averages its parts inside the blocks of rows

Symptom: singular_spectrum wrote and read 23 MB of shuffle for 100000 events, whose columns take some 3 MB.
Evidence: by stage at sf0.1, of 20.2 MB in a local run 6.7 were a row for each place, component and task, only to average windows that overlap, and 5.1 the sums by place after joins on the row number had parted a place's components; without a broadcast the windows themselves and both joins are shuffled too.
Fix: a block gets the rows before it as well as those behind it and the bases of its series, so that every part of its own rows is whole in its task; the grouping by place and component and the join with the rows are gone, and so is the second copy of the row number.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 877 -> 686 s, shuffle 1.49 -> 0.64 GB, spill 0.00 -> 0.00 GB, read 0.20 -> 0.20 GB, longest task 14 -> 12 s, most memory of a task 323 -> 118 MB; at 6 GB of input CPU 3298 -> 1960 s, shuffle 11.94 -> 3.87 GB, spill 2.78 -> 0.00 GB, read 1.43 -> 1.43 GB, longest task 60 -> 35 s, most memory of a task 1243 -> 571 MB; with hot keys, at 1 GB of input CPU 842 -> 560 s, shuffle 1.47 -> 0.61 GB, spill 0.00 -> 0.00 GB, read 0.20 -> 0.20 GB, longest task 15 -> 10 s, most memory of a task 1040 -> 118 MB.

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.ranges import numbered
 
@@ -24,30 +24,46 @@ def keyed(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Sequen
     return numbered(whole, ["key", *[f"o{i}" for i in range(len(order))]], "n").select("key", "n", *[f"v{i}" for i in range(len(values))])
 
 
+def place(n: Column) -> Column:
+    """The block of the row with number ``n``."""
+    return F.floor((n - 1) / SIZE)
+
+
+def gathered(rows: DataFrame, ahead: int, behind: int = 0) -> DataFrame:
+    """(block, first, last, r): each block's rows in their order, those of its look ahead and the ``behind`` ones before it included; first and last: the numbers between which its own are."""
+    if not 0 <= ahead <= SIZE or not 0 <= behind <= SIZE:
+        raise ValueError(f"the look ahead must not exceed {SIZE} rows")
+    size, block = SIZE, place(F.col("n"))
+    inside = (F.col("n") - 1) % size
+    to = F.when((inside < ahead) & (block > 0), F.array(block - 1, block)).otherwise(F.array(block))
+    if behind:
+        to = F.when(inside >= size - behind, F.concat(to, F.array(block + 1))).otherwise(to)
+    names = [c for c in rows.columns if c not in ("key", "n")]
+    copied = rows.withColumn("block", F.explode(to))
+    sorted_rows = F.sort_array(F.collect_list(F.struct("n", "key", *names))).alias("r")
+    return copied.groupBy("block").agg(sorted_rows).select("block", (F.col("block") * size + 1).alias("first"), ((F.col("block") + 1) * size).alias("last"), "r")
+
+
+def series_ends(keys: list[str]) -> np.ndarray:
+    """Where the series of each row ends."""
+    same = np.array([x == y for x, y in zip(keys, keys[1:], strict=False)], bool)
+    last = np.r_[np.flatnonzero(~same) + 1, len(keys)]
+    return last[np.searchsorted(last, np.arange(len(keys)), side="right")]
+
+
 def each_block(rows: DataFrame, ahead: int, schema: str, run: Run) -> DataFrame:
     """Rows of ``run(keys, ends, own, values)`` for each block of ``keyed`` rows.
 
     keys: of each row; ends: where each row's series ends in the block; own: rows that are the block's, behind which those of the look ahead
     stand, which begin the next block. A block holds parts of many short series or of one long one.
     """
-    if not 0 <= ahead <= SIZE:
-        raise ValueError(f"the look ahead must not exceed {SIZE} rows")
-    size = SIZE
-    place = F.col("n") - 1
-    block = F.floor(place / size)
-    first = (place % size < ahead) & (block > 0)
-    copied = rows.withColumn("block", F.explode(F.when(first, F.array(block - 1, block)).otherwise(F.array(block))))
     names = [c for c in rows.columns if c not in ("key", "n")]
-    gathered = copied.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("n", "key", *names))).alias("r"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b, n, keys, *values in zip(*[batch.column(i) for i in range(batch.num_columns)], strict=True):
+            for last, n, keys, *values in zip(*[batch.column(i) for i in range(batch.num_columns)], strict=True):
                 keys = keys.values.to_pylist()
-                same = np.array([x == y for x, y in zip(keys, keys[1:], strict=False)], bool)
-                last = np.r_[np.flatnonzero(~same) + 1, len(keys)]
-                ends = last[np.searchsorted(last, np.arange(len(keys)), side="right")]
-                own = int((np.asarray(n.values) <= (b.as_py() + 1) * size).sum())
-                yield from run(keys, ends, own, [np.asarray(v.values, np.float64) for v in values])
+                own = int((np.asarray(n.values) <= last.as_py()).sum())
+                yield from run(keys, series_ends(keys), own, [np.asarray(v.values, np.float64) for v in values])
 
-    return gathered.select("block", "r.n", "r.key", *[f"r.{c}" for c in names]).mapInArrow(each, schema)
+    return gathered(rows, ahead).select("last", "r.n", "r.key", *[f"r.{c}" for c in names]).mapInArrow(each, schema)

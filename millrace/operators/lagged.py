@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.functions.blocks import each_block, keyed
+from millrace.functions.blocks import each_block, gathered, keyed, place, series_ends
 from millrace.functions.storage import written
 
 #: Templates of a cell that are compared as one array.
@@ -208,21 +208,21 @@ def singular_spectrum(df: DataFrame, by: Sequence[str], order: Sequence[str], va
     """
     if not isinstance(window, int) or window < 2 or not isinstance(components, int) or not 0 < components <= window:
         raise ValueError("the window must be a whole number above 1, and there are 1 to window components")
-    rows = written(keyed(df, by, order, [value]).withColumn("at", F.col("n").cast("double")))
+    rows = written(keyed(df, by, order, [value]))
 
     def windows(keys, ends, own, x):
-        """Each series of the block: its key, the first places of its windows, and these."""
+        """Each series of the block: its key and its windows."""
         start = 0
         while start < own:
             end = ends[start]
             i = np.arange(start, min(end, own))
             i = i[i + window <= end]
             if len(i):
-                yield keys[start], i, x[i[:, None] + np.arange(window)]
+                yield keys[start], x[i[:, None] + np.arange(window)]
             start = end
 
     def products(keys, ends, own, values):
-        for key, _, seen in windows(keys, ends, own, values[0]):
+        for key, seen in windows(keys, ends, own, values[0]):
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([(seen.T @ seen).ravel().tolist()], pa.list_(pa.float64()))], names=["key", "s"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,31 +246,35 @@ def singular_spectrum(df: DataFrame, by: Sequence[str], order: Sequence[str], va
 
     bases = written(whole.select("key", "m.v").mapInArrow(vectors, "key string, u array<double>"))
 
-    def projected(keys, ends, own, values):
-        for key, i, seen in windows(keys, ends, own, values[0]):
-            yield pa.RecordBatch.from_arrays([pa.array([key] * len(i), pa.string()), pa.array(values[1][i].astype(np.int64)), pa.array(list(seen), pa.list_(pa.float64()))], names=["key", "n", "x"])
+    # Each block gets the bases of its series, and the rows before and behind it that share windows with its own.
+    extents = rows.groupBy("key").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    held = bases.join(extents, "key").select("key", "u", F.explode(F.sequence(place(F.col("least")), place(F.col("most")))).alias("block"))
+    met = gathered(rows, window - 1, window - 1).join(held.groupBy("block").agg(F.collect_list(F.struct("key", "u")).alias("b")), "block")
 
-    # A window's share of a part at its place j is (u . x) u[j]; places average their windows'.
-    met = each_block(rows, window - 1, "key string, n long, x array<double>", projected).join(bases, "key")
-
-    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A window's share of a part at its place j is (u . x) u[j]; places average their windows'."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.asarray(batch.column(2).flatten(), np.float64).reshape(-1, window)
-            u = np.asarray(batch.column(3).flatten(), np.float64).reshape(-1, components, window)
-            share = np.einsum("rcw,rw->rc", u, x)[:, :, None] * u
-            places = (np.asarray(batch.column(1))[:, None, None] + np.arange(window)[None, None, :]) + np.zeros((1, components, 1), np.int64)
-            number = np.zeros_like(places) + np.arange(components)[None, :, None]
-            # Windows of a batch follow each other, so their sums by place come first.
-            flat = places.ravel() * components + number.ravel()
-            known, at = np.unique(flat, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(known // components), pa.array((known % components).astype(np.int32)), pa.array(np.bincount(at, share.ravel())), pa.array(np.bincount(at))], names=["n", "component", "total", "held"])
-
-    sums = met.select("key", "n", "x", "u").mapInArrow(shares, "n long, component int, total double, held long")
-    averaged = sums.groupBy("n", "component").agg((F.sum("total") / F.sum("held")).alias("part"))
+            for first, last, n, keys, x, known, u in zip(*[batch.column(i) for i in range(batch.num_columns)], strict=True):
+                n, x = np.asarray(n.values), np.asarray(x.values, np.float64)
+                names, own = keys.values.to_pylist(), (n >= first.as_py()) & (n <= last.as_py())
+                base = dict(zip(known.values.to_pylist(), np.asarray(u.values.flatten(), np.float64).reshape(-1, components, window), strict=True))
+                ends, start, spans, over = series_ends(names), 0, [], np.zeros(len(n))
+                while start < len(n):
+                    end = ends[start]
+                    if names[start] in base and end - start >= window:
+                        spans.append((slice(start, end), base[names[start]]))
+                        over[start:end] = np.convolve(np.ones(end - start - window + 1), np.ones(window))
+                    start = end
+                at = np.flatnonzero(own & (over > 0))
+                for c in range(components if len(at) else 0):
+                    total = np.zeros(len(n))
+                    for span, vectors_of in spans:
+                        total[span] = np.convolve(np.correlate(x[span], vectors_of[c], "valid"), vectors_of[c])
+                    yield pa.RecordBatch.from_arrays([keys.values.take(pa.array(at)), pa.array(n[at]), pa.array(x[at]), pa.array(np.full(len(at), c, np.int32)), pa.array(total[at] / over[at])], names=["key", "n", "value", "component", "part"])
+
+    made = met.select("first", "last", "r.n", "r.key", "r.v0", F.col("b.key").alias("known"), "b.u").mapInArrow(parts_of, "key string, n long, value double, component int, part double")
     series = df.select(*by, (F.to_json(F.struct(*by)) if by else F.lit("")).alias("key")).distinct()
-    return rows.select("key", "n", F.col("v0").alias("value")).join(averaged, "n").join(series, "key").select(*by, "n", "value", "component", "part")
+    return made.join(series, "key").select(*by, "n", "value", "component", "part")
 
 
 def _matrices(total: dict[str, np.ndarray]) -> pa.RecordBatch:

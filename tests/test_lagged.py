@@ -141,3 +141,28 @@ def test_singular_spectrum(spark, monkeypatch, size):
     for bad in ((1, 1), (3, 4), (3, 0)):
         with pytest.raises(ValueError):
             G.singular_spectrum(df, ["id"], ["at"], "x", *bad)
+
+
+def test_spectra_of_windows_as_long_as_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "SIZE", 8)
+    rng = random.Random(3)
+    # A window's rows lie in up to three blocks; one series is as long as the window, one shorter, one has no name.
+    series = {None: 30, "a": 9, "b": 8, "c": 61, "d": 3}
+    series = {k: [4 * math.sin(i / 2) + rng.gauss(0, 1) for i in range(n)] for k, n in series.items()}
+    rows = [(k, i, v, 0.0) for k, x in series.items() for i, v in enumerate(x)]
+    # Equal rows count each; rows without a value do not.
+    rows += [("e", i // 2, float(i // 2 % 5), 0.0) for i in range(24)] + [("e", 4, None, 0.0), ("f", 1, None, 0.0), (None, 3, None, 0.0)]
+    series["e"] = [float(i // 2 % 5) for i in range(24)]
+    rng.shuffle(rows)
+    made = G.singular_spectrum(spark.createDataFrame(rows, ROWS), ["id"], ["at"], "x", 9, 2)
+    got = {}
+    for r in made.orderBy("n").collect():
+        got.setdefault((r.id, r.component), []).append((r.value, r.part))
+    assert set(got) == {(k, c) for k in (None, "a", "c", "e") for c in (0, 1)}
+    for k in (None, "a", "c", "e"):
+        for c, part in enumerate(ssa(np.array(series[k]), 9, 2)):
+            assert [v for v, _ in got[k, c]] == series[k]
+            assert [p for _, p in got[k, c]] == pytest.approx(list(part), abs=1e-7)
+    # Parts are whole within their block: no sums by place go through a shuffle, and no windows meet their bases.
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [n#" not in plan and plan.count("Join Inner") == 3
