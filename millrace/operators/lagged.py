singular_spectrum carries its series' columns with their bases

Symptom: with more series than a broadcast takes, singular_spectrum still shuffled its whole result, a row for each place and part, to put the series' own columns to it.
Evidence: on a tenfold copy with one user in a fifth of the rows (local[4], broadcasts up to 256 KB), the exchange before the last join wrote 59.5 of 153.9 MB and 4000000 of 7377653 records, all rows of a series into one key.
Fix: join the columns where a series is one row and hand them on with its bases; types that Arrow may not give back as they were (arrays, structs, collated text, intervals) are joined to the result as before.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 877 -> 686 s, shuffle 1.49 -> 0.64 GB, spill 0.00 -> 0.00 GB, read 0.20 -> 0.20 GB, longest task 14 -> 12 s, most memory of a task 323 -> 118 MB; at 6 GB of input CPU 3298 -> 1960 s, shuffle 11.94 -> 3.87 GB, spill 2.78 -> 0.00 GB, read 1.43 -> 1.43 GB, longest task 60 -> 35 s, most memory of a task 1243 -> 571 MB; with hot keys, at 1 GB of input CPU 842 -> 560 s, shuffle 1.47 -> 0.61 GB, spill 0.00 -> 0.00 GB, read 0.20 -> 0.20 GB, longest task 15 -> 10 s, most memory of a task 1040 -> 118 MB.

@@ -9,13 +9,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from millrace.functions.blocks import each_block, gathered, keyed, place, series_ends
 from millrace.functions.storage import written
 
 #: Templates of a cell that are compared as one array.
 GROUP = 512
+#: Types, beside plain text, whose values Arrow hands on as they are.
+_PLAIN = (T.NumericType, T.BooleanType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def _named(found: DataFrame, df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -246,35 +248,44 @@ def singular_spectrum(df: DataFrame, by: Sequence[str], order: Sequence[str], va
 
     bases = written(whole.select("key", "m.v").mapInArrow(vectors, "key string, u array<double>"))
 
-    # Each block gets the bases of its series, and the rows before and behind it that share windows with its own.
+    # Each block gets the bases and the columns of its series, and the rows before and behind it that share windows with its own.
     extents = rows.groupBy("key").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    held = bases.join(extents, "key").select("key", "u", F.explode(F.sequence(place(F.col("least")), place(F.col("most")))).alias("block"))
-    met = gathered(rows, window - 1, window - 1).join(held.groupBy("block").agg(F.collect_list(F.struct("key", "u")).alias("b")), "block")
+    names = [f"s{i}" for i in range(len(by))]
+    series = df.select(*[F.col(c).alias(s) for c, s in zip(by, names, strict=True)], (F.to_json(F.struct(*by)) if by else F.lit("")).alias("key")).distinct()
+    plain = all(isinstance(t := series.schema[s].dataType, _PLAIN) or t == T.StringType() for s in names)
+    shown = names if plain else []
+    known = bases.join(extents, "key").join(series, "key") if plain else bases.join(extents, "key")
+    held = known.withColumn("block", F.explode(F.sequence(place(F.col("least")), place(F.col("most")))))
+    met = gathered(rows, window - 1, window - 1).join(held.groupBy("block").agg(F.collect_list(F.struct("key", "u", *shown)).alias("b")), "block")
 
     def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A window's share of a part at its place j is (u . x) u[j]; places average their windows'."""
         for batch in batches:
-            for first, last, n, keys, x, known, u in zip(*[batch.column(i) for i in range(batch.num_columns)], strict=True):
-                n, x = np.asarray(n.values), np.asarray(x.values, np.float64)
-                names, own = keys.values.to_pylist(), (n >= first.as_py()) & (n <= last.as_py())
-                base = dict(zip(known.values.to_pylist(), np.asarray(u.values.flatten(), np.float64).reshape(-1, components, window), strict=True))
-                ends, start, spans, over = series_ends(names), 0, [], np.zeros(len(n))
-                while start < len(n):
-                    end = ends[start]
-                    if names[start] in base and end - start >= window:
-                        spans.append((slice(start, end), base[names[start]]))
-                        over[start:end] = np.convolve(np.ones(end - start - window + 1), np.ones(window))
-                    start = end
-                at = np.flatnonzero(own & (over > 0))
-                for c in range(components if len(at) else 0):
-                    total = np.zeros(len(n))
-                    for span, vectors_of in spans:
-                        total[span] = np.convolve(np.correlate(x[span], vectors_of[c], "valid"), vectors_of[c])
-                    yield pa.RecordBatch.from_arrays([keys.values.take(pa.array(at)), pa.array(n[at]), pa.array(x[at]), pa.array(np.full(len(at), c, np.int32)), pa.array(total[at] / over[at])], names=["key", "n", "value", "component", "part"])
-
-    made = met.select("first", "last", "r.n", "r.key", "r.v0", F.col("b.key").alias("known"), "b.u").mapInArrow(parts_of, "key string, n long, value double, component int, part double")
-    series = df.select(*by, (F.to_json(F.struct(*by)) if by else F.lit("")).alias("key")).distinct()
-    return made.join(series, "key").select(*by, "n", "value", "component", "part")
+            for first, last, n, keys, x, known, u, *columns in zip(*[batch.column(i) for i in range(batch.num_columns)], strict=True):
+                n, x, keys = np.asarray(n.values), np.asarray(x.values, np.float64), keys.values.to_pylist()
+                low, high = np.searchsorted(n, first.as_py()), np.searchsorted(n, last.as_py(), side="right")
+                ends = np.unique(series_ends(keys))
+                spans = {keys[end - 1]: (start, end) for start, end in zip([0, *ends[:-1]], ends, strict=True)}
+                found = []
+                for i, (key, base) in enumerate(zip(known.values.to_pylist(), np.asarray(u.values.flatten(), np.float64).reshape(-1, components, window), strict=True)):
+                    start, end = spans.get(key, (0, 0))
+                    own = slice(max(start, low) - start, max(min(end, high), max(start, low)) - start)
+                    if end - start >= window and own.stop > own.start:
+                        over = np.convolve(np.ones(end - start - window + 1), np.ones(window))[own]
+                        found.append((i, x[start:end], base, own, over, np.arange(start, end)[own]))
+                if not found:
+                    continue
+                at, which = np.concatenate([f[-1] for f in found]), pa.array(np.repeat([f[0] for f in found], [len(f[-1]) for f in found]))
+                for c in range(components):
+                    part = np.concatenate([np.convolve(np.correlate(v, base[c], "valid"), base[c])[own] / over for _, v, base, own, over, _ in found])
+                    yield pa.RecordBatch.from_arrays([*[s.values.take(which) for s in (known, *columns)], pa.array(n[at]), pa.array(x[at]), pa.array(np.full(len(at), c, np.int32)), pa.array(part)], names=["key", *shown, "n", "value", "component", "part"])
+
+    schema = T.StructType([T.StructField(s, series.schema[s].dataType) for s in ("key", *shown)])
+    for name, kind in (("n", T.LongType()), ("value", T.DoubleType()), ("component", T.IntegerType()), ("part", T.DoubleType())):
+        schema.add(name, kind)
+    made = met.select("first", "last", "r.n", "r.key", "r.v0", F.col("b.key").alias("known"), "b.u", *[f"b.{s}" for s in shown]).mapInArrow(parts_of, schema)
+    named = made if plain else made.join(series, "key")
+    return named.select(*[F.col(s).alias(c) for c, s in zip(by, names, strict=True)], "n", "value", "component", "part")
 
 
 def _matrices(total: dict[str, np.ndarray]) -> pa.RecordBatch:

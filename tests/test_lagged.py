@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.functions import blocks
 from millrace.operators import lagged as G
@@ -166,3 +167,21 @@ def test_spectra_of_windows_as_long_as_blocks(spark, monkeypatch):
     # Parts are whole within their block: no sums by place go through a shuffle, and no windows meet their bases.
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [n#" not in plan and plan.count("Join Inner") == 3
+
+
+def test_spectra_keep_the_columns_of_their_series(spark):
+    x = [1.0, 3.0, 2.0, 5.0, 4.0]
+    rows = [(k, [k], i, v) for k in (1, 2, None) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k int, many array<int>, at long, x double")
+    # Times that differ by less than JSON shows are one series, whose rows come for each of them.
+    df = df.withColumn("ts", F.timestamp_micros(F.coalesce("k", F.lit(3)).cast("long")))
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    for by, each in ((["k"], 1), (["many"], 1), (["k", "many"], 1), (["ts"], 3), ([], 1)):
+        made = G.singular_spectrum(df, by, ["k", "at"], "x", 3, 3)
+        assert made.columns == [*by, "n", "value", "component", "part"]
+        assert [f.dataType for f in made.schema.fields[: len(by)]] == [df.schema[c].dataType for c in by]
+        got = made.collect()
+        assert len(got) == 15 * 3 * each
+        assert {str([r[c] for c in by]) for r in got} == {str([r[c] for c in by]) for r in df.collect()}
+        # The result itself is not joined, unless a column cannot go through Arrow as it is.
+        assert ("Join" in plan(made).split("MapInArrow")[0]) == ("many" in by)
